@@ -39,7 +39,7 @@ POSIX = {
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _LOOK = ("(?=", "(?!", "(?<=", "(?<!", "(?>")
 _TOKEN = re.compile(
-    r"(?P<escape>\\.)|\[:(?P<posix>\w+):\]|\(\?P?<(?P<group>[A-Za-z_]\w*)>|(?P<char>.)", re.S
+    r"(?P<escape>\\[pPx]\{[^}]*\}|\\.)|\[:(?P<posix>\w+):\]|\(\?P?<(?P<group>[A-Za-z_]\w*)>|(?P<char>.)", re.S
 )
 
 

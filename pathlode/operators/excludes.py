@@ -2,12 +2,13 @@
 
 A directory that is ruled out hides its whole subtree, and the root itself is
 exempt; so a rule is tested on every path component strictly below the root.
-Every rule is one regular expression over the path (no arrays, no lambdas), so
+The rules become regular expressions over the path (no arrays, no lambdas), so
 the filter stays in generated code.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlode.functions.globs import glob_component
-from pathlode.functions.paths import at_or_under, name_of, parent_of
+from pathlode.functions.paths import at_or_under, name_of
 
 # System directories.
 SYSTEM_PATHS = ("/proc", "/sys", "/dev")
@@ -24,7 +25,7 @@ SYSTEM_PATHS = ("/proc", "/sys", "/dev")
 
 def in_hidden_directory(path: Column) -> Column:
     """Some directory above the path has a hidden name (a lone dot is not hidden)."""
-    return parent_of(path, name_of(path)).rlike(r"(^|/)\.[^/]")
+    return path.rlike(r"(?:^|/)\.[^/]+/")
 
 
 def is_hidden_directory(path: Column, is_dir: Column) -> Column:
@@ -37,11 +38,6 @@ def _one_of(patterns) -> str:
     return "|".join(glob_component(p) for p in patterns)
 
 
-def _below(path: Column, root: str) -> Column:
-    """The path relative to its root."""
-    return F.substring(path, F.lit(len(root) + 2), F.length(path))
-
-
 @dataclass(frozen=True)
 class Excludes:
     """The rule set.  Globs are case-sensitive and match a whole name."""
@@ -63,8 +59,7 @@ class Excludes:
             everywhere.append(~name_of(path).startswith("."))
         if self.folders:
             everywhere.append(~self._in_folder(path))
-        found = reduce(or_, [self._found_below(path, root) for root in roots])
-        return reduce(and_, [*everywhere, found])
+        return reduce(and_, [*everywhere, self._found_below(path, roots)])
 
     def _in_folder(self, path: Column) -> Column:
         """Some component of the whole path matches; the root of a path counts as ``/``."""
@@ -75,23 +70,27 @@ class Excludes:
             tests.append(path.startswith("/"))
         return reduce(or_, tests, F.lit(False))
 
-    def _found_below(self, path: Column, root: str) -> Column:
-        """Below ``root``, with no component on the way ruled out."""
-        root = root.rstrip("/")
-        tests = [path.startswith(root + "/")]
-        if self.skip_system_paths:
-            hidden = [s for s in SYSTEM_PATHS if not (root == s or root.startswith(s + "/"))]
-            tests += [~at_or_under(path, s) for s in hidden]
-        below = _below(path, root)
+    def _found_below(self, path: Column, roots: tuple[str, ...]) -> Column:
+        """Strictly below some root, with no component on the way ruled out.
+
+        One regular expression, however many roots there are.
+        """
+        starts = [root.rstrip("/") + "/" for root in roots]
         # A glob holding a slash matches no name.
         patterns = [p for p in self.patterns if "/" not in p]
-        if patterns:
-            tests.append(~below.rlike(rf"(?s)(?:^|/)(?:{_one_of(patterns)})(?:/|\z)"))
-        if self.include_only:
-            globs = [p for p in self.include_only if "/" not in p]
-            one = f"(?:{_one_of(globs)})"
-            tests.append(below.rlike(rf"(?s)\A{one}(?:/{one})*\z") if globs else F.lit(False))
-        return reduce(and_, tests)
+        globs = [p for p in self.include_only if "/" not in p]
+        if self.include_only and not globs:
+            return F.lit(False)
+        rest = rf"(?!(?:.*/)?(?:{_one_of(patterns)})(?:/|\z))" if patterns else ""
+        if globs:
+            rest += rf"(?:{_one_of(globs)})(?:/(?:{_one_of(globs)}))*\z"
+        if not rest and not self.skip_system_paths:
+            return reduce(or_, [path.startswith(start) for start in starts])
+        # System directories lie strictly below no root but "/".
+        system = "|".join(s.removeprefix("/") for s in SYSTEM_PATHS)
+        system = rf"(?!(?:{system})(?:/|\z))" if self.skip_system_paths else ""
+        some_root = "|".join(re.escape(s) + (system if s == "/" else "") for s in starts)
+        return path.rlike(rf"(?s)\A(?:{some_root}){rest}")
 
 
 def apply_excludes(

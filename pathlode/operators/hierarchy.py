@@ -20,7 +20,7 @@ from pathlode.functions.paths import (
     prefix_at,
     without_slash,
 )
-from pathlode.session import fits_broadcast, measure, written
+from pathlode.session import fits_broadcast, written
 
 # A hot ancestor (the root of most paths, say) is split into this many join keys.
 SALTS = 32
@@ -65,9 +65,13 @@ def marks(paths: DataFrame, path: Column, value: Column) -> Marks:
         .withColumn("level", level_of(F.col("mark"))),
         "marks",
     )
-    rows, size = measure(table, "mark")
-    levels = [r["level"] for r in table.select("level").distinct().orderBy("level").collect()]
-    return Marks(table, rows, size, levels)
+    # One row; the set is bounded by the depth of paths, not by their number.
+    row = table.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length("mark") + 24), F.lit(0)).alias("size"),
+        F.sort_array(F.collect_set("level")).alias("levels"),
+    ).first()
+    return Marks(table, row["rows"], row["size"], row["levels"])
 
 
 def with_mark(

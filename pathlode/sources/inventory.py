@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +38,19 @@ def read_inventory(
 
     Unreadable files and malformed lines are skipped, not fatal.
     """
-    reader = spark.read.format(format).schema(
-        ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ENTRY.fields)
+    is_text = format in ("csv", "json")
+    schema = ", ".join(
+        f"{f.name} {'string' if is_text else f.dataType.simpleString()}" for f in ENTRY.fields
     )
+    reader = spark.read.format(format).schema(schema).options(**options)
     reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
-    if format in ("csv", "json"):
-        reader = reader.option("mode", "DROPMALFORMED")
-    return as_entries(reader.options(**options).load(locations))
+    rows = reader.load(locations)
+    if is_text:
+        # A line is judged by all its columns, also when a query asks for few of them.
+        typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in ENTRY.fields}
+        fine = [F.col(c).isNull() | value.isNotNull() for c, value in typed.items()]
+        rows = rows.filter(reduce(and_, fine)).withColumns(typed)
+    return as_entries(rows)
 
 
 def without_metadata(entries: DataFrame) -> DataFrame:
