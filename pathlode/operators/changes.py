@@ -72,10 +72,19 @@ def in_scope(steps: DataFrame, roots=(), own_folders=()) -> DataFrame:
 
 
 def latest_by_path(rows: DataFrame, *order: Column) -> DataFrame:
-    """One row per path, the last one in the given order (the order must be total)."""
+    """One row per path, the last one in the given order (the order must be total).
+
+    Both forms combine before the shuffle, so a path with a third of all rows
+    costs one row per task.  A single order column needs no structs, which makes
+    it a hash aggregate when the other columns have a fixed width.
+    """
     payload = [c for c in rows.columns if c != "path"]
-    last = F.max_by(F.struct(*payload), F.struct(*order)).alias("last")
-    return rows.groupBy("path").agg(last).select("path", "last.*")
+    by_path = rows.groupBy("path")
+    if len(order) == 1:
+        return by_path.agg(*[F.max_by(c, order[0]).alias(c) for c in payload])
+    keys = [o.alias(f"_{i}") for i, o in enumerate(order)]
+    last = F.max(F.struct(*keys, F.struct(*payload).alias("row"))).alias("last")
+    return by_path.agg(last).select("path", "last.row.*")
 
 
 def summarise(steps: DataFrame) -> DataFrame:

@@ -16,16 +16,19 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlode.functions.globs import glob_component
+from pathlode.functions.globs import glob_component, literal_runs
 from pathlode.functions.paths import at_or_under, name_of
 
 # System directories.
 SYSTEM_PATHS = ("/proc", "/sys", "/dev")
 
+MAX_TEXTS = 16  # longer lists of globs are tested without looking for their texts first
+
 
 def in_hidden_directory(path: Column) -> Column:
     """Some directory above the path has a hidden name (a lone dot is not hidden)."""
-    return path.rlike(r"(?:^|/)\.[^/]+/")
+    maybe = path.contains("/.") | path.startswith(".")  # cheap, and false for most paths
+    return maybe & path.rlike(r"(?:^|/)\.[^/]+/")
 
 
 def is_hidden_directory(path: Column, is_dir: Column) -> Column:
@@ -38,6 +41,16 @@ def _one_of(patterns) -> str:
     return "|".join(glob_component(p) for p in patterns)
 
 
+def _has_component(path: Column, globs: list[str]) -> Column:
+    """Some component of the path matches one of the globs."""
+    found = path.rlike(rf"(?s)(?:^|/)(?:{_one_of(globs)})(?:/|\z)")
+    longest = [max(literal_runs(g), key=len, default="") for g in globs]
+    if all(longest) and len(globs) <= MAX_TEXTS:
+        # Most paths hold none of the fixed texts and never reach the expression.
+        found = reduce(or_, [path.contains(text) for text in longest]) & found
+    return found
+
+
 @dataclass(frozen=True)
 class Excludes:
     """The rule set.  Globs are case-sensitive and match a whole name."""
@@ -65,7 +78,7 @@ class Excludes:
         """Some component of the whole path matches; the root of a path counts as ``/``."""
         globs = [p.removeprefix("**/") for p in self.folders]
         named = [g for g in globs if "/" not in g]
-        tests = [path.rlike(rf"(?s)(?:^|/)(?:{_one_of(named)})(?:/|\z)")] if named else []
+        tests = [_has_component(path, named)] if named else []
         if any(g == "/" or g == "?" or (g and set(g) == {"*"}) for g in globs):
             tests.append(path.startswith("/"))
         return reduce(or_, tests, F.lit(False))
@@ -73,7 +86,8 @@ class Excludes:
     def _found_below(self, path: Column, roots: tuple[str, ...]) -> Column:
         """Strictly below some root, with no component on the way ruled out.
 
-        One regular expression, however many roots there are.
+        Rules that could hit a component of a root itself go into one regular
+        expression that starts at the root; the others read the whole path.
         """
         starts = [root.rstrip("/") + "/" for root in roots]
         # A glob holding a slash matches no name.
@@ -81,16 +95,28 @@ class Excludes:
         globs = [p for p in self.include_only if "/" not in p]
         if self.include_only and not globs:
             return F.lit(False)
-        rest = rf"(?!(?:.*/)?(?:{_one_of(patterns)})(?:/|\z))" if patterns else ""
+        tests, rest, system = [], "", ""
+        if patterns:
+            one_of = _one_of(patterns)
+            in_root = re.compile(rf"(?s)(?:^|/)(?:{one_of})(?:/|\Z)")
+            if any(in_root.search(root) for root in roots):
+                rest += rf"(?!(?:.*/)?(?:{one_of})(?:/|\z))"
+            else:
+                tests.append(~_has_component(path, patterns))
         if globs:
             rest += rf"(?:{_one_of(globs)})(?:/(?:{_one_of(globs)}))*\z"
-        if not rest and not self.skip_system_paths:
-            return reduce(or_, [path.startswith(start) for start in starts])
         # System directories lie strictly below no root but "/".
-        system = "|".join(s.removeprefix("/") for s in SYSTEM_PATHS)
-        system = rf"(?!(?:{system})(?:/|\z))" if self.skip_system_paths else ""
-        some_root = "|".join(re.escape(s) + (system if s == "/" else "") for s in starts)
-        return path.rlike(rf"(?s)\A(?:{some_root}){rest}")
+        if self.skip_system_paths and starts == ["/"]:
+            tests += [~at_or_under(path, s) for s in SYSTEM_PATHS]
+        elif self.skip_system_paths and "/" in starts:
+            names = "|".join(s.removeprefix("/") for s in SYSTEM_PATHS)
+            system = rf"(?!(?:{names})(?:/|\z))"
+        if rest or system:
+            some_root = "|".join(re.escape(s) + (system if s == "/" else "") for s in starts)
+            tests.insert(0, path.rlike(rf"(?s)\A(?:{some_root}){rest}"))
+        else:
+            tests.insert(0, reduce(or_, [path.startswith(start) for start in starts]))
+        return reduce(and_, tests)
 
 
 def apply_excludes(

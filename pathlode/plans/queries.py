@@ -616,7 +616,7 @@ def _lines_between(spark, folder, first=None, last=None):
         rows = rows.filter(F.col("l_shipdate") >= F.lit(first).cast("timestamp_ntz"))
     if last:
         rows = rows.filter(F.col("l_shipdate") < F.lit(last).cast("timestamp_ntz"))
-    return ch.latest_by_path(rows, *tables.LINE_ORDER).select(*ENTRY_FIELDS)
+    return ch.latest_by_path(rows, *map(F.col, tables.LINE_ORDER)).select(*ENTRY_FIELDS)
 
 
 @register(

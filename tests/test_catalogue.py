@@ -70,6 +70,9 @@ NOT_ENDING_IN_S = sorted(set(VISIBLE) - set(ENDING_IN_S))
         (Excludes(skip_hidden=True), ["/w/.secret.txt"]),
         (Excludes(patterns=("*.tmp",)), ["/w/drop.tmp", "/w/dir.tmp", "/w/dir.tmp/keep.txt"]),
         (Excludes(patterns=("*.TMP", "a/b")), []),
+        (Excludes(patterns=("w", "music.*")), ["/w/music.mp3"]),
+        (Excludes(patterns=("?", "music.*")), ["/w/./x", "/w/music.mp3"]),
+        (Excludes(patterns=("*",)), VISIBLE),
         (Excludes(folders=("**/node_modules",)), ["/w/node_modules", "/w/node_modules/pkg.js"]),
         (Excludes(folders=("w",)), VISIBLE),
         (Excludes(folders=("?",)), VISIBLE),
@@ -92,6 +95,13 @@ def test_system_paths_and_roots(entries):
     assert paths(build_catalogue(data, ("/",), rule)) == ["/home/dev/x", "/processor", "/srv", "/srv/a"]
     assert paths(build_catalogue(data, ("/proc",), rule)) == ["/proc/1"]
     assert paths(build_catalogue(data, ("/srv/", "/home/dev"))) == ["/home/dev/x", "/srv/a"]
+    assert paths(build_catalogue(data, ("/", "/sys"), rule)) == [
+        "/home/dev/x",
+        "/processor",
+        "/srv",
+        "/srv/a",
+        "/sys/a",
+    ]
     # A path stays when some root keeps it, also when the roots are nested.
     nested = entries("/a/b.tmp/", "/a/b.tmp/c")
     kept = build_catalogue(nested, ("/a", "/a/b.tmp"), Excludes(patterns=("*.tmp",)))
