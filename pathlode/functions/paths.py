@@ -26,10 +26,11 @@ def parent_of(path: Column, name: Column) -> Column:
 def with_parts(entries: DataFrame) -> DataFrame:
     """Add ``name``, ``parent``, ``extension`` and ``name_lc`` where they are missing."""
     path, name = F.col("path"), name_of(F.col("path"))
+    is_dir = F.col("is_dir") if "is_dir" in entries.columns else F.lit(False)
     parts = {
         "name": name,
         "parent": parent_of(path, name),
-        "extension": extension_of(name, F.col("is_dir")),
+        "extension": extension_of(name, is_dir),
         "name_lc": F.lower(name),
     }
     return entries.withColumns({k: v for k, v in parts.items() if k not in entries.columns})

@@ -15,10 +15,12 @@ order of arrival.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlode.operators.excludes import in_hidden_directory
+from pathlode.operators.excludes import Excludes, in_hidden_directory
 from pathlode.operators.hierarchy import marks, under_any, with_mark
 from pathlode.schema import CHANGE, ENTRY_FIELDS, META_FIELDS
 from pathlode.session import fits_broadcast, measure, written
@@ -57,17 +59,36 @@ def split_moves(events: DataFrame) -> DataFrame:
     return events.select(F.inline(steps))
 
 
-def in_scope(steps: DataFrame, roots=(), own_folders=()) -> DataFrame:
-    """Steps at or under a root, outside the tool's own folders and hidden directories.
+@dataclass(frozen=True)
+class Scope:
+    """Which events count: at or under a root, outside the tool's own folders.
+
+    With ``excludes`` the ingest rules hold for created paths too.
+    """
+
+    roots: tuple[str, ...] = ()
+    own_folders: tuple[str, ...] = ()
+    excludes: Excludes | None = None
+
+
+EVERYWHERE = Scope()
+
+
+def in_scope(steps: DataFrame, scope: Scope = EVERYWHERE) -> DataFrame:
+    """Steps within the scope and outside hidden directories.
 
     The steps are those of :func:`split_moves`: both halves of a move are tested.
     """
     path = F.col("path")
     creates_dir = (F.col("kind") == "create") & F.coalesce(F.col("is_dir"), F.lit(False))
     name_hidden = F.substring_index(path, "/", -1).rlike(r"^\..")
-    keep = under_any(path, roots) & ~in_hidden_directory(path) & ~(creates_dir & name_hidden)
-    if own_folders:
-        keep &= ~under_any(path, own_folders)
+    keep = under_any(path, scope.roots) & ~in_hidden_directory(path)
+    keep &= ~(creates_dir & name_hidden)
+    if scope.own_folders:
+        keep &= ~under_any(path, scope.own_folders)
+    if scope.excludes is not None:
+        steps = steps.withColumn("is_dir", F.coalesce("is_dir", F.lit(False)))
+        keep &= (F.col("kind") != "create") | scope.excludes.keep(scope.roots or ("/",))
     return steps.filter(keep)
 
 
@@ -111,8 +132,7 @@ def summarise(steps: DataFrame) -> DataFrame:
 def apply_changes(
     entries: DataFrame,
     events: DataFrame,
-    roots=(),
-    own_folders=(),
+    scope: Scope = EVERYWHERE,
     broadcast: bool | None = None,
 ) -> DataFrame:
     """The catalogue after the events.
@@ -121,7 +141,7 @@ def apply_changes(
     filtered without being shuffled.  A large one is merged by a full outer join
     on the unique path.
     """
-    steps = in_scope(split_moves(events), roots, own_folders)
+    steps = in_scope(split_moves(events), scope)
     summary = written(summarise(steps), "summary")
     rows, size = measure(summary, "path")
     deletes = steps.filter(F.col("kind") == "delete")
@@ -134,10 +154,7 @@ def apply_changes(
     news = summary.select("path", *[F.col(c).alias(f"_{c}") for c in ("create_ord", *payload)])
     merged_columns = [
         "path",
-        *[
-            F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
-            for c in ("create_ord", *payload)
-        ],
+        *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in ("create_ord", *payload)],
     ]
     if broadcast:
         updated = base.join(F.broadcast(news), "path", "left").select(*merged_columns)

@@ -16,6 +16,7 @@ from pathlode.functions.paths import with_parts
 from pathlode.operators.predicates import criteria
 from pathlode.operators.terms import Substring, as_terms
 from pathlode.schema import ENTRY_FIELDS
+from pathlode.session import fits_broadcast, measure, written
 
 GRAM = 3
 
@@ -121,14 +122,14 @@ def seeded_matches(entries: DataFrame, index: GramIndex, **wanted) -> DataFrame:
     return candidates.filter(criteria(**wanted)).select(*with_parts(entries).columns)
 
 
-def refresh_postings(
-    postings: DataFrame, removed: DataFrame, added: DataFrame
-) -> DataFrame:
+def refresh_postings(postings: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
     """Postings after entries were removed (a table with ``path``), added or changed.
 
     Rows are keyed by path, so nothing has to be renumbered.
     """
-    gone = removed.select("path").union(added.select("path")).distinct()
+    gone = written(removed.select("path").union(added.select("path")).distinct(), "gone")
+    if fits_broadcast(*measure(gone, "path")):
+        gone = F.broadcast(gone)  # the postings are then not shuffled
     kept = postings.join(gone, "path", "left_anti").select(*postings.columns)
     return kept.unionByName(name_grams(added))
 

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pathlode.functions.paths import (
     at_or_under,
     level_of,
-    name_of,
-    parent_of,
     prefix_at,
+    with_parts,
     without_slash,
 )
 from pathlode.session import fits_broadcast, written
@@ -34,8 +33,7 @@ def derive_directories(entries: DataFrame) -> DataFrame:
     Parents are made distinct before their ancestors are listed, so the wide
     step runs over directories and not over files.
     """
-    path = F.col("path")
-    parents = entries.select(parent_of(path, name_of(path)).alias("parent")).distinct()
+    parents = with_parts(entries).select("parent").distinct()
     above = parents.select(
         "parent", F.explode(F.sequence(F.lit(1), level_of(F.col("parent")))).alias("level")
     )

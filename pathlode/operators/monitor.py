@@ -46,8 +46,9 @@ def status_row(
         F.coalesce(F.unix_timestamp(F.max("ts")), F.lit(0)).alias("last_updated"),
     )
     count = entries.agg(F.count(F.lit(1)).alias("entry_count")).scalar()
-    return feed.select(
-        count.alias("entry_count"),
+    return feed.withColumn("entry_count", count).select(
+        "entry_count",
+        F.format_string("Indexed %d entries", "entry_count").alias("message"),
         "event_count",
         "overflow_count",
         F.lit(watch_failures).cast("bigint").alias("watch_failure_count"),

@@ -756,9 +756,9 @@ def moves_split(spark, folder):
           AND NOT regexp_matches(path, '^/u/(2|15)(/|$)')""",
 )
 def changes_scoped(spark, folder):
-    roots = [f"/u/{i}" for i in (*range(4), *range(10, 20))]
+    roots = tuple(f"/u/{i}" for i in (*range(4), *range(10, 20)))
     steps = ch.split_moves(tables.changes(spark, folder, moves=True))
-    scoped = ch.in_scope(steps, roots, own_folders=["/u/2", "/u/15"])
+    scoped = ch.in_scope(steps, ch.Scope(roots, own_folders=("/u/2", "/u/15")))
     return scoped.select("ord", "kind", "path")
 
 
@@ -767,7 +767,9 @@ def changes_scoped(spark, folder):
 
 @register(
     "status_row",
-    """SELECT (SELECT count(*) FROM user_entries) AS entry_count, count(*) AS event_count,
+    """SELECT (SELECT count(*) FROM user_entries) AS entry_count,
+              'Indexed ' || (SELECT count(*) FROM user_entries) || ' entries' AS message,
+              count(*) AS event_count,
               count(*) FILTER (kind = 'overflow') AS overflow_count,
               0::BIGINT AS watch_failure_count,
               count(*) FILTER (kind = 'overflow') = 0 AS healthy,

@@ -6,6 +6,7 @@ readers of an older version are never disturbed.
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pathlode.schema import STORED
 
 LOG = (
     "version bigint, folder string, entries bigint, bytes bigint, "
-    "through_batch bigint, reason string, saved timestamp"
+    "through_batch bigint, reason string, millis bigint, saved timestamp"
 )
 
 
@@ -44,25 +45,27 @@ def latest_version(spark: SparkSession, folder: str) -> Row | None:
 
 
 def save_catalogue(
-    entries: DataFrame, folder: str, through_batch: int = -1, reason: str = "save"
+    entries: DataFrame,
+    folder: str,
+    through_batch: int = -1,
+    reason: str = "save",
+    cluster_by: str = "path",
 ) -> SaveStats:
-    """Write a new version, sorted by path, with its derived columns.
+    """Write a new version with its derived columns, in ranges of ``cluster_by``.
 
-    The sort by path gives path lookups and subtree searches Parquet statistics
-    to prune by; ``name_lc`` and ``extension`` are stored so that name and
-    extension conditions are pushed down.
+    Parquet statistics then prune lookups and subtree searches by path (or, in a
+    copy clustered by ``name_lc`` or ``extension``, searches by prefix or by
+    extension).  The path is part of the range key, so an extension that holds
+    a large part of all files is spread over many of them.
     """
+    started = time.monotonic()
     spark = entries.sparkSession
     last = latest_version(spark, folder)
     version = last["version"] + 1 if last else 0
     data = f"{folder}/data/v{version:08d}-{uuid.uuid4().hex}"
+    keys = list(dict.fromkeys([cluster_by, "path"]))
     stored = with_parts(entries).select(*STORED.fieldNames())
-    (
-        stored.repartitionByRange("path")
-        .sortWithinPartitions("path")
-        .write.option("parquet.bloom.filter.enabled#path", "true")
-        .parquet(data)
-    )
+    stored.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(data)
     count = spark.read.schema(STORED).parquet(data).count()
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(data)
     size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -73,12 +76,17 @@ def save_catalogue(
         F.lit(size).cast("bigint").alias("bytes"),
         F.lit(through_batch).cast("bigint").alias("through_batch"),
         F.lit(reason).alias("reason"),
+        F.lit(round(1000 * (time.monotonic() - started))).cast("bigint").alias("millis"),
         F.current_timestamp().alias("saved"),
     )
     row.write.mode("append").parquet(f"{folder}/versions")
     return SaveStats(version, count, size)
 
 
+def read_version(spark: SparkSession, row: Row) -> DataFrame:
+    return spark.read.schema(STORED).parquet(row["folder"])
+
+
 def load_catalogue(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """The latest (or a given) version; a folder without one is an error."""
     if version is None:
@@ -87,4 +95,4 @@ def load_catalogue(spark: SparkSession, folder: str, version: int | None = None)
         row = versions(spark, folder).filter(F.col("version") == version).first()
     if row is None:
         raise FileNotFoundError(f"no saved catalogue in {folder}")
-    return spark.read.schema(STORED).parquet(row["folder"])
+    return read_version(spark, row)

@@ -1,0 +1,79 @@
+"""Listing directory trees on a file system that all executors mount.
+
+One Spark job per directory level: the directories of a level are spread over
+the cluster, each task lists its share, and the rules prune what is not entered.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathlode.operators.excludes import Excludes, apply_excludes
+from pathlode.schema import ENTRY, ENTRY_FIELDS
+from pathlode.session import new_folder
+from pathlode.sources.inventory import one_per_path
+
+BATCH = 10_000
+
+
+def _children(folder: str, metadata: bool) -> Iterator[tuple]:
+    """Entries directly in a folder; links and what cannot be read are left out."""
+    try:
+        with os.scandir(folder) as listed:
+            for child in listed:
+                try:
+                    if child.is_symlink():
+                        continue
+                    child.path.encode()
+                    stat = child.stat(follow_symlinks=False) if metadata else None
+                    is_dir = child.is_dir(follow_symlinks=False)
+                except (OSError, UnicodeEncodeError):
+                    continue
+                if stat is None:
+                    yield child.path, is_dir, 0, 0, 0, 0
+                else:
+                    born = int(getattr(stat, "st_birthtime", 0))
+                    times = (int(stat.st_mtime), born, int(stat.st_atime))
+                    yield child.path, is_dir, stat.st_size, *(max(t, 0) for t in times)
+    except OSError:
+        return
+
+
+def _list_folders(metadata: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for batch in batches:
+            for folder in batch["path"]:
+                for row in _children(folder, metadata):
+                    rows.append(row)
+                    if len(rows) == BATCH:
+                        yield pd.DataFrame(rows, columns=ENTRY_FIELDS)
+                        rows = []
+        yield pd.DataFrame(rows, columns=ENTRY_FIELDS)
+
+    return run
+
+
+def crawl(
+    spark: SparkSession,
+    roots: list[str],
+    excludes: Excludes = Excludes(),
+    metadata: bool = True,
+) -> DataFrame:
+    """Every file and directory below the roots, under the rules; the roots are not listed."""
+    roots = tuple(r.rstrip("/") or "/" for r in roots)
+    target = new_folder(spark, "crawl")
+    folders = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "path string")
+    levels: list[str] = []
+    while not levels or not folders.isEmpty():
+        listed = folders.repartition("path").mapInPandas(_list_folders(metadata), ENTRY)
+        levels.append(f"{target}/{len(levels)}")
+        apply_excludes(listed, excludes, roots).write.parquet(levels[-1])
+        level = spark.read.schema(ENTRY).parquet(levels[-1])
+        folders = level.filter(F.col("is_dir")).select("path")
+    return one_per_path(spark.read.schema(ENTRY).parquet(*levels))

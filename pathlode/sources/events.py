@@ -1,6 +1,7 @@
 """Change events from files, as a batch or as a stream."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathlode.operators.changes import as_changes
 from pathlode.schema import CHANGE
@@ -18,3 +19,9 @@ def stream_changes(
     """New files in a folder as a stream of events."""
     reader = spark.readStream.format(format).schema(CHANGE).options(**options)
     return as_changes(reader.load(location))
+
+
+def changes_from_json(rows: DataFrame, column: str = "value") -> DataFrame:
+    """Events from JSON texts, as message queues deliver them; other texts are dropped."""
+    event = F.from_json(F.col(column).cast("string"), CHANGE).alias("event")
+    return rows.select(event).select("event.*").filter(F.col("kind").isNotNull())

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pathlode.operators.changes import apply_changes, as_changes
+from pathlode.operators.changes import EVERYWHERE, Scope, apply_changes, as_changes
 from pathlode.operators.monitor import status_row
 from pathlode.plans.search import search
 from pathlode.schema import CHANGE
 from pathlode.sources.catalogue import (
     SaveStats,
     latest_version,
-    load_catalogue,
+    read_version,
     save_catalogue,
 )
 
@@ -42,31 +42,42 @@ def start_catalogue(entries: DataFrame, folder: str) -> SaveStats:
     return stats
 
 
-def logged_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events that the latest version does not hold yet."""
-    through = latest_version(spark, folder)["through_batch"]
+def logged_events(spark: SparkSession, folder: str, through_batch: int) -> DataFrame:
+    """Events of the batches after ``through_batch``."""
     log = spark.read.schema(CHANGE).option("basePath", f"{folder}/log").parquet(f"{folder}/log")
-    return log.filter(F.col("batch") > through).drop("batch")
+    return log.filter(F.col("batch") > through_batch).drop("batch")
 
 
-def current_catalogue(spark: SparkSession, folder: str, roots=(), own_folders=()) -> DataFrame:
-    """The latest version with the logged events folded in."""
-    saved, events = load_catalogue(spark, folder), logged_events(spark, folder)
-    if events.isEmpty():
-        return saved
-    return apply_changes(saved, events, roots, own_folders)
+def current_catalogue(
+    spark: SparkSession, folder: str, scope: Scope = EVERYWHERE
+) -> DataFrame:
+    """The latest version with the events logged since folded in."""
+    version = latest_version(spark, folder)
+    saved = read_version(spark, version)
+    events = logged_events(spark, folder, version["through_batch"])
+    return saved if events.isEmpty() else apply_changes(saved, events, scope)
 
 
 def compact(
-    spark: SparkSession, folder: str, through_batch: int, roots=(), own_folders=()
+    spark: SparkSession, folder: str, through_batch: int, scope: Scope = EVERYWHERE
 ) -> SaveStats:
     """Fold the log into a new version."""
-    entries = current_catalogue(spark, folder, roots, own_folders)
+    entries = current_catalogue(spark, folder, scope)
     return save_catalogue(entries, folder, through_batch, reason="compact")
 
 
-def current_status(spark: SparkSession, folder: str) -> DataFrame:
-    return status_row(current_catalogue(spark, folder), logged_events(spark, folder))
+def current_status(spark: SparkSession, folder: str, scope: Scope = EVERYWHERE) -> DataFrame:
+    """The status row of the catalogue and its whole log, with the last build time.
+
+    Healthy means that the last batch held no overflow.
+    """
+    log = spark.read.schema(CHANGE).parquet(f"{folder}/log")
+    last_batch = log.select(F.max("batch").alias("b")).scalar()
+    lost = log.filter((F.col("kind") == "overflow") & (F.col("batch") == last_batch))
+    healthy = lost.agg((F.count(F.lit(1)) == 0).alias("h")).scalar()
+    row = status_row(current_catalogue(spark, folder, scope), log.drop("batch"))
+    build_millis = latest_version(spark, folder)["millis"]
+    return row.withColumns({"healthy": healthy, "build_millis": F.lit(build_millis)})
 
 
 def fold_stream(
@@ -74,8 +85,7 @@ def fold_stream(
     folder: str,
     checkpoint: str,
     *,
-    roots=(),
-    own_folders=(),
+    scope: Scope = EVERYWHERE,
     relist: Callable[[], DataFrame] | None = None,
     searches: dict[str, dict] | None = None,
     compact_every: int = 100,
@@ -100,9 +110,9 @@ def fold_stream(
                     raise RuntimeError("events were lost, and there is no listing to rebuild from")
                 save_catalogue(relist(), folder, batch_id, reason="overflow")
             elif (batch_id + 1) % compact_every == 0:
-                compact(spark, folder, batch_id, roots, own_folders)
+                compact(spark, folder, batch_id, scope)
         if searches:
-            entries = current_catalogue(spark, folder, roots, own_folders)
+            entries = current_catalogue(spark, folder, scope)
             for name, wanted in searches.items():
                 target = f"{folder}/searches/{name}/batch={batch_id}"
                 search(entries, **wanted).page.write.mode("overwrite").parquet(target)

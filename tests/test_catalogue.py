@@ -21,6 +21,7 @@ from pathlode.operators.reconcile import reconcile_diff, stale, upsert
 from pathlode.operators.sorting import flag_sort, page, sort_order, with_position
 from pathlode.operators.totals import extension_counts
 from pathlode.schema import ENTRY
+from pathlode.sources.crawl import crawl
 from pathlode.sources.inventory import as_entries, one_per_path, union_roots, with_directories
 
 
@@ -279,3 +280,38 @@ def test_export(spark, tmp_path):
 
 def test_schema_of_a_catalogue(entries):
     assert entries("/a").select(*ENTRY.fieldNames()).schema == ENTRY
+
+
+def test_crawl(spark, tmp_path):
+    root = tmp_path / "tree"
+    for folder in ("docs/sub", ".hidden", "node_modules"):
+        (root / folder).mkdir(parents=True)
+    files = {
+        "docs/foo.txt": "hello",
+        "docs/bar.rs": "fn main() {}",
+        "docs/sub/baz.md": "# x",
+        "music.mp3": "",
+        ".secret.txt": "x",
+        ".hidden/secret.txt": "x",
+        "node_modules/pkg.js": "x",
+    }
+    for name, text in files.items():
+        (root / name).write_text(text)
+    (root / "link.txt").symlink_to(root / "music.mp3")
+    (root / "linked").symlink_to(root / "docs")
+
+    found = crawl(spark, [str(root), str(root / "docs")])
+    inside = {r["path"].removeprefix(f"{root}/"): r for r in found.collect()}
+    dirs = {"docs", "docs/sub", "node_modules"}
+    assert set(inside) == (set(files) | dirs) - {".hidden/secret.txt"}
+    assert {p for p, r in inside.items() if r["is_dir"]} == dirs
+    assert inside["docs/foo.txt"]["size"] == 5 and inside["docs/foo.txt"]["modified"] > 0
+
+    rules = Excludes(skip_hidden=True, folders=("**/node_modules",), patterns=("*.md",))
+    pruned = crawl(spark, [f"{root}/"], rules, metadata=False)
+    assert paths(pruned) == [
+        f"{root}/{p}" for p in ("docs", "docs/bar.rs", "docs/foo.txt", "docs/sub", "music.mp3")
+    ]
+    assert pruned.filter("size + modified + accessed <> 0").isEmpty()
+    assert crawl(spark, [str(tmp_path / "missing")]).isEmpty()
+    assert names(search(build_catalogue(found, (str(root),)), "foo").page) == ["foo.txt"]

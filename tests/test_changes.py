@@ -5,6 +5,7 @@ from conftest import paths
 from pyspark.sql import functions as F
 
 from pathlode import (
+    Excludes,
     apply_changes,
     current_catalogue,
     fold_stream,
@@ -16,6 +17,7 @@ from pathlode.operators import changes as ch
 from pathlode.operators.monitor import change_log_tail, changes_per_day, status_row
 from pathlode.schema import CHANGE, ENTRY_FIELDS
 from pathlode.sources.catalogue import versions
+from pathlode.sources.events import changes_from_json
 from pathlode.streaming.fold import current_status, logged_events
 
 
@@ -112,7 +114,7 @@ def test_scope(spark, entries):
         event(9, "move", "/r/c", "/rr/c"),
     ]
     steps = ch.split_moves(spark.createDataFrame(feed, CHANGE))
-    kept = ch.in_scope(steps, ["/r/"], ["/r/state"]).orderBy("ord").collect()
+    kept = ch.in_scope(steps, ch.Scope(("/r/",), ("/r/state",))).orderBy("ord").collect()
     assert [(r["ord"], r["kind"], r["path"]) for r in kept] == [
         (2, "create", "/r/a"),
         (8, "create", "/r/.file"),
@@ -122,14 +124,29 @@ def test_scope(spark, entries):
     ]
 
 
+def test_rules_on_the_feed(spark, entries):
+    feed = [event(1, "create", "/r/a.tmp"), event(2, "create", "/r/a"), event(3, "delete", "/r/b.tmp")]
+    events = spark.createDataFrame(feed, CHANGE)
+    base = entries("/r/b.tmp")
+    assert paths(apply_changes(base, events)) == ["/r/a", "/r/a.tmp"]
+    strict = ch.Scope(("/r",), excludes=Excludes(patterns=("*.tmp",)))
+    assert paths(apply_changes(base, events, strict)) == ["/r/a"]
+
+
+def test_events_from_json(spark):
+    texts = ['{"seq": 1, "kind": "create", "path": "/x", "size": 5}', "no json", "{}"]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string")
+    got = changes_from_json(rows).collect()
+    assert [(r["seq"], r["kind"], r["path"], r["size"]) for r in got] == [(1, "create", "/x", 5)]
+
+
 def test_latest_by_path(spark):
     rows = spark.createDataFrame(
         [("/v", 1, 10), ("/v", 2, 20), ("/w", 1, 5)], "path string, at int, size int"
     )
-    assert {r["path"]: r["size"] for r in ch.latest_by_path(rows, F.col("at")).collect()} == {
-        "/v": 20,
-        "/w": 5,
-    }
+    for order in ([F.col("at")], [F.col("at"), F.col("size")]):
+        last = ch.latest_by_path(rows, *order).collect()
+        assert {r["path"]: (r["at"], r["size"]) for r in last} == {"/v": (2, 20), "/w": (1, 5)}
 
 
 def run_stream(spark, tmp_path, base, batches, **options):
@@ -185,8 +202,10 @@ def test_overflow_rebuilds_from_a_listing(spark, entries, tmp_path):
     assert paths(current_catalogue(spark, folder)) == ["/fresh/one", "/fresh/two", "/y"]
     reasons = [r["reason"] for r in versions(spark, folder).orderBy("version").collect()]
     assert reasons == ["start", "overflow"]
-    assert logged_events(spark, folder).count() == 1
-    assert current_status(spark, folder).first()["entry_count"] == 3
+    assert logged_events(spark, folder, through_batch=1).count() == 1
+    status = current_status(spark, folder).first()
+    assert (status["entry_count"], status["overflow_count"], status["healthy"]) == (3, 1, True)
+    assert status["message"] == "Indexed 3 entries" and status["build_millis"] > 0
 
 
 def test_a_repeated_batch_changes_nothing(spark, entries, tmp_path):
