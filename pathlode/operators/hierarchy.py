@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pathlode.functions.paths import (
     at_or_under,
     level_of,
+    name_of,
+    parent_of,
     prefix_at,
     with_parts,
     without_slash,
@@ -30,18 +32,17 @@ MAX_LEVELS = 24
 def derive_directories(entries: DataFrame) -> DataFrame:
     """Every directory above some entry, each once.
 
-    Parents are made distinct before their ancestors are listed, so the wide
-    step runs over directories and not over files.
+    Files shrink to their distinct parents first, and these to their distinct
+    parents again before ancestors are listed, so the widening step runs over a
+    small part of the directories.
     """
-    parents = with_parts(entries).select("parent").distinct()
-    above = parents.select(
-        "parent", F.explode(F.sequence(F.lit(1), level_of(F.col("parent")))).alias("level")
-    )
-    return (
-        above.select(prefix_at(F.col("parent"), F.col("level")).alias("path"))
-        .filter(F.col("path") != "")
-        .distinct()
-    )
+    path = F.col("path")
+    parents = with_parts(entries).filter(F.col("parent") != "").select(F.col("parent").alias("path"))
+    parents = parents.distinct()
+    tops = parents.select(parent_of(path, name_of(path)).alias("top")).distinct()
+    levels = F.explode(F.sequence(F.lit(1), level_of(F.col("top")))).alias("level")
+    above = tops.select("top", levels).select(prefix_at(F.col("top"), F.col("level")).alias("path"))
+    return parents.union(above.filter(path != "")).distinct()
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlode.functions.marks import mark_path
+from pathlode.functions.marks import mark_path, render_ansi
 from pathlode.operators import grams as grams_
 from pathlode.operators.predicates import matches
 from pathlode.operators.sorting import page as page_of
@@ -74,6 +74,11 @@ def search(
     return SearchResult(matched, page)
 
 
+def colored(page: DataFrame, color: int = 2) -> DataFrame:
+    """A page whose marked paths show in terminal colours."""
+    return page.withColumn("path", render_ansi(F.col("path"), color))
+
+
 def desktop_rows(page: DataFrame, size_indexed: bool = True) -> DataFrame:
     """The narrower rows of the desktop list."""
     return page.select(*DESKTOP_COLUMNS, F.lit(size_indexed).alias("size_indexed"))

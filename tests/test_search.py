@@ -4,7 +4,7 @@ import pytest
 from conftest import names
 from pyspark.sql import functions as F
 
-from pathlode import AnyOf, Glob, Not, Regex, Substring, search
+from pathlode import AnyOf, Glob, Not, Regex, Substring, colored, search
 from pathlode.functions.globs import glob_suffix, glob_whole
 from pathlode.operators.predicates import lookup, matches, name_starts_with
 from pathlode.operators.terms import from_text, needles_of
@@ -143,6 +143,8 @@ def test_highlighted_search(entries):
         "/tmp/*foo*_*bar*.txt",
     ]
     assert [r["path"] for r in search(data, highlight=True).page.collect()][1] == "/tmp/foo_bar.txt"
+    shown = [r["path"] for r in colored(found.page).collect()]
+    assert shown[0] == "/tmp/foo/\x1b[32mBARfoo\x1b[0m.txt"
 
 
 def test_conditions_are_pushed_down_to_a_stored_catalogue(spark, five, tmp_path):
