@@ -38,8 +38,15 @@ POSIX = {
 
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _LOOK = ("(?=", "(?!", "(?<=", "(?<!", "(?>")
+_FLAGS = "imsx-"
 _TOKEN = re.compile(
-    r"(?P<escape>\\[pPx]\{[^}]*\}|\\.)|\[:(?P<posix>\w+):\]|\(\?P?<(?P<group>[A-Za-z_]\w*)>|(?P<char>.)", re.S
+    r"""(?P<escape>\\[pPx]\{[^}]*\}|\\.)
+      | \[:(?P<posix>\w+):\]
+      | \(\?P?<(?P<group>[A-Za-z_]\w*)>
+      | \(\?(?P<flags>[A-Za-z-]+)[:)]
+      | (?P<count>\{\d+(?:,\d*)?\})
+      | (?P<char>.)""",
+    re.S | re.X,
 )
 
 
@@ -73,26 +80,36 @@ def spark_regex(pattern: str) -> str:
     check_limits(pattern)
     if any(look in pattern for look in _LOOK):
         raise PatternError("invalid regex: look-around is not supported")
-    multi_line = re.search(r"\(\?[a-zU]*m", pattern) is not None
-    out, in_class, previous = [], 0, ""
+    multi_line = re.search(r"\(\?[a-z]*m", pattern) is not None
+    out, in_class, previous, repeats = [], 0, "", ""
     for token in _TOKEN.finditer(pattern):
-        text = token.group()
+        text, repeated, repeats = token.group(), repeats, ""
         if token["escape"]:
             letter = text[1]
             if (letter.isascii() and letter.isalnum()) and letter not in ESCAPES:
                 raise PatternError(f"invalid regex: {text} is not supported")
-            out.append({r"\v": r"\x0B", r"\z": r"\z"}.get(text, text))
-        elif token["posix"] and in_class:
-            if token["posix"] not in POSIX:
-                raise PatternError(f"invalid regex: unknown class {text}")
-            out.append(POSIX[token["posix"]])
-        elif token["group"] and not in_class:
-            out.append("(")
+            out.append(r"\x0B" if text == r"\v" else text)
         elif in_class or text == "[":
+            if token["posix"]:
+                if token["posix"] not in POSIX:
+                    raise PatternError(f"invalid regex: unknown class {text}")
+                text = POSIX[token["posix"]]
+            elif text == previous and text in "-~":
+                raise PatternError(f"invalid regex: {text * 2} in a class is not supported")
             in_class += {"[": 1, "]": -1}.get(text, 0)
             out.append(text)
-        elif text == "+" and previous in ("*", "+", "?", "}"):
-            raise PatternError("invalid regex: a repetition may not be repeated")
+        elif token["group"]:
+            out.append("(")
+        elif token["flags"] and set(token["flags"]) - set(_FLAGS):
+            raise PatternError(f"invalid regex: {text} is not supported")
+        elif text in "*+?" or token["count"]:
+            # A question mark after a repetition makes it lazy; nothing else may follow one.
+            if repeated == "lazy" or (repeated and text != "?"):
+                raise PatternError("invalid regex: a repetition may not be repeated")
+            repeats = "lazy" if repeated else "greedy"
+            out.append(text)
+        elif text == "{":
+            raise PatternError("invalid regex: a count is not a number")
         elif text == "$" and not multi_line:
             out.append(r"\z")
         else:
@@ -101,7 +118,8 @@ def spark_regex(pattern: str) -> str:
     checked = "".join(out)
     if _syntax is not None:
         try:
-            _syntax.compile(checked.replace(r"\z", r"\Z"))
+            known = re.sub(r"\\x\{[0-9A-Fa-f]+\}", "a", checked.replace(r"\z", r"\Z"))
+            _syntax.compile(known)
         except _syntax.error as e:
             raise PatternError(f"invalid regex: {e}") from e
     # U: Unicode classes; d: only a line feed ends a line.

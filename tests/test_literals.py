@@ -97,6 +97,13 @@ def test_shown_sizes(spark):
         r"\Qa\E",
         "*a",
         "a*+",
+        "a{2}{3}",
+        "a*??",
+        "a{b}",
+        "[a--b]",
+        "[a~~b]",
+        "(?R)a",
+        "[[:nope:]]",
     ],
 )
 def test_refused_patterns(pattern):
@@ -120,6 +127,13 @@ def test_refused_patterns(pattern):
         (r"\w", "ß", True),
         (r"\d", "٣", True),
         (r"a{2,3}?b", "aab", True),
+        (r"^a??b+?$", "ab", True),
+        (r"(?i)ABC", "xabc", True),
+        (r"(?i:a)B", "AB", True),
+        (r"[+*{2}]", "{", True),
+        (r"[a-c&&[b]]", "a", False),
+        (r"\x{41}\v", "A\x0b", True),
+        (r"[^[:space:]]", "\t ", False),
         (r"x\z", "x", True),
         (r"\p{L}+\.txt", "straße.txt", True),
     ],
