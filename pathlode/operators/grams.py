@@ -58,13 +58,15 @@ class GramIndex:
     counts: DataFrame  # gram, n
 
 
-def save_grams(postings: DataFrame, folder: str) -> None:
-    """Write postings clustered by gram.
+def save_grams(postings: DataFrame, folder: str, partitions: int | None = None) -> None:
+    """Write postings clustered by gram, in ``partitions`` ranges if given.
 
     The range key includes the path, so a gram that holds a large part of all
     rows is spread over many files.
     """
-    clustered = postings.repartitionByRange("gram", "path").sortWithinPartitions("gram", "path")
+    keys = ["gram", "path"]
+    ranges = [partitions, *keys] if partitions else keys
+    clustered = postings.repartitionByRange(*ranges).sortWithinPartitions(*keys)
     clustered.write.parquet(f"{folder}/postings")
     stored = postings.sparkSession.read.schema(postings.schema).parquet(f"{folder}/postings")
     counts = gram_counts(stored).orderBy("gram")

@@ -37,8 +37,8 @@ def derive_directories(entries: DataFrame) -> DataFrame:
     small part of the directories.
     """
     path = F.col("path")
-    parents = with_parts(entries).filter(F.col("parent") != "").select(F.col("parent").alias("path"))
-    parents = parents.distinct()
+    below_top = with_parts(entries).filter(F.col("parent") != "")
+    parents = below_top.select(F.col("parent").alias("path")).distinct()
     tops = parents.select(parent_of(path, name_of(path)).alias("top")).distinct()
     levels = F.explode(F.sequence(F.lit(1), level_of(F.col("top")))).alias("level")
     above = tops.select("top", levels).select(prefix_at(F.col("top"), F.col("level")).alias("path"))

@@ -137,7 +137,8 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 # Components of a path, the empty one before the leading slash left out.
 _PIECES = "string_split(path, '/')[2:]"
 _HIDDEN_DIR = (
-    "(len(list_filter(string_split(path, '/')[1:-2], lambda x: length(x) > 1 AND left(x, 1) = '.')) > 0"
+    "(len(list_filter(string_split(path, '/')[1:-2], "
+    "lambda x: length(x) > 1 AND left(x, 1) = '.')) > 0"
     " OR (is_dir AND length(name) > 1 AND left(name, 1) = '.'))"
 )
 
@@ -303,12 +304,20 @@ _register_search(
     "t_substr_case", "doc_entries", "contains(name, '.MKV')", [Substring(".MKV")], match_case=True
 )
 _register_search(
-    "t_substr_path", "part_entries", "contains(lower(path), 'brand#12/s')", "BRAND#12/S", match_path=True
+    "t_substr_path",
+    "part_entries",
+    "contains(lower(path), 'brand#12/s')",
+    "BRAND#12/S",
+    match_path=True,
 )
 _register_search("t_substr_empty", "part_entries", "true", [Substring("")])
 _WORDS = "regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}}_]+')"
 _register_search(
-    "t_word", "part_entries", f"list_contains({_WORDS.format('name_lc')}, 'small')", "Small", whole_word=True
+    "t_word",
+    "part_entries",
+    f"list_contains({_WORDS.format('name_lc')}, 'small')",
+    "Small",
+    whole_word=True,
 )
 _register_search(
     "t_word_path",
@@ -319,7 +328,9 @@ _register_search(
     match_path=True,
 )
 _register_search("t_word_never", "part_entries", "false", "small ring", whole_word=True)
-_register_search("t_glob", "part_entries", "name_lc LIKE '%r_ng\\_%9.small' ESCAPE '\\'", "R?ng_*9.SMALL")
+_register_search(
+    "t_glob", "part_entries", "name_lc LIKE '%r_ng\\_%9.small' ESCAPE '\\'", "R?ng_*9.SMALL"
+)
 _register_search("t_glob_open_end", "part_entries", "contains(name_lc, 'ring_1')", "ring_1*")
 _register_search("t_glob_quirk", "part_entries", "false", "*?mall")
 _register_search(
@@ -330,7 +341,12 @@ _register_search(
     whole_filename=True,
 )
 _register_search(
-    "t_glob_whole_case", "doc_entries", "name LIKE '%.MKV'", "*.MKV", whole_filename=True, match_case=True
+    "t_glob_whole_case",
+    "doc_entries",
+    "name LIKE '%.MKV'",
+    "*.MKV",
+    whole_filename=True,
+    match_case=True,
 )
 _register_search(
     "t_glob_word",
@@ -356,7 +372,8 @@ _register_search(
 _register_search(
     "t_regex_word",
     "part_entries",
-    f"len(list_filter({_WORDS.format('name_lc')}, lambda w: regexp_full_match(w, 'ring_[0-9]|widget_[0-9]+5'))) > 0",
+    f"len(list_filter({_WORDS.format('name_lc')}, "
+    "lambda w: regexp_full_match(w, 'ring_[0-9]|widget_[0-9]+5'))) > 0",
     [Regex(r"ring_\d|widget_\d+5")],
     whole_word=True,
 )
@@ -420,7 +437,8 @@ def cascade_delete(spark, folder):
 
 
 @register(
-    "total_count", "SELECT count(*) AS total_count FROM line_entries_p WHERE contains(name_lc, '.zip')"
+    "total_count",
+    "SELECT count(*) AS total_count FROM line_entries_p WHERE contains(name_lc, '.zip')",
 )
 def total_count(spark, folder):
     return search(tables.line_entries(spark, folder), ".zip").totals.select("total_count")
@@ -480,7 +498,8 @@ for _key in ("name", "path", "size", "modified", "created", "accessed", "ext"):
     "ORDER BY size DESC, path LIMIT 40 OFFSET 25",
 )
 def page_offset_limit(spark, folder):
-    found = search(tables.part_entries(spark, folder), "ring", sort="size-desc", offset=25, limit=40)
+    entries = tables.part_entries(spark, folder)
+    found = search(entries, "ring", sort="size-desc", offset=25, limit=40)
     return found.page.select("path", "size")
 
 
@@ -738,12 +757,15 @@ def stream_apply(spark, folder):
     target = new_folder(spark, "stream")
     fold.start_catalogue(tables.user_entries(spark, folder), target)
     events = tables.change_columns(_event_stream(spark, folder))
-    query = fold.fold_stream(events, target, f"{target}/checkpoint", compact_every=1)
+    query = fold.fold_stream(events, target, compact_every=1)
     query.awaitTermination()
     return fold.current_catalogue(spark, target).select(*ENTRY_FIELDS)
 
 
-@register("moves_split", f"SELECT ord, kind, path, is_dir, size, modified FROM ({_STEPS.format(events='feed')})")
+@register(
+    "moves_split",
+    f"SELECT ord, kind, path, is_dir, size, modified FROM ({_STEPS.format(events='feed')})",
+)
 def moves_split(spark, folder):
     steps = ch.split_moves(tables.changes(spark, folder, moves=True))
     return steps.select("ord", "kind", "path", "is_dir", "size", "modified")
@@ -804,8 +826,8 @@ def changes_per_day(spark, folder):
 
 @register(
     "name_words",
-    f"SELECT path, array_to_string(list_filter({_WORDS.format('name_lc')}, lambda w: w <> ''), ' ') "
-    "AS words FROM part_entries_p",
+    f"SELECT path, array_to_string(list_filter({_WORDS.format('name_lc')}, "
+    "lambda w: w <> ''), ' ') AS words FROM part_entries_p",
 )
 def name_words(spark, folder):
     parts = with_parts(tables.part_entries(spark, folder))
@@ -869,8 +891,10 @@ _SIZES_SQL = """
 
 def _sizes(spark, folder):
     factor = F.lit(0).cast("bigint")
-    for line, value in enumerate((1, 64, 2816, 300_007, 123_456_789, 100_000_000_000), start=1):
-        factor = F.when(F.col("l_linenumber") == line, F.lit(value).cast("bigint")).otherwise(factor)
+    factors = (1, 64, 2816, 300_007, 123_456_789, 100_000_000_000)
+    for line, value in enumerate(factors, start=1):
+        this = F.lit(value).cast("bigint")
+        factor = F.when(F.col("l_linenumber") == line, this).otherwise(factor)
     size = F.call_function("div", F.floor("l_extendedprice").cast("bigint") * factor, F.lit(7))
     return tables.table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", size.alias("size")
@@ -879,8 +903,9 @@ def _sizes(spark, folder):
 
 def _units_sql(whole: str, number: str) -> str:
     cases = " ".join(
-        f"WHEN size < 1024::HUGEINT ** {i + 1} THEN {number.format(unit=f'1024.0 ** {i}')} || ' {u}'"
-        for i, u in enumerate(("KB", "MB", "GB", "TB"), start=1)
+        f"WHEN size < 1024::HUGEINT ** {i + 1} "
+        f"THEN {number.format(unit=f'1024.0 ** {i}')} || ' {unit}'"
+        for i, unit in enumerate(("KB", "MB", "GB", "TB"), start=1)
     )
     last = number.format(unit="1024.0 ** 5")
     return f"CASE WHEN size < 1024 THEN {whole} {cases} ELSE {last} || ' PB' END"

@@ -50,13 +50,16 @@ def save_catalogue(
     through_batch: int = -1,
     reason: str = "save",
     cluster_by: str = "path",
+    partitions: int | None = None,
 ) -> SaveStats:
     """Write a new version with its derived columns, in ranges of ``cluster_by``.
 
     Parquet statistics then prune lookups and subtree searches by path (or, in a
     copy clustered by ``name_lc`` or ``extension``, searches by prefix or by
     extension).  The path is part of the range key, so an extension that holds
-    a large part of all files is spread over many of them.
+    a large part of all files is spread over many of them.  ``partitions`` sets
+    the number of ranges where ``spark.sql.shuffle.partitions`` is too few for
+    the data (a range is one task and one file; aim at some hundred megabytes).
     """
     started = time.monotonic()
     spark = entries.sparkSession
@@ -65,7 +68,8 @@ def save_catalogue(
     data = f"{folder}/data/v{version:08d}-{uuid.uuid4().hex}"
     keys = list(dict.fromkeys([cluster_by, "path"]))
     stored = with_parts(entries).select(*STORED.fieldNames())
-    stored.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(data)
+    ranges = [partitions, *keys] if partitions else keys
+    stored.repartitionByRange(*ranges).sortWithinPartitions(*keys).write.parquet(data)
     count = spark.read.schema(STORED).parquet(data).count()
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(data)
     size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

@@ -69,9 +69,11 @@ def crawl(
     roots = tuple(r.rstrip("/") or "/" for r in roots)
     target = new_folder(spark, "crawl")
     folders = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "path string")
+    # An explicit number: few bytes of paths are much work, so they must not be coalesced.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels: list[str] = []
     while not levels or not folders.isEmpty():
-        listed = folders.repartition("path").mapInPandas(_list_folders(metadata), ENTRY)
+        listed = folders.repartition(tasks, "path").mapInPandas(_list_folders(metadata), ENTRY)
         levels.append(f"{target}/{len(levels)}")
         apply_excludes(listed, excludes, roots).write.parquet(levels[-1])
         level = spark.read.schema(ENTRY).parquet(levels[-1])

@@ -83,7 +83,6 @@ def current_status(spark: SparkSession, folder: str, scope: Scope = EVERYWHERE)
 def fold_stream(
     events: DataFrame,
     folder: str,
-    checkpoint: str,
     *,
     scope: Scope = EVERYWHERE,
     relist: Callable[[], DataFrame] | None = None,
@@ -91,7 +90,7 @@ def fold_stream(
     compact_every: int = 100,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Run the stream into the catalogue in ``folder``.
+    """Run the stream into the catalogue in ``folder`` (its checkpoint lies there too).
 
     A batch that holds an overflow throws the catalogue away and saves
     ``relist()`` instead.  After every batch the standing ``searches`` (keyword
@@ -117,5 +116,7 @@ def fold_stream(
                 target = f"{folder}/searches/{name}/batch={batch_id}"
                 search(entries, **wanted).page.write.mode("overwrite").parquet(target)
 
-    writer = events.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.foreachBatch(on_batch).option(
+        "checkpointLocation", f"{folder}/checkpoint"
+    )
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -69,8 +69,12 @@ def main():
             problem = compare(spark, db, folder, query, sql[name])
         except Exception as e:
             problem = f"{type(e).__name__}: {str(e)[:600]}"
-        rows = db.execute(f"SELECT count(*) FROM ({sql[name]})").fetchone()[0] if not problem else ""
-        print(f"{'ok ' if not problem else 'BAD'} {name} {time.time() - start:.1f}s {rows} {problem or ''}")
+        took = f"{time.time() - start:.1f}s"
+        if problem:
+            print("BAD", name, took, problem, flush=True)
+        else:
+            rows = db.execute(f"SELECT count(*) FROM ({sql[name]})").fetchone()[0]
+            print("ok ", name, took, rows, flush=True)
         bad += bool(problem)
     print("bad:", bad)
 

@@ -93,7 +93,8 @@ def test_excludes(entries, excludes, dropped):
 def test_system_paths_and_roots(entries):
     data = entries("/proc/", "/proc/1/", "/processor", "/sys/a", "/home/dev/x", "/srv/a", "/srv")
     rule = Excludes(skip_system_paths=True)
-    assert paths(build_catalogue(data, ("/",), rule)) == ["/home/dev/x", "/processor", "/srv", "/srv/a"]
+    visible = ["/home/dev/x", "/processor", "/srv", "/srv/a"]
+    assert paths(build_catalogue(data, ("/",), rule)) == visible
     assert paths(build_catalogue(data, ("/proc",), rule)) == ["/proc/1"]
     assert paths(build_catalogue(data, ("/srv/", "/home/dev"))) == ["/home/dev/x", "/srv/a"]
     assert paths(build_catalogue(data, ("/", "/sys"), rule)) == [
@@ -191,6 +192,8 @@ def test_save_load_refresh(spark, entries, tmp_path):
     assert paths(held) == ["/x/file.txt", "/x/grow", "/x/removed.txt"]
     assert paths(load_catalogue(spark, folder)) == ["/x/added.txt", "/x/file.txt", "/x/grow"]
     assert paths(load_catalogue(spark, folder, version=0)) == paths(held)
+    save_catalogue(held, folder, cluster_by="extension", partitions=2)
+    assert paths(load_catalogue(spark, folder)) == paths(held)
 
 
 def test_reconcile_parts(entries):
@@ -236,7 +239,8 @@ def test_sorts(entries):
 
 def test_positions_and_deep_pages(spark):
     rows = spark.range(30_000).select(
-        F.concat(F.lit("/f/"), F.col("id")).alias("path"), F.pmod(F.hash("id"), F.lit(50)).alias("size")
+        F.concat(F.lit("/f/"), F.col("id")).alias("path"),
+        F.pmod(F.hash("id"), F.lit(50)).alias("size"),
     )
     placed = with_position(rows, *sort_order("size-desc")).collect()
     expected = sorted(rows.collect(), key=lambda r: (-r["size"], r["path"]))

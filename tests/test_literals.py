@@ -71,7 +71,8 @@ def test_shown_sizes(spark):
         kb**5 * 3000: ("3000.0 PB", "3000.0 PB"),
     }
     rows = spark.createDataFrame([(n,) for n in cases], "n bigint")
-    shown = rows.select("n", format_size(F.col("n")).alias("a"), format_size_ui(F.col("n")).alias("b"))
+    n = F.col("n")
+    shown = rows.select("n", format_size(n).alias("a"), format_size_ui(n).alias("b"))
     for row in shown.collect():
         assert (row["a"], row["b"]) == cases[row["n"]]
 
