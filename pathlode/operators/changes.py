@@ -146,8 +146,7 @@ def apply_changes(
     rows, size = measure(summary, "path")
     deletes = steps.filter(F.col("kind") == "delete")
     killed = marks(deletes, F.col("path"), F.col("ord"))
-    if broadcast is None:
-        broadcast = fits_broadcast(rows, size)
+    small = fits_broadcast(rows, size) if broadcast is None else broadcast
 
     payload = ["is_dir", *META_FIELDS]
     base = entries.select(*ENTRY_FIELDS, F.lit(BASE_ORD).cast("bigint").alias("create_ord"))
@@ -156,7 +155,7 @@ def apply_changes(
         "path",
         *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in ("create_ord", *payload)],
     ]
-    if broadcast:
+    if small:
         updated = base.join(F.broadcast(news), "path", "left").select(*merged_columns)
         known = entries.select("path").join(F.broadcast(news.select("path")), "path", "left_semi")
         created = summary.filter(F.col("create_ord").isNotNull())
@@ -165,6 +164,7 @@ def apply_changes(
     else:
         merged = base.join(news, "path", "full_outer").select(*merged_columns)
         merged = merged.filter(F.col("create_ord").isNotNull())
-    alive = with_mark(merged, killed, "_kill", broadcast=None if broadcast else False)
+    paths = entries.select("path").union(summary.select("path"))
+    alive = with_mark(merged, killed, "_kill", broadcast, paths)
     alive = alive.filter(F.col("create_ord") > F.coalesce("_kill", F.lit(BASE_ORD - 1)))
     return alive.select(*ENTRY_FIELDS)

@@ -74,13 +74,18 @@ def marks(paths: DataFrame, path: Column, value: Column) -> Marks:
 
 
 def with_mark(
-    entries: DataFrame, marked: Marks, name: str, broadcast: bool | None = None
+    entries: DataFrame,
+    marked: Marks,
+    name: str,
+    broadcast: bool | None = None,
+    paths: DataFrame | None = None,
 ) -> DataFrame:
     """Add the largest value marked at the path or at any directory above it (or null).
 
     Measured-small marks are broadcast, one join per marked level, so the
     entries are neither exploded nor shuffled.  Otherwise the ancestors of the
-    paths meet the marks in a salted shuffle join.
+    paths meet the marks in a salted shuffle join; ``paths`` may give these paths
+    from a cheaper table than ``entries``.
     """
     if broadcast is None:
         broadcast = fits_broadcast(marked.rows, marked.size) and len(marked.levels) <= MAX_LEVELS
@@ -97,7 +102,7 @@ def with_mark(
         values = [F.col(f"_value{level}") for level in marked.levels]
         best = F.greatest(*values) if len(values) > 1 else values[0]
         return out.select(*entries.columns, best.alias(name))
-    return entries.join(_hits(entries, marked, name), "path", "left")
+    return entries.join(_hits(entries if paths is None else paths, marked, name), "path", "left")
 
 
 def _hits(entries: DataFrame, marked: Marks, name: str) -> DataFrame:
