@@ -53,7 +53,11 @@ def _has_component(path: Column, globs: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Excludes:
-    """The rule set.  Globs are case-sensitive and match a whole name."""
+    """The rule set.  Globs are case-sensitive and match a whole name.
+
+    ``paths`` is for short lists; for a table of folders use
+    ``operators.hierarchy.not_under``.
+    """
 
     skip_hidden: bool = False
     skip_system_paths: bool = False

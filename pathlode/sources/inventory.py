@@ -16,18 +16,17 @@ from pathlode.schema import ENTRY, ENTRY_FIELDS, META_FIELDS
 def as_entries(rows: DataFrame) -> DataFrame:
     """Any table with a ``path`` as entries: missing or null values become 0 or false.
 
-    Symbolic links and empty paths are dropped.
+    Times may be timestamps or epoch seconds.  Symbolic links and empty paths
+    are dropped.
     """
     if "is_symlink" in rows.columns:
         rows = rows.filter(~F.coalesce("is_symlink", F.lit(False)))
-    zero = {"is_dir": F.lit(False)} | {c: F.lit(0) for c in META_FIELDS}
-    columns = [
-        (F.coalesce(F.col(f.name), zero[f.name]) if f.name in rows.columns else zero[f.name])
-        .cast(f.dataType)
-        .alias(f.name)
-        for f in ENTRY.fields
-        if f.name != "path"
-    ]
+    columns = []
+    for field in ENTRY.fields[1:]:
+        value = F.lit(0).cast(field.dataType)
+        if field.name in rows.columns:
+            value = F.coalesce(F.col(field.name).cast(field.dataType), value)
+        columns.append(value.alias(field.name))
     return rows.filter(F.col("path") != "").select("path", *columns)
 
 

@@ -120,6 +120,8 @@ def test_inventory_sources(spark, tmp_path):
         ("/a", False, 1, 0, 0, 0),
         ("/n", False, 0, 0, 0, 0),
     ]
+    timed = spark.sql("SELECT '/t' AS path, TIMESTAMP '1970-01-02 00:00:00' AS modified")
+    assert as_entries(timed).first()["modified"] == 86_400
     (tmp_path / "inv.csv").write_text("/x,true,1,2,3,4\nbroken,zz,zz,,,\n/y,false,5,6,7,8\n")
     read = read_inventory(spark, str(tmp_path / "inv.csv"), "csv")
     assert paths(read) == ["/x", "/y"]
