@@ -6,14 +6,16 @@ small).  The log is folded into a new version only now and then, so no batch
 rewrites the catalogue.
 
 Events take effect in the order of ``seq``, also when they arrive in different
-batches.  What was already folded into a version counts as earlier.
+batches.  What was already folded into a version counts as earlier, and a version
+saved by a refresh starts an empty log.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,32 +31,37 @@ from pathlode.sources.catalogue import (
 )
 
 
-def _log_folder(folder: str, batch_id: int) -> str:
-    return f"{folder}/log/batch={batch_id}"
+def _read_log(spark: SparkSession, location: str) -> DataFrame:
+    """Logged events with their ``batch``; none when nothing was logged there."""
+    try:
+        return spark.read.schema(CHANGE).parquet(location)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CHANGE).withColumn("batch", F.lit(0))
+
+
+def _log_of(folder: str, version: Row) -> str:
+    """Every version has its own log, so a reader lists only what came after it."""
+    return f"{folder}/log/version={version['version']}"
 
 
 def start_catalogue(entries: DataFrame, folder: str) -> SaveStats:
-    """Save the first version, with an empty log."""
-    spark = entries.sparkSession
-    stats = save_catalogue(entries, folder, reason="start")
-    empty = spark.createDataFrame([], CHANGE)
-    empty.write.mode("overwrite").parquet(_log_folder(folder, -1))
-    return stats
+    """Save the first version, the base of the log."""
+    return save_catalogue(entries, folder, reason="start")
 
 
-def logged_events(spark: SparkSession, folder: str, through_batch: int) -> DataFrame:
-    """Events of the batches after ``through_batch``."""
-    log = spark.read.schema(CHANGE).option("basePath", f"{folder}/log").parquet(f"{folder}/log")
-    return log.filter(F.col("batch") > through_batch).drop("batch")
+def logged_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events since the latest version."""
+    version = latest_version(spark, folder)
+    return _read_log(spark, _log_of(folder, version)).drop("batch")
 
 
-def current_catalogue(
-    spark: SparkSession, folder: str, scope: Scope = EVERYWHERE
-) -> DataFrame:
+def current_catalogue(spark: SparkSession, folder: str, scope: Scope = EVERYWHERE) -> DataFrame:
     """The latest version with the events logged since folded in."""
     version = latest_version(spark, folder)
     saved = read_version(spark, version)
-    events = logged_events(spark, folder, version["through_batch"])
+    events = _read_log(spark, _log_of(folder, version)).drop("batch")
     return saved if events.isEmpty() else apply_changes(saved, events, scope)
 
 
@@ -71,11 +78,11 @@ def current_status(spark: SparkSession, folder: str, scope: Scope = EVERYWHERE)
 
     Healthy means that the last batch held no overflow.
     """
-    log = spark.read.schema(CHANGE).parquet(f"{folder}/log")
+    log = _read_log(spark, f"{folder}/log")
     last_batch = log.select(F.max("batch").alias("b")).scalar()
     lost = log.filter((F.col("kind") == "overflow") & (F.col("batch") == last_batch))
     healthy = lost.agg((F.count(F.lit(1)) == 0).alias("h")).scalar()
-    row = status_row(current_catalogue(spark, folder, scope), log.drop("batch"))
+    row = status_row(current_catalogue(spark, folder, scope), log.drop("batch", "version"))
     build_millis = latest_version(spark, folder)["millis"]
     return row.withColumns({"healthy": healthy, "build_millis": F.lit(build_millis)})
 
@@ -101,9 +108,11 @@ def fold_stream(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        as_changes(batch).write.mode("overwrite").parquet(_log_folder(folder, batch_id))
-        if latest_version(spark, folder)["through_batch"] < batch_id:
-            logged = spark.read.schema(CHANGE).parquet(_log_folder(folder, batch_id))
+        version = latest_version(spark, folder)
+        if version["through_batch"] < batch_id:
+            target = f"{_log_of(folder, version)}/batch={batch_id}"
+            as_changes(batch).write.mode("overwrite").parquet(target)
+            logged = spark.read.schema(CHANGE).parquet(target)
             if not logged.filter(F.col("kind") == "overflow").isEmpty():
                 if relist is None:
                     raise RuntimeError("events were lost, and there is no listing to rebuild from")
