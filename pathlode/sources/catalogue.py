@@ -54,6 +54,8 @@ def save_catalogue(
 ) -> SaveStats:
     """Write a new version with its derived columns, in ranges of ``cluster_by``.
 
+    A folder has one writer at a time, and any number of readers.
+
     Parquet statistics then prune lookups and subtree searches by path (or, in a
     copy clustered by ``name_lc`` or ``extension``, searches by prefix or by
     extension).  The path is part of the range key, so an extension that holds
