@@ -5,7 +5,8 @@ import re
 import pytest
 from compare import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pathlode.plans.queries import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,15 +16,15 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, db, name):
     frames = []
 
     def query(*args):
-        frames.append(queries()[name](*args))
+        frames.append(QUERIES[name](*args))
         return frames[0]
 
-    assert compare(spark, db, FOLDER, query, oracle_sql()[name]) is None
+    assert compare(spark, db, FOLDER, query, ORACLE[name]) is None
     plan = frames[0]._jdf.queryExecution().executedPlan().toString()
     assert not re.search("NestedLoop|Cartesian|Window|Python", plan)
 
