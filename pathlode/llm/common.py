@@ -1,5 +1,6 @@
 """What the operators share: input tables, stored intermediate tables, row numbers."""
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +28,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def partition_of(row_id: Column) -> Column:
     """The partition in a number of ``monotonically_increasing_id``."""
     return F.shiftright(row_id, 33)
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file lies; executors have it at the same place."""
+    return public_tokenizers.path(name)

@@ -131,3 +131,21 @@ def mix(
         .withColumn("copies", copies.cast("long"))
         .select(*names, "source_size", "target", "copies")
     )
+
+
+def take(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has copies, by words of ``text``.
+
+    Takes the options of ``mix``; the columns stay as they are.
+    """
+    source, key = options.get("source", "source"), options.get("key", "doc_id")
+    whole = docs.select(
+        F.struct(*docs.columns).alias("doc"),
+        F.col(source).alias("source"),
+        F.col(key).alias("key"),
+        word_count(text).alias("size"),
+        F.col(text).alias("text"),
+    )
+    taken = mix(whole, **options | {"source": "source", "key": "key", "tie_breaker": "text"})
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return taken.filter("copies > 0").select("doc", copies).select("doc.*")

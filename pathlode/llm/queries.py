@@ -5,8 +5,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlode.llm import mixing, sharding
-from pathlode.llm.common import table
+from pathlode.llm import (
+    decontamination,
+    html_text,
+    language,
+    mixing,
+    sharding,
+    simhash,
+    token_cache,
+    token_file,
+    topk,
+)
+from pathlode.llm.common import stored, table, tokenizer_path
+from pathlode.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +114,107 @@ register(
            depth, shard_bytes::BIGINT AS shard_bytes, shard_rows
     FROM fitting WHERE nth = 1""",
 )
+
+
+# --- 3: main text ------------------------------------------------------------
+
+
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
+register(op3_main_text)
+
+
+# --- 4: near-duplicates ------------------------------------------------------
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    prints = stored(docs.select("doc_id", simhash.fingerprint_of("text").alias("fp")), "simhash")
+    return simhash.near_duplicates(prints).select(
+        "doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id"
+    )
+
+
+register(op4_simhash)
+
+
+# --- 6: decontamination ------------------------------------------------------
+
+
+def op6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontamination.find_leaks(docs, items)
+
+
+register(op6_leaks)
+
+
+# --- 7: language -------------------------------------------------------------
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.train(docs.select("doc_id", "text", "lang"))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(language.fold("doc_id") == 2, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
+register(op7_language)
+
+
+# --- 9: token counts ---------------------------------------------------------
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    cache = new_folder(spark, "token-cache")
+    counts = token_cache.count_tokens(docs, tokenizer_path(), cache)
+    return counts.withColumn("over_limit", F.col("n_tokens") > token_cache.TOKEN_LIMIT)
+
+
+register(op9_token_counts)
+
+
+# --- 10: token files ---------------------------------------------------------
+
+
+def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    target = new_folder(spark, "token-file")
+    token_file.write_ids(docs, target, tokenizer_path())
+    return token_file.read_ids(spark, target, with_ids=False)
+
+
+register(op10_token_file)
+
+
+# --- 5: top-k search ---------------------------------------------------------
+
+
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = stored(topk.usable(table(spark, folder, "embeddings")), "vectors")
+    index = topk.build_index(vectors)
+    return topk.search(index, vectors.filter("vec_id % 100 = 0"))
+
+
+register(
+    op5_topk,
+    """
+    WITH vectors AS (
+      SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) = len([x FOR x IN embedding IF isfinite(x)])),
+    parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM vectors),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+      FROM parts q JOIN parts c ON q.k = c.k
+      WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+          FROM scored) WHERE rank <= 10""",
+)
