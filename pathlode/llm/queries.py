@@ -10,6 +10,7 @@ from pathlode.llm import (
     html_text,
     language,
     mixing,
+    secret_scan,
     sharding,
     simhash,
     token_cache,
@@ -218,3 +219,33 @@ register(
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
           FROM scored) WHERE rank <= 10""",
 )
+
+
+# --- 1: secrets --------------------------------------------------------------
+
+
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+    of_kind = {k: F.size(F.filter("base", lambda s, k=k: s["kind"] == k)) for k in secret_scan.KINDS}
+    named = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    order = F.array(*[F.lit(k) for k in (*secret_scan.KINDS, *(f"like_{k}" for k in secret_scan.KINDS))])
+    spans = F.concat(
+        F.transform("base", lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("k"), s["end"])),
+        F.transform("learnt", lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("k"), s["end"])),
+    )
+    return found.select(
+        "doc_id",
+        *[n.cast("long").alias(f"n_{k}") for k, n in of_kind.items()],
+        F.sha2(F.array_join(named, ","), 256).alias("base_sha256"),
+        F.array_join(
+            F.transform(
+                F.array_sort(spans),
+                lambda s: F.concat_ws(":", F.element_at(order, s["k"].cast("int")), s["start"], s["end"]),
+            ),
+            ",",
+        ).alias("spans"),
+        F.size("learnt").cast("long").alias("n_learnt"),
+    )
+
+
+register(op1_secrets)
