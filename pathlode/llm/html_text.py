@@ -206,16 +206,15 @@ def outside(page: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(r, t) for r, t in page if r != main]
 
 
-def suffixes(page: list[tuple[str, str]]) -> list[int]:
-    """A hash of the first ``RUN`` tokens of each suffix of the outside blocks' token stream.
+def suffixes(page: list[tuple[str, str]]) -> tuple[list[int], int]:
+    """A hash of the first ``RUN`` tokens of each suffix of the outside token stream, and its length.
 
-    Streams end with marks that all pages share, so short ones can be runs as well.
+    Shorter suffixes are no runs, but a stream that is shorter itself is one.
     """
     tokens = list(chain.from_iterable(t.split() for _, t in outside(page)))
-    padded = tokens + ["\0"] * (RUN - 1)
-    return [
-        xxhash.xxh64_intdigest(" ".join(padded[k : k + RUN])) - (1 << 63) for k in range(len(tokens))
-    ]
+    starts = range(max(len(tokens) - RUN + 1, min(len(tokens), 1)))
+    hashes = [xxhash.xxh64_intdigest(" ".join(tokens[k : k + RUN])) - (1 << 63) for k in starts]
+    return hashes, len(tokens)
 
 
 def kept(page: list[tuple[str, str]], repeated: set[int]) -> tuple[str, int]:
@@ -242,11 +241,13 @@ def kept(page: list[tuple[str, str]], repeated: set[int]) -> tuple[str, int]:
 
 def _suffix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        found = [suffixes(blocks(h)) for h in batch["html"]]
         yield pd.DataFrame(
             {
                 "mark": batch["mark"],
                 "host": batch["host"],
-                "suffix": [suffixes(blocks(h)) for h in batch["html"]],
+                "length": [n for _, n in found],
+                "suffix": [hashes for hashes, _ in found],
             }
         )
 
@@ -294,20 +295,20 @@ def main_text(
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[^:/?#]+:)?//([^/?#]*)", 1))
     rows = stored(
         pages.select("mark", host.alias("host"), "html")
-        .mapInPandas(_suffix_rows, "mark long, host string, suffix array<long>")
-        .select("mark", "host", F.posexplode("suffix").alias("at", "suffix")),
+        .mapInPandas(_suffix_rows, "mark long, host string, length int, suffix array<long>")
+        .select("mark", "host", "length", F.posexplode("suffix").alias("at", "suffix")),
         "suffixes",
     )
     same = rows.groupBy("host", "suffix").agg(F.min("mark").alias("a"), F.max("mark").alias("b"))
     runs = same.filter("a <> b").select("host", "suffix")
-    found = rows.join(runs, ["host", "suffix"]).groupBy("mark").agg(F.collect_set("at").alias("runs"))
-    positions = F.flatten(F.transform("runs", lambda k: F.sequence(k, k + (RUN - 1))))
-    length = rows.groupBy("mark").agg((F.max("at") + 1).alias("length"))
-    found = found.join(length, "mark").select(
-        "mark",
-        "runs",
-        F.size(F.array_distinct(F.filter(positions, lambda k: k < F.col("length")))).alias("n"),
+    found = (
+        rows.join(runs, ["host", "suffix"])
+        .groupBy("mark")
+        .agg(F.collect_set("at").alias("runs"), F.max("length").alias("length"))
     )
+    covered = F.flatten(F.transform("runs", lambda k: F.sequence(k, k + (RUN - 1))))
+    within = F.filter(F.array_distinct(covered), lambda k: k < F.col("length"))
+    found = found.select("mark", "runs", F.size(within).alias("n"))
     block = StructType().add("region", "string").add("text", "string")
     schema = pages.select("mark", "page_id", "url").schema.add("text", "string")
     schema.add("open", ArrayType(block))

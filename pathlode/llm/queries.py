@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlode.llm import (
@@ -226,24 +226,25 @@ register(
 
 def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, folder, "documents"))
-    of_kind = {k: F.size(F.filter("base", lambda s, k=k: s["kind"] == k)) for k in secret_scan.KINDS}
-    named = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    order = F.array(*[F.lit(k) for k in (*secret_scan.KINDS, *(f"like_{k}" for k in secret_scan.KINDS))])
-    spans = F.concat(
-        F.transform("base", lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("k"), s["end"])),
-        F.transform("learnt", lambda s: F.struct(s["start"], F.array_position(order, s["kind"]).alias("k"), s["end"])),
-    )
+    kinds = [*secret_scan.KINDS, *(f"like_{k}" for k in secret_scan.KINDS)]
+    order = F.array(*[F.lit(k) for k in kinds])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def placed(spans: str) -> Column:
+        place = lambda s: F.array_position(order, s["kind"]).cast("int").alias("k")
+        return F.transform(spans, lambda s: F.struct(s["start"], place(s), s["end"]))
+
+    def listed(spans: Column) -> Column:
+        name = lambda s: F.concat_ws(":", F.element_at(order, s["k"]), s["start"], s["end"])
+        return F.array_join(F.transform(F.array_sort(spans), name), ",")
+
     return found.select(
         "doc_id",
-        *[n.cast("long").alias(f"n_{k}") for k, n in of_kind.items()],
-        F.sha2(F.array_join(named, ","), 256).alias("base_sha256"),
-        F.array_join(
-            F.transform(
-                F.array_sort(spans),
-                lambda s: F.concat_ws(":", F.element_at(order, s["k"].cast("int")), s["start"], s["end"]),
-            ),
-            ",",
-        ).alias("spans"),
+        *[count(k) for k in secret_scan.KINDS],
+        F.sha2(listed(placed("base")), 256).alias("base_sha256"),
+        listed(F.concat(placed("base"), placed("learnt"))).alias("spans"),
         F.size("learnt").cast("long").alias("n_learnt"),
     )
 
