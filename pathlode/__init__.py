@@ -9,10 +9,9 @@ from pathlode.operators.terms import AnyOf, Glob, Not, Regex, Substring
 from pathlode.plans.build import build_catalogue, refresh
 from pathlode.plans.search import SearchResult, colored, search
 from pathlode.sources.catalogue import load_catalogue, save_catalogue
-from pathlode.sources.crawl import crawl
 from pathlode.sources.events import changes_from_json, read_changes, stream_changes
 from pathlode.sources.export import NoResults, export
-from pathlode.sources.inventory import read_inventory, scan_files
+from pathlode.sources.inventory import read_inventory, scan_files, silent_files
 from pathlode.streaming.fold import (
     current_catalogue,
     current_status,
@@ -34,7 +33,6 @@ __all__ = [
     "build_catalogue",
     "changes_from_json",
     "colored",
-    "crawl",
     "current_catalogue",
     "current_status",
     "export",
@@ -52,6 +50,7 @@ __all__ = [
     "save_grams",
     "scan_files",
     "search",
+    "silent_files",
     "start_catalogue",
     "stream_changes",
     "with_position",

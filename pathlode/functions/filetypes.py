@@ -5,12 +5,25 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 FILE_TYPES = {
-    "audio": "aac ac3 aiff flac m4a mid midi mp3 ogg ra wav wma".split(),
-    "doc": "doc docx xls xlsx ppt pptx pdf txt rtf csv".split(),
-    "exe": "exe com bat cmd msi scr pif".split(),
-    "pic": "bmp gif ico jpg jpeg png psd svg tif tiff webp".split(),
-    "video": "avi flv m4v mkv mov mp4 mpeg mpg wmv".split(),
-    "zip": "7z cab bz2 gz rar tar tgz zip".split(),
+    "audio": [
+        "aac",
+        "ac3",
+        "aiff",
+        "flac",
+        "m4a",
+        "mid",
+        "midi",
+        "mp3",
+        "ogg",
+        "ra",
+        "wav",
+        "wma",
+    ],
+    "doc": ["doc", "docx", "xls", "xlsx", "ppt", "pptx", "pdf", "txt", "rtf", "csv"],
+    "exe": ["exe", "com", "bat", "cmd", "msi", "scr", "pif"],
+    "pic": ["bmp", "gif", "ico", "jpg", "jpeg", "png", "psd", "svg", "tif", "tiff", "webp"],
+    "video": ["avi", "flv", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "wmv"],
+    "zip": ["7z", "cab", "bz2", "gz", "rar", "tar", "tgz", "zip"],
 }
 
 

@@ -21,6 +21,15 @@ def _cover(text: Column, needle: str) -> Column:
     )
 
 
+def _lower_in_place(text: Column) -> Column:
+    """Lower case with every character in its place: one that would become several stays."""
+    lower = F.lower(text)
+    each = F.transform(
+        F.split(text, ""), lambda c: F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c)
+    )
+    return F.when(F.length(lower) == F.length(text), lower).otherwise(F.array_join(each, ""))
+
+
 def mark_name(name: Column, needles: list[str]) -> Column:
     """Put ``*`` around every run of characters covered by hits of the needles.
 
@@ -30,7 +39,7 @@ def mark_name(name: Column, needles: list[str]) -> Column:
     needles = list(dict.fromkeys(n.lower() for n in needles if n))
     if not needles:
         return name
-    lowered = F.lower(name)
+    lowered = _lower_in_place(name)
     covers = [_cover(lowered, n) for n in needles]
 
     def hit(i: Column) -> Column:

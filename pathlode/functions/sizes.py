@@ -35,25 +35,28 @@ def parse_size(text: str) -> int:
     return size
 
 
+_COMPARED = re.compile(r"(?P<sign>[<>]=?|)(?P<size>.*)", re.S)
+
+
 def size_bounds(text: str) -> Bounds:
     """Closed bounds of ``a..b``, ``a-b``, ``>=a``, ``<=a``, ``>a``, ``<a`` or ``a``."""
     value = text.strip()
-    for separator in ("..", "-"):
-        low, found, high = value.partition(separator)
-        if found:
-            return parse_size(low), parse_size(high)
-    if value.startswith(">="):
-        return parse_size(value[2:]), None
-    if value.startswith("<="):
-        return None, parse_size(value[2:])
-    if value.startswith(">"):
-        return parse_size(value[1:]) + 1, None
-    if value.startswith("<"):
-        high = parse_size(value[1:]) - 1
-        if high < 0:
-            raise ValueError("strictly less than zero bytes is not a valid size filter")
-        return None, high
-    return parse_size(value), parse_size(value)
+    separator = ".." if ".." in value else "-"
+    if separator in value:
+        low, _, high = value.partition(separator)
+        return parse_size(low), parse_size(high)
+    sign, size = _COMPARED.fullmatch(value).group("sign", "size")
+    limit = parse_size(size)
+    bounds = {
+        "": (limit, limit),
+        ">=": (limit, None),
+        "<=": (None, limit),
+        ">": (limit + 1, None),
+        "<": (None, limit - 1),
+    }[sign]
+    if bounds[1] == -1:
+        raise ValueError("no file is smaller than nothing")
+    return bounds
 
 
 def size_of_text(text: Column) -> Column:

@@ -10,7 +10,8 @@ creates before all of them):
 * each metadata field is the last one reported by a create or a modify.
 
 All parts are maxima, so they pre-aggregate, merge, and do not depend on the
-order of arrival.
+order of arrival. A state table holds them per path, with the order of each
+part; it also has the paths that are not alive but may matter to late events.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathlode.functions.paths import level_of, prefix_at, without_slash
 from pathlode.operators.excludes import Excludes, in_hidden_directory
-from pathlode.operators.hierarchy import marks, under_any, with_mark
+from pathlode.operators.hierarchy import marks, under, under_any, with_mark
 from pathlode.schema import CHANGE, ENTRY_FIELDS, META_FIELDS
 from pathlode.session import fits_broadcast, measure, written
 
 BASE_ORD = -1
+KINDS = ("create", "delete", "modify", "move", "overflow")
+ORD_FIELDS = ["create_ord", *(f"{f}_ord" for f in META_FIELDS), "delete_ord"]
+STATE_FIELDS = [*ENTRY_FIELDS, *ORD_FIELDS]
 
 
 def as_changes(events: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def split_moves(events: DataFrame) -> DataFrame:
     """
     events = as_changes(events)
     rest = [F.col(c) for c in ("is_dir", *META_FIELDS)]
-    ord_ = F.col("seq") * 2
+    ord_ = F.coalesce("seq", F.raise_error(F.lit("an event has no seq"))) * 2
 
     def step(order: Column, kind: Column, path: Column) -> Column:
         return F.struct(order.alias("ord"), kind.alias("kind"), path.alias("path"), *rest)
@@ -88,10 +93,22 @@ def in_scope(steps: DataFrame, scope: Scope = EVERYWHERE) -> DataFrame:
         keep &= ~under_any(path, scope.own_folders)
     if scope.excludes is not None:
         steps = steps.withColumn("is_dir", F.coalesce("is_dir", F.lit(False)))
-        keep &= (F.col("kind") != "create") | scope.excludes.keep(scope.roots or ("/",))
+        keep &= (F.col("kind") != "create") | scope.excludes.keep(scope.roots)
     return steps.filter(keep)
 
 
+def events_in_scope(events: DataFrame, scope: Scope = EVERYWHERE) -> DataFrame:
+    """Events of which some step is in the scope; overflows concern every scope."""
+    lost = events.filter(F.col("kind") == "overflow")
+    rest = events.filter(F.col("kind") != "overflow")
+    if scope == EVERYWHERE:
+        return events
+    steps = in_scope(split_moves(rest), scope)
+    known = steps.select((F.col("ord") - F.col("ord") % 2).alias("ord")).distinct()
+    kept = rest.join(known, F.col("seq") * 2 == F.col("ord"), "left_semi")
+    return kept.unionByName(lost)
+
+
 def latest_by_path(rows: DataFrame, *order: Column) -> DataFrame:
     """One row per path, the last one in the given order (the order must be total).
 
@@ -109,62 +126,135 @@ def latest_by_path(rows: DataFrame, *order: Column) -> DataFrame:
 
 
 def summarise(steps: DataFrame) -> DataFrame:
-    """Per path: its last create, and the last report of every metadata field.
+    """The state of the paths that the steps name, in one pass.
 
-    All buffers are fixed-width, so this is a hash aggregate with map-side
-    combine: a path that holds a third of all events costs one row per task.
+    All buffers but the path are fixed-width, so this is a hash aggregate with
+    map-side combine: a path that holds a third of all events costs one row per task.
     """
-    is_create = F.col("kind") == "create"
-    known = steps.filter(F.col("kind").isin("create", "modify"))
-    known = known.withColumns(
+    is_create, is_delete = F.col("kind") == "create", F.col("kind") == "delete"
+    known = steps.filter(F.col("kind").isin("create", "modify", "delete")).withColumns(
         # A create without metadata resets it; a modify without it keeps the old value.
-        {f: F.when(is_create, F.coalesce(f, F.lit(0))).otherwise(F.col(f)) for f in META_FIELDS}
-        | {"is_dir": F.coalesce("is_dir", F.lit(False))}
+        {
+            f: F.when(is_create, F.coalesce(f, F.lit(0))).when(~is_delete, F.col(f))
+            for f in META_FIELDS
+        }
+        | {
+            "is_dir": F.coalesce("is_dir", F.lit(False)),
+            "path": F.when(is_delete, without_slash(F.col("path"))).otherwise(F.col("path")),
+        }
     )
     created = F.when(is_create, F.col("ord"))
-    return known.groupBy("path").agg(
-        F.max(created).alias("create_ord"),
-        F.max_by("is_dir", created).alias("is_dir"),
-        *[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("ord"))).alias(f) for f in META_FIELDS],
+    reported = {f: F.when(F.col(f).isNotNull(), F.col("ord")) for f in META_FIELDS}
+    return (
+        known.groupBy("path")
+        .agg(
+            F.max_by("is_dir", created).alias("is_dir"),
+            *[F.max_by(f, ord_).alias(f) for f, ord_ in reported.items()],
+            F.max(created).alias("create_ord"),
+            *[F.max(ord_).alias(f"{f}_ord") for f, ord_ in reported.items()],
+            F.max(F.when(is_delete, F.col("ord"))).alias("delete_ord"),
+        )
+        .select(*STATE_FIELDS)
     )
 
 
+def state_of(entries: DataFrame) -> DataFrame:
+    """A catalogue as the state before all events; one that has the orders keeps them."""
+    orders = [
+        F.col(c) if c in entries.columns else F.lit(None if c == "delete_ord" else BASE_ORD)
+        for c in ORD_FIELDS
+    ]
+    named = [o.cast("bigint").alias(c) for o, c in zip(orders, ORD_FIELDS)]
+    return entries.select(*ENTRY_FIELDS, *named)
+
+
+def merge_states(
+    state: DataFrame, news: DataFrame, broadcast: bool | None = None, ghosts: bool = True
+) -> DataFrame:
+    """Both states in one, the later report of each part; ``news`` is a written table.
+
+    Measured-small news are broadcast (never with ``broadcast=False``): the state
+    is then read and updated without being shuffled. Others are merged by a full
+    outer join on the unique path. Without ``ghosts`` paths never created may be left out.
+    """
+    def later(part: str, order: str) -> Column:
+        newer = F.coalesce(F.col(f"_{order}") > F.col(order), F.col(f"_{order}").isNotNull())
+        return F.when(newer, F.col(f"_{part}")).otherwise(F.col(part)).alias(part)
+
+    order_of = {"is_dir": "create_ord"} | {f: f"{f}_ord" for f in META_FIELDS}
+    order_of |= {o: o for o in ORD_FIELDS}
+    merged = ["path", *[later(part, order_of[part]) for part in STATE_FIELDS[1:]]]
+    named = news.select("path", *[F.col(c).alias(f"_{c}") for c in STATE_FIELDS[1:]])
+    if broadcast is not False and fits_broadcast(*measure(news, "path")):
+        updated = state.join(F.broadcast(named), "path", "left").select(*merged)
+        known = state.select("path").join(F.broadcast(news.select("path")), "path", "left_semi")
+        fresh = news if ghosts else news.filter(F.col("create_ord").isNotNull())
+        return updated.unionByName(fresh.join(known, "path", "left_anti").select(*STATE_FIELDS))
+    return state.join(named, "path", "full_outer").select(*merged)
+
+
+def with_kill(
+    state: DataFrame, deletes: DataFrame, broadcast: bool | None = None, paths: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``alive``; ``deletes`` are the rows of the state that hold a ``delete_ord``."""
+    killed = marks(deletes, F.col("path"), F.col("delete_ord"))
+    found = with_mark(state, killed, "_kill", broadcast, paths)
+    lives = F.col("create_ord") > F.coalesce("_kill", F.lit(BASE_ORD - 1))
+    return found.withColumn("alive", F.coalesce(lives, F.lit(False))).drop("_kill")
+
+
+def fold_state(
+    state: DataFrame,
+    events: DataFrame,
+    scope: Scope = EVERYWHERE,
+    broadcast: bool | None = None,
+    ghosts: bool = True,
+) -> DataFrame:
+    """The state after the events, with ``alive``."""
+    news = written(summarise(in_scope(split_moves(events), scope)), "summary")
+    merged = merge_states(state, news, broadcast, ghosts)
+    deletes = [
+        df.filter(F.col("delete_ord").isNotNull()).select("path", "delete_ord") for df in (state, news)
+    ]
+    paths = state.select("path").union(news.select("path"))
+    return with_kill(merged, deletes[0].union(deletes[1]), broadcast, paths)
+
+
 def apply_changes(
     entries: DataFrame,
     events: DataFrame,
     scope: Scope = EVERYWHERE,
     broadcast: bool | None = None,
 ) -> DataFrame:
-    """The catalogue after the events.
+    """The catalogue after the events (see :func:`merge_states` for ``broadcast``)."""
+    folded = fold_state(state_of(entries), events, scope, broadcast, ghosts=False)
+    return folded.filter("alive").select(*ENTRY_FIELDS)
 
-    A measured-small batch is broadcast: the catalogue is then read, updated and
-    filtered without being shuffled.  A large one is merged by a full outer join
-    on the unique path.
+
+def moves_without_contents(entries: DataFrame, events: DataFrame) -> DataFrame:
+    """Moves (``seq``, ``path``, ``to_path``) of directories whose contents do not follow.
+
+    A move takes away all that the catalogue has below the old path; the producer
+    reports what comes below the new one. Where it reports nothing, contents are lost.
     """
-    steps = in_scope(split_moves(events), scope)
-    summary = written(summarise(steps), "summary")
-    rows, size = measure(summary, "path")
-    deletes = steps.filter(F.col("kind") == "delete")
-    killed = marks(deletes, F.col("path"), F.col("ord"))
-    small = fits_broadcast(rows, size) if broadcast is None else broadcast
-
-    payload = ["is_dir", *META_FIELDS]
-    base = entries.select(*ENTRY_FIELDS, F.lit(BASE_ORD).cast("bigint").alias("create_ord"))
-    news = summary.select("path", *[F.col(c).alias(f"_{c}") for c in ("create_ord", *payload)])
-    merged_columns = [
-        "path",
-        *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in ("create_ord", *payload)],
-    ]
-    if small:
-        updated = base.join(F.broadcast(news), "path", "left").select(*merged_columns)
-        known = entries.select("path").join(F.broadcast(news.select("path")), "path", "left_semi")
-        created = summary.filter(F.col("create_ord").isNotNull())
-        created = created.join(known, "path", "left_anti")
-        merged = updated.unionByName(created.select("path", "create_ord", *payload))
-    else:
-        merged = base.join(news, "path", "full_outer").select(*merged_columns)
-        merged = merged.filter(F.col("create_ord").isNotNull())
-    paths = entries.select("path").union(summary.select("path"))
-    alive = with_mark(merged, killed, "_kill", broadcast, paths)
-    alive = alive.filter(F.col("create_ord") > F.coalesce("_kill", F.lit(BASE_ORD - 1)))
-    return alive.select(*ENTRY_FIELDS)
+    events = as_changes(events)
+    moves = written(
+        events.filter("kind = 'move'").select(
+            "seq", without_slash(F.col("path")).alias("path"), without_slash(F.col("to_path")).alias("to_path")
+        ),
+        "moves",
+    )
+
+    def above(paths: DataFrame) -> DataFrame:
+        """Directories strictly above the paths."""
+        levels = F.explode(F.sequence(F.lit(1), level_of(F.col("path")) - 1)).alias("level")
+        inner = paths.filter(level_of(F.col("path")) > 1).select("path", levels)
+        return inner.select(prefix_at(F.col("path"), F.col("level")).alias("dir")).distinct()
+
+    # Only entries below some moved directory are taken apart.
+    below = under(entries.select("path"), moves.select("path"))
+    arrived = events.filter("kind IN ('create', 'move')").select(
+        F.when(F.col("kind") == "move", F.col("to_path")).otherwise(F.col("path")).alias("path")
+    )
+    had = moves.join(above(below), F.col("path") == F.col("dir"), "left_semi")
+    return had.join(above(arrived), F.col("to_path") == F.col("dir"), "left_anti")

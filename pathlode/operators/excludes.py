@@ -22,6 +22,9 @@ from pathlode.functions.paths import at_or_under, name_of
 # System directories.
 SYSTEM_PATHS = ("/proc", "/sys", "/dev")
 
+# What stands before the first component of a path, tried longest first and never shorter.
+_ANY_ROOT = r"(?>[A-Za-z][A-Za-z0-9+.-]*://[^/]*/|/|)"
+
 MAX_TEXTS = 16  # longer lists of globs are tested without looking for their texts first
 
 
@@ -66,8 +69,12 @@ class Excludes:
     paths: tuple[str, ...] = ()
     include_only: tuple[str, ...] = ()
 
-    def keep(self, roots: tuple[str, ...] = ("/",)) -> Column:
-        """True for entries that stay: found below some root under all rules."""
+    def keep(self, roots: tuple[str, ...] = ()) -> Column:
+        """True for entries that stay: found below some root under all rules.
+
+        Without roots every path stays that the rules do not drop; its root is then
+        the scheme and authority, or the leading slash.
+        """
         path, is_dir = F.col("path"), F.col("is_dir")
         everywhere = [~is_hidden_directory(path, is_dir)]
         if self.paths:
@@ -94,6 +101,7 @@ class Excludes:
         expression that starts at the root; the others read the whole path.
         """
         starts = [root.rstrip("/") + "/" for root in roots]
+        anywhere = not roots
         # A glob holding a slash matches no name.
         patterns = [p for p in self.patterns if "/" not in p]
         globs = [p for p in self.include_only if "/" not in p]
@@ -103,27 +111,34 @@ class Excludes:
         if patterns:
             one_of = _one_of(patterns)
             in_root = re.compile(rf"(?s)(?:^|/)(?:{one_of})(?:/|\Z)")
-            if any(in_root.search(root) for root in roots):
+            if anywhere:
+                # The names of a store and its bucket are part of the root.
+                below = path.rlike(rf"(?s)\A(?:{_ANY_ROOT})(?!(?:.*/)?(?:{one_of})(?:/|\z))")
+                tests.append(~_has_component(path, patterns) | (path.contains("://") & below))
+            elif any(in_root.search(root) for root in roots):
                 rest += rf"(?!(?:.*/)?(?:{one_of})(?:/|\z))"
             else:
                 tests.append(~_has_component(path, patterns))
         if globs:
             rest += rf"(?:{_one_of(globs)})(?:/(?:{_one_of(globs)}))*\z"
         # System directories lie strictly below no root but "/".
-        if self.skip_system_paths and starts == ["/"]:
+        if self.skip_system_paths and (anywhere or starts == ["/"]):
             tests += [~at_or_under(path, s) for s in SYSTEM_PATHS]
         elif self.skip_system_paths and "/" in starts:
             names = "|".join(s.removeprefix("/") for s in SYSTEM_PATHS)
             system = rf"(?!(?:{names})(?:/|\z))"
-        if rest or system:
+        if anywhere:
+            if rest:
+                tests.insert(0, path.rlike(rf"(?s)\A(?:{_ANY_ROOT}){rest}"))
+        elif rest or system:
             some_root = "|".join(re.escape(s) + (system if s == "/" else "") for s in starts)
             tests.insert(0, path.rlike(rf"(?s)\A(?:{some_root}){rest}"))
         else:
             tests.insert(0, reduce(or_, [path.startswith(start) for start in starts]))
-        return reduce(and_, tests)
+        return reduce(and_, tests, F.lit(True))
 
 
 def apply_excludes(
-    entries: DataFrame, excludes: Excludes, roots: tuple[str, ...] = ("/",)
+    entries: DataFrame, excludes: Excludes, roots: tuple[str, ...] = ()
 ) -> DataFrame:
     return entries.filter(excludes.keep(roots))

@@ -1,22 +1,25 @@
 """Inverted tables over names: three-character grams, and first characters.
 
-A posting row holds the whole entry, sorted by gram.  A search for a text reads
-only the rows of that text's rarest gram (pruned by Parquet statistics) and
-checks them exactly; it neither scans the catalogue nor joins with it.
+The stored index of a catalogue version says in which of its buckets a gram
+occurs. A search finds the buckets that hold every gram of a text, reads only
+those of the entries it is given, and checks them in full; entries of another
+version, or without a bucket, are all read. So the index decides what is read and
+never what is found.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlode.functions.paths import with_parts
 from pathlode.operators.predicates import criteria
 from pathlode.operators.terms import Substring, as_terms
-from pathlode.schema import ENTRY_FIELDS
 from pathlode.session import fits_broadcast, measure, written
+from pathlode.sources.catalogue import latest_version, load_catalogue
 
 GRAM = 3
 
@@ -28,20 +31,23 @@ def grams_of(text: str) -> list[str]:
 
 
 def name_grams(entries: DataFrame) -> DataFrame:
-    """Every entry once per distinct gram of its lowercased name.
+    """The (path, gram) pairs of all distinct grams of lowercased names.
 
     A gram is kept where it first occurs in its name, which makes it distinct
-    without a shuffle.
+    without a shuffle. A ``bucket`` column is carried along.
     """
-    parts = with_parts(entries).select(*ENTRY_FIELDS, "name_lc")
-    places = parts.filter(F.length("name_lc") >= GRAM).withColumn(
-        "at", F.explode(F.sequence(F.lit(1), F.length("name_lc") - (GRAM - 1)))
+    carried = [c for c in ("bucket",) if c in entries.columns]
+    places = (
+        with_parts(entries)
+        .select("path", *carried, "name_lc")
+        .filter(F.length("name_lc") >= GRAM)
+        .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("name_lc") - (GRAM - 1))))
     )
     gram = F.substring(F.col("name_lc"), F.col("at"), F.lit(GRAM))
     return (
         places.withColumn("gram", gram)
         .filter(F.call_function("instr", F.col("name_lc"), F.col("gram")) == F.col("at"))
-        .drop("at")
+        .select("path", "gram", *carried)
     )
 
 
@@ -52,31 +58,43 @@ def gram_counts(postings: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class GramIndex:
-    """Stored postings and their counts."""
+    """The buckets of one catalogue version that hold each gram."""
 
-    postings: DataFrame  # gram, the entry columns, name_lc
-    counts: DataFrame  # gram, n
+    buckets: DataFrame  # gram, bucket
+    version: int
 
 
-def save_grams(postings: DataFrame, folder: str, partitions: int | None = None) -> None:
-    """Write postings clustered by gram, in ``partitions`` ranges if given.
+def _index_of(folder: str, version: int) -> str:
+    return f"{folder}/grams/v{version:08d}"
 
-    The range key includes the path, so a gram that holds a large part of all
-    rows is spread over many files.
+
+def save_grams(spark: SparkSession, folder: str, partitions: int | None = None) -> GramIndex:
+    """Build and store the index of the latest version of the catalogue in ``folder``.
+
+    Rows are few: names of one bucket share most of their grams. They are clustered
+    by gram, in ``partitions`` ranges if given. An index that is there already stays.
     """
-    keys = ["gram", "path"]
+    version = latest_version(spark, folder)["version"]
+    stored = load_grams(spark, folder)
+    if stored is not None and stored.version == version:
+        return stored
+    grams = name_grams(load_catalogue(spark, folder, version)).select("gram", "bucket").distinct()
+    keys = ["gram", "bucket"]
     ranges = [partitions, *keys] if partitions else keys
-    clustered = postings.repartitionByRange(*ranges).sortWithinPartitions(*keys)
-    clustered.write.parquet(f"{folder}/postings")
-    stored = postings.sparkSession.read.schema(postings.schema).parquet(f"{folder}/postings")
-    counts = gram_counts(stored).orderBy("gram")
-    counts.write.parquet(f"{folder}/counts")
+    clustered = grams.repartitionByRange(*ranges).sortWithinPartitions(*keys)
+    clustered.write.mode("overwrite").parquet(_index_of(folder, version))
+    return load_grams(spark, folder)
 
 
-def load_grams(spark: SparkSession, folder: str) -> GramIndex:
-    return GramIndex(
-        spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/counts")
-    )
+def load_grams(spark: SparkSession, folder: str) -> GramIndex | None:
+    """The index of the latest version, or none if that version has no index."""
+    version = latest_version(spark, folder)["version"]
+    try:
+        return GramIndex(spark.read.parquet(_index_of(folder, version)), version)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def gram_candidates(postings: DataFrame, text: str) -> DataFrame:
@@ -93,35 +111,43 @@ def gram_candidates(postings: DataFrame, text: str) -> DataFrame:
     )
 
 
-def rarest_gram(counts: DataFrame, text: str) -> tuple[str, int]:
-    """The gram of ``text`` with the fewest entries; zero when one is missing."""
-    grams = grams_of(text)
-    found = {r["gram"]: r["n"] for r in counts.filter(F.col("gram").isin(grams)).collect()}
-    return min(((g, found.get(g, 0)) for g in grams), key=lambda pair: pair[1])
+def candidate_buckets(index: GramIndex, texts: list[str]) -> DataFrame:
+    """The buckets that hold every gram of all the texts."""
+    grams = list(dict.fromkeys(g for text in texts for g in grams_of(text)))
+    return (
+        index.buckets.filter(F.col("gram").isin(grams))
+        .groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") == len(grams))
+        .select("bucket")
+    )
 
 
-def gram_search(entries: DataFrame, index: GramIndex, text: str) -> DataFrame:
-    """Entries whose name holds ``text`` in any case; short texts scan the entries."""
+def gram_search(entries: DataFrame, index: GramIndex | None, text: str) -> DataFrame:
+    """Entries whose name holds ``text`` in any case."""
     return seeded_matches(entries, index, terms=[Substring(text)])
 
 
-def seeded_matches(entries: DataFrame, index: GramIndex, **wanted) -> DataFrame:
-    """A search through the postings where it has a usable text, else a scan.
+def seeded_matches(entries: DataFrame, index: GramIndex | None, **wanted) -> DataFrame:
+    """A search that reads only the buckets which can hold its texts.
 
     Usable are substring terms of at least three characters that read the name
-    and stand outside any alternative or negation; the longest one is taken.
-    The full condition is checked on every candidate.
+    and stand outside any alternative or negation. The full condition is checked
+    on every entry that is read, and entries come from ``entries`` alone.
     """
     terms = as_terms(wanted.get("terms", ()))
     reads_path = wanted.get("match_path")
     reads_path = bool(wanted.get("path")) if reads_path is None else reads_path
     seeds = [t.text for t in terms if isinstance(t, Substring) and len(t.text.lower()) >= GRAM]
-    if reads_path or not seeds:
-        return with_parts(entries).filter(criteria(**wanted))
-    gram, n = rarest_gram(index.counts, max(seeds, key=len))
-    candidates = index.postings.filter(F.lit(False) if n == 0 else F.col("gram") == gram)
-    candidates = with_parts(candidates.drop("gram"))
-    return candidates.filter(criteria(**wanted)).select(*with_parts(entries).columns)
+    found = with_parts(entries).filter(criteria(**wanted))
+    stored = {"bucket", "version"} <= set(entries.columns)
+    if reads_path or not seeds or index is None or not stored:
+        return found
+    # The version is a constant of loaded entries, so one of the two sides is empty.
+    known = (F.col("version") == index.version) & F.col("bucket").isNotNull()
+    seeded = found.filter(known).join(candidate_buckets(index, seeds), "bucket", "left_semi")
+    others = found.filter(~F.coalesce(known, F.lit(False)))
+    return seeded.select(*found.columns).unionByName(others)
 
 
 def refresh_postings(postings: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:

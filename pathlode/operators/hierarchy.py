@@ -37,7 +37,7 @@ def derive_directories(entries: DataFrame) -> DataFrame:
     small part of the directories.
     """
     path = F.col("path")
-    below_top = with_parts(entries).filter(F.col("parent") != "")
+    below_top = with_parts(entries.select("path")).filter(F.col("parent") != "")
     parents = below_top.select(F.col("parent").alias("path")).distinct()
     tops = parents.select(parent_of(path, name_of(path)).alias("top")).distinct()
     levels = F.explode(F.sequence(F.lit(1), level_of(F.col("top")))).alias("level")
@@ -82,16 +82,15 @@ def with_mark(
 ) -> DataFrame:
     """Add the largest value marked at the path or at any directory above it (or null).
 
-    Measured-small marks are broadcast, one join per marked level, so the
+    Measured-small marks are broadcast (never with ``broadcast=False``), one join per marked level, so the
     entries are neither exploded nor shuffled.  Otherwise the ancestors of the
     paths meet the marks in a salted shuffle join; ``paths`` may give these paths
     from a cheaper table than ``entries``.
     """
-    if broadcast is None:
-        broadcast = fits_broadcast(marked.rows, marked.size) and len(marked.levels) <= MAX_LEVELS
+    fits = fits_broadcast(marked.rows, marked.size) and len(marked.levels) <= MAX_LEVELS
     if not marked.levels:
         return entries.withColumn(name, F.lit(None).cast("bigint"))
-    if broadcast:
+    if fits and broadcast is not False:
         out = entries
         for level in marked.levels:
             at_level = marked.table.filter(F.col("level") == level).select(

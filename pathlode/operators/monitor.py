@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlode.operators.changes import as_changes
+from pathlode.operators.changes import EVERYWHERE, Scope, as_changes, events_in_scope
 
 LOG_ROWS = 50  # fixed value: the newest events kept in the log
 
@@ -22,9 +22,11 @@ def event_text() -> Column:
     )
 
 
-def change_log_tail(events: DataFrame, rows: int = LOG_ROWS) -> DataFrame:
-    """The newest events as text."""
-    newest = as_changes(events).orderBy(F.col("seq").desc()).limit(rows)
+def change_log_tail(
+    events: DataFrame, rows: int = LOG_ROWS, scope: Scope = EVERYWHERE
+) -> DataFrame:
+    """The newest events of the scope as text."""
+    newest = events_in_scope(as_changes(events), scope).orderBy(F.col("seq").desc()).limit(rows)
     return newest.select("seq", event_text().alias("text"))
 
 

@@ -7,10 +7,10 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlode.session import written
+from pathlode.session import fits_broadcast, measure, written
 
-# Above this many rows a page is cut out of the fully sorted result by position:
-# a top-n keeps n rows per task and merges them all in one.
+# Above this many rows a page is cut out by position: a top-n keeps n rows per task and
+# merges them all in one, so give ``page`` a smaller bound where there are many tasks.
 TOP_ROWS = 10_000
 
 # Accepted spellings of the sort keys.
@@ -88,17 +88,56 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
     )
 
 
-def page(
+def deep_page(
     df: DataFrame, sort: str = "name", offset: int = 0, limit: int | None = None
 ) -> DataFrame:
-    """Sort, then skip ``offset`` rows and keep ``limit``; past the end the page is empty."""
+    """Rows ``offset`` to ``offset + limit`` of the sorted whole (paths are unique).
+
+    Only the sort key and the path are sorted and numbered; the rows that the page
+    holds are then looked up. Runs jobs at once.
+    """
     order = sort_order(sort)
-    if limit is None and not offset:
-        return df.orderBy(*order)
-    if limit is not None and offset + limit <= TOP_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    placed = with_position(df, *order)
+    key = SORT_KEYS[sort.strip().lower().removesuffix("-desc").removesuffix("-asc")]
+    placed = with_position(df.select(*dict.fromkeys([key, "path"])), *order)
     wanted = F.col("position") > offset
     if limit is not None:
         wanted &= F.col("position") <= offset + limit
-    return placed.filter(wanted).orderBy("position").drop("position")
+    places = written(placed.filter(wanted).select("path", "position"), "places")
+    if fits_broadcast(*measure(places, "path")):
+        places = F.broadcast(places)
+    return df.join(places, "path").orderBy("position").select(*df.columns)
+
+
+def page_after(df: DataFrame, sort: str, last: tuple, limit: int) -> DataFrame:
+    """The ``limit`` rows behind the one with the sort key and path of ``last``.
+
+    Costs a filter and a top-n however deep the page is; ``last`` is ``(key, path)``.
+    """
+    order = sort_order(sort)
+    column = F.col(SORT_KEYS[sort.strip().lower().removesuffix("-desc").removesuffix("-asc")])
+    key, path = last
+    downwards = sort.strip().lower().endswith("-desc")
+    beyond = column < F.lit(key) if downwards else column > F.lit(key)
+    if len(order) > 1:
+        beyond |= (column == F.lit(key)) & (F.col("path") > F.lit(path))
+    return df.filter(beyond).orderBy(*order).limit(limit)
+
+
+def page(
+    df: DataFrame,
+    sort: str = "name",
+    offset: int = 0,
+    limit: int | None = None,
+    top_rows: int = TOP_ROWS,
+) -> DataFrame:
+    """Sort, then skip ``offset`` rows and keep ``limit``; past the end the page is empty.
+
+    Pages that end within ``top_rows`` are a lazy top-n, deeper ones a :func:`deep_page`;
+    the rows are the same.
+    """
+    order = sort_order(sort)
+    if limit is None and not offset:
+        return df.orderBy(*order)
+    if limit is not None and offset + limit <= top_rows:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    return deep_page(df, sort, offset, limit)

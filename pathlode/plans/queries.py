@@ -16,8 +16,9 @@ from pathlode.operators.predicates import lookup, matches, name_starts_with
 from pathlode.operators.terms import AnyOf, Glob, Not, Regex, Substring
 from pathlode.plans.search import desktop_rows, search
 from pathlode.plans.views_sql import with_views
-from pathlode.schema import ENTRY_FIELDS, PART_FIELDS
-from pathlode.session import new_folder
+from pathlode.plans.build import refresh
+from pathlode.schema import ENTRY_FIELDS, PART_FIELDS, STORED
+from pathlode.session import is_folder, new_folder
 from pathlode.sources import catalogue, inventory, tables
 from pathlode.streaming import fold
 
@@ -101,6 +102,21 @@ def with_directories(spark, folder):
     return inventory.with_directories(tables.order_entries(spark, folder))
 
 
+@register(
+    "with_directories_docs",
+    f"""SELECT {ENTRY_SQL} FROM doc_entries
+        UNION ALL
+        SELECT path, true, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT
+        FROM (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS path
+              FROM (SELECT path, unnest(range(2, len(string_split(path, '/')))) AS n
+                    FROM doc_entries))
+        WHERE path NOT IN (SELECT path FROM doc_entries)""",
+)
+def with_directories_docs(spark, folder):
+    """Directories that are listed already are not added again."""
+    return inventory.with_directories(tables.doc_entries(spark, folder))
+
+
 @register(
     "snapshot_roundtrip",
     f"SELECT {ENTRY_SQL}, name, parent, extension, name_lc FROM doc_entries_p",
@@ -108,7 +124,7 @@ def with_directories(spark, folder):
 def snapshot_roundtrip(spark, folder):
     target = new_folder(spark, "catalogue")
     catalogue.save_catalogue(tables.doc_entries(spark, folder), target)
-    return catalogue.load_catalogue(spark, target)
+    return catalogue.load_catalogue(spark, target).select(*STORED.fieldNames())
 
 
 @register("changes_source", "SELECT seq, kind, path, is_dir, size, modified FROM changes")
@@ -127,9 +143,11 @@ def changes_source(spark, folder):
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = tables.table(spark, folder, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(folder)
+    place = f"{folder}/events.parquet"
+    reader = spark.readStream.schema(tables.table(spark, folder, "events").schema)
+    if is_folder(spark, place):
+        return reader.parquet(place)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
 # --- Ingest rules ------------------------------------------------------------
@@ -213,8 +231,8 @@ def result_rows(spark, folder):
     "FROM doc_entries_p ORDER BY modified DESC, path LIMIT 10000",
 )
 def desktop(spark, folder):
-    found = search(tables.doc_entries(spark, folder), sort="modified-desc", limit=10_000)
-    return desktop_rows(found.page)
+    found = search(tables.doc_entries(spark, folder), sort="modified-desc")
+    return desktop_rows(found, limit=10_000)
 
 
 @register(
@@ -253,6 +271,9 @@ for _type, _extensions in filetypes.FILE_TYPES.items():
     )
 _register_search("f_path", "doc_entries", "contains(lower(path), 'src1/')", path="SRC1/")
 _register_search("f_path_case", "doc_entries", "false", path="SRC1/", match_case=True)
+_register_search(
+    "f_path_case_hit", "doc_entries", "contains(path, 'src1/')", path="src1/", match_case=True
+)
 _register_search(
     "f_path_term",
     "doc_entries",
@@ -327,12 +348,25 @@ _register_search(
     whole_word=True,
     match_path=True,
 )
+_register_search(
+    "t_word_hit",
+    "part_entries",
+    "regexp_matches(name_lc, '(^|[^a-z0-9])ring([^a-z0-9]|$)')",
+    "ring",
+    whole_word=True,
+)
 _register_search("t_word_never", "part_entries", "false", "small ring", whole_word=True)
 _register_search(
     "t_glob", "part_entries", "name_lc LIKE '%r_ng\\_%9.small' ESCAPE '\\'", "R?ng_*9.SMALL"
 )
 _register_search("t_glob_open_end", "part_entries", "contains(name_lc, 'ring_1')", "ring_1*")
 _register_search("t_glob_quirk", "part_entries", "false", "*?mall")
+_register_search(
+    "t_glob_quirk_hit",
+    "asked_entries",
+    "name_lc LIKE '%?ring\\_%9' ESCAPE '\\'",
+    "*?ring_*9",
+)
 _register_search(
     "t_glob_whole",
     "part_entries",
@@ -361,6 +395,13 @@ _register_search(
     "regexp_matches(name_lc, '^(red|blue) [a-z]+_[0-9]{2,3}[.]s')",
     [Regex(r"^(red|blue) [a-z]+_\d{2,3}\.s")],
 )
+_register_search(
+    "t_regex_capital_hit",
+    "doc_entries",
+    "regexp_matches(path, '(MKV|PDF)$')",
+    [Regex("(MKV|PDF)$")],
+    match_case=True,
+)
 _register_search("t_regex_capital", "part_entries", "false", [Regex("^Red")])
 _register_search(
     "t_regex_case",
@@ -540,6 +581,17 @@ def page_with_totals(spark, folder):
     return found.page_with_totals.select("path", "name", "size", "total_count", "total_size")
 
 
+@register(
+    "page_after",
+    """SELECT path, size FROM order_entries_p
+       WHERE size < 150000 OR (size = 150000 AND path > '/archive/c_1')
+       ORDER BY size DESC, path LIMIT 50""",
+)
+def page_after(spark, folder):
+    found = search(tables.order_entries(spark, folder), sort="size-desc")
+    return found.page_after((150_000, "/archive/c_1"), 50).select("path", "size")
+
+
 # --- Grams -------------------------------------------------------------------
 
 _GRAMS_SQL = (
@@ -553,20 +605,16 @@ def name_grams(spark, folder):
     return grams.name_grams(tables.part_entries(spark, folder)).select("path", "gram")
 
 
-def _gram_index(spark: SparkSession, entries: DataFrame) -> grams.GramIndex:
+def _indexed(spark: SparkSession, entries: DataFrame) -> tuple[DataFrame, grams.GramIndex]:
+    """The entries as a saved catalogue, in several buckets, with its index."""
     target = new_folder(spark, "grams")
-    grams.save_grams(grams.name_grams(entries), target)
-    return grams.load_grams(spark, target)
+    catalogue.save_catalogue(entries, target, partitions=8)
+    return catalogue.load_catalogue(spark, target), grams.save_grams(spark, target)
 
 
-@register(
-    "gram_postings",
-    f"SELECT gram, path, size FROM ({_GRAMS_SQL.format('order_entries_p')}) "
-    "JOIN order_entries USING (path)",
-)
+@register("gram_postings", f"SELECT gram, path FROM ({_GRAMS_SQL.format('order_entries_p')})")
 def gram_postings(spark, folder):
-    index = _gram_index(spark, tables.order_entries(spark, folder))
-    return index.postings.select("gram", "path", "size")
+    return grams.name_grams(tables.order_entries(spark, folder))
 
 
 @register(
@@ -592,9 +640,45 @@ def gram_candidates(spark, folder):
     "gram_search", f"SELECT {ENTRY_SQL} FROM part_entries_p WHERE contains(name_lc, 'ring_19')"
 )
 def gram_search(spark, folder):
-    entries = tables.part_entries(spark, folder)
-    found = grams.gram_search(entries, _gram_index(spark, entries), "Ring_19")
-    return found.select(*ENTRY_FIELDS)
+    entries, index = _indexed(spark, tables.part_entries(spark, folder))
+    return grams.gram_search(entries, index, "Ring_19").select(*ENTRY_FIELDS)
+
+
+@register(
+    "gram_search_subset",
+    f"SELECT {ENTRY_SQL} FROM part_entries_p WHERE contains(name_lc, 'ring_1') AND size > 20480",
+)
+def gram_search_subset(spark, folder):
+    """Only what is in the given entries can be found."""
+    entries, index = _indexed(spark, tables.part_entries(spark, folder))
+    some = entries.filter(F.col("size") > 20480)
+    return grams.gram_search(some, index, "Ring_1").select(*ENTRY_FIELDS)
+
+
+@register(
+    "gram_search_after_changes",
+    """SELECT path, size FROM part_entries_p
+       WHERE contains(name_lc, 'ring_1') AND NOT contains(name_lc, 'ring_11')
+       UNION ALL
+       SELECT '/new/ring_1_' || p_partkey, p_partkey FROM part WHERE p_partkey % 20 = 0""",
+)
+def gram_search_after_changes(spark, folder):
+    """An index of the version before still gives the answer of the entries after."""
+    parts = tables.part_entries(spark, folder)
+    target = new_folder(spark, "grams")
+    catalogue.save_catalogue(parts, target, partitions=8)
+    index = grams.save_grams(spark, target)
+    new = tables.table(spark, folder, "part").filter("p_partkey % 20 = 0")
+    key = F.col("p_partkey").cast("bigint")
+    columns = {"kind": F.lit("create"), "size": key, "seq": key}
+    new = new.withColumns(columns).withColumn("path", F.concat(F.lit("/new/ring_1_"), key))
+    gone = parts.filter(F.lower("path").contains("ring_11")).withColumns(
+        {"kind": F.lit("delete"), "seq": F.lit(0).cast("bigint")}
+    )
+    events = ch.as_changes(new).unionByName(ch.as_changes(gone))
+    catalogue.save_catalogue(ch.apply_changes(parts, events), target)
+    entries = catalogue.load_catalogue(spark, target)
+    return grams.gram_search(entries, index, "Ring_1").select("path", "size")
 
 
 @register(
@@ -603,10 +687,9 @@ def gram_search(spark, folder):
     "AND extension = 'txt' AND size > 100000 AND NOT contains(name_lc, '7')",
 )
 def gram_search_ext(spark, folder):
-    entries = tables.order_entries(spark, folder)
+    entries, index = _indexed(spark, tables.order_entries(spark, folder))
     wanted = {"terms": ["0012", Not(Substring("7"))], "ext": "txt", "size": ">100kb"}
-    found = grams.seeded_matches(entries, _gram_index(spark, entries), **wanted)
-    return found.select(*ENTRY_FIELDS)
+    return grams.seeded_matches(entries, index, **wanted).select(*ENTRY_FIELDS)
 
 
 @register(
@@ -641,8 +724,8 @@ def _lines_between(spark, folder, first=None, last=None):
 @register(
     "gram_postings_refresh",
     f"""WITH before AS {_BEFORE}, after AS {_AFTER},
-          parts AS (SELECT path, size, lower(string_split(path, '/')[-1]) AS name_lc FROM after)
-        SELECT gram, path, size FROM ({_GRAMS_SQL.format('parts')}) JOIN parts USING (path)""",
+          parts AS (SELECT path, lower(string_split(path, '/')[-1]) AS name_lc FROM after)
+        SELECT gram, path FROM ({_GRAMS_SQL.format('parts')})""",
 )
 def gram_postings_refresh(spark, folder):
     before = _lines_between(spark, folder, last="1999-01-01")
@@ -650,8 +733,7 @@ def gram_postings_refresh(spark, folder):
     diff = reconcile.reconcile_diff(before, after)
     added = after.join(diff.filter("status IN ('added', 'changed')"), "path", "left_semi")
     removed = diff.filter("status = 'removed'")
-    fresh = grams.refresh_postings(grams.name_grams(before), removed, added)
-    return fresh.select("gram", "path", "size")
+    return grams.refresh_postings(grams.name_grams(before), removed, added)
 
 
 # --- Changes -----------------------------------------------------------------
@@ -756,9 +838,33 @@ def apply_changes_shuffled(spark, folder):
 def stream_apply(spark, folder):
     target = new_folder(spark, "stream")
     fold.start_catalogue(tables.user_entries(spark, folder), target)
-    events = tables.change_columns(_event_stream(spark, folder))
-    query = fold.fold_stream(events, target, compact_every=1)
+    # The feed out of order, in several batches, folded into a new version now and then.
+    feed = f"{new_folder(spark, 'feed')}/events.parquet"
+    events = tables.table(spark, folder, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(feed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(feed)
+    query = fold.fold_stream(tables.change_columns(stream), target, compact_every=2)
+    query.awaitTermination()
+    return fold.current_catalogue(spark, target).select(*ENTRY_FIELDS)
+
+
+@register(
+    "refresh_keeps_changes",
+    _FOLD.format(
+        steps=_STEPS.format(
+            events="(SELECT * FROM changes WHERE seq > (SELECT max(seq) // 2 FROM changes))"
+        ),
+        also="",
+    ),
+)
+def refresh_keeps_changes(spark, folder):
+    """A listing that knows the first half of the events; the other half stays logged."""
+    users, target = tables.user_entries(spark, folder), new_folder(spark, "refresh")
+    fold.start_catalogue(users, target)
+    query = fold.fold_stream(tables.change_columns(_event_stream(spark, folder)), target)
     query.awaitTermination()
+    half = tables.changes(spark, folder).agg(F.max("seq")).first()[0] // 2
+    refresh(spark, target, users, as_of_seq=half)
     return fold.current_catalogue(spark, target).select(*ENTRY_FIELDS)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from pathlode.functions.marks import mark_path, render_ansi
 from pathlode.operators import grams as grams_
 from pathlode.operators.predicates import matches
+from pathlode.operators.sorting import TOP_ROWS, page_after, sort_order
 from pathlode.operators.sorting import page as page_of
 from pathlode.operators.terms import as_terms, needles_of
+from pathlode.operators.totals import taken_with_totals, with_totals
 from pathlode.operators.totals import totals as totals_of
-from pathlode.operators.totals import with_totals
 
 RESULT_COLUMNS = [
     "path",
@@ -27,24 +29,49 @@ RESULT_COLUMNS = [
     "accessed",
 ]
 DESKTOP_COLUMNS = ["path", "name", "parent", "extension", "is_dir", "size", "modified"]
-DESKTOP_LIMIT = 10_000  # fixed value: the desktop page size
 
 
 @dataclass(frozen=True)
 class SearchResult:
-    """Lazy parts of an answer; each is planned and run on its own."""
+    """Parts of an answer; each is planned and run on its own, and none before it is asked for."""
 
     matched: DataFrame
-    page: DataFrame
+    sort: str = "name"
+    offset: int = 0
+    limit: int | None = None
+    needles: tuple[str, ...] = ()
+
+    def _page(self, matched: DataFrame) -> DataFrame:
+        page = page_of(matched, self.sort, self.offset, self.limit)
+        if self.needles:
+            page = page.withColumn("path", mark_path(F.col("path"), list(self.needles)))
+        return page
+
+    @cached_property
+    def page(self) -> DataFrame:
+        """The rows asked for; a page beyond the bound of a top-n runs its jobs here."""
+        return self._page(self.matched)
 
     @property
     def totals(self) -> DataFrame:
         """One row with the count and size of all matches, before paging."""
         return totals_of(self.matched)
 
-    @property
+    @cached_property
     def page_with_totals(self) -> DataFrame:
-        return with_totals(self.page, self.matched)
+        """The page with the totals on every row, both from one scan where that is a top-n."""
+        if self.limit is None or self.offset + self.limit > TOP_ROWS:
+            return with_totals(self.page, self.matched)
+        position = F.monotonically_increasing_id()
+        # A top-n is one partition, so the numbers keep its order.
+        taken = taken_with_totals(
+            self.matched, lambda m: self._page(m).withColumn("_position", position)
+        )
+        return taken.orderBy("_position").drop("_position")
+
+    def page_after(self, last: tuple, limit: int) -> DataFrame:
+        """The next rows behind ``last``, the sort key and path of the last row shown."""
+        return page_after(self.matched, self.sort, last, limit)
 
 
 def search(
@@ -60,18 +87,16 @@ def search(
 ) -> SearchResult:
     """Search a catalogue; ``wanted`` are the criteria of ``operators.predicates.criteria``.
 
-    With ``grams`` the search goes through the posting table where it can.
+    With ``grams`` the search reads only the buckets that can hold its texts. Runs no job.
     """
     terms = as_terms(terms)
     if grams is None:
         matched = matches(entries, terms=terms, **wanted)
     else:
         matched = grams_.seeded_matches(entries, grams, terms=terms, **wanted)
-    matched = matched.select(*RESULT_COLUMNS)
-    page = page_of(matched, sort, offset, limit)
-    if highlight and terms:
-        page = page.withColumn("path", mark_path(F.col("path"), needles_of(terms)))
-    return SearchResult(matched, page)
+    sort_order(sort)  # an unknown sort is an error here and not later
+    needles = tuple(needles_of(terms)) if highlight and terms else ()
+    return SearchResult(matched.select(*RESULT_COLUMNS), sort, offset, limit, needles)
 
 
 def colored(page: DataFrame, color: int = 2) -> DataFrame:
@@ -79,6 +104,12 @@ def colored(page: DataFrame, color: int = 2) -> DataFrame:
     return page.withColumn("path", render_ansi(F.col("path"), color))
 
 
-def desktop_rows(page: DataFrame, size_indexed: bool = True) -> DataFrame:
-    """The narrower rows of the desktop list."""
+DESKTOP_LIMIT = 10_000  # fixed value: the page size of the desktop list
+
+
+def desktop_rows(
+    found: SearchResult, limit: int = DESKTOP_LIMIT, size_indexed: bool = True
+) -> DataFrame:
+    """The narrower rows of the desktop list: the first ``limit`` ones."""
+    page = page_of(found.matched, found.sort, found.offset, limit)
     return page.select(*DESKTOP_COLUMNS, F.lit(size_indexed).alias("size_indexed"))

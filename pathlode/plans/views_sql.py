@@ -24,6 +24,11 @@ _VIEWS = {
                false AS is_dir, p_size::BIGINT * 1024 AS size,
                0::BIGINT AS modified, 0::BIGINT AS created, 0::BIGINT AS accessed
         FROM part""",
+    "asked_entries": """
+        SELECT '/asked/' || replace(p_name, ' ', '?') || '_' || p_partkey AS path,
+               false AS is_dir, p_size::BIGINT AS size,
+               0::BIGINT AS modified, 0::BIGINT AS created, 0::BIGINT AS accessed
+        FROM part""",
     "page_entries": """
         SELECT '/' || regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://', '') AS path,
                false AS is_dir, length(html)::BIGINT AS size,

@@ -23,6 +23,15 @@ STORED = T.StructType(
     ENTRY.fields + [T.StructField(name, T.StringType(), False) for name in PART_FIELDS]
 )
 
+# What a stored entry keeps for events that arrive later: the order of its last create, of each
+# field's last report, and of the last delete of the path itself.
+ORDERS = T.StructType(
+    [
+        T.StructField(name, T.LongType(), True)
+        for name in ("create_ord", *(f"{f}_ord" for f in META_FIELDS), "delete_ord")
+    ]
+)
+
 # One change event; kind is create, delete, modify, move or overflow.
 CHANGE = T.StructType(
     [

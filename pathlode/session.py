@@ -48,6 +48,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/pathlode/{label}-{uuid.uuid4().hex}"
 
 
+def is_folder(spark: SparkSession, place: str) -> bool:
+    """Whether ``place`` is a folder, in any store that Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(path) and files.getFileStatus(path).isDirectory()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

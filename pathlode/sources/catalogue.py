@@ -1,7 +1,10 @@
 """Saved catalogues: immutable versions, and a log table that says which one holds.
 
 A version becomes visible by one appended log row, after its files are complete;
-readers of an older version are never disturbed.
+readers of an older version are never disturbed. The files of a version lie in
+one folder per bucket, a range of paths (or of the clustering column); an index of
+the names says which buckets to read. Beside the entries a version keeps the
+state of paths that are not alive, for events that arrive later.
 """
 
 from __future__ import annotations
@@ -13,13 +16,14 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathlode.functions.paths import with_parts
-from pathlode.schema import STORED
+from pathlode.schema import ENTRY, ORDERS, STORED
 
 LOG = (
     "version bigint, folder string, entries bigint, bytes bigint, "
-    "through_batch bigint, reason string, millis bigint, saved timestamp"
+    "through_batch bigint, reason string, millis bigint, saved timestamp, floor_seq bigint"
 )
 
 
@@ -44,6 +48,11 @@ def latest_version(spark: SparkSession, folder: str) -> Row | None:
         raise
 
 
+def log_of(folder: str, version: int) -> str:
+    """Every version has its own log of events, so a reader lists only what came after it."""
+    return f"{folder}/log/version={version}"
+
+
 def save_catalogue(
     entries: DataFrame,
     folder: str,
@@ -51,10 +60,14 @@ def save_catalogue(
     reason: str = "save",
     cluster_by: str = "path",
     partitions: int | None = None,
+    past: DataFrame | None = None,
+    carry: DataFrame | None = None,
+    floor_seq: int | None = None,
 ) -> SaveStats:
     """Write a new version with its derived columns, in ranges of ``cluster_by``.
 
-    A folder has one writer at a time, and any number of readers.
+    A folder has one writer at a time, and any number of readers. A path that
+    occurs twice is an error.
 
     Parquet statistics then prune lookups and subtree searches by path (or, in a
     copy clustered by ``name_lc`` or ``extension``, searches by prefix or by
@@ -62,6 +75,10 @@ def save_catalogue(
     a large part of all files is spread over many of them.  ``partitions`` sets
     the number of ranges where ``spark.sql.shuffle.partitions`` is too few for
     the data (a range is one task and one file; aim at some hundred megabytes).
+
+    Entries may hold the columns of ``ORDERS``; ``past`` is the state of paths that are
+    not alive, ``carry`` the events that the new version's log starts with, and
+    ``floor_seq`` the ``seq`` up to which late events are no longer accepted.
     """
     started = time.monotonic()
     spark = entries.sparkSession
@@ -69,28 +86,65 @@ def save_catalogue(
     version = last["version"] + 1 if last else 0
     data = f"{folder}/data/v{version:08d}-{uuid.uuid4().hex}"
     keys = list(dict.fromkeys([cluster_by, "path"]))
-    stored = with_parts(entries).select(*STORED.fieldNames())
+    stored = with_parts(entries)
+    orders = [c for c in ORDERS.fieldNames() if c in stored.columns]
+    stored = stored.select(*STORED.fieldNames(), *orders)
     ranges = [partitions, *keys] if partitions else keys
-    stored.repartitionByRange(*ranges).sortWithinPartitions(*keys).write.parquet(data)
-    count = spark.read.schema(STORED).parquet(data).count()
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(data)
+    (
+        stored.repartitionByRange(*ranges)
+        .withColumn("bucket", F.spark_partition_id())
+        .sortWithinPartitions("bucket", *keys)
+        .write.partitionBy("bucket")
+        .parquet(data)
+    )
+    if past is not None:
+        past.write.parquet(f"{data}-past")
+    if carry is not None:
+        carry.write.mode("overwrite").parquet(f"{log_of(folder, version)}/batch={through_batch}")
+    checked = spark.read.schema(STORED).parquet(data)
+    counted = checked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths")).first()
+    if counted["n"] != counted["paths"]:
+        raise ValueError(f"{counted['n'] - counted['paths']} entries repeat the path of another one")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = files.option("pathGlobFilter", "*.parquet").load(data)
     size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     row = spark.range(1, numPartitions=1).select(
         F.lit(version).cast("bigint").alias("version"),
         F.lit(data).alias("folder"),
-        F.lit(count).cast("bigint").alias("entries"),
+        F.lit(counted["n"]).cast("bigint").alias("entries"),
         F.lit(size).cast("bigint").alias("bytes"),
         F.lit(through_batch).cast("bigint").alias("through_batch"),
         F.lit(reason).alias("reason"),
         F.lit(round(1000 * (time.monotonic() - started))).cast("bigint").alias("millis"),
         F.current_timestamp().alias("saved"),
+        F.lit(floor_seq).cast("bigint").alias("floor_seq"),
     )
     row.write.mode("append").parquet(f"{folder}/versions")
-    return SaveStats(version, count, size)
+    return SaveStats(version, counted["n"], size)
 
 
 def read_version(spark: SparkSession, row: Row) -> DataFrame:
-    return spark.read.schema(STORED).parquet(row["folder"])
+    """The entries of a version, with the ``version`` and ``bucket`` they are stored in."""
+    files = spark.read.schema(T.StructType([*STORED.fields, T.StructField("bucket", T.IntegerType())]))
+    return files.parquet(row["folder"]).withColumn("version", F.lit(row["version"]))
+
+
+def read_state(spark: SparkSession, row: Row) -> DataFrame:
+    """Entries and past paths of a version with the orders of their parts."""
+    alive = spark.read.schema(T.StructType([*ENTRY.fields, *ORDERS.fields])).parquet(row["folder"])
+    # Versions that were saved without orders come before all events.
+    first = {c: F.coalesce(c, F.lit(-1)) for c in ORDERS.fieldNames() if c != "delete_ord"}
+    alive = alive.withColumns(first).select(*_PAST.fieldNames())
+    try:
+        past = spark.read.schema(_PAST).parquet(f"{row['folder']}-past")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return alive
+    return alive.unionByName(past)
+
+
+_PAST = T.StructType([T.StructField(f.name, f.dataType) for f in [*ENTRY.fields, *ORDERS.fields]])
 
 
 def load_catalogue(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:

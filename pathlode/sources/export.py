@@ -21,7 +21,8 @@ def export(
 ) -> None:
     """Write the paths of ``rows`` in their order.
 
-    CSV quotes every value and ends lines with CR LF; TSV quotes nothing; text
+    CSV quotes every value and ends lines with CR LF; TSV quotes nothing; both
+    have one header, in the first part, so that the parts in order are one file. Text
     (and ``efu``, which is the same) is one path per line.  ``on_empty`` is
     ``"error"`` to raise :class:`NoResults`, or ``"hide"`` to write nothing.
     """
@@ -31,13 +32,13 @@ def export(
         if on_empty == "error":
             raise NoResults("no results")
         return
-    named = rows.select(F.col("path").alias("Name"))
-    if format == "csv":
-        options = {"quoteAll": "true", "escape": '"', "lineSep": "\r\n", "emptyValue": ""}
-        named.write.options(**options).option("header", header).csv(folder)
-    elif format == "tsv":
-        # No quoting, so this is plain text with a header line on every file.
-        options = {"sep": "\t", "quote": "", "escapeQuotes": "false", "lineSep": "\n"}
-        named.write.options(**options).option("header", header).csv(folder)
-    else:
-        named.write.text(folder)
+    path = F.col("path")
+    ends = {"csv": "\r\n"}.get(format, "\n")
+    quoted = F.concat(F.lit('"'), F.replace(path, F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = rows.select((quoted if format == "csv" else path).alias("value"))
+    if header and format in ("csv", "tsv"):
+        # The first part holds the header alone, so the parts in order are one valid file.
+        title = '"Name"' if format == "csv" else "Name"
+        first = rows.sparkSession.range(1, numPartitions=1).select(F.lit(title).alias("value"))
+        lines = first.union(lines)
+    lines.write.option("lineSep", ends).text(folder)

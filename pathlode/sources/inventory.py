@@ -31,18 +31,25 @@ def as_entries(rows: DataFrame) -> DataFrame:
 
 
 def read_inventory(
-    spark: SparkSession, locations: str | list[str], format: str = "parquet", **options: str
+    spark: SparkSession,
+    locations: str | list[str],
+    format: str = "parquet",
+    skip_unreadable: bool = False,
+    **options: str,
 ) -> DataFrame:
     """Inventory reports (Parquet, ORC, CSV, JSON) with the entry columns.
 
-    Unreadable files and malformed lines are skipped, not fatal.
+    Malformed lines are skipped. Damaged and vanished files are an error, unless
+    ``skip_unreadable``; then count them with :func:`silent_files`, and give a
+    listing that lacks some to ``refresh`` as one that is not ``complete``.
     """
     is_text = format in ("csv", "json")
     schema = ", ".join(
         f"{f.name} {'string' if is_text else f.dataType.simpleString()}" for f in ENTRY.fields
     )
     reader = spark.read.format(format).schema(schema).options(**options)
-    reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+    skip = str(skip_unreadable).lower()
+    reader = reader.option("ignoreMissingFiles", skip).option("ignoreCorruptFiles", skip)
     rows = reader.load(locations)
     if is_text:
         # A line is judged by all its columns, also when a query asks for few of them.
@@ -52,6 +59,23 @@ def read_inventory(
     return as_entries(rows)
 
 
+def silent_files(
+    spark: SparkSession, locations: str | list[str], format: str = "parquet", **options: str
+) -> DataFrame:
+    """Files of an inventory (``file``, ``size``) that gave no row: damaged ones, and empty ones."""
+    listed = spark.read.format("binaryFile").load(locations)
+    reader = spark.read.format(format).schema(ENTRY).options(**options)
+    reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+    # A column is read as well, or a damaged file could count by its footer alone.
+    rows = reader.load(locations).select("_metadata.file_path", "path")
+    heard = rows.groupBy("file_path").agg(F.count("path").alias("n"))
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    return (
+        listed.select(plain(F.col("path")).alias("file"), F.col("length").alias("size"))
+        .join(heard.select(plain(F.col("file_path")).alias("file")), "file", "left_anti")
+    )
+
+
 def without_metadata(entries: DataFrame) -> DataFrame:
     """Entries taken without looking at the files: size and times are 0."""
     return entries.withColumns({c: F.lit(0).cast("bigint") for c in META_FIELDS})
@@ -73,8 +97,9 @@ def union_roots(*listings: DataFrame) -> DataFrame:
 
 
 def with_directories(files: DataFrame) -> DataFrame:
-    """Add a directory entry for every directory above some file."""
-    directories = as_entries(derive_directories(files).withColumn("is_dir", F.lit(True)))
+    """Add a directory entry for every directory above some entry that has none yet."""
+    missing = derive_directories(files).join(files.select("path"), "path", "left_anti")
+    directories = as_entries(missing.withColumn("is_dir", F.lit(True)))
     return files.select(*ENTRY_FIELDS).unionByName(directories)
 
 
@@ -83,8 +108,10 @@ def scan_files(
 ) -> DataFrame:
     """Files below the locations (a listing only; no content is read).
 
-    Spark lists files, not directories, leaves out names starting with ``.`` or
-    ``_``, and knows size and modification time only.
+    For folders of a bounded number of files: the listing passes through the
+    driver. Larger stores are listed by their inventories. Spark lists files, not
+    directories, leaves out names starting with ``.`` or ``_`` (so a refresh from
+    such a listing is not ``complete``), and knows size and modification time only.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     reader = reader.option("ignoreMissingFiles", "true")

@@ -78,6 +78,13 @@ def part_entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def asked_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Names with question marks."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("?")), F.lit("_"), _text("p_partkey"))
+    path = F.concat(F.lit("/asked/"), name)
+    return _untimed(table(spark, folder, "part"), path, F.col("p_size").cast("bigint"))
+
+
 def page_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Hosts and their paths; some end in a slash and so have an empty name."""
     bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "")

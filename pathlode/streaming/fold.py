@@ -5,9 +5,11 @@ readers fold the log into the saved version (a broadcast merge while the log is
 small).  The log is folded into a new version only now and then, so no batch
 rewrites the catalogue.
 
-Events take effect in the order of ``seq``, also when they arrive in different
-batches.  What was already folded into a version counts as earlier, and a version
-saved by a refresh starts an empty log.
+Events take effect in the order of ``seq``, in whatever batches they arrive and
+whenever the log is folded: a version keeps the order of every part of its state,
+and the paths that are not alive. ``keep_past`` bounds for how long; events that
+come later still, and events that cannot be read, are put aside, counted, and
+treated like events that were lost.
 """
 
 from __future__ import annotations
@@ -15,17 +17,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from pathlode.operators.changes import EVERYWHERE, Scope, apply_changes, as_changes
+from pathlode.functions.paths import with_parts
+from pathlode.operators.changes import (
+    EVERYWHERE,
+    KINDS,
+    ORD_FIELDS,
+    STATE_FIELDS,
+    Scope,
+    as_changes,
+    fold_state,
+    moves_without_contents,
+)
 from pathlode.operators.monitor import status_row
 from pathlode.plans.search import search
-from pathlode.schema import CHANGE
+from pathlode.schema import CHANGE, ENTRY_FIELDS
+from pathlode.session import written
 from pathlode.sources.catalogue import (
     SaveStats,
     latest_version,
+    log_of,
+    read_state,
     read_version,
     save_catalogue,
 )
@@ -41,11 +57,6 @@ def _read_log(spark: SparkSession, location: str) -> DataFrame:
         return spark.createDataFrame([], CHANGE).withColumn("batch", F.lit(0))
 
 
-def _log_of(folder: str, version: Row) -> str:
-    """Every version has its own log, so a reader lists only what came after it."""
-    return f"{folder}/log/version={version['version']}"
-
-
 def start_catalogue(entries: DataFrame, folder: str) -> SaveStats:
     """Save the first version, the base of the log."""
     return save_catalogue(entries, folder, reason="start")
@@ -54,34 +65,101 @@ def start_catalogue(entries: DataFrame, folder: str) -> SaveStats:
 def logged_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events since the latest version."""
     version = latest_version(spark, folder)
-    return _read_log(spark, _log_of(folder, version)).drop("batch")
+    return _read_log(spark, log_of(folder, version["version"])).drop("batch")
+
+
+def events_after(spark: SparkSession, folder: str, seq: int) -> DataFrame:
+    """All events logged for any version with a later ``seq``, each once."""
+    log = _read_log(spark, f"{folder}/log").filter(F.col("seq") > seq)
+    return log.select(*CHANGE.fieldNames()).distinct()
 
 
 def current_catalogue(spark: SparkSession, folder: str, scope: Scope = EVERYWHERE) -> DataFrame:
-    """The latest version with the events logged since folded in."""
+    """The latest version with the events logged since folded in.
+
+    With a log the entries are no longer those of a stored bucket, so a search
+    through grams reads them all until the log is folded.
+    """
     version = latest_version(spark, folder)
-    saved = read_version(spark, version)
-    events = _read_log(spark, _log_of(folder, version)).drop("batch")
-    return saved if events.isEmpty() else apply_changes(saved, events, scope)
+    events = _read_log(spark, log_of(folder, version["version"])).drop("batch")
+    if events.isEmpty():
+        return read_version(spark, version)
+    state = fold_state(read_state(spark, version), events, scope)
+    return with_parts(state.filter("alive").select(*ENTRY_FIELDS))
 
 
 def compact(
-    spark: SparkSession, folder: str, through_batch: int, scope: Scope = EVERYWHERE
+    spark: SparkSession,
+    folder: str,
+    through_batch: int,
+    scope: Scope = EVERYWHERE,
+    keep_past: int | None = None,
 ) -> SaveStats:
-    """Fold the log into a new version."""
-    entries = current_catalogue(spark, folder, scope)
-    return save_catalogue(entries, folder, through_batch, reason="compact")
+    """Fold the log into a new version.
+
+    With ``keep_past`` the version forgets what happened more than that many
+    ``seq`` ago to paths that are not alive; events as old are refused from then on.
+    """
+    version = latest_version(spark, folder)
+    events = _read_log(spark, log_of(folder, version["version"])).drop("batch")
+    floor = version["floor_seq"]
+    if keep_past is not None:
+        newest = events.agg(F.max("seq")).first()[0]
+        if newest is not None:
+            floor = max(newest - keep_past, -1 if floor is None else floor)
+    state = written(fold_state(read_state(spark, version), events, scope), "state")
+    past = state.filter("NOT alive")
+    if floor is not None:
+        past = past.filter(F.greatest(*ORD_FIELDS) > 2 * floor + 1)
+    # Paths that are alive again keep their last delete beside their entry.
+    return save_catalogue(
+        state.filter("alive"),
+        folder,
+        through_batch,
+        reason="compact",
+        past=past.select(*STATE_FIELDS),
+        floor_seq=floor,
+    )
+
+
+def refused(spark: SparkSession, folder: str) -> DataFrame:
+    """Events put aside, with the ``reason`` and the ``batch``."""
+    try:
+        return spark.read.schema(_REFUSED).parquet(f"{folder}/refused")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType([*_REFUSED.fields])).withColumn("batch", F.lit(0))
+
+
+_REFUSED = T.StructType(
+    [T.StructField("reason", T.StringType()), *[T.StructField(f.name, f.dataType) for f in CHANGE.fields]]
+)
+
+
+def _why_refused(floor: int | None) -> Column:
+    late = F.lit(False) if floor is None else F.col("seq") <= floor
+    return (
+        F.when(F.col("seq").isNull(), "no seq")
+        .when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "unknown kind")
+        .when(F.col("path").isNull() & (F.col("kind") != "overflow"), "no path")
+        .when((F.col("kind") == "move") & F.col("to_path").isNull(), "no path")
+        .when(late, "too late")
+    )
 
 
 def current_status(spark: SparkSession, folder: str, scope: Scope = EVERYWHERE) -> DataFrame:
     """The status row of the catalogue and its whole log, with the last build time.
 
-    Healthy means that the last batch held no overflow.
+    Healthy means that the last batch held no overflow, and that nothing of it
+    was refused.
     """
     log = _read_log(spark, f"{folder}/log")
     last_batch = log.select(F.max("batch").alias("b")).scalar()
     lost = log.filter((F.col("kind") == "overflow") & (F.col("batch") == last_batch))
-    healthy = lost.agg((F.count(F.lit(1)) == 0).alias("h")).scalar()
+    aside = refused(spark, folder).filter(F.col("batch") == F.coalesce(last_batch, F.lit(0)))
+    either = lost.select("seq").unionByName(aside.select("seq"))
+    healthy = either.agg((F.count(F.lit(1)) == 0).alias("h")).scalar()
     row = status_row(current_catalogue(spark, folder, scope), log.drop("batch", "version"))
     build_millis = latest_version(spark, folder)["millis"]
     return row.withColumns({"healthy": healthy, "build_millis": F.lit(build_millis)})
@@ -92,39 +170,58 @@ def fold_stream(
     folder: str,
     *,
     scope: Scope = EVERYWHERE,
-    relist: Callable[[], DataFrame] | None = None,
+    relist: Callable[[], tuple[DataFrame, int]] | None = None,
     searches: dict[str, dict] | None = None,
     compact_every: int = 100,
+    keep_past: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Run the stream into the catalogue in ``folder`` (its checkpoint lies there too).
 
-    A batch that holds an overflow throws the catalogue away and saves
-    ``relist()`` instead.  After every batch the standing ``searches`` (keyword
-    arguments of ``search`` by name) are answered anew, into
-    ``folder/searches/<name>/batch=<id>``.  Every step can be repeated for the
-    same batch without harm.
+    A batch that holds an overflow, or events that are refused, throws the catalogue
+    away and saves a listing instead: ``relist()`` returns it with the ``seq`` up to
+    which it knows the events; later ones are carried over. Without ``relist`` an
+    overflow is an error, and refused events show in :func:`current_status`, as do
+    directories that were moved without their contents.
+
+    After every batch the standing ``searches`` (keyword arguments of ``search`` by
+    name) are answered anew, into ``folder/searches/<name>/batch=<id>``.  Every step
+    can be repeated for the same batch without harm.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = latest_version(spark, folder)
         if version["through_batch"] < batch_id:
-            target = f"{_log_of(folder, version)}/batch={batch_id}"
-            as_changes(batch).write.mode("overwrite").parquet(target)
-            logged = spark.read.schema(CHANGE).parquet(target)
-            if not logged.filter(F.col("kind") == "overflow").isEmpty():
-                if relist is None:
-                    raise RuntimeError("events were lost, and there is no listing to rebuild from")
-                save_catalogue(relist(), folder, batch_id, reason="overflow")
-            elif (batch_id + 1) % compact_every == 0:
-                compact(spark, folder, batch_id, scope)
+            take_batch(spark, version, as_changes(batch), batch_id)
         if searches:
             entries = current_catalogue(spark, folder, scope)
             for name, wanted in searches.items():
                 target = f"{folder}/searches/{name}/batch={batch_id}"
                 search(entries, **wanted).page.write.mode("overwrite").parquet(target)
 
+    def take_batch(spark: SparkSession, version: Row, batch: DataFrame, batch_id: int) -> None:
+        judged = written(batch.withColumn("reason", _why_refused(version["floor_seq"])), "batch")
+        good = judged.filter("reason IS NULL").select(*CHANGE.fieldNames())
+        aside = judged.filter("reason IS NOT NULL").select(*_REFUSED.fieldNames())
+        if not good.filter("kind = 'move'").isEmpty():
+            orphans = moves_without_contents(current_catalogue(spark, folder, scope), good)
+            orphans = as_changes(orphans.withColumn("kind", F.lit("move")))
+            why = F.lit("moved without its contents").alias("reason")
+            aside = aside.unionByName(orphans.select(why, *CHANGE.fieldNames()))
+        aside.write.mode("overwrite").parquet(f"{folder}/refused/batch={batch_id}")
+        target = f"{log_of(folder, version['version'])}/batch={batch_id}"
+        good.write.mode("overwrite").parquet(target)
+        lost = not good.filter("kind = 'overflow'").isEmpty()
+        if lost and relist is None:
+            raise RuntimeError("events were lost, and there is no listing to rebuild from")
+        if lost or (relist and not refused(spark, folder).filter(F.col("batch") == batch_id).isEmpty()):
+            listing, seq = relist()
+            later = written(events_after(spark, folder, seq).filter("kind <> 'overflow'"), "carried")
+            save_catalogue(listing, folder, batch_id, reason="overflow", carry=later)
+        elif (batch_id + 1) % compact_every == 0:
+            compact(spark, folder, batch_id, scope, keep_past)
+
     writer = events.writeStream.foreachBatch(on_batch).option(
         "checkpointLocation", f"{folder}/checkpoint"
     )

@@ -15,13 +15,13 @@ from pathlode import (
     save_catalogue,
     scan_files,
     search,
+    silent_files,
 )
 from pathlode.operators.hierarchy import derive_directories, not_under, under
 from pathlode.operators.reconcile import reconcile_diff, stale, upsert
-from pathlode.operators.sorting import flag_sort, page, sort_order, with_position
+from pathlode.operators.sorting import flag_sort, page, page_after, sort_order, with_position
 from pathlode.operators.totals import extension_counts
 from pathlode.schema import ENTRY
-from pathlode.sources.crawl import crawl
 from pathlode.sources.inventory import as_entries, one_per_path, union_roots, with_directories
 
 
@@ -157,6 +157,9 @@ def test_directories(entries):
     data = entries("/a/b/c.txt", "/a/b/d/e.txt", "/top", "rel/x")
     assert paths(derive_directories(data)) == ["/a", "/a/b", "/a/b/d", "rel"]
     assert with_directories(data).filter("is_dir").count() == 4
+    # Directories that are listed stay as they are, and are not added again.
+    listed = with_directories(entries(("/a/", 7), "/a/b/c.txt")).orderBy("path").collect()
+    assert [(r["path"], r["size"]) for r in listed] == [("/a", 7), ("/a/b", 0), ("/a/b/c.txt", 0)]
 
 
 @pytest.mark.parametrize("broadcast", [None, False])
@@ -255,6 +258,81 @@ def test_positions_and_deep_pages(spark):
     assert page(rows, "size", offset=10**9, limit=5).isEmpty()
 
 
+def test_page_after(spark, entries):
+    data = entries(*[(f"/f/{i:03d}", i % 7) for i in range(100)])
+    for sort in ("size-desc", "size", "path", "path-desc", "name"):
+        whole = page(data, sort).collect()
+        key = sort_order(sort)
+        column = "size" if sort.startswith("size") else "path" if "path" in sort else "name"
+        for at in (0, 13, 98):
+            last = (whole[at][column], whole[at]["path"])
+            got = [r["path"] for r in page_after(data, sort, last, 10).collect()]
+            assert got == [r["path"] for r in whole[at + 1 : at + 11]], (sort, at, key)
+
+
+def jobs(spark, work):
+    """How many jobs the work started."""
+    group = f"count-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "")
+    result = work()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), result
+
+
+def test_searches_are_lazy_and_totals_take_no_second_scan(spark, entries, tmp_path):
+    save_catalogue(entries(*[(f"/f/{i:03d}", i) for i in range(50)]), str(tmp_path / "c"))
+    data = load_catalogue(spark, str(tmp_path / "c"))
+    n, found = jobs(spark, lambda: search(data, "0", sort="size-desc", offset=3, limit=20_000))
+    assert n == 0
+    n, _ = jobs(spark, lambda: found.totals)
+    assert n == 0
+    small = search(data, "0", sort="size-desc", offset=3, limit=4)
+    n, rows = jobs(spark, lambda: small.page_with_totals)
+    assert n == 1
+    got = rows.collect()
+    expected = small.page.collect()
+    assert [r["path"] for r in got] == [r["path"] for r in expected]
+    totals = small.totals.first()
+    assert {(r["total_count"], r["total_size"]) for r in got} == {tuple(totals)}
+    assert search(data, "nothing", limit=4).page_with_totals.collect() == []
+    assert search(data, files=True, folders=True, limit=4).page_with_totals.collect() == []
+    assert search(data, "0", limit=0).page_with_totals.collect() == []
+
+
+def test_nothing_vanishes_in_silence(spark, entries, tmp_path):
+    rows = entries(*[f"/d/{i}" for i in range(100)]).select(*ENTRY.fieldNames())
+    rows.repartition(4).write.parquet(str(tmp_path / "inv"))
+    part = sorted((tmp_path / "inv").glob("part-*"))[0]
+    part.write_bytes(b"damaged" + part.read_bytes()[100:200])
+    for crc in (tmp_path / "inv").glob(".part-*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception):
+        read_inventory(spark, str(tmp_path / "inv")).collect()
+    kept = read_inventory(spark, str(tmp_path / "inv"), skip_unreadable=True)
+    assert 0 < kept.count() < 100
+    silent = silent_files(spark, str(tmp_path / "inv")).collect()
+    assert [r["file"] for r in silent] == [str(part)]
+    refresh(spark, str(tmp_path / "c"), rows)
+    stats, diff = refresh(spark, str(tmp_path / "c"), kept, complete=False)
+    assert stats.entries == 100 and diff.filter("status <> 'same'").isEmpty()
+
+
+def test_paths_of_every_store_are_taken(entries):
+    data = entries("s3a://bucket/tmp.d/x", "hdfs://n/a/b.tmp", "rel/x", "/abs", "s3a://b.tmp/.h/y", "s3a://b.tmp/z")
+    bare = data.drop("name", "parent", "extension", "name_lc")
+    assert paths(build_catalogue(bare)) == ["/abs", "hdfs://n/a/b.tmp", "rel/x", "s3a://b.tmp/z", "s3a://bucket/tmp.d/x"]
+    rule = Excludes(patterns=("*.tmp",))
+    assert paths(build_catalogue(bare, excludes=rule)) == ["/abs", "rel/x", "s3a://b.tmp/z", "s3a://bucket/tmp.d/x"]
+    only = Excludes(include_only=("x", "rel", "tmp.d"))
+    assert paths(build_catalogue(bare, excludes=only)) == ["rel/x", "s3a://bucket/tmp.d/x"]
+
+
+def test_repeated_paths_are_an_error(spark, entries, tmp_path):
+    with pytest.raises(ValueError, match="repeat the path"):
+        save_catalogue(entries("/a", "/b", "/a"), str(tmp_path / "c"))
+    with pytest.raises(FileNotFoundError):
+        load_catalogue(spark, str(tmp_path / "c"))
+
+
 def written_text(folder):
     return "".join(open(f, newline="").read() for f in sorted(glob.glob(f"{folder}/part-*")))
 
@@ -273,6 +351,11 @@ def test_export(spark, tmp_path):
         folder = str(tmp_path / f"{format}-{header}")
         export(rows, format, folder, header=header)
         assert written_text(folder) == expected, format
+    # Many parts still have one header, and keep the order.
+    many = spark.range(1000).selectExpr("concat('/p/', id) AS path").repartition(7).orderBy("path")
+    export(many, "csv", str(tmp_path / "many"))
+    lines = written_text(str(tmp_path / "many")).split("\r\n")[:-1]
+    assert lines == ['"Name"', *sorted(f'"/p/{i}"' for i in range(1000))]
     none = rows.filter("false")
     export(none, "txt", str(tmp_path / "none"))
     assert written_text(str(tmp_path / "none")) == ""
@@ -286,38 +369,3 @@ def test_export(spark, tmp_path):
 
 def test_schema_of_a_catalogue(entries):
     assert entries("/a").select(*ENTRY.fieldNames()).schema == ENTRY
-
-
-def test_crawl(spark, tmp_path):
-    root = tmp_path / "tree"
-    for folder in ("docs/sub", ".hidden", "node_modules"):
-        (root / folder).mkdir(parents=True)
-    files = {
-        "docs/foo.txt": "hello",
-        "docs/bar.rs": "fn main() {}",
-        "docs/sub/baz.md": "# x",
-        "music.mp3": "",
-        ".secret.txt": "x",
-        ".hidden/secret.txt": "x",
-        "node_modules/pkg.js": "x",
-    }
-    for name, text in files.items():
-        (root / name).write_text(text)
-    (root / "link.txt").symlink_to(root / "music.mp3")
-    (root / "linked").symlink_to(root / "docs")
-
-    found = crawl(spark, [str(root), str(root / "docs")])
-    inside = {r["path"].removeprefix(f"{root}/"): r for r in found.collect()}
-    dirs = {"docs", "docs/sub", "node_modules"}
-    assert set(inside) == (set(files) | dirs) - {".hidden/secret.txt"}
-    assert {p for p, r in inside.items() if r["is_dir"]} == dirs
-    assert inside["docs/foo.txt"]["size"] == 5 and inside["docs/foo.txt"]["modified"] > 0
-
-    rules = Excludes(skip_hidden=True, folders=("**/node_modules",), patterns=("*.md",))
-    pruned = crawl(spark, [f"{root}/"], rules, metadata=False)
-    assert paths(pruned) == [
-        f"{root}/{p}" for p in ("docs", "docs/bar.rs", "docs/foo.txt", "docs/sub", "music.mp3")
-    ]
-    assert pruned.filter("size + modified + accessed <> 0").isEmpty()
-    assert crawl(spark, [str(tmp_path / "missing")]).isEmpty()
-    assert names(search(build_catalogue(found, (str(root),)), "foo").page) == ["foo.txt"]

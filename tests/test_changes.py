@@ -3,12 +3,14 @@ import random
 import pytest
 from conftest import paths
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathlode import (
     Excludes,
     apply_changes,
     current_catalogue,
     fold_stream,
+    refresh,
     save_catalogue,
     start_catalogue,
     stream_changes,
@@ -18,7 +20,7 @@ from pathlode.operators.monitor import change_log_tail, changes_per_day, status_
 from pathlode.schema import CHANGE, ENTRY_FIELDS
 from pathlode.sources.catalogue import versions
 from pathlode.sources.events import changes_from_json
-from pathlode.streaming.fold import current_status, logged_events
+from pathlode.streaming.fold import compact, current_status, logged_events, refused
 
 
 def event(seq, kind, path=None, to_path=None, is_dir=None, size=None, modified=None):
@@ -146,7 +148,11 @@ def test_events_from_json(spark):
     texts = ['{"seq": 1, "kind": "create", "path": "/x", "size": 5}', "no json", "{}"]
     rows = spark.createDataFrame([(t,) for t in texts], "value string")
     got = changes_from_json(rows).collect()
-    assert [(r["seq"], r["kind"], r["path"], r["size"]) for r in got] == [(1, "create", "/x", 5)]
+    assert [(r["seq"], r["kind"], r["path"], r["size"]) for r in got] == [
+        (1, "create", "/x", 5),
+        (None, None, None, None),
+        (None, None, None, None),
+    ]
 
 
 def test_latest_by_path(spark):
@@ -204,7 +210,7 @@ def test_overflow_rebuilds_from_a_listing(spark, entries, tmp_path):
         [event(4, "create", "/y", size=2)],
     ]
     listing = entries("/fresh/one", "/fresh/two")
-    folder = run_stream(spark, tmp_path, entries(*BASE), batches, relist=lambda: listing)
+    folder = run_stream(spark, tmp_path, entries(*BASE), batches, relist=lambda: (listing, 3))
     assert paths(current_catalogue(spark, folder)) == ["/fresh/one", "/fresh/two", "/y"]
     reasons = [r["reason"] for r in versions(spark, folder).orderBy("version").collect()]
     assert reasons == ["start", "overflow"]
@@ -226,6 +232,90 @@ def test_a_repeated_batch_changes_nothing(spark, entries, tmp_path):
     assert state_of(current_catalogue(spark, folder)) == expected
 
 
+def test_batches_and_folding_do_not_matter(spark, entries, tmp_path):
+    """One feed in any batches, folded at any time, is its replay."""
+    base, rng = entries(*BASE), random.Random(20)
+    feed = random_feed(rng, 90)
+    expected = replay(base.collect(), feed)
+    rng.shuffle(feed)
+    cuts = sorted(rng.sample(range(1, len(feed)), 2))
+    batches = [feed[a:b] for a, b in zip([0, *cuts], [*cuts, len(feed)])]
+    for compact_every in (1, 2, 100):
+        folder = tmp_path / f"every-{compact_every}"
+        folder.mkdir()
+        store = run_stream(spark, folder, base, batches, compact_every=compact_every)
+        assert state_of(current_catalogue(spark, store)) == expected, compact_every
+
+
+def test_a_late_create_stays_deleted(spark, entries, tmp_path):
+    batches = [[event(10, "delete", "/a")], [event(5, "create", "/a")]]
+    for compact_every in (1, 100):
+        folder = tmp_path / f"{compact_every}"
+        folder.mkdir()
+        store = run_stream(spark, folder, entries("/x", "/a"), batches, compact_every=compact_every)
+        assert paths(current_catalogue(spark, store)) == ["/x"]
+
+
+def test_what_is_forgotten_is_refused(spark, entries, tmp_path):
+    batches = [
+        [event(10, "delete", "/a"), event(100, "create", "/y")],
+        [event(50, "create", "/late"), event(96, "create", "/in-time"), event(101, "modify", "/y", size=4)],
+    ]
+    store = run_stream(spark, tmp_path, entries("/x", "/a"), batches, compact_every=1, keep_past=5)
+    assert paths(current_catalogue(spark, store)) == ["/in-time", "/x", "/y"]
+    assert [(r["seq"], r["reason"]) for r in refused(spark, store).collect()] == [(50, "too late")]
+    assert not current_status(spark, store).first()["healthy"]
+
+
+def test_events_that_cannot_be_used(spark, entries, tmp_path):
+    bad = [event(None, "delete", "/x"), event(7, "rename", "/x"), event(8, "delete")]
+    loose = T.StructType([T.StructField(f.name, f.dataType) for f in CHANGE.fields])
+    with pytest.raises(Exception, match="no seq"):
+        apply_changes(entries("/x"), spark.createDataFrame(bad[:1], loose)).collect()
+    folder, feed = str(tmp_path / "store"), str(tmp_path / "feed")
+    start_catalogue(entries("/x"), folder)
+    spark.createDataFrame([*bad, event(9, "create", "/y")], loose).write.parquet(feed)
+    fold_stream(stream_changes(spark, feed), folder).awaitTermination()
+    assert paths(current_catalogue(spark, folder)) == ["/x", "/y"]
+    assert sorted(r["reason"] for r in refused(spark, folder).collect()) == [
+        "no path",
+        "no seq",
+        "unknown kind",
+    ]
+    assert not current_status(spark, folder).first()["healthy"]
+
+
+def test_a_directory_moved_without_its_contents_is_reported(spark, entries, tmp_path):
+    base = entries("/d/", "/d/f", "/k/", "/k/g", "/single")
+    batches = [
+        [
+            event(1, "move", "/d", "/e", is_dir=True),
+            event(2, "move", "/k", "/l", is_dir=True),
+            event(3, "create", "/l/g"),
+            event(4, "move", "/single", "/one"),
+        ]
+    ]
+    lost = ch.moves_without_contents(base, spark.createDataFrame(batches[0], CHANGE)).collect()
+    assert [tuple(r) for r in lost] == [(1, "/d", "/e")]
+    store = run_stream(spark, tmp_path, base, batches)
+    assert paths(current_catalogue(spark, store)) == ["/e", "/l", "/l/g", "/one"]
+    reasons = [(r["seq"], r["reason"]) for r in refused(spark, store).collect()]
+    assert reasons == [(1, "moved without its contents")]
+
+
+def test_refresh_keeps_later_events(spark, entries, tmp_path):
+    store = run_stream(spark, tmp_path, entries("/x"), [[event(1, "create", "/old"), event(5, "create", "/new")]])
+    listing = entries("/x", "/old", "/seen").drop("name", "parent", "extension", "name_lc")
+    with pytest.raises(ValueError, match="up to which seq"):
+        refresh(spark, store, listing)
+    refresh(spark, store, listing, as_of_seq=3)
+    assert paths(current_catalogue(spark, store)) == ["/new", "/old", "/seen", "/x"]
+    # Events that were folded into a version meanwhile are carried as well.
+    compact(spark, store, 1)
+    refresh(spark, store, listing.filter("path = '/x'"), as_of_seq=3)
+    assert paths(current_catalogue(spark, store)) == ["/new", "/x"]
+
+
 def test_monitoring(spark, entries):
     feed = [event(i, "modify", f"/f{i}") for i in range(60)]
     feed += [
@@ -235,6 +325,8 @@ def test_monitoring(spark, entries):
         event(63, "delete", "/z"),
     ]
     events = spark.createDataFrame(feed, CHANGE)
+    scoped = change_log_tail(events, scope=ch.Scope(("/d", "/b"))).collect()
+    assert [r["text"] for r in scoped] == ["overflow /m", "move /a -> /b", "create /d (dir)"]
     log = change_log_tail(events).collect()
     assert len(log) == 50
     newest = ["delete /z", "overflow /m", "move /a -> /b", "create /d (dir)"]

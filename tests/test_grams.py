@@ -1,7 +1,16 @@
 from conftest import names, paths
 
-from pathlode import gram_search, load_grams, name_grams, save_grams, search
+from pathlode import (
+    gram_search,
+    load_catalogue,
+    load_grams,
+    name_grams,
+    save_catalogue,
+    save_grams,
+    search,
+)
 from pathlode.operators.grams import (
+    candidate_buckets,
     gram_candidates,
     grams_of,
     prefix_buckets,
@@ -11,9 +20,10 @@ from pathlode.operators.grams import (
 from pathlode.operators.terms import Not, Substring
 
 
-def index_of(spark, data, folder):
-    save_grams(name_grams(data), str(folder))
-    return load_grams(spark, str(folder))
+def saved(spark, data, folder, partitions=6):
+    """The entries as a catalogue of several buckets, and its index."""
+    save_catalogue(data, str(folder), partitions=partitions)
+    return load_catalogue(spark, str(folder)), save_grams(spark, str(folder))
 
 
 def test_grams_of_names(entries):
@@ -26,9 +36,12 @@ def test_grams_of_names(entries):
 def test_search_reads_candidates_and_checks_them(spark, entries, tmp_path):
     documents = [f"/tmp/document-{i:04d}.txt" for i in range(2_000)]
     data = entries(*documents, "/videos/movie-one.mkv", "/videos/movie-two.MKV")
-    index = index_of(spark, data, tmp_path / "g")
+    assert paths(gram_candidates(name_grams(data), ".mkv")) == [
+        "/videos/movie-one.mkv",
+        "/videos/movie-two.MKV",
+    ]
+    data, index = saved(spark, data, tmp_path / "g")
     movies = ["/videos/movie-one.mkv", "/videos/movie-two.MKV"]
-    assert paths(gram_candidates(index.postings, ".mkv")) == movies
     assert paths(gram_search(data, index, ".mkv")) == movies
     assert paths(gram_search(data, index, "MOVIE-T")) == movies[1:]
     assert gram_search(data, index, "document").count() == 2_000
@@ -46,27 +59,52 @@ def test_search_reads_candidates_and_checks_them(spark, entries, tmp_path):
     assert paths(in_path) == movies
 
 
+def test_only_some_buckets_are_read(spark, entries, tmp_path):
+    data = entries(*[f"/{c}/{c * 3}-{i:03d}.txt" for c in "abcdefgh" for i in range(40)])
+    data, index = saved(spark, data, tmp_path / "g", partitions=8)
+    buckets = candidate_buckets(index, ["ccc-0"]).count()
+    assert 1 <= buckets < data.select("bucket").distinct().count()
+    found = gram_search(data, index, "ccc-01")
+    assert len(paths(found)) == 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "StringContains(name_lc,ccc-01)" in plan
+    assert plan.count("FileScan parquet") < 5
+    # The index is a small fraction of the catalogue.
+    size = lambda f: sum(p.stat().st_size for p in (tmp_path / "g" / f).rglob("*.parquet"))
+    assert size("grams") < size("data")
+
+
+def test_answers_come_from_the_given_entries(spark, entries, tmp_path):
+    data, index = saved(spark, entries("/a/report.txt", "/b/report.txt", "/a/x"), tmp_path / "g")
+    for text in ("report", "re"):
+        some = data.filter("path LIKE '/a/%'")
+        assert paths(search(some, text, grams=index).matched) == ["/a/report.txt"]
+    # A later version: the old index neither hides what is new nor shows what is gone.
+    save_catalogue(entries("/b/report.txt", "/c/report-2.txt"), str(tmp_path / "g"))
+    later = load_catalogue(spark, str(tmp_path / "g"))
+    assert load_grams(spark, str(tmp_path / "g")) is None
+    for known in (index, None, save_grams(spark, str(tmp_path / "g"))):
+        assert paths(gram_search(later, known, "report")) == ["/b/report.txt", "/c/report-2.txt"]
+    # Saving it again changes nothing; entries that are not stored are all read.
+    again = save_grams(spark, str(tmp_path / "g"))
+    assert again.version == 1
+    assert paths(gram_search(entries("/z/report"), again, "report")) == ["/z/report"]
+
+
 def test_repeated_grams(spark, entries, tmp_path):
-    data = entries("/tmp/aaaa.txt", "/tmp/common-prefix-document.txt")
-    index = index_of(spark, data, tmp_path / "g")
+    data, index = saved(
+        spark, entries("/tmp/aaaa.txt", "/tmp/common-prefix-document.txt"), tmp_path / "g"
+    )
     assert names(gram_search(data, index, "aaa")) == ["aaaa.txt"]
     assert gram_search(data, index, "common-never-present").isEmpty()
 
 
-def test_the_postings_read_is_pruned(spark, entries, tmp_path):
-    data = entries(*[f"/tmp/document-{i:04d}.txt" for i in range(50)])
-    index = index_of(spark, data, tmp_path / "g")
-    plan = gram_search(data, index, "t-0042")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(gram," in plan and "StringContains(name_lc,t-0042)" in plan
-    assert "Join" not in plan and "Exchange" not in plan
-
-
 def test_refresh(entries):
     before = entries("/a/one.txt", "/a/two.txt", ("/a/three", 3))
     after = entries("/a/one.txt", ("/a/three", 4), "/a/four")
     changed = after.filter("path IN ('/a/three', '/a/four')")
     fresh = refresh_postings(name_grams(before), before.filter("path = '/a/two.txt'"), changed)
-    key = lambda df: sorted((r["gram"], r["path"], r["size"]) for r in df.collect())
+    key = lambda df: sorted((r["gram"], r["path"]) for r in df.collect())
     assert key(fresh) == key(name_grams(after))
 
 

@@ -105,9 +105,11 @@ def test_shown_sizes(spark):
         "[a~~b]",
         "(?R)a",
         "[[:nope:]]",
+        r"\<word",
+        r"word\>",
     ],
 )
-def test_refused_patterns(pattern):
+def test_refused_patterns(spark, pattern):
     with pytest.raises(PatternError):
         spark_regex(pattern)
 

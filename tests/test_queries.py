@@ -34,3 +34,13 @@ def test_entry(spark):
     assert 0 < len(rows) <= 20
     assert rows == sorted(rows, key=lambda r: (-r["size"], r["path"]))
     assert rows[0]["total_count"] >= len(rows)
+
+
+def test_tables_that_are_folders(spark, db, tmp_path):
+    """Queries read a table's part files as they read its one file."""
+    for name in ("events", "customer"):
+        table = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        table.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("changes_source", "stream_apply", "refresh_keeps_changes"):
+        query = QUERIES[name]
+        assert compare(spark, db, str(tmp_path), query, ORACLE[name]) is None
