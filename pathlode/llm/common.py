@@ -13,11 +13,20 @@ from pathlode.session import new_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers that see this folder import the package, wherever they start.
+# Rows of one Arrow batch: texts are long, so Spark's default would hold tens of megabytes.
+BATCH_ROWS = 1000
 
-    Elsewhere install the package on the executors, or pass it as ``--py-files``.
+
+def prepare(spark: SparkSession) -> None:
+    """Ready the session for Python workers.
+
+    Workers that see this folder can import the package, wherever they start; elsewhere
+    install it on the executors, or pass it as ``--py-files``. Arrow batches get
+    ``BATCH_ROWS`` rows at most, for the whole session.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -25,7 +34,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -65,10 +65,18 @@ class _Pieces(dict):
 
     def __init__(self, model):
         self.model, self.letters = model, _byte_letters()
+        self.space = self.letters[0x20]
+
+    def ask(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalnum():
+            # Such letters are spelt as themselves, but for a space in front.
+            spelt = self.space + piece[1:] if piece[0] == " " else piece
+        else:
+            spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return id_bytes([t.id for t in self.model.tokenize(spelt)])
 
     def __missing__(self, piece: str) -> bytes:
-        spelt = piece.encode().decode("latin-1").translate(self.letters)
-        ids = id_bytes([t.id for t in self.model.tokenize(spelt)])
+        ids = self.ask(piece)
         if len(self) >= KEPT:
             self.clear()
         self[piece] = ids
@@ -82,15 +90,20 @@ class _Runs(dict):
         self.pieces = pieces
 
     def __missing__(self, run: str) -> bytes:
-        ids = self.pieces_of(f" {run}")
+        word, last = run[:-1], run[-1:]
+        if run.isalpha():
+            ids = self.pieces.ask(f" {run}")
+        elif word.isalpha() and last not in _BLANKS and not last.isalnum():
+            ids = self[word] + self.pieces[last]
+        else:
+            ids = self.pieces_of(f" {run}")
         if len(self) >= KEPT:
             self.clear()
         self[run] = ids
         return ids
 
     def pieces_of(self, text: str) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[p] for p in _PIECES.findall(text)])
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
 
 def id_bytes(ids: Sequence[int]) -> bytes:
@@ -113,9 +126,8 @@ class Encoder:
             return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if text[:1] == " " or text[-1:] == " " or any(d in text for d in _DOUBLED):
             return self.runs.pieces_of(text)
-        runs = self.runs
         first, *rest = text.split(" ")
-        return runs.pieces_of(first) + b"".join([runs[r] for r in rest])
+        return self.runs.pieces_of(first) + b"".join(map(self.runs.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}

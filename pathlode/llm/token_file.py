@@ -35,7 +35,7 @@ END_ID = 2
 PACK_BYTES = 4 * 1024 * 1024
 # The dictionary's size, and the documents (about) and bytes (at most) it is trained on.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 * 1024, 2000, 8 * 1024 * 1024
-LEVEL = 3
+LEVEL = 2
 
 
 def _serial(ids: bytes, width: int) -> bytes:
@@ -91,7 +91,10 @@ def _frames(tokenizer: str, end_id: int, width: int, dictionary: bytes):
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer).encode
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zstd_dictionary(dictionary))
+        shared = _zstd_dictionary(dictionary)
+        if shared is not None:
+            shared.precompute_compress(level=LEVEL)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         for batch in batches:
             ids = [encode(t) + end for t in batch["text"]]
             yield pd.DataFrame(
