@@ -23,7 +23,14 @@ from pyspark.sql import functions as F
 
 from pathlode.functions.paths import level_of, prefix_at, without_slash
 from pathlode.operators.excludes import Excludes, in_hidden_directory
-from pathlode.operators.hierarchy import marks, under, under_any, with_mark
+from pathlode.operators.hierarchy import (
+    far_marks,
+    marks,
+    near_marks,
+    under,
+    under_any,
+    with_mark,
+)
 from pathlode.schema import CHANGE, ENTRY_FIELDS, META_FIELDS
 from pathlode.session import fits_broadcast, measure, written
 
@@ -168,39 +175,38 @@ def state_of(entries: DataFrame) -> DataFrame:
     return entries.select(*ENTRY_FIELDS, *named)
 
 
-def merge_states(
-    state: DataFrame, news: DataFrame, broadcast: bool | None = None, ghosts: bool = True
-) -> DataFrame:
-    """Both states in one, the later report of each part; ``news`` is a written table.
+_ORDER_OF = {"is_dir": "create_ord"} | {f: f"{f}_ord" for f in META_FIELDS}
 
-    Measured-small news are broadcast (never with ``broadcast=False``): the state
-    is then read and updated without being shuffled. Others are merged by a full
-    outer join on the unique path. Without ``ghosts`` paths never created may be left out.
-    """
-    def later(part: str, order: str) -> Column:
+
+def _merged_by_broadcast(state: DataFrame, news: DataFrame, ghosts: bool) -> DataFrame:
+    """The state is read and updated without being shuffled."""
+
+    def later(part: str) -> Column:
+        order = _ORDER_OF.get(part, part)
         newer = F.coalesce(F.col(f"_{order}") > F.col(order), F.col(f"_{order}").isNotNull())
         return F.when(newer, F.col(f"_{part}")).otherwise(F.col(part)).alias(part)
 
-    order_of = {"is_dir": "create_ord"} | {f: f"{f}_ord" for f in META_FIELDS}
-    order_of |= {o: o for o in ORD_FIELDS}
-    merged = ["path", *[later(part, order_of[part]) for part in STATE_FIELDS[1:]]]
     named = news.select("path", *[F.col(c).alias(f"_{c}") for c in STATE_FIELDS[1:]])
-    if broadcast is not False and fits_broadcast(*measure(news, "path")):
-        updated = state.join(F.broadcast(named), "path", "left").select(*merged)
-        known = state.select("path").join(F.broadcast(news.select("path")), "path", "left_semi")
-        fresh = news if ghosts else news.filter(F.col("create_ord").isNotNull())
-        return updated.unionByName(fresh.join(known, "path", "left_anti").select(*STATE_FIELDS))
-    return state.join(named, "path", "full_outer").select(*merged)
-
-
-def with_kill(
-    state: DataFrame, deletes: DataFrame, broadcast: bool | None = None, paths: DataFrame | None = None
-) -> DataFrame:
-    """Adds ``alive``; ``deletes`` are the rows of the state that hold a ``delete_ord``."""
-    killed = marks(deletes, F.col("path"), F.col("delete_ord"))
-    found = with_mark(state, killed, "_kill", broadcast, paths)
-    lives = F.col("create_ord") > F.coalesce("_kill", F.lit(BASE_ORD - 1))
-    return found.withColumn("alive", F.coalesce(lives, F.lit(False))).drop("_kill")
+    updated = state.join(F.broadcast(named), "path", "left").select("path", *map(later, STATE_FIELDS[1:]))
+    known = state.select("path").join(F.broadcast(news.select("path")), "path", "left_semi")
+    fresh = news if ghosts else news.filter(F.col("create_ord").isNotNull())
+    return updated.unionByName(fresh.join(known, "path", "left_anti").select(*STATE_FIELDS))
+
+
+def _merged_by_path(state: DataFrame, news: DataFrame, kills: DataFrame | None) -> DataFrame:
+    """One aggregate by path over both states and the deletes above each path."""
+    rows = state.select(*STATE_FIELDS).unionByName(news.select(*STATE_FIELDS))
+    if kills is not None:
+        nothing = {c: F.lit(None) for c in STATE_FIELDS[1:]}
+        above = kills.select("path", F.col("value").alias("_kill")).withColumns(nothing)
+        rows = rows.withColumn("_kill", F.lit(None).cast("bigint")).unionByName(above)
+    else:
+        rows = rows.withColumn("_kill", F.lit(None).cast("bigint"))
+    return rows.groupBy("path").agg(
+        *[F.max_by(part, order).alias(part) for part, order in _ORDER_OF.items()],
+        *[F.max(order).alias(order) for order in ORD_FIELDS],
+        F.max("_kill").alias("_kill"),
+    )
 
 
 def fold_state(
@@ -210,14 +216,29 @@ def fold_state(
     broadcast: bool | None = None,
     ghosts: bool = True,
 ) -> DataFrame:
-    """The state after the events, with ``alive``."""
+    """The state after the events, with ``alive``; the later report of each part counts.
+
+    Measured-small news are broadcast (never with ``broadcast=False``). Others meet the
+    state in one aggregate by path, together with the deletes above each path that
+    are too many to broadcast. Without ``ghosts`` paths never created may be left out.
+    """
     news = written(summarise(in_scope(split_moves(events), scope)), "summary")
-    merged = merge_states(state, news, broadcast, ghosts)
     deletes = [
         df.filter(F.col("delete_ord").isNotNull()).select("path", "delete_ord") for df in (state, news)
     ]
-    paths = state.select("path").union(news.select("path"))
-    return with_kill(merged, deletes[0].union(deletes[1]), broadcast, paths)
+    killed = marks(deletes[0].union(deletes[1]), F.col("path"), F.col("delete_ord"))
+    if broadcast is not False and fits_broadcast(*measure(news, "path")):
+        paths = state.select("path").union(news.select("path"))
+        merged = with_mark(_merged_by_broadcast(state, news, ghosts), killed, "_kill", broadcast, paths)
+    else:
+        shallow = killed.shallow(broadcast)
+        deep = [level for level in killed.levels if level not in shallow]
+        paths = state.select("path").union(news.select("path"))
+        kills = far_marks(paths, killed, deep) if deep else None
+        merged = near_marks(_merged_by_path(state, news, kills), killed, shallow, "_near")
+        merged = merged.withColumn("_kill", F.greatest("_kill", "_near")).drop("_near")
+    lives = F.col("create_ord") > F.coalesce("_kill", F.lit(BASE_ORD - 1))
+    return merged.select(*STATE_FIELDS, F.coalesce(lives, F.lit(False)).alias("alive"))
 
 
 def apply_changes(
@@ -226,7 +247,7 @@ def apply_changes(
     scope: Scope = EVERYWHERE,
     broadcast: bool | None = None,
 ) -> DataFrame:
-    """The catalogue after the events (see :func:`merge_states` for ``broadcast``)."""
+    """The catalogue after the events (see :func:`fold_state` for ``broadcast``)."""
     folded = fold_state(state_of(entries), events, scope, broadcast, ghosts=False)
     return folded.filter("alive").select(*ENTRY_FIELDS)
 

@@ -23,8 +23,9 @@ from pathlode.functions.paths import (
 )
 from pathlode.session import fits_broadcast, written
 
-# A hot ancestor (the root of most paths, say) is split into this many join keys.
-SALTS = 32
+# A hot ancestor (the root of most paths, say) is split into so many join keys: at least the
+# first number, and one per so many paths.
+SALTS, PATHS_PER_SALT = 32, 10_000_000
 # With marks on more levels than this, one exploding join is cheaper than one join per level.
 MAX_LEVELS = 24
 
@@ -50,9 +51,25 @@ class Marks:
     """Marked directories with one long value each, written and measured."""
 
     table: DataFrame  # mark, value, level
-    rows: int
-    size: int
-    levels: list[int]
+    sizes: dict[int, tuple[int, int]]  # level -> rows, bytes
+
+    @property
+    def levels(self) -> list[int]:
+        return sorted(self.sizes)
+
+    def shallow(self, broadcast: bool | None = None) -> list[int]:
+        """The levels that can be broadcast together, fewest marks first.
+
+        Levels near the root have few marks, and these are the hot ones; so they are
+        spared the shuffle even when all marks together are too many.
+        """
+        chosen, rows, size = [], 0, 0
+        for level in sorted(self.sizes, key=lambda k: (self.sizes[k][0], k)):
+            rows, size = rows + self.sizes[level][0], size + self.sizes[level][1]
+            if broadcast is False or not fits_broadcast(rows, size) or len(chosen) == MAX_LEVELS:
+                break
+            chosen.append(level)
+        return sorted(chosen)
 
 
 def marks(paths: DataFrame, path: Column, value: Column) -> Marks:
@@ -64,13 +81,10 @@ def marks(paths: DataFrame, path: Column, value: Column) -> Marks:
         .withColumn("level", level_of(F.col("mark"))),
         "marks",
     )
-    # One row; the set is bounded by the depth of paths, not by their number.
-    row = table.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.octet_length("mark") + 24), F.lit(0)).alias("size"),
-        F.sort_array(F.collect_set("level")).alias("levels"),
-    ).first()
-    return Marks(table, row["rows"], row["size"], row["levels"])
+    # A row per level: bounded by the depth of paths, not by their number.
+    size = F.sum(F.octet_length("mark") + 24)
+    rows = table.groupBy("level").agg(F.count(F.lit(1)).alias("n"), size.alias("b")).collect()
+    return Marks(table, {r["level"]: (r["n"], r["b"]) for r in rows})
 
 
 def with_mark(
@@ -82,48 +96,57 @@ def with_mark(
 ) -> DataFrame:
     """Add the largest value marked at the path or at any directory above it (or null).
 
-    Measured-small marks are broadcast (never with ``broadcast=False``), one join per marked level, so the
-    entries are neither exploded nor shuffled.  Otherwise the ancestors of the
-    paths meet the marks in a salted shuffle join; ``paths`` may give these paths
-    from a cheaper table than ``entries``.
+    Levels whose marks were measured as few are broadcast (never with
+    ``broadcast=False``), one join each, so the entries are neither exploded nor
+    shuffled.  For the others the ancestors of the paths meet the marks in a salted
+    shuffle join; ``paths`` may give these paths from a cheaper table than ``entries``.
     """
-    fits = fits_broadcast(marked.rows, marked.size) and len(marked.levels) <= MAX_LEVELS
     if not marked.levels:
         return entries.withColumn(name, F.lit(None).cast("bigint"))
-    if fits and broadcast is not False:
-        out = entries
-        for level in marked.levels:
-            at_level = marked.table.filter(F.col("level") == level).select(
-                F.col("mark").alias(f"_mark{level}"), F.col("value").alias(f"_value{level}")
-            )
-            ancestor = prefix_at(F.col("path"), F.lit(level))
-            out = out.join(F.broadcast(at_level), ancestor == F.col(f"_mark{level}"), "left")
-        values = [F.col(f"_value{level}") for level in marked.levels]
-        best = F.greatest(*values) if len(values) > 1 else values[0]
-        return out.select(*entries.columns, best.alias(name))
-    return entries.join(_hits(entries if paths is None else paths, marked, name), "path", "left")
-
-
-def _hits(entries: DataFrame, marked: Marks, name: str) -> DataFrame:
-    """Largest mark per path, for the paths that have one."""
+    shallow = marked.shallow(broadcast)
+    deep = [level for level in marked.levels if level not in shallow]
+    out = near_marks(entries, marked, shallow, name)
+    if deep:
+        hits = far_marks(entries if paths is None else paths, marked, deep)
+        best = F.greatest(name, "_far").alias(name)
+        out = out.join(hits.groupBy("path").agg(F.max("value").alias("_far")), "path", "left")
+        out = out.select(*entries.columns, best)
+    return out
+
+
+def near_marks(entries: DataFrame, marked: Marks, levels: list[int], name: str) -> DataFrame:
+    """``with_mark`` for levels that can be broadcast."""
+    out = entries
+    for level in levels:
+        at_level = marked.table.filter(F.col("level") == level).select(
+            F.col("mark").alias(f"_mark{level}"), F.col("value").alias(f"_value{level}")
+        )
+        ancestor = prefix_at(F.col("path"), F.lit(level))
+        out = out.join(F.broadcast(at_level), ancestor == F.col(f"_mark{level}"), "left")
+    # Two nulls more, so that there are always several values to compare.
+    nothing = F.lit(None).cast("bigint")
+    values = [F.col(f"_value{level}") for level in levels]
+    return out.select(*entries.columns, F.greatest(nothing, nothing, *values).alias(name))
+
+
+def far_marks(paths: DataFrame, marked: Marks, levels: list[int]) -> DataFrame:
+    """(``path``, ``value``) for every mark of the levels at or above a path."""
     path = F.col("path")
+    salts = max(SALTS, paths.count() // PATHS_PER_SALT)
     ancestors = (
-        entries.select("path", F.explode(F.sequence(F.lit(1), level_of(path))).alias("level"))
-        .filter(F.col("level").isin(marked.levels))
+        paths.select("path", F.explode(F.sequence(F.lit(1), level_of(path))).alias("level"))
+        .filter(F.col("level").isin(levels))
         .select(
             "path",
             prefix_at(path, F.col("level")).alias("mark"),
-            F.pmod(F.xxhash64("path"), F.lit(SALTS)).alias("salt"),
+            F.pmod(F.xxhash64("path"), F.lit(salts)).alias("salt"),
         )
     )
-    salted = marked.table.select(
-        "mark", "value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    ).withColumn("salt", F.col("salt").cast("bigint"))
-    return (
-        ancestors.join(salted, ["mark", "salt"])
-        .groupBy("path")
-        .agg(F.max("value").alias(name))
+    salted = marked.table.filter(F.col("level").isin(levels)).select(
+        "mark", "value", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     )
+    salted = salted.withColumn("salt", F.col("salt").cast("bigint"))
+    return ancestors.join(salted, ["mark", "salt"]).select("path", "value")
 
 
 def under(entries: DataFrame, folders: DataFrame, broadcast: bool | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +45,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folder names given out while some ``removed_after`` is open.
+_GIVEN: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/pathlode/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pathlode/{label}-{uuid.uuid4().hex}"
+    for given in _GIVEN:
+        given.append(folder)
+    return folder
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that are written inside, once all their readers are done."""
+    given: list[str] = []
+    _GIVEN.append(given)
+    try:
+        yield
+    finally:
+        _GIVEN.remove(given)
+        for folder in given:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_folder(spark: SparkSession, place: str) -> bool:

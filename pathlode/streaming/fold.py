@@ -14,7 +14,9 @@ treated like events that were lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -31,12 +33,15 @@ from pathlode.operators.changes import (
     Scope,
     as_changes,
     fold_state,
+    in_scope,
     moves_without_contents,
+    split_moves,
 )
+from pathlode.operators.hierarchy import under
 from pathlode.operators.monitor import status_row
 from pathlode.plans.search import search
 from pathlode.schema import CHANGE, ENTRY_FIELDS
-from pathlode.session import written
+from pathlode.session import is_folder, removed_after, written
 from pathlode.sources.catalogue import (
     SaveStats,
     latest_version,
@@ -44,6 +49,7 @@ from pathlode.sources.catalogue import (
     read_state,
     read_version,
     save_catalogue,
+    versions,
 )
 
 
@@ -165,6 +171,46 @@ def current_status(spark: SparkSession, folder: str, scope: Scope = EVERYWHERE)
     return row.withColumns({"healthy": healthy, "build_millis": F.lit(build_millis)})
 
 
+def _base_of(spark: SparkSession, folder: str) -> int:
+    """The last version that came from elsewhere than the log."""
+    rows = versions(spark, folder).filter("reason <> 'compact'")
+    return rows.agg(F.max("version")).first()[0]
+
+
+def _matches_before(spark: SparkSession, location: str, batch_id: int) -> DataFrame | None:
+    """The matches kept after the batch before, if there are any for this base."""
+    if batch_id == 0 or not is_folder(spark, f"{location}/batch={batch_id - 1}"):
+        return None
+    return spark.read.parquet(f"{location}/batch={batch_id - 1}")
+
+
+def _touched(batch: DataFrame, matches: Iterable[DataFrame], scope: Scope) -> DataFrame:
+    """Paths that a batch names, and kept matches at or below a path that it deletes."""
+    usable = batch.filter(_why_refused(None).isNull() & (F.col("kind") != "overflow"))
+    steps = written(in_scope(split_moves(usable), scope).select("kind", "path"), "steps")
+    deleted = steps.filter("kind = 'delete'").select("path")
+    kept = reduce(DataFrame.unionByName, [m.select("path") for m in matches])
+    below = under(kept, deleted)
+    return written(steps.select("path").unionByName(below.select("path")).distinct(), "touched")
+
+
+def _current_rows(
+    spark: SparkSession, folder: str, paths: DataFrame, scope: Scope
+) -> DataFrame:
+    """The rows that these paths have in the current catalogue: one scan of the version."""
+    version = latest_version(spark, folder)
+    events = _read_log(spark, log_of(folder, version["version"])).drop("batch")
+    ends = paths.agg(F.min("path").alias("first"), F.max("path").alias("last")).first()
+    state = read_state(spark, version)
+    inside = F.col("path").between(F.lit(ends["first"]), F.lit(ends["last"]))
+    # Deletes of other paths matter too: those above the wanted ones.
+    some = state.filter(inside).join(paths, "path", "left_semi")
+    deletes = state.filter(F.col("delete_ord").isNotNull()).join(paths, "path", "left_anti")
+    known = some.unionByName(deletes.withColumn("create_ord", F.lit(None).cast("bigint")))
+    rows = fold_state(known, events, scope).filter("alive").select(*ENTRY_FIELDS)
+    return with_parts(rows.join(paths, "path", "left_semi"))
+
+
 def fold_stream(
     events: DataFrame,
     folder: str,
@@ -185,20 +231,40 @@ def fold_stream(
     directories that were moved without their contents.
 
     After every batch the standing ``searches`` (keyword arguments of ``search`` by
-    name) are answered anew, into ``folder/searches/<name>/batch=<id>``.  Every step
-    can be repeated for the same batch without harm.
+    name) are answered, into ``folder/searches/<name>/batch=<id>``: the matches of the
+    batch before are kept, and only paths that the batch touched or deleted are looked
+    at again.  Every step can be repeated for the same batch without harm.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = latest_version(spark, folder)
-        if version["through_batch"] < batch_id:
-            take_batch(spark, version, as_changes(batch), batch_id)
-        if searches:
-            entries = current_catalogue(spark, folder, scope)
-            for name, wanted in searches.items():
-                target = f"{folder}/searches/{name}/batch={batch_id}"
-                search(entries, **wanted).page.write.mode("overwrite").parquet(target)
+        with removed_after(spark):
+            if version["through_batch"] < batch_id:
+                take_batch(spark, version, as_changes(batch), batch_id)
+            if searches:
+                answer(spark, as_changes(batch), batch_id)
+
+    def answer(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
+        base = _base_of(spark, folder)
+        kept = {name: f"{folder}/matches/{name}/base={base}" for name in searches}
+        before = {name: _matches_before(spark, kept[name], batch_id) for name in searches}
+        touched = None
+        if all(df is not None for df in before.values()):
+            touched = _touched(batch, before.values(), scope)
+            fresh = written(_current_rows(spark, folder, touched, scope), "fresh")
+        for name, wanted in searches.items():
+            if touched is None:
+                found = search(current_catalogue(spark, folder, scope), **wanted)
+            else:
+                found = search(fresh, **wanted)
+                same = before[name].join(touched, "path", "left_anti")
+                found = replace(found, matched=same.unionByName(found.matched))
+            target = f"{kept[name]}/batch={batch_id}"
+            found.matched.write.mode("overwrite").parquet(target)
+            stored = replace(found, matched=spark.read.schema(found.matched.schema).parquet(target))
+            answers = f"{folder}/searches/{name}/batch={batch_id}"
+            stored.page.write.mode("overwrite").parquet(answers)
 
     def take_batch(spark: SparkSession, version: Row, batch: DataFrame, batch_id: int) -> None:
         judged = written(batch.withColumn("reason", _why_refused(version["floor_seq"])), "batch")

@@ -1,3 +1,4 @@
+import glob
 import random
 
 import pytest
@@ -18,6 +19,7 @@ from pathlode import (
 from pathlode.operators import changes as ch
 from pathlode.operators.monitor import change_log_tail, changes_per_day, status_row
 from pathlode.schema import CHANGE, ENTRY_FIELDS
+from pathlode.session import shared_folder
 from pathlode.sources.catalogue import versions
 from pathlode.sources.events import changes_from_json
 from pathlode.streaming.fold import compact, current_status, logged_events, refused
@@ -177,6 +179,8 @@ def run_stream(spark, tmp_path, base, batches, **options):
 @pytest.mark.parametrize("compact_every", [2, 100])
 def test_stream_equals_replay(spark, entries, tmp_path, compact_every):
     base = entries(*BASE)
+    scratch = lambda: glob.glob(f"{shared_folder(spark)}/pathlode/*")
+    known = set(scratch())
     rng = random.Random(11)
     batches = [random_feed(rng, 40, first=40 * i) for i in range(3)]
     folder = run_stream(
@@ -188,12 +192,16 @@ def test_stream_equals_replay(spark, entries, tmp_path, compact_every):
         searches={"a-names": {"terms": "a", "sort": "path"}},
     )
     expected = replay(base.collect(), sum(batches, []))
-    assert state_of(current_catalogue(spark, folder)) == expected
     assert versions(spark, folder).count() == (2 if compact_every == 2 else 1)
+    # What the batches wrote in between is gone again.
+    assert set(scratch()) <= known
+    assert state_of(current_catalogue(spark, folder)) == expected
     answers = spark.read.parquet(f"{folder}/searches/a-names")
-    assert {r[0] for r in answers.select("batch").distinct().collect()} == {0, 1, 2}
-    last = answers.filter("batch = 2")
-    assert paths(last) == sorted(p for p in expected if "a" in p.rsplit("/", 1)[1])
+    # The answer after each batch is that of a full search of the catalogue at that time.
+    for i in range(3):
+        so_far = replay(base.collect(), sum(batches[: i + 1], []))
+        wanted = sorted(p for p in so_far if "a" in p.rsplit("/", 1)[1])
+        assert paths(answers.filter(F.col("batch") == i)) == wanted, i
 
 
 def test_late_events_take_effect_in_order_of_seq(spark, entries, tmp_path):
