@@ -96,9 +96,8 @@ def leaves(fingerprints: DataFrame, reach: int = LINK_DISTANCE, leaf: int = LEAF
         # A level leaves about 0.6 of its members on either side.
         levels.append(_vantage(len(levels)))
         size *= 0.6
-    dealt = fingerprints.withColumn("leaf", F.lit(0).cast("long"))
     if not levels:
-        return dealt
+        return fingerprints.withColumn("leaf", F.lit(0).cast("long"))
     distance = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v))) for v in levels]
     counted = (
         fingerprints.select(F.posexplode(F.array(*distance)).alias("level", "d"))
@@ -106,16 +105,20 @@ def leaves(fingerprints: DataFrame, reach: int = LINK_DISTANCE, leaf: int = LEAF
         .count()
         .collect()  # at most 65 rows a level
     )
+    sides = []
     for k, d in enumerate(distance):
         radius, _ = _radius({r["d"]: r["count"] for r in counted if r["level"] == k}, reach)
-        sides = (
+        sides.append(
             F.when(d < radius - reach, F.array(F.lit(0)))
             .when(d < radius, F.array(F.lit(0), F.lit(1)))
             .otherwise(F.array(F.lit(1)))
         )
-        dealt = dealt.select("fp", (F.col("leaf") * 2).alias("leaf"), F.explode(sides).alias("side"))
-        dealt = dealt.select("fp", (F.col("leaf") + F.col("side")).alias("leaf"))
-    return dealt
+
+    def below(leaves: Column, sides: Column) -> Column:
+        return F.flatten(F.transform(leaves, lambda n: F.transform(sides, lambda s: n * 2 + s)))
+
+    root = F.array(F.lit(0).cast("long"))
+    return fingerprints.select("fp", F.explode(F.aggregate(F.array(*sides), root, below)).alias("leaf"))
 
 
 # --- Within a leaf -----------------------------------------------------------
