@@ -7,7 +7,7 @@ dialect of Spark's ``rlike``.
 
 import re
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import SparkSession
 
 # Limits of a pattern argument.
@@ -121,7 +121,6 @@ def spark_regex(pattern: str) -> str:
     try:  # the engine that will run it has the last word, at the latest when a search is built
         if session is not None:
             session._jvm.java.util.regex.Pattern.compile(checked)
-    except Py4JJavaError as e:
-        reason = e.java_exception.getDescription()
-        raise PatternError(f"the pattern cannot be read: {reason}") from e
+    except IllegalArgumentException as e:
+        raise PatternError(f"the pattern cannot be read: {e}") from e
     return checked

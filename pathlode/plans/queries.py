@@ -351,8 +351,8 @@ _register_search(
 _register_search(
     "t_word_hit",
     "part_entries",
-    "regexp_matches(name_lc, '(^|[^a-z0-9])ring([^a-z0-9]|$)')",
-    "ring",
+    "regexp_matches(name_lc, '(^|[^a-z0-9_])small([^a-z0-9_]|$)')",
+    "Small",
     whole_word=True,
 )
 _register_search("t_word_never", "part_entries", "false", "small ring", whole_word=True)
