@@ -6,6 +6,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 from pathlode.session import new_folder
 
@@ -54,6 +55,14 @@ def partition_of(row_id: Column) -> Column:
     return F.shiftright(row_id, 33)
 
 
+def key_kind(kind: DataType) -> DataType:
+    """The type in which a key passes through pandas: whole numbers go as text.
+
+    A column of whole numbers with a null would become floating point there.
+    """
+    return StringType() if isinstance(kind, IntegralType) else kind
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file lies; executors have it at the same place."""
     return public_tokenizers.path(name)

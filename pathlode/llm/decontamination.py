@@ -18,10 +18,11 @@ import ahocorasick
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from pathlode.llm.common import stored
+from pathlode.llm.common import key_kind, stored
 
 # Share of an item's characters that may differ.
 ERROR_RATE = 0.1
@@ -194,16 +195,19 @@ def find_leaks(
         raise ValueError("documents and items need keys of different names")
     names = ("distance", "start", "end")
     schema = StructType(
-        [StructField(f.name, f.dataType) for f in fields] + [StructField(n, LongType()) for n in names]
+        [StructField(f.name, key_kind(f.dataType)) for f in fields]
+        + [StructField(n, LongType()) for n in names]
     )
     spark, found = docs.sparkSession, None
+    texts = docs.select(F.col(key).cast(schema[key].dataType), text)
+    items = items.select(F.col(item_key).cast(schema[item_key].dataType), item_text)
     for block in _blocks(items, item_key, item_text, block_chars):
         held = spark.sparkContext.broadcast(block)
         if found is not None:
             found = stored(found, "leaks")
-        rows = docs.select(key, text).mapInPandas(_find(held, error_rate, schema.names), schema)
+        rows = texts.mapInPandas(_find(held, error_rate, schema.names), schema)
         found = rows if found is None else found.unionByName(rows)
-    return found
+    return found.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in fields})
 
 
 def _find(held: Broadcast, rate: float, names: list[str]):

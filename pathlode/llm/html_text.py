@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from pathlode.llm.common import stored
+from pathlode.llm.common import key_kind, stored
 
 # Tokens that make a run worth the name, and the share of a block that runs must cover.
 RUN, COVERED = 8, 0.5
@@ -289,8 +289,11 @@ def main_text(
     pages, and pages without text, have an empty text. Null urls are one host. Rows that
     repeat a page are the same page to the suffix array, and each has its row.
     """
+    kind = pages.schema[key].dataType
     pages = pages.select(
-        F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")
+        F.col(key).cast(key_kind(kind)).alias("page_id"),
+        F.col(url).alias("url"),
+        F.col(page).alias("html"),
     ).withColumn("mark", F.xxhash64("page_id", "url", "html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[^:/?#]+:)?//([^/?#]*)", 1))
     rows = stored(
@@ -317,7 +320,7 @@ def main_text(
         .join(found, "mark", "left")
         .withColumn("text", _decided("text", "open", "runs"))
         .select(
-            F.col("page_id").alias(key),
+            F.col("page_id").cast(kind).alias(key),
             F.col("url").alias(url),
             "text",
             F.length("text").cast("long").alias("n_chars"),

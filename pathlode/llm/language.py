@@ -32,8 +32,8 @@ FAMILIES = {
     "austronesian": ("id", "jv", "ms", "su", "tl"),
 }
 
-# Hashed features, and labelled rows per language a model is fitted on (at most, about).
-FEATURES, SAMPLE = 4096, 500
+# Hashed features, and labelled rows that a model is fitted on: of a language, and in all (about).
+FEATURES, SAMPLE, ALL_SAMPLED = 4096, 500, 20_000
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -138,7 +138,7 @@ def train(
     sample: int = SAMPLE,
     families: Mapping[str, Sequence[str]] = FAMILIES,
 ) -> Model:
-    """A model from about ``sample`` labelled rows of each language.
+    """A model from about ``sample`` labelled rows of each language, fewer if there are many.
 
     Rows are chosen by a digest of the key. Rows of the held-out fold, with a null text, label
     or key, and texts without a letter are never used. No usable rows give a model that knows
@@ -153,6 +153,7 @@ def train(
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model()
+    sample = min(sample, ALL_SAMPLED // len(counts))
     # A row takes part if its digest is below its language's share.
     share = F.create_map(
         *[F.lit(v) for c, n in counts.items() for v in (c, min(int(sample / n * 0xFFFFFFF), 0xFFFFFFF))]

@@ -61,12 +61,12 @@ def test_awkward_rows(spark):
     item = "the quick brown fox jumps over the lazy dog and runs"
     near = item.replace("quick", "quack").replace("dog", "dig")
     rows = [(1, f"So: {item.upper()}!"), (2, f"x {near}"), (3, None), (4, ""), (5, "clean"), (1, f"So: {item.upper()}!")]
-    rows += [(None, item.replace(" ", " \n\t")), (6, "word " * 300_000 + item), (7, item[: len(item) // 2])]
+    rows += [(2**62 + 1, item), (None, item.replace(" ", " \n\t")), (6, "word " * 300_000 + item), (7, item[: len(item) // 2])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS distance")
-    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (10, item), (None, "clean as can be")], "item_id long, text string")
+    items = spark.createDataFrame([(10, item), (11, None), (12, ""), (10, item), (None, "clean as can be"), (2**62 + 1, "large")], "item_id long, text string")
     got = d.find_leaks(docs.drop("item_id"), items).collect()
     places = sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in got), key=str)
-    want = [(1, 10, 0), (1, 10, 0), (2, 10, 2), (None, 10, 0), (6, 10, 0)]
+    want = [(1, 10, 0), (1, 10, 0), (2, 10, 2), (None, 10, 0), (6, 10, 0), (2**62 + 1, 10, 0)]
     assert places == sorted(want * 2, key=str)
     assert {(r["start"], r["end"]) for r in got if r["doc_id"] == 1} == {(4, 4 + len(item))}
     # The same block by block.

@@ -54,9 +54,8 @@ def test_encoder_gives_the_librarys_ids(library):
         assert own.encode(text) == packed(library(text)), repr(text)
 
 
-def test_encoder_with_small_tables(library, monkeypatch):
-    monkeypatch.setattr(encoding, "KEPT", 3)
-    own = encoding.Encoder(tokenizer_path())
+def test_encoder_with_small_tables(library):
+    own = encoding.Encoder(tokenizer_path(), 3)
     text = "one two three four five six seven one two three"
     assert own.encode(text) == own.encode(text) == packed(library(text))
 
@@ -119,6 +118,7 @@ def test_file_round_trip(spark, library, pack_bytes):
     words = "one two three four five six seven eight nine ten".split()
     rows = [(i * 3 % 400, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(400)]
     rows += [(1000 + i, t) for i, t in enumerate(AWKWARD)] + [(None, None), (5, "tie"), (5, "tie"), (None, "x")]
+    rows += [(2**62 + 1, "large"), (2**62, "keys")]
     folder = new_folder(spark, "file")
     token_file.write_ids(documents(spark, rows).repartition(4), folder, tokenizer_path(), pack_bytes=pack_bytes)
     got = token_file.read_ids(spark, folder).collect()
