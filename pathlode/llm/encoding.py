@@ -15,8 +15,8 @@ from collections.abc import Sequence
 
 from tokenizers import Tokenizer
 
-# Answers kept per worker, of pieces and of runs each, before a table starts afresh.
-# This bounds memory; results do not depend on it.
+# Answers kept per worker, of pieces and of runs each, before a table starts afresh (about 200
+# bytes an answer). Fewer cost time, more cost memory; results do not depend on it.
 KEPT = 500_000
 
 _BLANKS = " \t\n\r"
@@ -63,8 +63,8 @@ def _byte_letters() -> dict[int, str]:
 class _Pieces(dict):
     """Piece -> ids as little-endian unsigned 32-bit integers; asks the library when missing."""
 
-    def __init__(self, model):
-        self.model, self.letters = model, _byte_letters()
+    def __init__(self, model, kept: int):
+        self.model, self.kept, self.letters = model, kept, _byte_letters()
         self.space = self.letters[0x20]
 
     def ask(self, piece: str) -> bytes:
@@ -77,7 +77,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.ask(piece)
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.clear()
         self[piece] = ids
         return ids
@@ -97,7 +97,7 @@ class _Runs(dict):
             ids = self[word] + self.pieces[last]
         else:
             ids = self.pieces_of(f" {run}")
-        if len(self) >= KEPT:
+        if len(self) >= self.pieces.kept:
             self.clear()
         self[run] = ids
         return ids
@@ -113,12 +113,12 @@ def id_bytes(ids: Sequence[int]) -> bytes:
 class Encoder:
     """Ids of texts by one ``.json`` tokenizer; kept per worker by ``encoder``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         self.added = [t["content"] for t in config.get("added_tokens") or ()]
-        self.runs = _Runs(_Pieces(self.tokenizer.model)) if _by_pieces(config) else None
+        self.runs = _Runs(_Pieces(self.tokenizer.model, kept)) if _by_pieces(config) else None
 
     def encode(self, text: str) -> bytes:
         """Ids without begin, end or template tokens, four bytes each."""
@@ -130,11 +130,11 @@ class Encoder:
         return self.runs.pieces_of(first) + b"".join(map(self.runs.__getitem__, rest))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and file. The file must lie at ``path`` on every executor."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """One encoder per worker, file and bound. The file must lie at ``path`` on every executor."""
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = Encoder(path, kept)
+    return _ENCODERS[path, kept]

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from pathlode.llm.common import stored
-from pathlode.llm.encoding import encoder
+from pathlode.llm.common import key_kind, stored
+from pathlode.llm.encoding import KEPT, encoder
 from pathlode.llm.token_cache import tokenizer_version
 
 END_ID = 2
@@ -49,7 +49,12 @@ def _width(tokenizer: str, end_id: int) -> int:
 
 
 def train_dictionary(
-    docs: DataFrame, tokenizer: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = END_ID,
+    key: str = "doc_id",
+    text: str = "text",
+    kept: int = KEPT,
 ) -> bytes:
     """A dictionary from about ``SAMPLE_DOCS`` documents, chosen by a digest of key and size."""
     count = docs.count()
@@ -65,7 +70,7 @@ def train_dictionary(
     def serial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                _serial(encoder(tokenizer).encode(t or "")[: SAMPLE_BYTES // 512], width)
+                _serial(encoder(tokenizer, kept).encode(t or "")[: SAMPLE_BYTES // 512], width)
                 for t in batch["text"]
             ]
             yield pd.DataFrame({"mark": batch["mark"], "ids": rows})
@@ -86,11 +91,11 @@ def _zstd_dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(content) if content else None
 
 
-def _frames(tokenizer: str, end_id: int, width: int, dictionary: bytes):
+def _frames(tokenizer: str, end_id: int, width: int, dictionary: bytes, kept: int):
     end = end_id.to_bytes(4, "little")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, kept).encode
         shared = _zstd_dictionary(dictionary)
         if shared is not None:
             shared.precompute_compress(level=LEVEL)
@@ -128,7 +133,7 @@ def _pack(dictionary_hash: str, pack_bytes: int):
         keys, counts, frames, size = [], [], [], 0
         for batch in batches:
             for key, count, frame in batch[["key", "n_tokens", "frame"]].itertuples(index=False):
-                keys.append(None if pd.isna(key) else key)
+                keys.append(key)
                 counts.append(count)
                 frames.append(frame)
                 size += len(frame) + 32
@@ -150,12 +155,14 @@ def write_ids(
     key: str = "doc_id",
     text: str = "text",
     pack_bytes: int = PACK_BYTES,
+    kept: int = KEPT,
 ) -> None:
     """Encode every whole text, append ``end_id``, and write all in ascending key order.
 
     Null texts are empty (the end id alone); null keys come last. Rows of equal keys stand in
     order of their ids' checksum, then of their number of ids, so that reruns agree. A text
     is never cut: a very long one is a pack of its own. No rows give a readable empty folder.
+    ``kept`` bounds what an encoding worker remembers.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
@@ -163,33 +170,38 @@ def write_ids(
         raise TypeError(f"keys of type {kind.simpleString()} cannot be packed")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     width = _width(tokenizer, end_id)
-    dictionary = train_dictionary(rows, tokenizer, end_id, "key", "text")
+    dictionary = train_dictionary(rows, tokenizer, end_id, "key", "text", kept)
     mark = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame(
         [(mark, dictionary, width, tokenizer_version(tokenizer))],
         "hash string, content binary, width int, tokenizer string",
     ).write.parquet(f"{folder}/dictionary")
 
-    framed = StructType(
-        [StructField("key", kind), StructField("n_tokens", LongType()), StructField("crc", LongType())]
-    ).add("frame", "binary")
-    frames = stored(rows.mapInPandas(_frames(tokenizer, end_id, width, dictionary), framed), "frames")
+    carried = key_kind(kind)
+    framed = StructType([StructField("key", carried), StructField("n_tokens", LongType())])
+    framed = framed.add("crc", "long").add("frame", "binary")
+    encoded = rows.withColumn("key", F.col("key").cast(carried)).mapInPandas(
+        _frames(tokenizer, end_id, width, dictionary, kept), framed
+    )
+    frames = stored(encoded.withColumn("key", F.col("key").cast(kind)), "frames")
     # Rows alike in key and ids are dealt out by their number, or they would meet in one task.
     order = [F.col("key").asc_nulls_last(), F.col("crc"), F.col("n_tokens")]
     spread = F.xxhash64(F.monotonically_increasing_id())
     pack = StructType().add("part", "long").add("pack", "long").add("hash", "string")
-    pack.add("keys", ArrayType(kind)).add("n_tokens", ArrayType(LongType()))
+    pack.add("keys", ArrayType(carried)).add("n_tokens", ArrayType(LongType()))
     pack.add("offsets", ArrayType(LongType())).add("payload", "binary")
     (
         frames.withColumn("spread", spread)
         .repartitionByRange(*order, F.col("spread"))
         .sortWithinPartitions(*order, F.col("spread"))
+        .withColumn("key", F.col("key").cast(carried))
         .mapInPandas(_pack(mark, pack_bytes), pack)
+        .withColumn("keys", F.col("keys").cast(ArrayType(kind)))
         .write.option("compression", "none")
         .parquet(f"{folder}/packs")
     )
 
-    packs = spark.read.schema(pack).parquet(f"{folder}/packs").select(
+    packs = spark.read.parquet(f"{folder}/packs").select(
         "part",
         "pack",
         F.element_at("keys", 1).alias("first_key"),
@@ -226,7 +238,7 @@ def _opened(dictionary: bytes, mark: str, width: int, with_ids: bool, only=None)
                     ids = np.frombuffer(reader.decompress(frame), f"<u{width}").astype("<u4")
                     if len(ids) != counts[n]:
                         raise ValueError("a document has another number of ids than its index says")
-                    row = (part, pack, None if pd.isna(key) else key, int(starts[n]), len(ids))
+                    row = (part, pack, key, int(starts[n]), len(ids))
                     row += (zlib.crc32(ids.tobytes()),) + ((ids.astype(np.int64),) if with_ids else ())
                     out.append(row)
                 names = ["part", "pack", "key", "at", "n_tokens", "ids_crc32", "ids"]
@@ -253,18 +265,18 @@ def read_ids(
     kind = packs.schema["keys"].dataType.elementType
     only = None
     if keys is not None:
-        only = set(keys)
-        among = F.exists("keys", lambda k: k.isin(list(only)))
-        packs = packs.filter(among)
+        packs = packs.filter(F.exists("keys", lambda k: k.isin(list(keys))))
+        only = {str(k) for k in keys}
     opened = StructType([StructField("part", LongType()), StructField("pack", LongType())])
-    opened.add("key", kind).add("at", "long").add("n_tokens", "long").add("ids_crc32", "long")
+    opened.add("key", key_kind(kind)).add("at", "long").add("n_tokens", "long").add("ids_crc32", "long")
     if with_ids:
         opened.add("ids", ArrayType(LongType()))
+    packs = packs.withColumn("keys", F.col("keys").cast(ArrayType(key_kind(kind))))
     rows = packs.select("part", "pack", "hash", "keys", "n_tokens", "offsets", "payload").mapInPandas(
         _opened(bytes(shared["content"]), shared["hash"], shared["width"], with_ids, only), opened
     )
     return rows.join(index.select("part", "pack", F.col("start").alias("before")), ["part", "pack"]).select(
-        F.col("key").alias(key),
+        F.col("key").cast(kind).alias(key),
         (F.col("before") + F.col("at")).alias("start"),
         "n_tokens",
         "ids_crc32",
