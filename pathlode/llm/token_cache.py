@@ -86,6 +86,8 @@ def count_tokens(
             .write.mode("append")
             .parquet(cache)
         )
-    return rows.join(cached(spark, cache, version), "digest").select(
+    # Stored, so that a digest which many rows share can be dealt to several tasks.
+    counts = rows.select("digest").distinct().join(cached(spark, cache, version), "digest")
+    return rows.join(stored(counts, "counts"), "digest").select(
         F.col("key").alias(key), F.col("n_bytes").cast("long").alias("n_bytes"), "n_tokens"
     )
