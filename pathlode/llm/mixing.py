@@ -144,8 +144,8 @@ def take(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         F.col(source).alias("source"),
         F.col(key).alias("key"),
         word_count(text).alias("size"),
-        F.col(text).alias("text"),
+        F.xxhash64(text).alias("tie"),
     )
-    taken = mix(whole, **options | {"source": "source", "key": "key", "tie_breaker": "text"})
+    taken = mix(whole, **options | {"source": "source", "key": "key", "tie_breaker": "tie"})
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return taken.filter("copies > 0").select("doc", copies).select("doc.*")
