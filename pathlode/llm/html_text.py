@@ -1,32 +1,38 @@
 """Main text of web pages: marked structure, and the runs that pages of a host share.
 
-A page is cut into blocks. Blocks within the article are kept, and blocks within menus, headers,
-footers, sidebars, notices, adverts, forms and comments go. What the markup leaves open is
-decided by the host's suffix array: the token streams of its pages, outside the article, are
-laid end to end, suffixes are sorted by their first ``RUN`` tokens (longer ones need not be told
-apart), and neighbours that agree and come from distinct pages are repeated runs. Open blocks
-that such runs cover are boilerplate; unique runs stay. The sort is a shuffle by host and
-suffix, so no host is ever one task, and every run counts however far apart its pages lie.
-
-Text inside an article is never removed for being repeated: copies and quotations are text.
+A page is cut into blocks. Blocks within menus, headers, footers, sidebars, notices, adverts,
+forms and comments go. All else is decided by the host's suffix array: the token streams of its
+pages, outside the article, are laid end to end, and suffixes are sorted by their first ``RUN``
+tokens (longer ones need not be told apart). Whole blocks, from border to border, are runs too: all
+blocks outside the article that are shorter than ``RUN``. The sort is a shuffle
+by host and suffix, so no host is ever one task, and every run counts however far apart its pages lie.
+
+A run is repeated if enough distinct contents of the host have it: copies of a page under other
+ids or urls count once, and a passage quoted on a second page is no boilerplate. Open blocks that
+repeated runs cover go, and the article stays.
 """
 
 import html
+import json
 import re
 from collections.abc import Iterator
-from itertools import chain
-
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import StructType
 
 from pathlode.llm.common import key_kind, stored
 
 # Tokens that make a run worth the name, and the share of a block that runs must cover.
 RUN, COVERED = 8, 0.5
+# Distinct contents that a repeated run is on: so many at least, and these shares of the host's. A host
+# with fewer contents needs the run on all of them (two at least), but within an article never fewer.
+PAGES, OPEN_SHARE, MAIN_SHARE = 3, 0.1, 0.5
+# Parts into which the runs of one host are dealt.
+_PARTS = 16
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -200,39 +206,52 @@ def settled(page: list[tuple[str, str]]) -> str | None:
     return next((r for r in (_ARTICLE, _MAIN) if r in regions), None)
 
 
-def outside(page: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The blocks that the host's suffix array is made of."""
-    main = settled(page)
-    return [(r, t) for r, t in page if r != main]
+def suffixes(page: list[tuple[str, str]], seed: int = 0) -> list[tuple[int, int]]:
+    """(position, hash) of a page's runs; the hash's lowest bit tells those of the article.
 
+    Runs of the outside token stream are the first ``RUN`` tokens of each suffix, at their
+    position; shorter suffixes are no runs, but a stream that is shorter itself is one. Block k
+    as a whole is at ``-1 - k``.
+    """
+    main, tokens, found = settled(page), [], []
 
-def suffixes(page: list[tuple[str, str]]) -> tuple[list[int], int]:
-    """A hash of the first ``RUN`` tokens of each suffix of the outside token stream, and its length.
+    def digest(kind: str, text: str, bit: int) -> int:
+        value = xxhash.xxh64_intdigest(kind + text, seed) & ~1 | bit
+        return value - (1 << 63)
 
-    Shorter suffixes are no runs, but a stream that is shorter itself is one.
-    """
-    tokens = list(chain.from_iterable(t.split() for _, t in outside(page)))
+    for k, (region, text) in enumerate(page):
+        words = text.split()
+        if region == main:
+            continue
+        tokens += words
+        if len(words) < RUN:
+            found.append((-1 - k, digest("block ", text, 0)))
     starts = range(max(len(tokens) - RUN + 1, min(len(tokens), 1)))
-    hashes = [xxhash.xxh64_intdigest(" ".join(tokens[k : k + RUN])) - (1 << 63) for k in starts]
-    return hashes, len(tokens)
+    found += [(k, digest("", " ".join(tokens[k : k + RUN]), 0)) for k in starts]
+    return found
 
 
 def kept(page: list[tuple[str, str]], repeated: set[int]) -> tuple[str, int]:
     """The main text, and how many outside tokens lie in runs.
 
-    ``repeated`` has the positions in the outside stream at which a run begins.
+    ``repeated`` has the positions of the repeated runs, as ``suffixes`` gives them.
     """
-    main, at, covered, texts = settled(page), 0, 0, []
-    total = sum(len(t.split()) for r, t in page if r != main)
-    in_run = np.zeros(total + RUN, dtype=bool)
+    return _kept([(r, t, len(t.split())) for r, t in page], repeated)
+
+
+def _kept(page: list[tuple[str, str | None, int]], repeated: set[int]) -> tuple[str, int]:
+    """As ``kept``, from blocks with their sizes; only blocks that may stay need a text."""
+    main = settled([(r, t) for r, t, _ in page])
+    at, covered, texts = 0, 0, []
+    in_run = np.zeros(sum(n for r, _, n in page if r != main) + RUN, dtype=bool)
     for k in repeated:
-        in_run[k : k + RUN] = True
-    for region, text in page:
+        if k >= 0:
+            in_run[k : k + RUN] = True
+    for k, (region, text, size) in enumerate(page):
         if region == main:
             texts.append(text)
             continue
-        size = len(text.split())
-        runs = int(in_run[at : at + size].sum())
+        runs = size if -1 - k in repeated else int(in_run[at : at + size].sum())
         at, covered = at + size, covered + runs
         if main is None and region == _OPEN and runs < COVERED * size:
             texts.append(text)
@@ -241,43 +260,66 @@ def kept(page: list[tuple[str, str]], repeated: set[int]) -> tuple[str, int]:
 
 def _suffix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [suffixes(blocks(h)) for h in batch["html"]]
+        found = []
+        for host, page in zip(batch["host"], batch["html"], strict=True):
+            seed, page = xxhash.xxh64_intdigest(host), blocks(page)
+            content = xxhash.xxh64_intdigest("\n".join(t for _, t in page), seed)
+            runs = [{"at": k, "run": run} for k, run in suffixes(page, seed)]
+            found.append((seed - (1 << 63), content - (1 << 63), runs))
         yield pd.DataFrame(
             {
                 "mark": batch["mark"],
-                "host": batch["host"],
-                "length": [n for _, n in found],
-                "suffix": [hashes for hashes, _ in found],
+                "site": [f[0] for f in found],
+                "content": [f[1] for f in found],
+                "runs": [f[2] for f in found],
             }
         )
 
 
 def _block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Settled pages as their text; of others, all blocks. Either way what is needed, once."""
+    """The blocks of each page, with the texts of those that may stay, as a zstandard frame of JSON."""
+    pack = zstandard.ZstdCompressor().compress
     for batch in batches:
-        pages = [blocks(h) for h in batch["html"]]
-        done = [settled(p) is not None for p in pages]
-        pairs = list(zip(pages, done, strict=True))
+        rows = []
+        for page in batch["html"]:
+            page = blocks(page)
+            may = settled(page) or _OPEN
+            parts = [(r, t if r == may else None, len(t.split())) for r, t in page]
+            rows.append(pack(json.dumps(parts, ensure_ascii=False).encode()))
         yield pd.DataFrame(
-            {
-                "mark": batch["mark"],
-                "page_id": batch["page_id"],
-                "url": batch["url"],
-                "text": [kept(p, set())[0] if d else None for p, d in pairs],
-                "open": [None if d else [{"region": r, "text": t} for r, t in p] for p, d in pairs],
-            }
+            {"mark": batch["mark"], "page_id": batch["page_id"], "url": batch["url"], "blocks": rows}
         )
 
 
-@F.pandas_udf(StringType())
-def _decided(text: pd.Series, open_blocks: pd.Series, repeated: pd.Series) -> pd.Series:
-    def one(done, page, runs):
-        if page is None:
-            return done
-        runs = set() if runs is None else {int(k) for k in runs}
-        return kept([(b["region"], b["text"]) for b in page], runs)[0]
+@F.pandas_udf(StructType().add("text", "string").add("n", "long"))
+def _decided(pages: pd.Series, repeated: pd.Series) -> pd.DataFrame:
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def one(page, runs):
+        return _kept(json.loads(unpack(page)), set() if runs is None else {int(k) for k in runs})
 
-    return pd.Series([one(*row) for row in zip(text, open_blocks, repeated, strict=True)])
+    rows = [one(*row) for row in zip(pages, repeated, strict=True)]
+    return pd.DataFrame(rows, columns=["text", "n"])
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The ``run``s that enough distinct contents of their site have."""
+    totals = rows.select("site", "content").distinct().groupBy("site").agg(F.count("*").alias("total"))
+    parts = F.explode(F.array(*[F.lit(k) for k in range(_PARTS)])).alias("part")
+    runs = (
+        rows.select("run", "content", "site")
+        .distinct()
+        .groupBy("run")
+        .agg(F.count("*").alias("n"), F.min("site").alias("site"))
+        .filter("n > 1")
+        # The lowest bit is the kind, so the part comes from the bits above it.
+        .withColumn("part", F.shiftrightunsigned("run", 1).bitwiseAND(_PARTS - 1).cast("int"))
+        .join(totals.select("site", "total", parts), ["site", "part"])
+    )
+    open_least = F.greatest(F.least(F.lit(PAGES), "total"), F.col("total") * OPEN_SHARE)
+    main_least = F.greatest(F.lit(PAGES), F.col("total") * MAIN_SHARE)
+    in_main = F.col("run").bitwiseAND(1) == 1
+    return runs.filter(F.col("n") >= F.when(in_main, main_least).otherwise(open_least)).select("run")
 
 
 def main_text(
@@ -286,8 +328,8 @@ def main_text(
     """One row per page: ``page_id``, ``url``, ``text``, ``n_chars``, ``n_repeated``.
 
     ``n_repeated`` counts the words outside the main text that runs cover. Null and empty
-    pages, and pages without text, have an empty text. Null urls are one host. Rows that
-    repeat a page are the same page to the suffix array, and each has its row.
+    pages, and pages without text, have an empty text. Null urls are one host. Pages whose
+    blocks have the same texts are one content to the suffix array, and each has its row.
     """
     kind = pages.schema[key].dataType
     pages = pages.select(
@@ -298,32 +340,28 @@ def main_text(
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[^:/?#]+:)?//([^/?#]*)", 1))
     rows = stored(
         pages.select("mark", host.alias("host"), "html")
-        .mapInPandas(_suffix_rows, "mark long, host string, length int, suffix array<long>")
-        .select("mark", "host", "length", F.posexplode("suffix").alias("at", "suffix")),
+        .mapInPandas(
+            _suffix_rows, "mark long, site long, content long, runs array<struct<at: int, run: long>>"
+        )
+        .select("mark", "site", "content", F.inline("runs")),
         "suffixes",
     )
-    same = rows.groupBy("host", "suffix").agg(F.min("mark").alias("a"), F.max("mark").alias("b"))
-    runs = same.filter("a <> b").select("host", "suffix")
     found = (
-        rows.join(runs, ["host", "suffix"])
+        rows.select("run", "mark", "at")
+        .join(_repeated(rows), "run")
         .groupBy("mark")
-        .agg(F.collect_set("at").alias("runs"), F.max("length").alias("length"))
+        .agg(F.collect_set("at").alias("runs"))
     )
-    covered = F.flatten(F.transform("runs", lambda k: F.sequence(k, k + (RUN - 1))))
-    within = F.filter(F.array_distinct(covered), lambda k: k < F.col("length"))
-    found = found.select("mark", "runs", F.size(within).alias("n"))
-    block = StructType().add("region", "string").add("text", "string")
-    schema = pages.select("mark", "page_id", "url").schema.add("text", "string")
-    schema.add("open", ArrayType(block))
+    schema = pages.select("mark", "page_id", "url").schema.add("blocks", "binary")
     return (
         pages.mapInPandas(_block_rows, schema)
         .join(found, "mark", "left")
-        .withColumn("text", _decided("text", "open", "runs"))
+        .withColumn("decided", _decided("blocks", "runs"))
         .select(
             F.col("page_id").cast(kind).alias(key),
             F.col("url").alias(url),
-            "text",
-            F.length("text").cast("long").alias("n_chars"),
-            F.coalesce("n", F.lit(0)).cast("long").alias("n_repeated"),
+            F.col("decided.text").alias("text"),
+            F.length("decided.text").cast("long").alias("n_chars"),
+            F.col("decided.n").alias("n_repeated"),
         )
     )

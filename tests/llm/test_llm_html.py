@@ -71,6 +71,29 @@ def test_repeated_runs_of_a_host_go(spark):
     assert h.main_text(pages.limit(0)).collect() == []
 
 
+def by_page(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in h.main_text(pages).collect()}
+
+
+def test_copies_and_quotations_stay_on_open_pages(spark):
+    line = "Share all of these stories with your friends by mail today"
+    quote = "a passage of more than eight words that a second page quotes in full"
+    own = [f"own{i} words{i} of{i} page{i} number{i} that{i} no{i} other{i} has{i}" for i in range(6)]
+    # The menu is shorter than a run, and another text follows it on each page.
+    page = "<div>Home News {i}</div><div>Home News</div><div>{own}</div><div>{line}</div>"
+    rows = [(i, f"http://one.example/{i}", page.format(i=i, own=own[i], line=line)) for i in range(6)]
+    rows += [(i, f"http://one.example/{i}", f"<div>Only {i}</div><div>{quote}</div>") for i in (6, 7)]
+    rows += [(10, "http://one.example/copy", rows[1][2]), (11, "http://one.example/1?again", rows[1][2])]
+    # Only copies: one content, of which nothing is repeated.
+    rows += [(20 + i, "http://two.example/", f"<div>{quote}</div>") for i in range(4)]
+    text = by_page(spark, rows)
+    assert all(text[i] == f"Home News {i} {own[i]}" for i in range(1, 6))
+    assert text[10] == text[11] == text[1]
+    assert all(text[i].endswith(quote) for i in (6, 7))
+    assert all(text[20 + i] == quote for i in range(4))
+
+
 def test_query(spark):
     """The given pages have one marked article, so a plain search finds it too."""
     want = {}
