@@ -4,12 +4,14 @@ A page is cut into blocks. Blocks within menus, headers, footers, sidebars, noti
 forms and comments go. All else is decided by the host's suffix array: the token streams of its
 pages, outside the article, are laid end to end, and suffixes are sorted by their first ``RUN``
 tokens (longer ones need not be told apart). Whole blocks, from border to border, are runs too: all
-blocks outside the article that are shorter than ``RUN``. The sort is a shuffle
+blocks of the article, and those outside it that are shorter than ``RUN``. The sort is a shuffle
 by host and suffix, so no host is ever one task, and every run counts however far apart its pages lie.
 
 A run is repeated if enough distinct contents of the host have it: copies of a page under other
 ids or urls count once, and a passage quoted on a second page is no boilerplate. Open blocks that
-repeated runs cover go, and the article stays.
+repeated runs cover go. Within the article the markup speaks for the text, so a block goes only if
+it is repeated as a whole on at least half of the host's contents; an article of which nothing else
+would be left is a copy and stays.
 """
 
 import html
@@ -222,6 +224,7 @@ def suffixes(page: list[tuple[str, str]], seed: int = 0) -> list[tuple[int, int]
     for k, (region, text) in enumerate(page):
         words = text.split()
         if region == main:
+            found.append((-1 - k, digest("block ", text, 1)))
             continue
         tokens += words
         if len(words) < RUN:
@@ -249,12 +252,15 @@ def _kept(page: list[tuple[str, str | None, int]], repeated: set[int]) -> tuple[
             in_run[k : k + RUN] = True
     for k, (region, text, size) in enumerate(page):
         if region == main:
-            texts.append(text)
+            if -1 - k not in repeated:
+                texts.append(text)
             continue
         runs = size if -1 - k in repeated else int(in_run[at : at + size].sum())
         at, covered = at + size, covered + runs
         if main is None and region == _OPEN and runs < COVERED * size:
             texts.append(text)
+    if main and not texts:
+        texts = [t for r, t, _ in page if r == main]
     return " ".join(texts), covered
 
 

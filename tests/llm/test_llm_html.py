@@ -94,6 +94,24 @@ def test_copies_and_quotations_stay_on_open_pages(spark):
     assert all(text[20 + i] == quote for i in range(4))
 
 
+def test_repeated_blocks_of_articles_go(spark):
+    share, quote = "Share this story", "A sentence that just two of the articles have in common here"
+    page = "<article><h1>Title {i}</h1><p>{share}</p><p>Text of page {i}</p>{more}</article>"
+    rows = [
+        (i, f"http://one.example/{i}", page.format(i=i, share=share, more=f"<p>{quote}</p>" * (i < 2)))
+        for i in range(6)
+    ]
+    rows += [(10, "http://one.example/copy", rows[5][2])]
+    # On two pages a line may be a quotation, and nothing is left of an article that is a copy.
+    rows += [(20 + i, "http://two.example/", page.format(i=i, share=share, more="")) for i in range(2)]
+    rows += [(30 + i, "http://three.example/", f"<p>{i}</p><article><p>{quote}</p></article>") for i in range(4)]
+    text = by_page(spark, rows)
+    assert all(text[i] == f"Title {i} Text of page {i}" + f" {quote}" * (i < 2) for i in range(6))
+    assert text[10] == text[5]
+    assert text[20] == f"Title 0 {share} Text of page 0"
+    assert all(text[30 + i] == quote for i in range(4))
+
+
 def test_query(spark):
     """The given pages have one marked article, so a plain search finds it too."""
     want = {}
