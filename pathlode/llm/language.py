@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # Families of language codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -35,6 +36,9 @@ FAMILIES = {
 # Hashed features, and labelled rows that a model is fitted on: of a language, and in all (about).
 FEATURES, SAMPLE, ALL_SAMPLED = 4096, 500, 20_000
 UNDETERMINED = "und"
+# Texts with fewer letters are not judged by their score. The least score is so many times the score of
+# chance, and at most this share of what any sampled held-out row (so many, about) has.
+JUDGED_LETTERS, ABOVE_CHANCE, BELOW_CLEAN, CLEAN_SAMPLE = 150, 1.5, 0.9, 2000
 
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANKED = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -207,11 +211,59 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ).drop("_llm_lang")
 
 
-def reject_undetermined(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language cannot be told; null labels are filled in."""
-    model = train(docs, text=text, lang=lang)
+def least_score(
+    docs: DataFrame,
+    model: Model,
+    key: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    held_out: int = 2,
+    sample: int = CLEAN_SAMPLE,
+) -> float:
+    """The score below which a text of ``JUDGED_LETTERS`` is in no language of the model.
+
+    It is measured on a sample of the labelled rows of the held-out fold, none of which it
+    rejects. A model of one language, or no such row, gives 0: nothing is rejected.
+    """
+    languages = sum(map(len, model.members.values()))
+    if languages < 2:
+        return 0.0
+    rows = docs.filter(
+        (fold(key) == held_out) & F.col(lang).isNotNull() & _judged(F.col(text))
+    ).select(F.col(text).alias("text"), F.md5(F.col(key).cast("string")).alias("mark"))
+    share = min(1.0, sample / max(rows.count(), 1))
+    mark = F.conv(F.substring("mark", 1, 7), 16, 10).cast("long")
+    chosen = rows.filter(mark <= int(share * 0xFFFFFFF)).select("text")
+    clean = predict(chosen, model).agg(F.min("score")).first()[0]
+    return 0.0 if clean is None else min(BELOW_CLEAN * clean, ABOVE_CHANCE / languages)
+
+
+@F.pandas_udf(BooleanType())
+def _has_letter(texts: pd.Series) -> pd.Series:
+    return pd.Series([has_letter(t) for t in texts], dtype=bool)
+
+
+def _judged(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", "")) >= JUDGED_LETTERS
+
+
+def reject_undetermined(
+    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id"
+) -> DataFrame:
+    """``docs`` without the rows whose language cannot be told; null labels are filled in.
+
+    Rows without a letter go, and so do texts of ``JUDGED_LETTERS`` whose score is below
+    ``least_score``. Where nothing could be learnt, all rows with a letter stay, and null
+    labels stay null.
+    """
+    model = train(docs, key, text, lang)
+    if not model.members:
+        return docs.filter(_has_letter(F.col(text)))
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
     named = predict(whole, model).filter(F.col("lang_pred") != UNDETERMINED)
+    least = least_score(docs, model, key, text, lang)
+    if least:
+        named = named.filter((F.col("score") >= least) | ~_judged(F.col("text")))
     filled = F.coalesce(F.col("doc")[lang], "lang_pred")
     return named.select(
         *[(filled if c == lang else F.col("doc")[c]).alias(c) for c in docs.columns]

@@ -76,3 +76,33 @@ def test_nothing_to_learn_from(docs):
     model = language.train(docs.limit(0))
     assert {r["lang_pred"] for r in language.predict(docs, model).collect()} == {"und"}
     assert language.predict(docs.limit(0), model).collect() == []
+
+
+def test_without_labels_all_texts_with_letters_stay(docs):
+    letters = {r["doc_id"] for r in docs.collect()} - {5000, 5001, 5002}
+    blank = docs.withColumn("lang", language.F.lit(None).cast("string"))
+    kept = language.reject_undetermined(blank).collect()
+    assert {r["doc_id"] for r in kept} == letters and {r["lang"] for r in kept} == {None}
+    nameless = docs.withColumn("doc_id", language.F.lit(None).cast("long"))
+    assert language.reject_undetermined(nameless).count() == docs.count() - 3
+    assert language.reject_undetermined(docs.limit(0)).collect() == []
+
+
+def test_long_texts_in_no_known_language_go(spark, docs):
+    rng = np.random.default_rng(4)
+    noise = ["".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 300)) for _ in range(20)]
+    rows = [(9000 + i, t, "en") for i, t in enumerate(noise)] + [(9100, noise[0][:20], None)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    least = language.least_score(docs, model)
+    # The fixture's clean texts are short of JUDGED_LETTERS, so nothing is rejected by them alone.
+    assert least == 0.0
+    long = docs.withColumn("text", language.F.concat_ws(" ", *["text"] * 6))
+    assert 0 < language.least_score(long, model) <= language.ABOVE_CHANCE / 4
+    both = long.select("doc_id", "text", "lang").unionByName(more.filter("doc_id = 9100"))
+    clean = {r["doc_id"] for r in language.reject_undetermined(both).collect()}
+    assert clean == {r["doc_id"] for r in docs.collect()} - {5000, 5001, 5002} | {9100}
+    # Rows of the held-out fold that are labelled count as clean, so the noise has no label.
+    noisy = both.unionByName(more.filter("doc_id < 9100").withColumn("lang", language.F.lit(None).cast("string")))
+    kept = {r["doc_id"] for r in language.reject_undetermined(noisy).collect()}
+    assert kept >= clean and len(kept - clean) <= 10
