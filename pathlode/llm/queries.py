@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlode.llm import (
+    clustering,
     decontamination,
+    hard_negatives,
     html_text,
     language,
+    line_dedup,
     mixing,
     secret_scan,
     sharding,
@@ -250,3 +253,124 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 register(op1_secrets)
+
+
+# --- 11: centroid clustering -------------------------------------------------
+
+
+def op11_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = stored(clustering.usable(table(spark, folder, "embeddings")), "cluster-vectors")
+    return clustering.assign(vectors, clustering.fit(vectors))
+
+
+_FLOORED = "((s - ((s % n) + n) % n) // n)::BIGINT"
+
+
+def _cluster_round(k: int) -> str:
+    return f"""
+    near{k} AS (
+      SELECT vec_id, v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+      FROM (SELECT kept.vec_id, kept.v, c.cluster,
+                   list_sum([(kept.v[i] - c.v[i]) * (kept.v[i] - c.v[i])
+                             FOR i IN range(1, 65)])::BIGINT AS distance
+            FROM kept, centroids{k} c) GROUP BY vec_id, v)"""
+
+
+def _cluster_update(k: int) -> str:
+    return f"""
+    sums{k} AS (
+      SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n
+      FROM near{k - 1}, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i),
+    means{k} AS (SELECT cluster, list({_FLOORED} ORDER BY i) AS v FROM sums{k} GROUP BY cluster),
+    centroids{k} AS (
+      SELECT c.cluster, coalesce(m.v, c.v) AS v
+      FROM centroids{k - 1} c LEFT JOIN means{k} m ON c.cluster = m.cluster)"""
+
+
+register(
+    op11_clusters,
+    """
+    WITH kept AS (
+      SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF isfinite(x)]) = 64),
+    centroids0 AS (
+      SELECT row_number() OVER (ORDER BY mark) - 1 AS cluster, v
+      FROM (SELECT v, sha256('1:' || vec_id) AS mark FROM kept ORDER BY mark LIMIT 16)),"""
+    + _cluster_round(0)
+    + "".join(f",{_cluster_update(k)},{_cluster_round(k)}" for k in (1, 2, 3))
+    + """
+    SELECT vec_id, near3.cluster::INTEGER AS cluster, distance,
+           (sum(distance) OVER (PARTITION BY near3.cluster))::BIGINT AS cluster_inertia,
+           (sum(distance) OVER ())::BIGINT AS inertia,
+           sha256(array_to_string(centroids3.v, ',')) AS centroid_sha256
+    FROM near3 JOIN centroids3 ON near3.cluster = centroids3.cluster""",
+)
+
+
+# --- 12: line dedup ----------------------------------------------------------
+
+
+def op12_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+register(
+    op12_lines,
+    r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS nth, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
+      FROM documents),
+    lines AS (
+      SELECT nth, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),
+    keyed AS (
+      SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM lines),
+    frequent AS (
+      SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT nth) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(frequent.key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos)
+                           FILTER (WHERE frequent.key IS NULL), '')) AS kept_sha256
+    FROM keyed LEFT JOIN frequent ON keyed.key = frequent.key GROUP BY nth, doc_id""",
+)
+
+
+# --- 13: hard negatives ------------------------------------------------------
+
+
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings")
+    vectors = stored(hard_negatives.usable(rows, label=moved), "labelled-vectors")
+    index = hard_negatives.build_index(vectors)
+    return hard_negatives.mine(index, vectors.filter("vec_id % 100 = 0"))
+
+
+register(
+    op13_negatives,
+    """
+    WITH vectors AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(embedding) = len([x FOR x IN embedding IF isfinite(x)])),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+             list_sum([a.v[i] * c.v[i] FOR i IN range(1, len(a.v) + 1)])::BIGINT AS score
+      FROM vectors a, vectors c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+      FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth
+            FROM scored WHERE same) WHERE nth <= 5),
+    ranked AS (
+      SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id
+                                ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+       AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+    FROM ranked WHERE rank <= 10""",
+)
