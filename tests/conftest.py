@@ -44,13 +44,18 @@ def entries(spark):
 
 
 @pytest.fixture(scope="session")
-def five(entries):
+def depot(entries):
+    """A directory in a directory, one name in two spellings, a double and a missing extension."""
     return entries(
-        "/srv/bob/music/README",
-        "/srv/ann/docs/dir1/",
-        ("/srv/ann/docs/foo.txt", 1024),
-        "/srv/bob/music/song.mp3",
-        "/srv/ann/docs/bar.rs",
+        "/store/",
+        ("/store/Plan A.ods", 640),
+        ("/store/seeds-2024.csv", 90_000),
+        ("/store/seeds-2024.csv.gz", 7_000),
+        "/store/Old/",
+        ("/store/Old/Seeds.CSV", 1),
+        "/post/in.mbox",
+        "/post/NOTICE",
+        "/post/draft_one.eml",
     )
 
 

@@ -27,11 +27,11 @@ from pathlode.sources.inventory import as_entries, one_per_path, union_roots, wi
 
 def test_parts(entries):
     data = entries(
-        "/home/user/archive.tar.gz", "/a/.bashrc", "/a/foo.", "/a/README", "/a/d.x/", "rel", "/x"
+        "/srv/dump.tar.zst", "/a/.bashrc", "/a/foo.", "/a/README", "/a/d.x/", "rel", "/x"
     )
     got = {r["path"]: (r["name"], r["extension"], r["parent"]) for r in data.collect()}
     assert got == {
-        "/home/user/archive.tar.gz": ("archive.tar.gz", "gz", "/home/user"),
+        "/srv/dump.tar.zst": ("dump.tar.zst", "zst", "/srv"),
         "/a/.bashrc": (".bashrc", "bashrc", "/a"),
         "/a/foo.": ("foo.", "", "/a"),
         "/a/README": ("README", "", "/a"),
@@ -39,49 +39,51 @@ def test_parts(entries):
         "rel": ("rel", "", ""),
         "/x": ("x", "", ""),
     }
-    assert {r[0]: r[1] for r in extension_counts(data).collect()} == {"gz": 1, "bashrc": 1, "": 4}
+    assert {r[0]: r[1] for r in extension_counts(data).collect()} == {"zst": 1, "bashrc": 1, "": 4}
 
 
 TREE = [
-    "/w/docs/",
-    "/w/docs/foo.txt",
-    "/w/docs/bar.rs",
-    "/w/docs/sub/",
-    "/w/docs/sub/baz.md",
-    "/w/music.mp3",
-    "/w/.hidden/",
-    "/w/.hidden/secret.txt",
-    "/w/.secret.txt",
-    "/w/drop.tmp",
-    "/w/dir.tmp/",
-    "/w/dir.tmp/keep.txt",
-    "/w/node_modules/",
-    "/w/node_modules/pkg.js",
-    "/w/./x",
+    "/w/maps/",
+    "/w/maps/alps.gpx",
+    "/w/maps/roads",
+    "/w/maps/2023/",
+    "/w/maps/2023/coast.kml",
+    "/w/letter.odt",
+    "/w/.git/",
+    "/w/.git/config",
+    "/w/.profile",
+    "/w/scratch.bak",
+    "/w/copy.bak/",
+    "/w/copy.bak/ledger.ods",
+    "/w/build/",
+    "/w/build/out.o",
+    "/w/./q",
 ]
-VISIBLE = sorted(p.rstrip("/") for p in TREE if "/.hidden" not in p)
-ENDING_IN_S = ["/w/docs", "/w/docs/bar.rs", "/w/node_modules", "/w/node_modules/pkg.js"]
-NOT_ENDING_IN_S = sorted(set(VISIBLE) - set(ENDING_IN_S))
+VISIBLE = sorted(p.rstrip("/") for p in TREE if "/.git" not in p)
+
+
+def all_but(*kept):
+    return [p for p in VISIBLE if p not in kept]
 
 
 @pytest.mark.parametrize(
     "excludes, dropped",
     [
         (Excludes(), []),
-        (Excludes(skip_hidden=True), ["/w/.secret.txt"]),
-        (Excludes(patterns=("*.tmp",)), ["/w/drop.tmp", "/w/dir.tmp", "/w/dir.tmp/keep.txt"]),
-        (Excludes(patterns=("*.TMP", "a/b")), []),
-        (Excludes(patterns=("w", "music.*")), ["/w/music.mp3"]),
-        (Excludes(patterns=("?", "music.*")), ["/w/./x", "/w/music.mp3"]),
+        (Excludes(skip_hidden=True), ["/w/.profile"]),
+        (Excludes(patterns=("*.bak",)), ["/w/scratch.bak", "/w/copy.bak", "/w/copy.bak/ledger.ods"]),
+        (Excludes(patterns=("*.BAK", "maps/2023")), []),
+        (Excludes(patterns=("w", "letter.*")), ["/w/letter.odt"]),
+        (Excludes(patterns=("?", "letter.*")), ["/w/./q", "/w/letter.odt"]),
         (Excludes(patterns=("*",)), VISIBLE),
-        (Excludes(folders=("**/node_modules",)), ["/w/node_modules", "/w/node_modules/pkg.js"]),
+        (Excludes(folders=("**/build",)), ["/w/build", "/w/build/out.o"]),
         (Excludes(folders=("w",)), VISIBLE),
         (Excludes(folders=("?",)), VISIBLE),
-        (Excludes(paths=("/w/docs/sub/",)), ["/w/docs/sub", "/w/docs/sub/baz.md"]),
-        (Excludes(paths=("/w/docs/su",)), []),
-        (Excludes(include_only=("*s", "*.rs")), NOT_ENDING_IN_S),
-        (Excludes(include_only=("w", "*s")), NOT_ENDING_IN_S),
-        (Excludes(include_only=("a/b",)), VISIBLE),
+        (Excludes(paths=("/w/maps/2023/",)), ["/w/maps/2023", "/w/maps/2023/coast.kml"]),
+        (Excludes(paths=("/w/maps/20",)), []),
+        (Excludes(include_only=("*s", "*.gpx")), all_but("/w/maps", "/w/maps/alps.gpx", "/w/maps/roads")),
+        (Excludes(include_only=("w", "*s")), all_but("/w/maps", "/w/maps/roads")),
+        (Excludes(include_only=("maps/roads",)), VISIBLE),
     ],
 )
 def test_excludes(entries, excludes, dropped):
@@ -164,15 +166,9 @@ def test_directories(entries):
 
 @pytest.mark.parametrize("broadcast", [None, False])
 def test_subtrees(spark, entries, broadcast):
-    data = entries(
-        "/downloads/torrent/",
-        "/downloads/torrent/season/",
-        "/downloads/torrent/season/episode.mkv",
-        "/downloads/torrent-2/keep.mkv",
-        "rel/a",
-    )
-    folders = spark.createDataFrame([("/downloads/torrent/",), ("/no",), ("rel",)], "path string")
-    assert paths(not_under(data, folders, broadcast)) == ["/downloads/torrent-2/keep.mkv"]
+    data = entries("/shed/rack/", "/shed/rack/box/", "/shed/rack/box/nails", "/shed/rack.old", "rel/a")
+    folders = spark.createDataFrame([("/shed/rack/",), ("/no",), ("rel",)], "path string")
+    assert paths(not_under(data, folders, broadcast)) == ["/shed/rack.old"]
     assert len(paths(under(data, folders, broadcast))) == 4
     root = spark.createDataFrame([("/",)], "path string")
     assert paths(not_under(data, root, broadcast)) == ["rel/a"]
@@ -209,22 +205,14 @@ def test_reconcile_parts(entries):
     assert reconcile_diff(old, old).filter("status <> 'same'").isEmpty()
 
 
-SORT4 = [
-    "/home/bob/music/song.mp3",
-    "/home/alice/docs/foo.txt",
-    "/home/alice/docs/bar.rs",
-    "/home/bob/music/aria.mp3",
-]
-
-
 def test_sorts(entries):
-    data = entries(*SORT4, "/z/Zebra")
-    by_name = [r["name"] for r in page(data, "name").collect()]
-    assert by_name == ["Zebra", "aria.mp3", "bar.rs", "foo.txt", "song.mp3"]
+    data = entries("/k/9/b.ods", "/k/1/a.ods", "/k/5/Z.eml", "/k/2/b", "/K/c.eml")
+    by_name = [r["path"] for r in page(data, "name").collect()]
+    assert by_name == ["/k/5/Z.eml", "/k/1/a.ods", "/k/2/b", "/k/9/b.ods", "/K/c.eml"]
     by_path = [r["name"] for r in page(data, "path-desc").collect()]
-    assert by_path == ["Zebra", "song.mp3", "aria.mp3", "foo.txt", "bar.rs"]
-    ties = [r["name"] for r in page(data, "ext-desc", limit=3).collect()]
-    assert ties == ["foo.txt", "bar.rs", "aria.mp3"]
+    assert by_path == ["b.ods", "Z.eml", "b", "a.ods", "c.eml"]
+    ties = [r["path"] for r in page(data, "ext-desc", limit=4).collect()]
+    assert ties == ["/k/1/a.ods", "/k/9/b.ods", "/K/c.eml", "/k/5/Z.eml"]
     for spelling in ("date-modified-desc", " Size ", "accessed", "created-asc", "extension"):
         sort_order(spelling)
     for bad in ("not-a-sort", "", "size-up", "name-asc-asc"):

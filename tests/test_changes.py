@@ -83,29 +83,24 @@ def test_fold_equals_replay(spark, entries, seed, broadcast):
 
 
 def test_single_cases(spark, entries):
-    base = entries(
-        "/downloads/torrent/",
-        "/downloads/torrent/season/episode.mkv",
-        "/downloads/torrent-2/keep.mkv",
-        ("/tmp/video.mkv", 10, 100),
-    )
+    base = entries("/shed/rack/", "/shed/rack/box/nails", "/shed/rack.old", ("/shed/saw", 10, 100))
 
     def fold(*feed):
         return apply_changes(base, spark.createDataFrame(list(feed), CHANGE))
 
-    gone = fold(event(1, "delete", "/downloads/torrent"))
-    assert paths(gone) == ["/downloads/torrent-2/keep.mkv", "/tmp/video.mkv"]
-    unknown = fold(event(1, "modify", "/tmp/new", size=5))
-    assert "/tmp/new" not in paths(unknown)
-    twice = fold(event(1, "create", "/tmp/video.mkv", is_dir=False, size=20, modified=200))
-    video = twice.filter("path = '/tmp/video.mkv'").first()
-    assert (video["size"], video["modified"]) == (20, 200)
-    other_kind = fold(event(1, "create", "/downloads/torrent", is_dir=False, size=1))
+    gone = fold(event(1, "delete", "/shed/rack"))
+    assert paths(gone) == ["/shed/rack.old", "/shed/saw"]
+    unknown = fold(event(1, "modify", "/shed/new", size=5))
+    assert "/shed/new" not in paths(unknown)
+    twice = fold(event(1, "create", "/shed/saw", is_dir=False, size=20, modified=200))
+    saw = twice.filter("path = '/shed/saw'").first()
+    assert (saw["size"], saw["modified"]) == (20, 200)
+    other_kind = fold(event(1, "create", "/shed/rack", is_dir=False, size=1))
     assert other_kind.count() == 4
-    assert not other_kind.filter("path = '/downloads/torrent'").first()["is_dir"]
-    kept = fold(event(1, "modify", "/tmp/video.mkv", modified=7))
-    video = kept.filter("path = '/tmp/video.mkv'").first()
-    assert (video["size"], video["modified"]) == (10, 7)
+    assert not other_kind.filter("path = '/shed/rack'").first()["is_dir"]
+    kept = fold(event(1, "modify", "/shed/saw", modified=7))
+    saw = kept.filter("path = '/shed/saw'").first()
+    assert (saw["size"], saw["modified"]) == (10, 7)
     nothing = fold(event(1, "overflow"))
     assert nothing.count() == 4
 

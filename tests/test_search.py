@@ -9,57 +9,77 @@ from pathlode.functions.globs import glob_suffix, glob_whole
 from pathlode.operators.predicates import lookup, matches, name_starts_with
 from pathlode.operators.terms import from_text, needles_of
 
-ALL = ["README", "bar.rs", "dir1", "foo.txt", "song.mp3"]
+ALL = [
+    "NOTICE",
+    "Old",
+    "Plan A.ods",
+    "Seeds.CSV",
+    "draft_one.eml",
+    "in.mbox",
+    "seeds-2024.csv",
+    "seeds-2024.csv.gz",
+    "store",
+]
+POST = ["NOTICE", "draft_one.eml", "in.mbox"]
+SEEDS = ["Seeds.CSV", "seeds-2024.csv", "seeds-2024.csv.gz"]
+
+
+def without(*gone):
+    return [n for n in ALL if n not in gone]
 
 
 @pytest.mark.parametrize(
     "terms, wanted, expected",
     [
-        ("foo", {}, ["foo.txt"]),
-        ("FOO", {}, ["foo.txt"]),
-        ("FOO", {"match_case": True}, []),
-        ("docs", {"match_path": True}, ["bar.rs", "dir1", "foo.txt"]),
-        ("docs", {}, []),
-        ("*.mp3", {"whole_filename": True}, ["song.mp3"]),
-        ("", {"ext": "rs"}, ["bar.rs"]),
-        ((), {"files": True}, ["README", "bar.rs", "foo.txt", "song.mp3"]),
-        ((), {"folders": True}, ["dir1"]),
-        ((), {"files": True, "folders": True}, []),
-        ((), {"attrib": "hd"}, ["dir1"]),
-        ((), {"attrib": "hrs"}, ALL),
-        ((), {"size": (500, 1500)}, ["foo.txt"]),
-        ((), {"size": ">1kb"}, ["foo.txt"]),
-        ([Not(Substring("foo"))], {}, ["README", "bar.rs", "dir1", "song.mp3"]),
-        ("foo|bar", {}, ["bar.rs", "foo.txt"]),
-        (["foo", "bar"], {}, []),
-        (["foo", "missing"], {}, []),
-        ("read", {"whole_word": True}, []),
-        ("README", {"whole_word": True}, ["README"]),
-        ([Regex("read")], {"whole_word": True}, []),
-        ([Regex("readme")], {"whole_word": True}, ["README"]),
-        ([Regex("README")], {}, []),
-        ([Regex("README")], {"match_case": True}, ["README"]),
-        ([Regex(r"\.(rs|txt)$")], {}, ["bar.rs", "foo.txt"]),
-        ([Regex("a|ar")], {"whole_word": True}, []),
-        ([Regex("bar|r")], {"whole_word": True}, ["bar.rs"]),
-        ((), {"path": "videos"}, []),
-        ("bob", {"path": "Music"}, ["README", "song.mp3"]),
-        ("song", {"path": "Music", "match_path": False}, ["song.mp3"]),
-        ("s?ng.*", {}, ["song.mp3"]),
-        ("r*", {"whole_word": True}, ["README", "bar.rs"]),
         ((), {}, ALL),
+        ("sEEds", {}, SEEDS),
+        ("Seeds", {"match_case": True}, SEEDS[:1]),
+        ("sEEds", {"match_case": True}, []),
+        ("post", {}, []),
+        ("post", {"match_path": True}, POST),
+        ("n a", {}, ["Plan A.ods"]),
+        (["n", "a"], {"whole_word": True}, []),
+        ("*.csv", {"whole_filename": True}, SEEDS[:2]),
+        ("seed?-*", {}, SEEDS[1:]),
+        ("o*", {"whole_word": True}, ["Old", "Plan A.ods"]),
+        ("", {"ext": "csv"}, SEEDS[1:2]),
+        ("", {"ext": "gz;eml"}, ["draft_one.eml", SEEDS[2]]),
+        ((), {"folders": True}, ["Old", "store"]),
+        ((), {"files": True}, without("Old", "store")),
+        ((), {"files": True, "folders": True}, []),
+        ((), {"attrib": "sd"}, ["Old", "store"]),
+        ((), {"attrib": "rsh"}, ALL),
+        ((), {"size": (640, 7_000)}, ["Plan A.ods", SEEDS[2]]),
+        ((), {"size": ">7kb"}, SEEDS[1:2]),
+        ([Not(Substring("e"))], {}, ["Old", "Plan A.ods", "in.mbox"]),
+        ("draft|mbox", {}, ["draft_one.eml", "in.mbox"]),
+        (["seeds", "gz"], {}, SEEDS[2:]),
+        (["seeds", "mbox"], {}, []),
+        ("draft", {"whole_word": True}, []),
+        ("draft_one", {"whole_word": True}, ["draft_one.eml"]),
+        ("2024", {"whole_word": True}, SEEDS[1:]),
+        ([Regex("notic")], {"whole_word": True}, []),
+        ([Regex("notice")], {"whole_word": True}, ["NOTICE"]),
+        ([Regex("NOTICE")], {}, []),
+        ([Regex("NOTICE")], {"match_case": True}, ["NOTICE"]),
+        ([Regex(r"\.(eml|gz)$")], {}, ["draft_one.eml", SEEDS[2]]),
+        ([Regex("in|i")], {"whole_word": True}, ["in.mbox"]),
+        ([Regex("i|in")], {"whole_word": True}, []),
+        ((), {"path": "attic"}, []),
+        ("old", {"path": "STORE/o"}, ["Old", "Seeds.CSV"]),
+        ("old", {"path": "STORE/o", "match_path": False}, ["Old"]),
     ],
 )
-def test_five(five, terms, wanted, expected):
-    assert names(matches(five, terms=terms, **wanted)) == expected
+def test_criteria(depot, terms, wanted, expected):
+    assert names(matches(depot, terms=terms, **wanted)) == expected
 
 
-def test_prefix_and_lookup(five):
-    assert names(name_starts_with(five, "FOO")) == ["foo.txt"]
-    assert names(name_starts_with(five, "bar")) == ["bar.rs"]
-    assert names(name_starts_with(five, "")) == ALL
-    assert names(lookup(five, "/srv/bob/music/README")) == ["README"]
-    assert names(lookup(five, "/srv/bob/music")) == []
+def test_prefix_and_lookup(depot):
+    assert names(name_starts_with(depot, "SEEDS")) == SEEDS
+    assert names(name_starts_with(depot, "eeds")) == []
+    assert names(name_starts_with(depot, "")) == ALL
+    assert names(lookup(depot, "/store/Old")) == ["Old"]
+    assert names(lookup(depot, "/store/old")) == []
 
 
 def test_unicode(entries):
@@ -147,10 +167,10 @@ def test_highlighted_search(entries):
     assert shown[0] == "/tmp/foo/\x1b[32mBARfoo\x1b[0m.txt"
 
 
-def test_conditions_are_pushed_down_to_a_stored_catalogue(spark, five, tmp_path):
+def test_conditions_are_pushed_down_to_a_stored_catalogue(spark, depot, tmp_path):
     from pathlode import load_catalogue, save_catalogue
 
-    save_catalogue(five, str(tmp_path / "c"))
+    save_catalogue(depot, str(tmp_path / "c"))
     stored = load_catalogue(spark, str(tmp_path / "c"))
     found = matches(stored, terms="foo", ext="txt;rs", size=">10").select("path")
     plan = found._jdf.queryExecution().executedPlan().toString()
