@@ -1,5 +1,7 @@
 """Columns derived from a path string."""
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +57,18 @@ def at_or_under(path: Column, folder: str) -> Column:
     """Component-wise prefix test: ``/a/b`` covers itself and ``/a/b/c``, not ``/a/bc``."""
     folder = folder.rstrip("/")
     return (path == F.lit(folder)) | path.startswith(folder + "/")
+
+
+def range_number(value: Column, starts: list[str]) -> Column:
+    """How many of the sorted ``starts`` are not above the value, by binary search.
+
+    The starts are one constant array, so that rows meet a table of ranges without a join.
+    """
+    literal = F.from_json(F.lit(json.dumps(starts)), "array<string>")
+    widths = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
+
+    def step(below: Column, width: Column) -> Column:
+        inside = F.get(literal, below + width - 1) <= value
+        return F.when(inside, below + width).otherwise(below)
+
+    return F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), step)

@@ -12,6 +12,8 @@ creates before all of them):
 All parts are maxima, so they pre-aggregate, merge, and do not depend on the
 order of arrival. A state table holds them per path, with the order of each
 part; it also has the paths that are not alive but may matter to late events.
+What a moved directory takes along enters as creates below its new place, see
+:mod:`pathlode.operators.moves`.
 """
 
 from __future__ import annotations
@@ -21,16 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlode.functions.paths import level_of, prefix_at, without_slash
+from pathlode.functions.paths import without_slash
 from pathlode.operators.excludes import Excludes, in_hidden_directory
-from pathlode.operators.hierarchy import (
-    far_marks,
-    marks,
-    near_marks,
-    under,
-    under_any,
-    with_mark,
-)
+from pathlode.operators.hierarchy import far_marks, marks, near_marks, under_any, with_mark
+from pathlode.operators.moves import carried_contents, gaps, moved_directories
 from pathlode.schema import CHANGE, ENTRY_FIELDS, META_FIELDS
 from pathlode.session import fits_broadcast, measure, written
 
@@ -132,8 +128,8 @@ def latest_by_path(rows: DataFrame, *order: Column) -> DataFrame:
     return by_path.agg(last).select("path", "last.row.*")
 
 
-def summarise(steps: DataFrame) -> DataFrame:
-    """The state of the paths that the steps name, in one pass.
+def summarise(steps: DataFrame, *more: str) -> DataFrame:
+    """The state of the paths that the steps name, in one pass; ``more`` columns part it further.
 
     All buffers but the path are fixed-width, so this is a hash aggregate with
     map-side combine: a path that holds a third of all events costs one row per task.
@@ -153,7 +149,7 @@ def summarise(steps: DataFrame) -> DataFrame:
     created = F.when(is_create, F.col("ord"))
     reported = {f: F.when(F.col(f).isNotNull(), F.col("ord")) for f in META_FIELDS}
     return (
-        known.groupBy("path")
+        known.groupBy("path", *more)
         .agg(
             F.max_by("is_dir", created).alias("is_dir"),
             *[F.max_by(f, ord_).alias(f) for f, ord_ in reported.items()],
@@ -161,7 +157,7 @@ def summarise(steps: DataFrame) -> DataFrame:
             *[F.max(ord_).alias(f"{f}_ord") for f, ord_ in reported.items()],
             F.max(F.when(is_delete, F.col("ord"))).alias("delete_ord"),
         )
-        .select(*STATE_FIELDS)
+        .select(*STATE_FIELDS, *more)
     )
 
 
@@ -178,8 +174,14 @@ def state_of(entries: DataFrame) -> DataFrame:
 _ORDER_OF = {"is_dir": "create_ord"} | {f: f"{f}_ord" for f in META_FIELDS}
 
 
+def _carried(state: DataFrame) -> list[str]:
+    """Columns beside the state, such as where a row is stored; new paths have null there."""
+    return [c for c in state.columns if c not in STATE_FIELDS]
+
+
 def _merged_by_broadcast(state: DataFrame, news: DataFrame, ghosts: bool) -> DataFrame:
     """The state is read and updated without being shuffled."""
+    carried = _carried(state)
 
     def later(part: str) -> Column:
         order = _ORDER_OF.get(part, part)
@@ -187,17 +189,20 @@ def _merged_by_broadcast(state: DataFrame, news: DataFrame, ghosts: bool) -> Dat
         return F.when(newer, F.col(f"_{part}")).otherwise(F.col(part)).alias(part)
 
     named = news.select("path", *[F.col(c).alias(f"_{c}") for c in STATE_FIELDS[1:]])
-    updated = state.join(F.broadcast(named), "path", "left").select("path", *map(later, STATE_FIELDS[1:]))
+    updated = state.join(F.broadcast(named), "path", "left")
+    updated = updated.select("path", *map(later, STATE_FIELDS[1:]), *carried)
     known = state.select("path").join(F.broadcast(news.select("path")), "path", "left_semi")
     fresh = news if ghosts else news.filter(F.col("create_ord").isNotNull())
-    return updated.unionByName(fresh.join(known, "path", "left_anti").select(*STATE_FIELDS))
+    added = fresh.join(known, "path", "left_anti").select(*STATE_FIELDS)
+    return updated.unionByName(added, allowMissingColumns=True)
 
 
 def _merged_by_path(state: DataFrame, news: DataFrame, kills: DataFrame | None) -> DataFrame:
     """One aggregate by path over both states and the deletes above each path."""
-    rows = state.select(*STATE_FIELDS).unionByName(news.select(*STATE_FIELDS))
+    carried = _carried(state)
+    rows = state.unionByName(news.select(*STATE_FIELDS), allowMissingColumns=True)
     if kills is not None:
-        nothing = {c: F.lit(None) for c in STATE_FIELDS[1:]}
+        nothing = {c: F.lit(None) for c in [*STATE_FIELDS[1:], *carried]}
         above = kills.select("path", F.col("value").alias("_kill")).withColumns(nothing)
         rows = rows.withColumn("_kill", F.lit(None).cast("bigint")).unionByName(above)
     else:
@@ -206,27 +211,48 @@ def _merged_by_path(state: DataFrame, news: DataFrame, kills: DataFrame | None)
         *[F.max_by(part, order).alias(part) for part, order in _ORDER_OF.items()],
         *[F.max(order).alias(order) for order in ORD_FIELDS],
         F.max("_kill").alias("_kill"),
+        *[F.max(c).alias(c) for c in carried],
     )
 
 
-def fold_state(
+def news_of(state: DataFrame, events: DataFrame, scope: Scope = EVERYWHERE) -> DataFrame:
+    """The written state that the events alone give, with what moved directories took along.
+
+    From ``state`` come the rows below moved directories, and nothing without such moves.
+    """
+    events = as_changes(events)
+    steps = in_scope(split_moves(events), scope)
+    news = written(summarise(steps), "summary")
+    moves = written(moved_directories(events, lambda m: in_scope(m, scope)), "moved")
+    if moves.isEmpty():
+        return news
+    epochs = summarise(gaps(steps, moves), "gap").drop("gap")
+    orders = [F.coalesce(c, F.lit(2**62)) for c in ORD_FIELDS[:-1]]
+    epochs = written(epochs.withColumn("first", F.least(*orders)), "epochs")
+    arrived = carried_contents(state, epochs, moves, _stays(scope))
+    both = _merged_by_path(news, arrived, None).select(*STATE_FIELDS)
+    return written(both, "summary")
+
+
+def _stays(scope: Scope) -> Column:
+    """Whether a place in ``loc`` is one where contents of directories are kept."""
+    loc = F.col("loc")
+    keep = under_any(loc, scope.roots) & ~in_hidden_directory(loc)
+    return keep & ~under_any(loc, scope.own_folders) if scope.own_folders else keep
+
+
+def fold_news(
     state: DataFrame,
-    events: DataFrame,
-    scope: Scope = EVERYWHERE,
+    news: DataFrame,
+    deletes: DataFrame,
     broadcast: bool | None = None,
     ghosts: bool = True,
 ) -> DataFrame:
-    """The state after the events, with ``alive``; the later report of each part counts.
-
-    Measured-small news are broadcast (never with ``broadcast=False``). Others meet the
-    state in one aggregate by path, together with the deletes above each path that
-    are too many to broadcast. Without ``ghosts`` paths never created may be left out.
-    """
-    news = written(summarise(in_scope(split_moves(events), scope)), "summary")
-    deletes = [
-        df.filter(F.col("delete_ord").isNotNull()).select("path", "delete_ord") for df in (state, news)
+    """The state after written news, with ``alive``; ``deletes`` are the older ones that count."""
+    marked = [
+        df.filter(F.col("delete_ord").isNotNull()).select("path", "delete_ord") for df in (deletes, news)
     ]
-    killed = marks(deletes[0].union(deletes[1]), F.col("path"), F.col("delete_ord"))
+    killed = marks(marked[0].union(marked[1]), F.col("path"), F.col("delete_ord"))
     if broadcast is not False and fits_broadcast(*measure(news, "path")):
         paths = state.select("path").union(news.select("path"))
         merged = with_mark(_merged_by_broadcast(state, news, ghosts), killed, "_kill", broadcast, paths)
@@ -238,7 +264,24 @@ def fold_state(
         merged = near_marks(_merged_by_path(state, news, kills), killed, shallow, "_near")
         merged = merged.withColumn("_kill", F.greatest("_kill", "_near")).drop("_near")
     lives = F.col("create_ord") > F.coalesce("_kill", F.lit(BASE_ORD - 1))
-    return merged.select(*STATE_FIELDS, F.coalesce(lives, F.lit(False)).alias("alive"))
+    alive = F.coalesce(lives, F.lit(False)).alias("alive")
+    return merged.select(*STATE_FIELDS, *_carried(state), alive)
+
+
+def fold_state(
+    state: DataFrame,
+    events: DataFrame,
+    scope: Scope = EVERYWHERE,
+    broadcast: bool | None = None,
+    ghosts: bool = True,
+) -> DataFrame:
+    """The state after the events, with ``alive``; the later report of each part counts.
+
+    Further columns of ``state`` stay with its rows, and are null for new paths. Measured-small news are broadcast (never with ``broadcast=False``). Others meet the
+    state in one aggregate by path, together with the deletes above each path that
+    are too many to broadcast. Without ``ghosts`` paths never created may be left out.
+    """
+    return fold_news(state, news_of(state, events, scope), state, broadcast, ghosts)
 
 
 def apply_changes(
@@ -250,32 +293,3 @@ def apply_changes(
     """The catalogue after the events (see :func:`fold_state` for ``broadcast``)."""
     folded = fold_state(state_of(entries), events, scope, broadcast, ghosts=False)
     return folded.filter("alive").select(*ENTRY_FIELDS)
-
-
-def moves_without_contents(entries: DataFrame, events: DataFrame) -> DataFrame:
-    """Moves (``seq``, ``path``, ``to_path``) of directories whose contents do not follow.
-
-    A move takes away all that the catalogue has below the old path; the producer
-    reports what comes below the new one. Where it reports nothing, contents are lost.
-    """
-    events = as_changes(events)
-    moves = written(
-        events.filter("kind = 'move'").select(
-            "seq", without_slash(F.col("path")).alias("path"), without_slash(F.col("to_path")).alias("to_path")
-        ),
-        "moves",
-    )
-
-    def above(paths: DataFrame) -> DataFrame:
-        """Directories strictly above the paths."""
-        levels = F.explode(F.sequence(F.lit(1), level_of(F.col("path")) - 1)).alias("level")
-        inner = paths.filter(level_of(F.col("path")) > 1).select("path", levels)
-        return inner.select(prefix_at(F.col("path"), F.col("level")).alias("dir")).distinct()
-
-    # Only entries below some moved directory are taken apart.
-    below = under(entries.select("path"), moves.select("path"))
-    arrived = events.filter("kind IN ('create', 'move')").select(
-        F.when(F.col("kind") == "move", F.col("to_path")).otherwise(F.col("path")).alias("path")
-    )
-    had = moves.join(above(below), F.col("path") == F.col("dir"), "left_semi")
-    return had.join(above(arrived), F.col("to_path") == F.col("dir"), "left_anti")

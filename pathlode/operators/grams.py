@@ -1,25 +1,25 @@
 """Inverted tables over names: three-character grams, and first characters.
 
-The stored index of a catalogue version says in which of its buckets a gram
-occurs. A search finds the buckets that hold every gram of a text, reads only
-those of the entries it is given, and checks them in full; entries of another
-version, or without a bucket, are all read. So the index decides what is read and
-never what is found.
+The stored index says in which buckets of a run of the catalogue's writer a gram
+occurs: one bitmap of buckets per gram. A search intersects the bitmaps of its grams,
+reads only the buckets they share of the entries it is given, and checks them in full;
+entries of other runs, or without a bucket, are all read. So the index decides what is
+read and never what is found. Files of a run never change, so its part of the index
+holds for every version that names it, with or without a log of later events.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pathlode.functions.paths import with_parts
 from pathlode.operators.predicates import criteria
 from pathlode.operators.terms import Substring, as_terms
-from pathlode.session import fits_broadcast, measure, written
-from pathlode.sources.catalogue import latest_version, load_catalogue
+from pathlode.session import fits_broadcast, folders_in, has_file, measure, written
+from pathlode.sources.catalogue import latest_version, read_version
 
 GRAM = 3
 
@@ -56,45 +56,77 @@ def gram_counts(postings: DataFrame) -> DataFrame:
     return postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Buckets of one bitmap.
+BITS = 32_768
+
+
 @dataclass(frozen=True)
 class GramIndex:
-    """The buckets of one catalogue version that hold each gram."""
+    """Per run of the writer a bitmap of the buckets that hold each gram."""
+
+    bitmaps: DataFrame  # gram, part, bitmap, run
+    runs: tuple[str, ...]
 
-    buckets: DataFrame  # gram, bucket
-    version: int
 
+_BITMAPS = "gram string, part int, bitmap binary, run string"
 
-def _index_of(folder: str, version: int) -> str:
-    return f"{folder}/grams/v{version:08d}"
 
+def _runs_of(version: Row) -> dict[str, list[int]]:
+    """The buckets that a version has of each run."""
+    runs: dict[str, list[int]] = {}
+    for b in version["buckets"]:
+        if b["entries"]:
+            runs.setdefault(b["run"], []).append(b["bucket"])
+    return runs
 
-def save_grams(spark: SparkSession, folder: str, partitions: int | None = None) -> GramIndex:
+
+def save_grams(spark: SparkSession, folder: str, partitions: int | None = None) -> GramIndex | None:
     """Build and store the index of the latest version of the catalogue in ``folder``.
 
-    Rows are few: names of one bucket share most of their grams. They are clustered
-    by gram, in ``partitions`` ranges if given. An index that is there already stays.
+    Only runs without an index are read, so after a compaction that is what it wrote. A gram is
+    one row per run and 32,768 buckets, and the rows are clustered by gram, in ``partitions``
+    ranges if given. None for a version without entries.
     """
-    version = latest_version(spark, folder)["version"]
-    stored = load_grams(spark, folder)
-    if stored is not None and stored.version == version:
-        return stored
-    grams = name_grams(load_catalogue(spark, folder, version)).select("gram", "bucket").distinct()
-    keys = ["gram", "bucket"]
-    ranges = [partitions, *keys] if partitions else keys
-    clustered = grams.repartitionByRange(*ranges).sortWithinPartitions(*keys)
-    clustered.write.mode("overwrite").parquet(_index_of(folder, version))
+    version = latest_version(spark, folder)
+    there = set(_indexed_runs(spark, folder))
+    for run, buckets in _runs_of(version).items():
+        if run in there:
+            continue
+        entries = read_version(spark, version).filter(F.col("run") == run)
+        found = name_grams(entries).select("gram", "bucket").distinct()
+        part = F.floor(F.col("bucket") / BITS).cast("int").alias("part")
+        bits = F.bitmap_construct_agg((F.col("bucket") % BITS).cast("bigint")).alias("bitmap")
+        # All bitmaps of a part end with the byte of the highest bucket.
+        ends = F.expr(f"map({', '.join(f'{k}, {_last_byte(buckets, k)}' for k in {b // BITS for b in buckets})})")
+        rows = found.groupBy("gram", part).agg(bits).withColumn(
+            "bitmap", F.substring("bitmap", F.lit(1), F.element_at(ends, F.col("part")))
+        )
+        ranges = [partitions, "gram", "part"] if partitions else ["gram", "part"]
+        rows = rows.repartitionByRange(*ranges).sortWithinPartitions("gram", "part")
+        place = f"{folder}/grams/run={run}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(place)
     return load_grams(spark, folder)
 
 
+def _last_byte(buckets: list[int], part: int) -> int:
+    return max(b % BITS for b in buckets if b // BITS == part) // 8 + 1
+
+
+def _indexed_runs(spark: SparkSession, folder: str) -> list[str]:
+    """The runs whose index was written to its end."""
+    runs = [n.removeprefix("run=") for n in folders_in(spark, f"{folder}/grams")]
+    return [r for r in runs if has_file(spark, f"{folder}/grams/run={r}/_SUCCESS")]
+
+
 def load_grams(spark: SparkSession, folder: str) -> GramIndex | None:
-    """The index of the latest version, or none if that version has no index."""
-    version = latest_version(spark, folder)["version"]
-    try:
-        return GramIndex(spark.read.parquet(_index_of(folder, version)), version)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """The index of the runs of the latest version, or none if none of them has one."""
+    wanted = _runs_of(latest_version(spark, folder))
+    runs = tuple(r for r in _indexed_runs(spark, folder) if r in wanted)
+    if not runs:
         return None
+    place = f"{folder}/grams"
+    files = spark.read.schema(_BITMAPS).option("basePath", place)
+    return GramIndex(files.parquet(*[f"{place}/run={r}" for r in runs]), runs)
 
 
 def gram_candidates(postings: DataFrame, text: str) -> DataFrame:
@@ -112,15 +144,27 @@ def gram_candidates(postings: DataFrame, text: str) -> DataFrame:
 
 
 def candidate_buckets(index: GramIndex, texts: list[str]) -> DataFrame:
-    """The buckets that hold every gram of all the texts."""
+    """The buckets (``run``, ``bucket``) that hold every gram of all the texts.
+
+    One aggregate intersects the bitmaps; what is left of them is turned into rows.
+    """
     grams = list(dict.fromkeys(g for text in texts for g in grams_of(text)))
-    return (
-        index.buckets.filter(F.col("gram").isin(grams))
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
+    shared = (
+        index.bitmaps.filter(F.col("gram").isin(grams))
+        .groupBy("run", "part")
+        .agg(
+            F.bitmap_and_agg("bitmap").alias("bits"),
+            F.max(F.octet_length("bitmap")).alias("bytes"),
+            F.count(F.lit(1)).alias("n"),
+        )
         .filter(F.col("n") == len(grams))
-        .select("bucket")
     )
+    hexed = F.hex(F.substring("bits", F.lit(1), F.col("bytes")))
+    one = shared.select("run", "part", F.posexplode(F.split(hexed, "(?<=\\G..)")).alias("at", "byte"))
+    byte = F.conv("byte", 16, 10).cast("int")
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(byte, k) == 1)).alias("bit")
+    found = one.filter((F.col("byte") != "") & (F.col("byte") != "00")).select("run", "part", "at", bit)
+    return found.select("run", (F.col("part") * BITS + F.col("at") * 8 + F.col("bit")).cast("int").alias("bucket"))
 
 
 def gram_search(entries: DataFrame, index: GramIndex | None, text: str) -> DataFrame:
@@ -140,14 +184,13 @@ def seeded_matches(entries: DataFrame, index: GramIndex | None, **wanted) -> Dat
     reads_path = bool(wanted.get("path")) if reads_path is None else reads_path
     seeds = [t.text for t in terms if isinstance(t, Substring) and len(t.text.lower()) >= GRAM]
     found = with_parts(entries).filter(criteria(**wanted))
-    stored = {"bucket", "version"} <= set(entries.columns)
+    stored = {"bucket", "run"} <= set(entries.columns)
     if reads_path or not seeds or index is None or not stored:
         return found
-    # The version is a constant of loaded entries, so one of the two sides is empty.
-    known = (F.col("version") == index.version) & F.col("bucket").isNotNull()
-    seeded = found.filter(known).join(candidate_buckets(index, seeds), "bucket", "left_semi")
-    others = found.filter(~F.coalesce(known, F.lit(False)))
-    return seeded.select(*found.columns).unionByName(others)
+    known = F.coalesce(F.col("run").isin(list(index.runs)) & F.col("bucket").isNotNull(), F.lit(False))
+    buckets = candidate_buckets(index, seeds)
+    seeded = found.filter(known).join(F.broadcast(buckets), ["run", "bucket"], "left_semi")
+    return seeded.select(*found.columns).unionByName(found.filter(~known))
 
 
 def refresh_postings(postings: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathlode.functions.paths import with_parts
 from pathlode.operators.excludes import Excludes, apply_excludes
-from pathlode.operators.reconcile import reconcile_diff, upsert
-from pathlode.session import written
-from pathlode.sources.catalogue import SaveStats, latest_version, load_catalogue, save_catalogue
+from pathlode.operators.reconcile import reconcile_diff
+from pathlode.sources.catalogue import SaveStats, latest_version, load_catalogue
 from pathlode.sources.inventory import as_entries, one_per_path, without_metadata
-from pathlode.streaming.fold import events_after, logged_events
+from pathlode.streaming.fold import logged_events, save_listing
 
 
 def build_catalogue(
@@ -39,22 +38,18 @@ def refresh(
     """Save the listing as the new version of the catalogue.
 
     The listing wins: unseen entries go, new ones come.  It knows the events up to
-    ``as_of_seq``; later ones are carried into the new version's log. That number is
-    needed as soon as events are logged. From a listing that is not ``complete``
-    nothing is removed. With an earlier version the differences to it come back
-    too; without one there is nothing to compare.
+    ``as_of_seq``, so those that arrive later change nothing; later ones are carried into
+    the new version's log. That number is needed as soon as events are logged. From a
+    listing that is not ``complete`` nothing is removed, and of paths that it does not list
+    older events still count. With an earlier version the differences to it come back too;
+    without one there is nothing to compare.
     """
     last = latest_version(spark, folder)
     before = load_catalogue(spark, folder) if last else None
-    carry = None
     if last and as_of_seq is None and not logged_events(spark, folder).isEmpty():
         raise ValueError("events are logged: say up to which seq the listing knows them")
-    if last and as_of_seq is not None:
-        carry = written(events_after(spark, folder, as_of_seq), "carried")
     entries = build_catalogue(listing, roots, excludes)
-    if before is not None and not complete:
-        entries = with_parts(upsert(before, entries))
     through = last["through_batch"] if last else -1
-    stats = save_catalogue(entries, folder, through, reason="refresh", carry=carry)
+    stats = save_listing(spark, folder, entries, through, "refresh", as_of_seq, complete)
     after = load_catalogue(spark, folder, stats.version)
     return stats, None if before is None else reconcile_diff(before, after)

@@ -16,10 +16,11 @@ from pathlode.operators.predicates import lookup, matches, name_starts_with
 from pathlode.operators.terms import AnyOf, Glob, Not, Regex, Substring
 from pathlode.plans.search import desktop_rows, search
 from pathlode.plans.views_sql import with_views
-from pathlode.plans.build import refresh
+from pathlode.plans.build import build_catalogue, refresh
 from pathlode.schema import ENTRY_FIELDS, PART_FIELDS, STORED
 from pathlode.session import is_folder, new_folder
 from pathlode.sources import catalogue, inventory, tables
+from pathlode.sources.export import export
 from pathlode.streaming import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -868,6 +869,159 @@ def refresh_keeps_changes(spark, folder):
     return fold.current_catalogue(spark, target).select(*ENTRY_FIELDS)
 
 
+# Every report travels on its own: to the next cut above its place, until there is none.
+_CARRIED = f"""
+    WITH RECURSIVE steps AS ({_STEPS.format(events="directory_feed")}),
+    moves AS (SELECT seq * 2 AS ord, path AS source, to_path AS target
+              FROM directory_feed WHERE kind = 'move' AND is_dir),
+    deletes AS (SELECT ord, path FROM steps WHERE kind = 'delete'),
+    rows AS (
+      SELECT path, -1::BIGINT AS ord, true AS creates, is_dir, size, modified, created, accessed
+      FROM user_entries
+      UNION ALL
+      SELECT path, ord, kind = 'create', is_dir, size, modified,
+             CASE kind WHEN 'create' THEN 0 END, CASE kind WHEN 'create' THEN 0 END
+      FROM steps WHERE kind IN ('create', 'modify')),
+    places AS (SELECT DISTINCT path, ord FROM rows),
+    first_cuts AS (
+      SELECT path, ord, path AS loc, [ord] AS key,
+             (SELECT min(m.ord) FROM moves m
+              WHERE m.ord > p.ord AND starts_with(p.path, m.source || '/')) AS next
+      FROM places p),
+    travels AS (
+      SELECT *, 0 AS ended FROM first_cuts
+      UNION ALL
+      SELECT t.path, t.ord, m.target || substr(t.loc, length(m.source) + 1) AS loc,
+             list_prepend(m.ord + 1, t.key) AS key,
+             (SELECT min(n.ord) FROM moves n
+              WHERE n.ord > m.ord
+                AND starts_with(m.target || substr(t.loc, length(m.source) + 1), n.source || '/')),
+             0
+      FROM travels t JOIN moves m ON m.ord = t.next
+      WHERE NOT EXISTS (
+        SELECT 1 FROM deletes d
+        WHERE d.ord > t.key[1] AND d.ord < t.next
+          AND (t.loc = d.path OR starts_with(t.loc, d.path || '/')))),
+    there AS (
+      SELECT t.loc, t.key, r.* FROM travels t JOIN rows r ON r.path = t.path AND r.ord = t.ord
+      WHERE t.next IS NULL AND NOT EXISTS (
+        SELECT 1 FROM deletes d
+        WHERE d.ord > t.key[1] AND (t.loc = d.path OR starts_with(t.loc, d.path || '/')))),
+    winners AS (
+      SELECT loc, key, ord, is_dir FROM there WHERE creates
+      QUALIFY row_number() OVER (PARTITION BY loc ORDER BY key DESC) = 1),
+    reports AS (
+      SELECT t.* FROM there t JOIN winners w ON t.loc = w.loc
+      WHERE t.ord >= w.ord AND t.key[:-2] = list_filter(w.key[:-2], lambda m: m > t.ord))
+    SELECT w.loc AS path, any_value(w.is_dir) AS is_dir,
+           arg_max(r.size, r.ord) FILTER (r.size IS NOT NULL) AS size,
+           arg_max(r.modified, r.ord) FILTER (r.modified IS NOT NULL) AS modified,
+           arg_max(r.created, r.ord) FILTER (r.created IS NOT NULL)::BIGINT AS created,
+           arg_max(r.accessed, r.ord) FILTER (r.accessed IS NOT NULL)::BIGINT AS accessed
+    FROM winners w JOIN reports r ON r.loc = w.loc GROUP BY w.loc"""
+
+
+@register("apply_directory_moves", _CARRIED)
+def apply_directory_moves(spark, folder):
+    """Moved directories take along what lives in them then."""
+    base = tables.user_entries(spark, folder)
+    return ch.apply_changes(base, tables.directory_changes(spark, folder))
+
+
+@register("refresh_late_events", _FOLD.format(
+    steps=_STEPS.format(events="(SELECT * FROM changes WHERE seq > (SELECT max(seq) // 2 FROM changes))"),
+    also="",
+))
+def refresh_late_events(spark, folder):
+    """A listing that knows the first half of the events, which arrive only after it."""
+    users, target = tables.user_entries(spark, folder), new_folder(spark, "refresh")
+    events = tables.table(spark, folder, "events")
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    fold.start_catalogue(users, target)
+    refresh(spark, target, users, as_of_seq=half)
+    feed = f"{new_folder(spark, 'feed')}/events.parquet"
+    for early in (False, True):
+        part = events.filter((F.col("event_id") <= half) == early)
+        part.coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(events.schema).parquet(feed)
+        fold.fold_stream(tables.change_columns(stream), target, compact_every=1).awaitTermination()
+    return fold.current_catalogue(spark, target).select(*ENTRY_FIELDS)
+
+
+@register(
+    "compact_touched_buckets",
+    _FOLD.format(steps=_STEPS.format(events="changes"), also="").replace("user_entries", "all_entries").replace(
+        "WITH steps AS", f"""WITH all_entries AS (
+          SELECT * FROM user_entries UNION ALL SELECT {ENTRY_SQL} FROM order_entries), steps AS""", 1
+    ),
+)
+def compact_touched_buckets(spark, folder):
+    """The changes concern homes; buckets of the archive keep their files."""
+    orders = tables.order_entries(spark, folder).select(*ENTRY_FIELDS)
+    both, target = orders.unionByName(tables.user_entries(spark, folder)), new_folder(spark, "buckets")
+    catalogue.save_catalogue(both, target, partitions=16, reason="start")
+    stream = tables.change_columns(_event_stream(spark, folder))
+    fold.fold_stream(stream, target, compact_every=1).awaitTermination()
+    runs = {b["run"] for b in catalogue.latest_version(spark, target)["buckets"]}
+    if len(runs) < 2 and not orders.isEmpty():
+        raise RuntimeError("all buckets were written again")
+    return catalogue.load_catalogue(spark, target).select(*ENTRY_FIELDS)
+
+
+@register(
+    "gram_search_with_log",
+    _FOLD.format(steps=_STEPS.format(events="changes"), also="AND contains(lower(string_split(s.path, '/')[-1]), 'f_1')"),
+)
+def gram_search_with_log(spark, folder):
+    """Stored buckets are found by their grams, paths that are new in the log beside them."""
+    target = new_folder(spark, "grams-log")
+    catalogue.save_catalogue(tables.user_entries(spark, folder), target, partitions=8, reason="start")
+    index = grams.save_grams(spark, target)
+    fold.fold_stream(tables.change_columns(_event_stream(spark, folder)), target).awaitTermination()
+    now = fold.current_catalogue(spark, target)
+    return grams.gram_search(now, index, "F_1").select(*ENTRY_FIELDS)
+
+
+@register(
+    "standing_search",
+    _FOLD.format(steps=_STEPS.format(events="changes"), also="AND size > 300"),
+)
+def standing_search(spark, folder):
+    """The answer of a standing search after the last of several batches."""
+    target = new_folder(spark, "standing")
+    fold.start_catalogue(tables.user_entries(spark, folder), target)
+    feed = f"{new_folder(spark, 'feed')}/events.parquet"
+    events = tables.table(spark, folder, "events")
+    events.repartition(2, F.xxhash64("event_id")).write.parquet(feed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(feed)
+    searches = {"large": {"size": ">300", "sort": "size-desc"}}
+    fold.fold_stream(tables.change_columns(stream), target, searches=searches).awaitTermination()
+    answers = spark.read.parquet(f"{target}/searches/large")
+    last = answers.filter(F.col("batch") == answers.select(F.max("batch")).scalar())
+    return last.select(*ENTRY_FIELDS)
+
+
+@register(
+    "overflow_rebuild",
+    _FOLD.format(
+        steps=_STEPS.format(
+            events="(SELECT * FROM feed WHERE kind <> 'overflow' AND seq % 500 <> 0 "
+            "AND seq > (SELECT max(seq) // 2 FROM feed))"
+        ),
+        also="",
+    ),
+)
+def overflow_rebuild(spark, folder):
+    """Lost events cause a rebuild from a listing; only later events act on it."""
+    users, target = tables.user_entries(spark, folder), new_folder(spark, "overflow")
+    fold.start_catalogue(users, target)
+    half = tables.changes(spark, folder).agg(F.max("seq")).first()[0] // 2
+    stream = tables.change_columns(_event_stream(spark, folder), moves=True)
+    stream = stream.withColumn("kind", F.when(F.col("seq") % 500 == 0, "overflow").otherwise(F.col("kind")))
+    fold.fold_stream(stream, target, relist=lambda: (users, half)).awaitTermination()
+    return fold.current_catalogue(spark, target).select(*ENTRY_FIELDS)
+
+
 @register(
     "moves_split",
     f"SELECT ord, kind, path, is_dir, size, modified FROM ({_STEPS.format(events='feed')})",
@@ -890,6 +1044,63 @@ def changes_scoped(spark, folder):
     return scoped.select("ord", "kind", "path")
 
 
+# --- Export ------------------------------------------------------------------
+
+_LISTED = "SELECT path FROM doc_entries_p WHERE contains(name_lc, '7') AND size > 1000"
+
+
+def _exported(spark, folder, format, **options):
+    found = search(tables.doc_entries(spark, folder), "7", size=">1000", sort="path")
+    target = new_folder(spark, f"export-{format}")
+    export(found.page, format, target, **options)
+    return target
+
+
+@register("export_csv", _LISTED)
+def export_csv(spark, folder):
+    """What was written is read again, its header and quotes with it."""
+    target = _exported(spark, folder, "csv")
+    lines = spark.read.option("lineSep", "\r\n").text(target)
+    return lines.filter("value <> '\"Name\"'").select(F.expr("substring(value, 2, length(value) - 2)").alias("path"))
+
+
+@register("export_tsv", "SELECT 'Name' AS line UNION ALL SELECT path FROM (" + _LISTED + ")")
+def export_tsv(spark, folder):
+    return spark.read.text(_exported(spark, folder, "tsv")).withColumnRenamed("value", "line")
+
+
+@register("export_txt", _LISTED)
+def export_txt(spark, folder):
+    return spark.read.text(_exported(spark, folder, "txt")).withColumnRenamed("value", "path")
+
+
+@register("export_efu", _LISTED)
+def export_efu(spark, folder):
+    target = _exported(spark, folder, "efu", header=False, on_empty="hide")
+    return spark.read.text(target).withColumnRenamed("value", "path")
+
+
+@register(
+    "symlinks_dropped",
+    "SELECT path, size FROM doc_entries WHERE is_dir OR size % 3 <> 0",
+)
+def symlinks_dropped(spark, folder):
+    listing = tables.doc_entries(spark, folder)
+    link = (F.col("size") % 3 == 0) & ~F.col("is_dir")
+    return build_catalogue(listing.withColumn("is_symlink", link)).select("path", "size")
+
+
+@register(
+    "scan_count",
+    "SELECT count(DISTINCT path) AS entries FROM line_entries",
+)
+def scan_count(spark, folder):
+    """What a build has counted while it saved."""
+    target = new_folder(spark, "scan")
+    stats, _ = refresh(spark, target, tables.line_entries(spark, folder))
+    return spark.createDataFrame([(stats.entries,)], "entries long")
+
+
 # --- Monitoring --------------------------------------------------------------
 
 

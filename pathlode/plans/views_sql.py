@@ -113,6 +113,14 @@ _VIEWS = {
                END AS to_path,
                false AS is_dir, floor(value)::BIGINT AS size, floor(epoch(ts))::BIGINT AS modified
         FROM event_numbers""",
+    "directory_feed": """
+        SELECT seq, ts, kind,
+               CASE WHEN kind = 'move' AND seq % 199 = 0 THEN '/u/' || (seq % 7) ELSE path END AS path,
+               CASE WHEN kind = 'move' AND seq % 199 = 0
+                    THEN '/u/' || (seq % 5) || CASE WHEN seq % 2 = 0 THEN '/in' ELSE '' END
+                    ELSE to_path END AS to_path,
+               kind = 'move' AND seq % 199 = 0 AS is_dir, size, modified
+        FROM feed""",
 }
 
 _PARTS = """
@@ -141,6 +149,8 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not listed:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {listed},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {listed},\n{body[5:]}"
     return f"WITH {listed}\n{body}"

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -45,30 +46,58 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-# Folder names given out while some ``removed_after`` is open.
-_GIVEN: list[list[str]] = []
+# Per thread the folder names given out while some ``removed_after`` of that thread is open.
+_GIVEN = threading.local()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared folder."""
     folder = f"{shared_folder(spark).rstrip('/')}/pathlode/{label}-{uuid.uuid4().hex}"
-    for given in _GIVEN:
+    for given in getattr(_GIVEN, "lists", ()):
         given.append(folder)
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def removed_after(spark: SparkSession) -> Iterator[None]:
-    """Remove the intermediate tables that are written inside, once all their readers are done."""
+    """Remove the intermediate tables that this thread writes inside, once their readers are done.
+
+    Tables of other threads are left alone, whenever they are written.
+    """
+    lists = _GIVEN.__dict__.setdefault("lists", [])
     given: list[str] = []
-    _GIVEN.append(given)
+    lists.append(given)
     try:
         yield
     finally:
-        _GIVEN.remove(given)
+        lists[:] = [other for other in lists if other is not given]
         for folder in given:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove_folder(spark, folder)
+
+
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """The bytes of all files below a folder; 0 where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(path).getLength() if files.exists(path) else 0
+
+
+def folders_in(spark: SparkSession, place: str) -> list[str]:
+    """The names of the folders right below ``place``; none where there is no such place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(path) if files.exists(path) else []
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
+def has_file(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def is_folder(spark: SparkSession, place: str) -> bool:

@@ -260,6 +260,25 @@ def change_columns(events: DataFrame, moves: bool = False) -> DataFrame:
     return as_changes(rows)
 
 
+def directory_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The changelog with moves, in which now and then a home directory is moved.
+
+    It goes into another one, or over it; moved homes move again when their number comes up.
+    """
+    events = table(spark, folder, "events")
+    rows = change_columns(events, moves=True)
+    seq, moves = F.col("seq"), (F.col("kind") == "move") & (F.col("seq") % 199 == 0)
+    home = F.concat(F.lit("/u/"), (seq % 7).cast("string"))
+    target = F.concat(F.lit("/u/"), (seq % 5).cast("string"), F.when(seq % 2 == 0, "/in").otherwise(""))
+    return rows.withColumns(
+        {
+            "is_dir": F.when(moves, True).otherwise(F.col("is_dir")),
+            "path": F.when(moves, home).otherwise(F.col("path")),
+            "to_path": F.when(moves, target).otherwise(F.col("to_path")),
+        }
+    )
+
+
 def user_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Home directories and log files of customers: a catalogue the changes act on."""
     customers = table(spark, folder, "customer")

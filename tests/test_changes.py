@@ -1,5 +1,6 @@
 import glob
 import random
+import threading
 
 import pytest
 from conftest import paths
@@ -11,18 +12,23 @@ from pathlode import (
     apply_changes,
     current_catalogue,
     fold_stream,
+    gram_search,
+    load_catalogue,
+    load_grams,
     refresh,
     save_catalogue,
+    save_grams,
     start_catalogue,
     stream_changes,
 )
 from pathlode.operators import changes as ch
 from pathlode.operators.monitor import change_log_tail, changes_per_day, status_row
 from pathlode.schema import CHANGE, ENTRY_FIELDS
-from pathlode.session import shared_folder
-from pathlode.sources.catalogue import versions
+from pathlode.session import new_folder, removed_after, shared_folder
+from pathlode.sources.catalogue import forget_versions, versions
 from pathlode.sources.events import changes_from_json
-from pathlode.streaming.fold import compact, current_status, logged_events, refused
+from pathlode.streaming import fold
+from pathlode.streaming.fold import compact, current_status, events_after, logged_events, refused
 
 
 def event(seq, kind, path=None, to_path=None, is_dir=None, size=None, modified=None):
@@ -38,11 +44,15 @@ def replay(base, events):
             del state[p]
 
     for _, _, kind, path, to_path, is_dir, *meta in sorted(events, key=lambda e: e[0]):
+        inside = {}
+        if kind == "move" and is_dir is not False:
+            inside = {to_path + p[len(path) :]: v for p, v in state.items() if p.startswith(path + "/")}
         if kind in ("delete", "move"):
             delete(path)
         if kind in ("create", "move"):
             target = path if kind == "create" else to_path
             state[target] = (bool(is_dir), *[v or 0 for v in meta])
+        state.update(inside)
         if kind == "modify" and path in state:
             old = state[path]
             state[path] = (old[0], *[o if v is None else v for o, v in zip(old[1:], meta)])
@@ -59,7 +69,7 @@ def random_feed(rng, n, first=0):
         kind = rng.choice(["create"] * 4 + ["modify"] * 3 + ["delete"] + ["move"])
         size = rng.choice([None, rng.randint(1, 99)])
         to_path = some_path() if kind == "move" else None
-        is_dir = rng.random() < 0.3 if kind in ("create", "move") else None
+        is_dir = {"create": rng.random() < 0.3, "move": rng.random() < 0.1}.get(kind)
         out.append(event(seq, kind, some_path(), to_path, is_dir, size, rng.randint(1, 99)))
     return out
 
@@ -71,8 +81,7 @@ def state_of(df):
 BASE = [("/a", 1), "/a/b/", ("/a/b/c", 3), ("/b/c1", 4), "/c/", ("/c/a/b", 5)]
 
 
-@pytest.mark.parametrize("broadcast", [None, False])
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed, broadcast", [(0, None), (1, False), (2, None), (2, False)])
 def test_fold_equals_replay(spark, entries, seed, broadcast):
     base = entries(*BASE)
     feed = random_feed(random.Random(seed), 150)
@@ -288,22 +297,93 @@ def test_events_that_cannot_be_used(spark, entries, tmp_path):
     assert not current_status(spark, folder).first()["healthy"]
 
 
-def test_a_directory_moved_without_its_contents_is_reported(spark, entries, tmp_path):
-    base = entries("/d/", "/d/f", "/k/", "/k/g", "/single")
-    batches = [
-        [
-            event(1, "move", "/d", "/e", is_dir=True),
-            event(2, "move", "/k", "/l", is_dir=True),
-            event(3, "create", "/l/g"),
-            event(4, "move", "/single", "/one"),
-        ]
-    ]
-    lost = ch.moves_without_contents(base, spark.createDataFrame(batches[0], CHANGE)).collect()
-    assert [tuple(r) for r in lost] == [(1, "/d", "/e")]
-    store = run_stream(spark, tmp_path, base, batches)
-    assert paths(current_catalogue(spark, store)) == ["/e", "/l", "/l/g", "/one"]
-    reasons = [(r["seq"], r["reason"]) for r in refused(spark, store).collect()]
-    assert reasons == [(1, "moved without its contents")]
+def some_path(rng):
+    return "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+
+
+def moving_feed(rng, n, first=0):
+    """A feed in which directories are moved into, over and out of each other again and again."""
+    out = []
+    for seq in range(first, first + n):
+        kind = rng.choice(["create"] * 4 + ["modify"] * 3 + ["delete"] + ["move"] * 3)
+        to_path = some_path(rng) if kind == "move" else None
+        is_dir = {"move": rng.choice([None, True, True, False]), "create": rng.random() < 0.3}.get(kind)
+        size = rng.choice([None, rng.randint(1, 99)])
+        out.append(event(seq, kind, some_path(rng), to_path, is_dir, size, rng.randint(1, 99)))
+    return out
+
+
+@pytest.mark.parametrize("seed, broadcast", [(0, None), (1, False), (2, None)])
+def test_moved_directories_take_their_contents_along(spark, entries, seed, broadcast):
+    rng = random.Random(seed)
+    base = entries(*{(some_path(rng), rng.randint(1, 9)) for _ in range(6)}, *{some_path(rng) + "/x" for _ in range(6)})
+    base = base.dropDuplicates(["path"])
+    feed = moving_feed(rng, (12, 30, 60)[seed])
+    expected = replay(base.collect(), feed)
+    rng.shuffle(feed)
+    folded = apply_changes(base, spark.createDataFrame(feed, CHANGE), broadcast=broadcast)
+    assert state_of(folded) == expected
+
+
+def test_single_moves(spark, entries):
+    """Cases side by side, each in a directory of its own."""
+    held = ["d/", ("d/f", 1), ("d/s/g", 2), ("e/f", 9), "d2/f", ("e/old", 4)]
+    rest = {"e/f": 9, "d2/f": 0, "e/old": 4}
+    moved = {"e": 0, "e/f": 1, "e/s/g": 2, "e/old": 4, "d2/f": 0}
+    cases = {
+        "plain": ([(5, "move", "d", "e", True)], moved),
+        "unsaid": ([(5, "move", "d/", "e")], moved),
+        # A file has no contents: what the catalogue has below it goes.
+        "file": ([(5, "move", "d", "x", False)], rest | {"x": 0}),
+        # Reports from before the move go along, later ones do not; a late event counts by its order.
+        "reports": (
+            [(9, "modify", "e/f", None, None, 7), (5, "move", "d", "e", True), (3, "modify", "d/s/g", None, None, 8)]
+            + [(8, "modify", "d/f", None, None, 6), (4, "create", "d/new")],
+            moved | {"e/f": 7, "e/s/g": 8, "e/new": 0},
+        ),
+        "deleted": ([(2, "delete", "d/s"), (5, "move", "d", "x", True)], rest | {"x": 0, "x/f": 1}),
+        "twice": (
+            [(5, "move", "d", "x", True), (6, "move", "x/s", "d/t", True)],
+            rest | {"x": 0, "x/f": 1, "d/t": 0, "d/t/g": 2},
+        ),
+        "emptied": ([(4, "delete", "d"), (5, "move", "d", "x", True)], rest | {"x": 0}),
+        "inside": ([(5, "move", "d", "d/s", True)], rest | {"d/s": 0, "d/s/f": 1, "d/s/s/g": 2}),
+        "hidden": ([(5, "move", "d", ".h/d", True)], rest),
+        "outside": ([(5, "move", "d", "/elsewhere", True)], rest),
+    }
+    base, feed, expected = [], [], {}
+    for name, (events, wanted) in cases.items():
+        place = lambda p: p if p is None or p.startswith("/") else f"/{name}/{p}"  # noqa: B023, E731
+        for p in held:
+            base.append((place(p[0]), p[1]) if isinstance(p, tuple) else place(p))
+        feed += [event(k, kind, place(p), *[place(t) for t in more[:1]], *more[1:]) for k, kind, p, *more in events]
+        expected |= {place(p): size for p, size in wanted.items()}
+    # Cases do not meet, so equal numbers do not matter once they are spread.
+    feed = [(e[0] + 100 * k, *e[1:]) for k, e in enumerate(feed)]
+    feed = [(e[0] % 100 * 100 + e[0] // 100, *e[1:]) for e in feed]
+    scope = ch.Scope(tuple(f"/{name}" for name in cases))
+    folded = apply_changes(entries(*base), spark.createDataFrame(feed, CHANGE), scope)
+    assert {p: v[1] for p, v in state_of(folded).items()} == expected
+
+
+def test_a_path_with_very_many_events_below_a_moved_directory(spark, entries):
+    feed = [event(k, ("create", "modify", "delete")[k % 3], "/d/lock", size=k) for k in range(3, 6000)]
+    feed += [event(1, "create", "/d/f", size=1), event(6001, "move", "/d", "/e", is_dir=True), event(6002, "create", "/d/f")]
+    events = spark.createDataFrame(feed, CHANGE)
+    folded = apply_changes(entries("/d/", ("/d/lock", 5)), events)
+    assert state_of(folded) == replay(entries("/d/", ("/d/lock", 5)).collect(), feed)
+
+
+def test_late_events_follow_moves_that_are_folded(spark, entries, tmp_path):
+    """Directory moves in any batches, folded at any time: older events are replayed."""
+    base, rng = entries(*BASE), random.Random(7)
+    feed = moving_feed(rng, 30)
+    expected = replay(base.collect(), feed)
+    rng.shuffle(feed)
+    batches = [feed[:15], feed[15:]]
+    store = run_stream(spark, tmp_path, base, batches, compact_every=1)
+    assert state_of(current_catalogue(spark, store)) == expected
+    assert refused(spark, store).isEmpty()
 
 
 def test_refresh_keeps_later_events(spark, entries, tmp_path):
@@ -319,6 +399,101 @@ def test_refresh_keeps_later_events(spark, entries, tmp_path):
     assert paths(current_catalogue(spark, store)) == ["/new", "/x"]
 
 
+@pytest.mark.parametrize("rebuilt, folded", [(False, True), (True, False)])
+def test_late_events_do_not_undo_a_listing(spark, entries, tmp_path, rebuilt, folded):
+    listing = entries(("/a", 7), "/b", "/c")
+    late = [event(50, "delete", "/a"), event(60, "create", "/gone"), event(70, "modify", "/a", size=1)]
+    later = [event(110, "create", "/d"), event(120, "delete", "/b"), event(99, "delete", "/")]
+    first = [event(40, "create", "/x"), *([event(41, "overflow", "/")] if rebuilt else [])]
+    store = run_stream(spark, tmp_path, entries("/a"), [first], relist=lambda: (listing, 100))
+    if not rebuilt:
+        refresh(spark, store, listing, as_of_seq=100)
+    feed = tmp_path / "feed"
+    for batch in (late, later):
+        spark.createDataFrame(batch, CHANGE).coalesce(1).write.mode("append").parquet(str(feed))
+        every = 1 if folded else 100
+        fold_stream(stream_changes(spark, str(feed)), store, compact_every=every).awaitTermination()
+    assert {p: v[1] for p, v in state_of(current_catalogue(spark, store)).items()} == {"/a": 7, "/c": 0, "/d": 0}
+    assert refused(spark, store).isEmpty()
+
+
+def test_an_incomplete_listing_knows_only_what_it_lists(spark, entries, tmp_path):
+    store = run_stream(spark, tmp_path, entries("/a", "/b", "/d/x"), [[event(10, "create", "/c"), event(150, "delete", "/d")]])
+    refresh(spark, store, entries(("/a", 7), "/n", "/d/x"), as_of_seq=100, complete=False)
+    assert paths(current_catalogue(spark, store)) == ["/a", "/b", "/c", "/n"]
+    late = [event(50, "delete", "/a"), event(60, "delete", "/b"), event(70, "create", "/late"), event(101, "delete", "/n")]
+    spark.createDataFrame(late, CHANGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    fold_stream(stream_changes(spark, str(tmp_path / "feed")), store).awaitTermination()
+    assert paths(current_catalogue(spark, store)) == ["/a", "/c", "/late"]
+
+
+def test_compaction_writes_what_changed(spark, entries, tmp_path, monkeypatch):
+    """Bytes follow the events, old versions stay readable, folders stay few, the index stays valid."""
+    monkeypatch.setattr(fold, "BLOCK", 4)
+    data = entries(*[f"/d{i % 40:02d}/file-{i:05d}" for i in range(4000)], "/d20/unique-name")
+    store = str(tmp_path / "store")
+    whole = save_catalogue(data, store, partitions=16)
+    index = save_grams(spark, store)
+    feed = tmp_path / "feed"
+
+    def fed(*batch):
+        spark.createDataFrame(list(batch), CHANGE).coalesce(1).write.mode("append").parquet(str(feed))
+        fold_stream(stream_changes(spark, str(feed)), store, compact_every=1, keep_past=5).awaitTermination()
+        return versions(spark, store).orderBy(F.col("version").desc()).first()
+
+    wanted = {r["path"] for r in data.select("path").collect()}
+    last = fed(event(1, "create", "/d03/new", size=3), event(2, "modify", "/d03/file-00003", size=9))
+    assert last["reason"] == "compact" and last["bytes"] < whole.bytes / 4
+    assert len({b["run"] for b in last["buckets"]}) == 2
+    last = fed(event(11, "delete", "/d39"), event(12, "create", "/zz"), event(13, "create", "/d20/unique-name-2"))
+    gone = {p for p in wanted if p.startswith("/d39/")}
+    now = wanted - gone | {"/d03/new", "/zz", "/d20/unique-name-2"}
+    assert set(paths(load_catalogue(spark, store))) == now and last["entries"] == len(now)
+    assert set(paths(load_catalogue(spark, store, 0))) == wanted
+    # The index of the first run still serves its buckets; the next one reads new runs only.
+    current = load_catalogue(spark, store)
+    names = ["/d20/unique-name", "/d20/unique-name-2"]
+    for known in (index, load_grams(spark, store)):
+        assert paths(gram_search(current, known, "unique")) == names
+    grown = save_grams(spark, store)
+    assert set(index.runs) < set(grown.runs)
+    assert paths(gram_search(current, grown, "unique")) == names
+    # With a log the stored buckets are still told apart, and new paths are found.
+    late = [event(31, "create", "/q/unique-too"), event(32, "delete", names[0])]
+    spark.createDataFrame(late, CHANGE).coalesce(1).write.mode("append").parquet(str(feed))
+    fold_stream(stream_changes(spark, str(feed)), store, compact_every=100).awaitTermination()
+    now = current_catalogue(spark, store)
+    found = gram_search(now, grown, "unique")
+    assert paths(found) == [names[1], "/q/unique-too"]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    # Folded events lie in blocks; those that are too old to be asked for are gone.
+    blocks = {p.name for p in (tmp_path / "store" / "history").glob("block=*")}
+    assert blocks == set()
+    assert len(list((tmp_path / "store" / "log").glob("version=*"))) <= 2
+    assert sorted(r["seq"] for r in events_after(spark, store, 12).collect()) == [13, 31, 32]
+    with pytest.raises(ValueError, match="no longer kept"):
+        events_after(spark, store, 2)
+    assert forget_versions(spark, store, keep=1) and set(paths(load_catalogue(spark, store))) >= {"/zz"}
+
+
+def test_scratch_tables_of_other_threads_stay(spark, tmp_path):
+    seen = {}
+
+    def other():
+        seen["folder"] = new_folder(spark, "other")
+        spark.range(3).write.parquet(seen["folder"])
+
+    with removed_after(spark):
+        own = new_folder(spark, "own")
+        spark.range(2).write.parquet(own)
+        thread = threading.Thread(target=other)
+        thread.start()
+        thread.join()
+    assert spark.read.parquet(seen["folder"]).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(own)
+
+
 def test_monitoring(spark, entries):
     feed = [event(i, "modify", f"/f{i}") for i in range(60)]
     feed += [
