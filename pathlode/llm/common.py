@@ -14,8 +14,8 @@ from pathlode.session import new_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-# Rows of one Arrow batch: texts are long, so Spark's default would hold tens of megabytes.
-BATCH_ROWS = 1000
+# Rows and bytes of one Arrow batch: texts are long, so Spark's defaults would hold tens of megabytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> None:
@@ -23,11 +23,12 @@ def prepare(spark: SparkSession) -> None:
 
     Workers that see this folder can import the package, wherever they start; elsewhere
     install it on the executors, or pass it as ``--py-files``. Arrow batches get
-    ``BATCH_ROWS`` rows at most, for the whole session.
+    ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` at most, for the whole session.
     """
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 
 from tokenizers import Tokenizer
 
-# Answers kept per worker, of pieces and of runs each, before a table starts afresh (about 200
-# bytes an answer). Fewer cost time, more cost memory; results do not depend on it.
+# Answers kept per worker, of pieces and of runs each (about 200 bytes an answer). Fewer cost
+# time, more cost memory; results do not depend on it.
 KEPT = 500_000
 
 _BLANKS = " \t\n\r"
@@ -60,46 +60,77 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-class _Pieces(dict):
+class _Known(dict):
+    """Answers in two generations: what is asked for again outlives the next change of them.
+
+    When the young half is full it becomes the old one, whose other answers are forgotten.
+    """
+
+    def __init__(self, kept: int):
+        self.most, self.old = max(kept // 2, 1), {}
+
+    def known(self, text: str) -> bytes | None:
+        """The old answer, kept for another generation."""
+        ids = self.old.pop(text, None)
+        if ids is not None:
+            self.keep(text, ids)
+        return ids
+
+    def keep(self, text: str, ids: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[text] = ids
+
+
+class _Pieces(_Known):
     """Piece -> ids as little-endian unsigned 32-bit integers; asks the library when missing."""
 
     def __init__(self, model, kept: int):
-        self.model, self.kept, self.letters = model, kept, _byte_letters()
+        super().__init__(kept)
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
         self.space = self.letters[0x20]
 
     def ask(self, piece: str) -> bytes:
-        if piece.isascii() and piece[1:].isalnum():
-            # Such letters are spelt as themselves, but for a space in front.
-            spelt = self.space + piece[1:] if piece[0] == " " else piece
-        else:
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-        return id_bytes([t.id for t in self.model.tokenize(spelt)])
+        spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return id_bytes([t.id for t in self.tokenize(spelt)])
+
+    def ask_word(self, word: str) -> bytes:
+        """The ids of a space and a word."""
+        if word.isascii():  # such letters are spelt as themselves
+            return id_bytes([t.id for t in self.tokenize(self.space + word)])
+        return self.ask(f" {word}")
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.ask(piece)
-        if len(self) >= self.kept:
-            self.clear()
-        self[piece] = ids
+        ids = self.known(piece)
+        if ids is None:
+            ids = self.ask(piece)
+            self.keep(piece, ids)
         return ids
 
 
-class _Runs(dict):
+class _Runs(_Known):
     """Run between single spaces -> ids of the space and the run."""
 
-    def __init__(self, pieces: _Pieces):
+    def __init__(self, pieces: _Pieces, kept: int):
+        super().__init__(kept)
         self.pieces = pieces
 
     def __missing__(self, run: str) -> bytes:
-        word, last = run[:-1], run[-1:]
+        ids = self.known(run)
+        if ids is not None:
+            return ids
         if run.isalpha():
-            ids = self.pieces.ask(f" {run}")
-        elif word.isalpha() and last not in _BLANKS and not last.isalnum():
-            ids = self[word] + self.pieces[last]
+            ids = self.pieces.ask_word(run)
         else:
-            ids = self.pieces_of(f" {run}")
-        if len(self) >= self.pieces.kept:
-            self.clear()
-        self[run] = ids
+            word, last = run[:-1], run[-1:]
+            if word.isalpha() and last not in _BLANKS and not last.isalnum():
+                # The word has no entry of its own before it stands alone.
+                known = self.get(word)
+                ids = (self.pieces.ask_word(word) if known is None else known) + self.pieces[last]
+            else:
+                ids = self.pieces_of(f" {run}")
+        self.keep(run, ids)
         return ids
 
     def pieces_of(self, text: str) -> bytes:
@@ -118,7 +149,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         self.added = [t["content"] for t in config.get("added_tokens") or ()]
-        self.runs = _Runs(_Pieces(self.tokenizer.model, kept)) if _by_pieces(config) else None
+        self.runs = _Runs(_Pieces(self.tokenizer.model, kept), kept) if _by_pieces(config) else None
 
     def encode(self, text: str) -> bytes:
         """Ids without begin, end or template tokens, four bytes each."""

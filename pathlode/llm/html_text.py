@@ -17,6 +17,7 @@ would be left is a copy and stays.
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 import numpy as np
 import pandas as pd
@@ -43,6 +44,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
+# Where no tag ends any more, this ends the text; a lone ``<`` before it is text.
+_OPEN_END = re.compile(r"<[!?/]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _NAME = re.compile(r"[a-z]+")
 
@@ -127,9 +130,12 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     """(region, text) of a page's blocks in page order; text is decoded, trimmed, single-spaced."""
     found: list[tuple[str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, str]] = []
+    # Open elements: tag, region, and the place of the innermost block among them.
+    stack: list[tuple[str, str, int]] = []
+    opened_tags: Counter[str] = Counter()
     region, at = _OPEN, 0
     page = page or ""
+    last_end = page.rfind(">")
 
     def flush() -> None:
         if parts:
@@ -138,7 +144,16 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 found.append((region, text))
             parts.clear()
 
+    def leave(k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        opened_tags.subtract(t for t, _, _ in stack[k:])
+        del stack[k:]
+
     while True:
+        if at > last_end:
+            end = _OPEN_END.search(page, at)
+            parts.append(page[at : end.start()] if end else page[at:])
+            break
         mark = _TOKEN.search(page, at)
         if mark is None:
             parts.append(page[at:])
@@ -153,39 +168,42 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         if tag in _BREAKING:
             flush()
         if closing:
-            if any(t == tag for t, _ in stack):
+            if opened_tags[tag]:
+                k = len(stack) - 1
                 if tag not in _BREAKING:
                     # A stray inline end tag never closes a block.
-                    while stack[-1][0] not in _BREAKING and stack[-1][0] != tag:
-                        stack.pop()
-                    if stack[-1][0] != tag:
+                    while stack[k][0] not in _BREAKING and stack[k][0] != tag:
+                        k -= 1
+                    if stack[k][0] != tag:
+                        leave(k + 1)
                         continue
-                while stack.pop()[0] != tag:
-                    pass
+                while stack[k][0] != tag:
+                    k -= 1
+                leave(k)
         elif tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         elif tag not in _VOID:
             if tag in _NO_PARAGRAPH:
+                block = stack[-1][2] if stack else -1
+                if block >= 0 and stack[block][0] == "p":
+                    leave(block)
+            if any(opened_tags[t] for t in _SIBLINGS.get(tag, ())):
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
+                    if stack[k][0] in _SIBLINGS[tag]:
+                        leave(k)
                         break
-                    if stack[k][0] in _BREAKING:
+                    if stack[k][0] in _LISTS:
                         break
-            for k in range(len(stack) - 1, -1, -1) if tag in _SIBLINGS else ():
-                if stack[k][0] in _SIBLINGS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _LISTS:
-                    break
             within = stack[-1][1] if stack else _OPEN
             opened = _region(tag, mark[3] or mark[6] or "", within)
             if opened != within:
                 flush_before(parts, found, region)
             if not (mark[3] or mark[6] or "").endswith("/") or tag in _BREAKING:
-                stack.append((tag, opened))
+                block = len(stack) if tag in _BREAKING else stack[-1][2] if stack else -1
+                stack.append((tag, opened, block))
+                opened_tags[tag] += 1
         now = stack[-1][1] if stack else _OPEN
         if now != region:
             flush()

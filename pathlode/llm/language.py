@@ -6,7 +6,6 @@ pair of languages of that family then votes for the language. The model is fitte
 bounded sample of labelled rows; every row is predicted on its whole text.
 """
 
-import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -40,24 +39,30 @@ UNDETERMINED = "und"
 # chance, and at most this share of what any sampled held-out row (so many, about) has.
 JUDGED_LETTERS, ABOVE_CHANCE, BELOW_CLEAN, CLEAN_SAMPLE = 150, 1.5, 0.9, 2000
 
-_LETTER = re.compile(r"[^\W\d_]")
+# Bytes whose grams are counted at once.
+_COUNTED = 1 << 20
 _BLANKED = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    """Whether a character of the text is a letter; numerals such as fractions are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def features(text: str, size: int = FEATURES) -> np.ndarray:
     """Unit vector of the square roots of hashed counts of 1-, 2- and 3-byte grams."""
     line = b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANKED).split())
-    b = np.frombuffer(b" " + line + b" ", dtype=np.uint8).astype(np.uint32)
+    line = b" " + line + b" "
     counts = np.zeros(size)
-    for n in (1, 2, 3):
-        grams = np.full(len(b) - n + 1, n, dtype=np.uint32)
-        for k in range(n):
-            grams = grams * np.uint32(0x9E3779B1) + b[k : len(b) - n + 1 + k]
-        counts += np.bincount((grams * np.uint32(0x85EBCA6B)) >> np.uint32(20), minlength=size)
+    for at in range(0, len(line), _COUNTED):
+        # Grams that begin in this stretch; arrays stay small however long the text is.
+        b = np.frombuffer(line[at : at + _COUNTED + 2], dtype=np.uint8).astype(np.uint32)
+        for n in (1, 2, 3):
+            starts = min(len(b) - n + 1, _COUNTED)
+            grams = np.full(max(starts, 0), n, dtype=np.uint32)
+            for k in range(n):
+                grams = grams * np.uint32(0x9E3779B1) + b[k : k + len(grams)]
+            counts += np.bincount((grams * np.uint32(0x85EBCA6B)) >> np.uint32(20), minlength=size)
     counts = np.sqrt(counts)
     return counts / max(np.sqrt((counts**2).sum()), 1e-12)
 
@@ -206,6 +211,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         rows = [held.value.predict(t) for t in texts]
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
+    # Otherwise a filter on the result would have texts predicted once more below it.
+    predicted = predicted.asNondeterministic()
     return docs.withColumn("_llm_lang", predicted(F.col(text))).withColumns(
         {"lang_pred": F.col("_llm_lang.lang_pred"), "score": F.col("_llm_lang.score")}
     ).drop("_llm_lang")

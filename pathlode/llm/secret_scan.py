@@ -41,8 +41,6 @@ SAMPLE, SAMPLE_CHARS = 1500, 200
 ALPHA, UNSEEN = 0.05, 0.01
 # Shortest run that is scored, and the share of credentials that may score below the threshold.
 CANDIDATE_CHARS, MISSED = 8, 0.01
-# Longest part that goes on to its run's end across further ``=`` and ``/``; learnt values are no longer.
-PART_CHARS = 4 * SAMPLE_CHARS
 
 _ASSIGN = re.compile(KINDS["assign"][0], re.I | re.A)
 _ACCESS = re.compile(KINDS["access"][0])
@@ -69,11 +67,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: Sequence[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
+def candidates(
+    text: str, taken: Sequence[tuple[int, int, int, str]], longest: int = 4 * SAMPLE_CHARS
+) -> list[tuple[int, int, str]]:
     """(start, end, run) of the maximal runs outside the base spans, and of their parts.
 
     Parts lie between two cuts (``=`` or ``/``), or go from a cut to the run's end. Parts overlap
-    their run.
+    their run. Runs and parts over ``longest``, the longest credential learnt, fit no automaton
+    and are left out.
     """
     found, at = [], 0
     for m in _RUN.finditer(text):
@@ -82,34 +83,34 @@ def candidates(text: str, taken: Sequence[tuple[int, int, int, str]]) -> list[tu
             at += 1
         start = m.start()
         for span in _near(taken, at, m.end()):
-            _parts(text, start, span[0], found)
+            _parts(text, start, span[0], longest, found)
             start = max(start, span[2])
-        _parts(text, start, m.end(), found)
+        _parts(text, start, m.end(), longest, found)
     return found
 
 
-def _parts(text: str, start: int, end: int, found: list[tuple[int, int, str]]) -> None:
-    """Add the run from ``start`` to ``end``, and its parts, if they are long enough."""
+def _parts(text: str, start: int, end: int, longest: int, found: list[tuple[int, int, str]]) -> None:
+    """Add the run from ``start`` to ``end``, and its parts, if they are long enough and not too long."""
     run = text[start:end].rstrip(".")
     end = start + len(run)
-    if len(run) < CANDIDATE_CHARS:
-        return
-    found.append((start, end, run))
-    cuts = [start + m.start() for m in _CUT.finditer(run)]
-    for k, cut in enumerate(cuts):
-        before = cuts[k - 1] + 1 if k else start
-        if cut - before >= CANDIDATE_CHARS:
-            found.append((before, cut, text[before:cut]))
-        last = k == len(cuts) - 1
-        if CANDIDATE_CHARS <= end - cut - 1 and (last or end - cut - 1 <= PART_CHARS):
-            found.append((cut + 1, end, text[cut + 1 : end]))
+
+    def add(a: int, b: int) -> None:
+        if CANDIDATE_CHARS <= b - a <= longest:
+            found.append((a, b, text[a:b]))
+
+    add(start, end)
+    before = start
+    for m in _CUT.finditer(run):
+        cut = start + m.start()
+        add(before, cut)
+        add(cut + 1, end)
+        before = cut + 1
 
 
 def _near(spans, at: int, end: int):
-    for span in spans[at:]:
-        if span[0] >= end:
-            return
-        yield span
+    while at < len(spans) and spans[at][0] < end:
+        yield spans[at]
+        at += 1
 
 
 @dataclass
@@ -122,9 +123,14 @@ class Automaton:
     odd_length: float
     threshold: float = -math.inf
 
-    def score(self, run: str) -> float:
-        """Mean log-likelihood of the characters and the length."""
-        state, total = 0, self.lengths.get(len(run), self.odd_length)
+    @property
+    def longest(self) -> int:
+        """The longest credential learnt; a longer run fits no format."""
+        return max(self.lengths)
+
+    def score(self, run: str, size: int | None = None) -> float:
+        """Mean log-likelihood of the characters and the length (``size``, if ``run`` is its start)."""
+        state, total = 0, self.lengths.get(size or len(run), self.odd_length)
         for c in run:
             move = self.moves[state].get(c)
             if move is None:
@@ -206,8 +212,9 @@ class _Tree:
                     self.next[a][c] = child
 
 
-def learn(runs: Sequence[str]) -> Automaton:
-    """The automaton of distinct labelled runs (at least one)."""
+def learn(runs: Sequence[str], sizes: Sequence[int] | None = None) -> Automaton:
+    """The automaton of distinct labelled runs (at least one); ``sizes`` if they are only their starts."""
+    sizes = list(map(len, runs)) if sizes is None else sizes
     tree, kept, known = _Tree(sorted(runs)), [0], {0}
     border = deque((0, c) for c in sorted(tree.next[0]))
     while border:
@@ -237,10 +244,10 @@ def learn(runs: Sequence[str]) -> Automaton:
             }
         )
         rare.append(math.log(UNSEEN) - total)
-    sizes, total = Counter(map(len, runs)), math.log(len(runs) + 1)
-    lengths = {n: math.log(k) - total for n, k in sizes.items()}
+    total = math.log(len(runs) + 1)
+    lengths = {n: math.log(k) - total for n, k in Counter(sizes).items()}
     automaton = Automaton(moves, rare, lengths, math.log(UNSEEN) - total)
-    scores = sorted(automaton.score(r) for r in runs)
+    scores = sorted(map(automaton.score, runs, sizes))
     automaton.threshold = scores[int(MISSED * len(scores))]
     return automaton
 
@@ -250,7 +257,7 @@ def recognise(automata: dict[str, Automaton], run: str) -> tuple[str, float] | N
     fits = [
         (score - a.threshold, kind)
         for kind, a in automata.items()
-        if a.may_fit(run) and (score := a.score(run)) >= a.threshold
+        if len(run) <= a.longest and a.may_fit(run) and (score := a.score(run)) >= a.threshold
     ]
     return (max(fits)[1], max(fits)[0]) if fits else None
 
@@ -300,7 +307,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train(values: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
-    """An automaton per kind from about ``sample`` of its distinct values, chosen by digest."""
+    """An automaton per kind from about ``sample`` of its distinct values, chosen by digest.
+
+    Of a value the first ``SAMPLE_CHARS`` characters and the whole length are learnt.
+    """
     counts = {r["kind"]: r["count"] for r in values.groupBy("kind").count().collect()}
     if not counts:
         return {}
@@ -310,14 +320,14 @@ def train(values: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
     mark = F.conv(F.substring(F.md5("value"), 1, 7), 16, 10).cast("long")
     rows = (
         values.filter(mark <= share[F.col("kind")])
-        .select("kind", F.substring("value", 1, 4 * SAMPLE_CHARS).alias("value"))
+        .select("kind", F.substring("value", 1, SAMPLE_CHARS).alias("start"), F.length("value").alias("size"))
         .limit(2 * sample * len(counts))
         .collect()
     )
-    by_kind: dict[str, set[str]] = {}
+    by_kind: dict[str, set[tuple[str, int]]] = {}
     for row in rows:
-        by_kind.setdefault(row["kind"], set()).add(row["value"])
-    return {kind: learn(sorted(runs)) for kind, runs in sorted(by_kind.items())}
+        by_kind.setdefault(row["kind"], set()).add((row["start"], row["size"]))
+    return {kind: learn(*zip(*sorted(runs), strict=True)) for kind, runs in sorted(by_kind.items())}
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,7 +338,9 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     as well. Null texts are empty. Repeated rows and null keys have a row each. Without any
     base span in the table nothing can be learnt, and ``learnt`` is empty throughout.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(scan(docs, text)))
+    automata = train(scan(docs, text))
+    longest = max((a.longest for a in automata.values()), default=0)
+    held = docs.sparkSession.sparkContext.broadcast(automata)
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).cast(key_kind(kind)).alias("key"), F.col(text).alias("text"))
     learnt = StructType([*_SPAN.fields]).add("score", "double")
@@ -341,7 +353,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             for text in batch["text"]:
                 found = base_spans(text or "")
                 base.append(_base(found))
-                runs = candidates(text or "", found) if held.value else []
+                runs = candidates(text or "", found, longest) if held.value else []
                 more.append(_learnt(held.value, runs, known))
             yield pd.DataFrame({"key": batch["key"], "base": base, "learnt": more})
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from pathlode.llm import html_text as h
 from pathlode.llm.queries import QUERIES
@@ -124,3 +125,12 @@ def test_query(spark):
     got = QUERIES["op3_main_text"](spark, FOLDER).collect()
     assert {r["page_id"]: (r["url"], r["text"]) for r in got} == want
     assert len(got) == len(want) and any(r["n_repeated"] for r in got)
+
+
+def test_ill_formed_long_pages_take_little_time():
+    began = time.time()
+    assert h.blocks("<a " * 300_000)[0][1].startswith("<a <a")
+    assert h.blocks("<div>" * 100_000 + "</b>" * 100_000 + "x") == [(h._OPEN, "x")]
+    assert h.blocks("<b>" * 100_000 + "<p>y</p>" * 50_000)[0][1] == "y"
+    assert h.blocks("z <p>" + "</" * 100_000) == [(h._OPEN, "z")]
+    assert time.time() - began < 30

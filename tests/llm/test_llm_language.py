@@ -1,5 +1,7 @@
 """Language identification on held-out rows, and awkward ones."""
 
+import re
+
 import zlib
 
 import numpy as np
@@ -106,3 +108,23 @@ def test_long_texts_in_no_known_language_go(spark, docs):
     noisy = both.unionByName(more.filter("doc_id < 9100").withColumn("lang", language.F.lit(None).cast("string")))
     kept = {r["doc_id"] for r in language.reject_undetermined(noisy).collect()}
     assert kept >= clean and len(kept - clean) <= 10
+
+
+def test_numerals_are_no_letters():
+    for text in (None, "", "½²", "Ⅷ", "3 ½ ² Ⅷ _", "…"):
+        assert not language.has_letter(text)
+    assert all(map(language.has_letter, ("x", "½ é", "字", "1a")))
+
+
+def test_features_in_stretches(monkeypatch):
+    text = "Ein kurzer Text über Straßen und Äpfel, " * 30
+    whole = language.features(text)
+    for size in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(language, "_COUNTED", size)
+        assert (language.features(text) == whole).all() and (language.features("") == language.features(" ")).all()
+
+
+def test_texts_are_predicted_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = language.reject_undetermined(docs)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("ArrowEvalPython", plan)) == 1

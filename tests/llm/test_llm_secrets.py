@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -131,3 +132,22 @@ def tables(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     return folder, [tuple(r) for r in docs.collect()]
+
+
+def test_long_texts_with_many_spans_and_cuts():
+    began = time.time()
+    text = "password=abcdefgh1 " * 50_000
+    spans = s.base_spans(text)
+    assert len(spans) == 50_000 and s.candidates(text, spans, 20) == []
+    assert len(s.candidates("ab=" * 300_000, [], 20)) == 4
+    assert time.time() - began < 20
+
+
+def test_lengths_are_learnt_whole():
+    """Of long credentials the automaton sees the start, and the length is the true one."""
+    runs = ["a" * s.SAMPLE_CHARS, "b" * s.SAMPLE_CHARS]
+    automaton = s.learn(runs, [900, 5000])
+    assert set(automaton.lengths) == {900, 5000} and automaton.longest == 5000
+    assert s.recognise({"hex": automaton}, "c" * 5001) is None
+    found = s.candidates("x=" + "y" * 5000 + "/" + "z" * 900, [], automaton.longest)
+    assert [(a, b) for a, b, _ in found] == [(2, 5002), (5003, 5903)]
