@@ -1,6 +1,7 @@
 """Columns derived from a path string."""
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,15 +61,19 @@ def at_or_under(path: Column, folder: str) -> Column:
 
 
 def range_number(value: Column, starts: list[str]) -> Column:
-    """How many of the sorted ``starts`` are not above the value, by binary search.
+    """How many of the sorted ``starts`` are not above the value.
 
     The starts are one constant array, so that rows meet a table of ranges without a join.
     """
     literal = F.from_json(F.lit(json.dumps(starts)), "array<string>")
-    widths = [1 << k for k in range(len(starts).bit_length() - 1, -1, -1)]
+    return count_begun(literal, len(starts), lambda start: start <= value)
+
+
+def count_begun(starts: Column, count: int, begun: Callable[[Column], Column]) -> Column:
+    """How many of an array's ``count`` sorted starts have ``begun`` at a row, by binary search."""
+    widths = [1 << k for k in range(count.bit_length() - 1, -1, -1)]
 
     def step(below: Column, width: Column) -> Column:
-        inside = F.get(literal, below + width - 1) <= value
-        return F.when(inside, below + width).otherwise(below)
+        return F.when(begun(F.get(starts, below + width - 1)), below + width).otherwise(below)
 
     return F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), step)

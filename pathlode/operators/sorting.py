@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathlode.functions.paths import count_begun
 from pathlode.session import fits_broadcast, measure, written
 
 # Above this many rows a page is cut out by position: a top-n keeps n rows per task and
 # merges them all in one, so give ``page`` a smaller bound where there are many tasks.
 TOP_ROWS = 10_000
 
+# Ranges into which a whole is cut to find a deep page; their first rows pass the driver.
+PAGE_RANGES = 1024
+
 # Accepted spellings of the sort keys.
 SORT_KEYS = {
     "name": "name",
@@ -88,24 +95,117 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
     )
 
 
-def deep_page(
-    df: DataFrame, sort: str = "name", offset: int = 0, limit: int | None = None
+@dataclass(frozen=True)
+class Ranges:
+    """A sorted whole cut into ranges: their first rows, how many rows each has, and their size."""
+
+    starts: list[dict]  # key, path; the first range begins before all of them
+    rows: list[int]
+    sizes: list[int]
+
+    @property
+    def totals(self) -> dict[str, int]:
+        return {"total_count": sum(self.rows), "total_size": sum(self.sizes)}
+
+    def holding(self, offset: int, limit: int | None) -> tuple[range, int]:
+        """The ranges that hold a page, and the rows before the first of them."""
+        before = [0, *accumulate(self.rows)]
+        if offset >= before[-1] or limit == 0:
+            return range(0), 0
+        last = len(self.rows) if limit is None else min(bisect_left(before, offset + limit), len(self.rows))
+        first = bisect_right(before, offset) - 1
+        return range(first, last), before[first]
+
+
+def _key_of(sort: str) -> tuple[str, bool]:
+    spelled = sort.strip().lower()
+    return SORT_KEYS[spelled.removesuffix("-desc").removesuffix("-asc")], spelled.endswith("-desc")
+
+
+def _range_of(df: DataFrame, sort: str, starts: list[dict]) -> Column:
+    """The range of a row among sorted starts."""
+    if not starts:
+        return F.lit(0)
+    key, downwards = _key_of(sort)
+    kind = df.schema[key].dataType.simpleString()
+    literal = F.from_json(F.lit(json.dumps(starts)), f"array<struct<key: {kind}, path: string>>")
+    # Structs compare nulls too, and put them first, as the order does.
+    mine, path = F.struct(key), F.col("path")
+
+    def begun(start: Column) -> Column:
+        theirs = F.struct(start["key"])
+        if key == "path":
+            return mine <= theirs if downwards else mine >= theirs
+        beyond = mine < theirs if downwards else mine > theirs
+        return beyond | ((mine == theirs) & (path >= start["path"]))
+
+    return count_begun(literal, len(starts), begun)
+
+
+def ranges_of(df: DataFrame, sort: str = "name", count: int = PAGE_RANGES) -> Ranges:
+    """Cut the sorted whole into about ``count`` ranges. Two scans and no shuffle of rows.
+
+    The starts are the keys of the rows with the smallest hashes of their paths, so they follow
+    the distribution of keys, of which a hot one is cut by path.
+    """
+    key, downwards = _key_of(sort)
+    keyed = df.select(F.col(key).alias("key"), "path")
+    drawn = keyed.orderBy(F.xxhash64("path"), "path").limit(count - 1)
+    drawn = drawn.orderBy(F.col("key").desc() if downwards else F.col("key"), "path")
+    starts = [r.asDict() for r in drawn.collect()]
+    size = F.coalesce(F.sum("size"), F.lit(0)) if "size" in df.columns else F.lit(0)
+    found = df.groupBy(_range_of(df, sort, starts).alias("range")).agg(
+        F.count(F.lit(1)).alias("n"), size.alias("size")
+    )
+    counted = {r["range"]: (r["n"], r["size"]) for r in found.collect()}  # a row per range
+    both = [counted.get(k, (0, 0)) for k in range(len(starts) + 1)]
+    return Ranges(starts, [n for n, _ in both], [s for _, s in both])
+
+
+def page_of_ranges(
+    df: DataFrame, sort: str, ranges: Ranges, offset: int, limit: int | None, top_rows: int = TOP_ROWS
 ) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the sorted whole (paths are unique).
+    """Rows ``offset`` to ``offset + limit``: only the ranges that hold them are read and sorted.
 
-    Only the sort key and the path are sorted and numbered; the rows that the page
-    holds are then looked up. Runs jobs at once.
+    A page near the start of its ranges is a top-n there; another one is cut out by position,
+    for which the sort keys and paths of its ranges are written.
     """
-    order = sort_order(sort)
-    key = SORT_KEYS[sort.strip().lower().removesuffix("-desc").removesuffix("-asc")]
-    placed = with_position(df.select(*dict.fromkeys([key, "path"])), *order)
-    wanted = F.col("position") > offset
+    wanted, before = ranges.holding(offset, limit)
+    if not wanted:
+        return df.filter(F.lit(False))
+    key, downwards = _key_of(sort)
+    number = _range_of(df, sort, ranges.starts)
+    held = df.filter((number >= wanted[0]) & (number <= wanted[-1]))
+    # The same by the key alone, for the scan to prune by.
+    lower = ranges.starts[wanted[0] - 1]["key"] if wanted[0] else None
+    upper = ranges.starts[wanted[-1]]["key"] if wanted[-1] < len(ranges.starts) else None
+    if downwards:
+        lower, upper = upper, lower
+    if lower is not None:
+        held = held.filter(F.col(key) >= F.lit(lower))
+    if upper is not None:
+        held = held.filter((F.col(key) <= F.lit(upper)) | F.col(key).isNull())
+    order, skipped = sort_order(sort), offset - before
+    if limit is not None and skipped + limit <= top_rows:
+        return held.orderBy(*order).offset(skipped).limit(limit)
+    placed = with_position(held.select(*dict.fromkeys([key, "path"])), *order)
+    inside = F.col("position") > skipped
     if limit is not None:
-        wanted &= F.col("position") <= offset + limit
-    places = written(placed.filter(wanted).select("path", "position"), "places")
+        inside &= F.col("position") <= skipped + limit
+    places = written(placed.filter(inside).select("path", "position"), "places")
     if fits_broadcast(*measure(places, "path")):
         places = F.broadcast(places)
-    return df.join(places, "path").orderBy("position").select(*df.columns)
+    return held.join(places, "path").orderBy("position").select(*df.columns)
+
+
+def deep_page(
+    df: DataFrame, sort: str = "name", offset: int = 0, limit: int | None = None, top_rows: int = TOP_ROWS
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the sorted whole (paths are unique).
+
+    The whole is counted in ranges and never sorted. Runs jobs at once.
+    """
+    return page_of_ranges(df, sort, ranges_of(df, sort), offset, limit, top_rows)
 
 
 def page_after(df: DataFrame, sort: str, last: tuple, limit: int) -> DataFrame:
@@ -114,9 +214,9 @@ def page_after(df: DataFrame, sort: str, last: tuple, limit: int) -> DataFrame:
     Costs a filter and a top-n however deep the page is; ``last`` is ``(key, path)``.
     """
     order = sort_order(sort)
-    column = F.col(SORT_KEYS[sort.strip().lower().removesuffix("-desc").removesuffix("-asc")])
+    name, downwards = _key_of(sort)
+    column = F.col(name)
     key, path = last
-    downwards = sort.strip().lower().endswith("-desc")
     beyond = column < F.lit(key) if downwards else column > F.lit(key)
     if len(order) > 1:
         beyond |= (column == F.lit(key)) & (F.col("path") > F.lit(path))
@@ -140,4 +240,4 @@ def page(
         return df.orderBy(*order)
     if limit is not None and offset + limit <= top_rows:
         return df.orderBy(*order).offset(offset).limit(limit)
-    return deep_page(df, sort, offset, limit)
+    return deep_page(df, sort, offset, limit, top_rows)

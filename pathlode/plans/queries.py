@@ -553,6 +553,18 @@ def page_deep(spark, folder):
     return found.page.select("path", "size")
 
 
+@register(
+    "page_deep_totals",
+    """SELECT path, size, (SELECT count(*) FROM order_entries) AS total_count,
+              (SELECT sum(size)::BIGINT FROM order_entries) AS total_size
+       FROM order_entries ORDER BY size DESC, path LIMIT 300 OFFSET 12000""",
+)
+def page_deep_totals(spark, folder):
+    """The counts that find the page give the totals too."""
+    found = search(tables.order_entries(spark, folder), sort="size-desc", offset=12_000, limit=300)
+    return found.page_with_totals.select("path", "size", "total_count", "total_size")
+
+
 @register(
     "page_past_end", "SELECT path, size FROM order_entries LIMIT 10 OFFSET 1000000000"
 )

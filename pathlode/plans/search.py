@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pathlode.functions.marks import mark_path, render_ansi
 from pathlode.operators import grams as grams_
 from pathlode.operators.predicates import matches
-from pathlode.operators.sorting import TOP_ROWS, page_after, sort_order
+from pathlode.operators.sorting import TOP_ROWS, Ranges, page_after, page_of_ranges, ranges_of, sort_order
 from pathlode.operators.sorting import page as page_of
 from pathlode.operators.terms import as_terms, needles_of
 from pathlode.operators.totals import taken_with_totals, with_totals
@@ -42,14 +42,26 @@ class SearchResult:
     needles: tuple[str, ...] = ()
 
     def _page(self, matched: DataFrame) -> DataFrame:
-        page = page_of(matched, self.sort, self.offset, self.limit)
+        return self._marked(page_of(matched, self.sort, self.offset, self.limit))
+
+    def _marked(self, page: DataFrame) -> DataFrame:
         if self.needles:
             page = page.withColumn("path", mark_path(F.col("path"), list(self.needles)))
         return page
 
+    @property
+    def _is_deep(self) -> bool:
+        return bool(self.offset) if self.limit is None else self.offset + self.limit > TOP_ROWS
+
+    @cached_property
+    def _ranges(self) -> Ranges:
+        return ranges_of(self.matched, self.sort)
+
     @cached_property
     def page(self) -> DataFrame:
         """The rows asked for; a page beyond the bound of a top-n runs its jobs here."""
+        if self._is_deep:
+            return self._marked(page_of_ranges(self.matched, self.sort, self._ranges, self.offset, self.limit))
         return self._page(self.matched)
 
     @property
@@ -59,8 +71,14 @@ class SearchResult:
 
     @cached_property
     def page_with_totals(self) -> DataFrame:
-        """The page with the totals on every row, both from one scan where that is a top-n."""
-        if self.limit is None or self.offset + self.limit > TOP_ROWS:
+        """The page with the totals on every row.
+
+        Both come from one scan where that is a top-n; deeper pages are found by counts, whose
+        sums are the totals.
+        """
+        if self._is_deep:
+            return self.page.withColumns({k: F.lit(v).cast("bigint") for k, v in self._ranges.totals.items()})
+        if self.limit is None:
             return with_totals(self.page, self.matched)
         position = F.monotonically_increasing_id()
         # A top-n is one partition, so the numbers keep its order.

@@ -15,11 +15,21 @@ from pathlode import (
     save_catalogue,
     scan_files,
     search,
+    session,
     silent_files,
 )
+from pathlode.functions.paths import with_parts
 from pathlode.operators.hierarchy import derive_directories, not_under, under
 from pathlode.operators.reconcile import reconcile_diff, stale, upsert
-from pathlode.operators.sorting import flag_sort, page, page_after, sort_order, with_position
+from pathlode.operators.sorting import (
+    flag_sort,
+    page,
+    page_after,
+    page_of_ranges,
+    ranges_of,
+    sort_order,
+    with_position,
+)
 from pathlode.operators.totals import extension_counts
 from pathlode.schema import ENTRY
 from pathlode.sources.inventory import as_entries, one_per_path, union_roots, with_directories
@@ -246,6 +256,35 @@ def test_positions_and_deep_pages(spark):
     assert page(rows, "size", offset=10**9, limit=5).isEmpty()
 
 
+@pytest.mark.parametrize("sort", ["size", "size-desc", "path", "path-desc"])
+def test_pages_by_ranges(spark, sort):
+    """Hot keys, null keys, empty ranges: every page is a piece of the sorted whole."""
+    rows = spark.range(2_000).select(
+        F.concat(F.lit("/f/"), F.col("id")).alias("path"),
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.hash("id") % 40)
+        .cast("bigint").alias("size"),
+    )
+    whole = rows.orderBy(*sort_order(sort)).collect()
+    cut = ranges_of(rows, sort, count=16)
+    assert cut.totals == {"total_count": 2_000, "total_size": sum(r["size"] or 0 for r in whole)}
+    assert len(cut.starts) == 15 and max(cut.rows) < 800
+    for offset, limit in ((0, 3), (cut.rows[0], 1), (650, 100), (1_990, 50), (700, None), (2_000, 5), (9, 0)):
+        for top_rows in (1, 10_000):
+            got = page_of_ranges(rows, sort, cut, offset, limit, top_rows).collect()
+            assert got == whole[offset : None if limit is None else offset + limit], (offset, limit)
+    assert page_of_ranges(rows, sort, ranges_of(rows.limit(0), sort), 0, 5).isEmpty()
+
+
+def test_a_deep_page_writes_no_sorted_copy(spark):
+    rows = spark.range(40_000).select(F.concat(F.lit("/f/"), F.col("id")).alias("path"), F.col("id").alias("size"))
+    with session.removed_after(spark):
+        found = search(with_parts(as_entries(rows)), sort="size", offset=20_000, limit=20)
+        page = found.page_with_totals
+        assert [r["size"] for r in page.collect()] == list(range(20_000, 20_020))
+        assert page.first()["total_count"] == 40_000
+        assert session._GIVEN.lists[-1] == []
+
+
 def test_page_after(spark, entries):
     data = entries(*[(f"/f/{i:03d}", i % 7) for i in range(100)])
     for sort in ("size-desc", "size", "path", "path-desc", "name"):
