@@ -6,12 +6,12 @@ from pathlode.operators.grams import gram_search, load_grams, name_grams, save_g
 from pathlode.operators.reconcile import reconcile_diff
 from pathlode.operators.sorting import flag_sort, with_position
 from pathlode.operators.terms import AnyOf, Glob, Not, Regex, Substring
-from pathlode.plans.build import build_catalogue, refresh
+from pathlode.plans.build import build_catalogue, refresh, refresh_from_inventory
 from pathlode.plans.search import SearchResult, colored, search
 from pathlode.sources.catalogue import load_catalogue, save_catalogue
 from pathlode.sources.events import changes_from_json, read_changes, stream_changes
 from pathlode.sources.export import NoResults, export
-from pathlode.sources.inventory import read_inventory, scan_files, silent_files
+from pathlode.sources.inventory import lost_lines, read_inventory, scan_files, silent_files
 from pathlode.streaming.fold import (
     current_catalogue,
     current_status,
@@ -41,11 +41,13 @@ __all__ = [
     "gram_search",
     "load_catalogue",
     "load_grams",
+    "lost_lines",
     "name_grams",
     "read_changes",
     "read_inventory",
     "reconcile_diff",
     "refresh",
+    "refresh_from_inventory",
     "save_catalogue",
     "save_grams",
     "scan_files",

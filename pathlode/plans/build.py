@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathlode.functions.paths import with_parts
 from pathlode.operators.excludes import Excludes, apply_excludes
 from pathlode.operators.reconcile import reconcile_diff
+from pathlode.session import written
 from pathlode.sources.catalogue import SaveStats, latest_version, load_catalogue
-from pathlode.sources.inventory import as_entries, one_per_path, without_metadata
+from pathlode.sources.inventory import (
+    as_entries,
+    lost_lines,
+    one_per_path,
+    read_inventory,
+    silent_files,
+    without_metadata,
+)
 from pathlode.streaming.fold import logged_events, save_listing
 
 
@@ -53,3 +64,45 @@ def refresh(
     stats = save_listing(spark, folder, entries, through, "refresh", as_of_seq, complete)
     after = load_catalogue(spark, folder, stats.version)
     return stats, None if before is None else reconcile_diff(before, after)
+
+
+@dataclass(frozen=True)
+class Intake:
+    """What a refresh from inventory files has saved, and what it could not read."""
+
+    stats: SaveStats
+    changes: DataFrame | None
+    lost_lines: int
+    silent_files: int
+
+    @property
+    def complete(self) -> bool:
+        return not self.lost_lines and not self.silent_files
+
+
+def refresh_from_inventory(
+    spark: SparkSession,
+    folder: str,
+    locations: str | list[str],
+    format: str = "parquet",
+    roots: tuple[str, ...] = (),
+    excludes: Excludes = Excludes(),
+    as_of_seq: int | None = None,
+    skip_unreadable: bool = False,
+    **options: str,
+) -> Intake:
+    """:func:`refresh` from inventory files, which removes nothing if any line or file was lost.
+
+    Lost lines are appended to ``<folder>/lost_lines`` with the ``version`` that lacks them.
+    With ``skip_unreadable`` damaged files are passed over; files without a row count as such.
+    """
+    lost = lost_lines(spark, locations, format, skip_unreadable, **options)
+    lost = written(lost, "lost-lines")
+    n_lost = lost.count()
+    n_silent = silent_files(spark, locations, format, **options).count() if skip_unreadable else 0
+    listing = read_inventory(spark, locations, format, skip_unreadable, **options)
+    stats, changes = refresh(spark, folder, listing, roots, excludes, as_of_seq, not n_lost and not n_silent)
+    if n_lost:
+        kept = lost.withColumn("version", F.lit(stats.version).cast("bigint"))
+        kept.write.mode("append").parquet(f"{folder}/lost_lines")
+    return Intake(stats, changes, n_lost, n_silent)

@@ -16,7 +16,7 @@ from pathlode.operators.predicates import lookup, matches, name_starts_with
 from pathlode.operators.terms import AnyOf, Glob, Not, Regex, Substring
 from pathlode.plans.search import desktop_rows, search
 from pathlode.plans.views_sql import with_views
-from pathlode.plans.build import build_catalogue, refresh
+from pathlode.plans.build import build_catalogue, refresh, refresh_from_inventory
 from pathlode.schema import ENTRY_FIELDS, PART_FIELDS, STORED
 from pathlode.session import is_folder, new_folder
 from pathlode.sources import catalogue, inventory, tables
@@ -57,6 +57,37 @@ def entries_lines(spark, folder):
     return inventory.as_entries(tables.line_entries(spark, folder))
 
 
+def _damaged_lines(entries: DataFrame) -> str:
+    """Entries as lines of JSON, some with a size that is no number and some cut short."""
+    target = new_folder(entries.sparkSession, "damaged-lines")
+    size = F.concat(F.when(F.col("size") % 7 == 0, "x").otherwise(""), F.col("size").cast("string"))
+    line = F.to_json(F.struct(*[size.alias(c) if c == "size" else c for c in ENTRY_FIELDS]))
+    cut = F.when(F.col("size") % 11 == 0, F.expr("substring(line, 1, length(line) - 3)")).otherwise(F.col("line"))
+    entries.withColumn("line", line).select(cut.alias("value")).write.text(target)
+    return target
+
+
+@register(
+    "inventory_lost_lines",
+    """SELECT path, CASE WHEN size % 11 = 0 THEN 'path' ELSE 'size' END AS faults
+       FROM line_entries WHERE size % 7 = 0 OR size % 11 = 0""",
+)
+def inventory_lost_lines(spark, folder):
+    """Lines that an inventory could not give as entries, and why."""
+    lost = inventory.lost_lines(spark, _damaged_lines(tables.line_entries(spark, folder)), "json")
+    path = F.regexp_extract("line", '"path":"([^"]*)"', 1)
+    return lost.select(path.alias("path"), F.array_join("faults", ",").alias("faults"))
+
+
+@register("refresh_lossy_inventory", "SELECT path, size FROM doc_entries")
+def refresh_lossy_inventory(spark, folder):
+    """Entries whose lines were lost stay in the catalogue."""
+    target, entries = new_folder(spark, "lossy"), tables.doc_entries(spark, folder)
+    refresh(spark, target, entries)
+    refresh_from_inventory(spark, target, _damaged_lines(entries), "json")
+    return catalogue.load_catalogue(spark, target).select("path", "size")
+
+
 @register(
     "entries_no_metadata",
     "SELECT path, is_dir, 0::BIGINT AS size, 0::BIGINT AS modified, 0::BIGINT AS created, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlode.functions.paths import without_slash
@@ -30,6 +30,26 @@ def as_entries(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("path") != "").select("path", *columns)
 
 
+TEXT_FORMATS = ("csv", "json")
+_RAW = "_corrupt_record"
+
+
+def _fields(spark: SparkSession, format: str, skip_unreadable: bool, options: dict, raw: bool = False):
+    """A reader of an inventory's files; text is read as text, to be judged value by value."""
+    kind = "string" if format in TEXT_FORMATS else None
+    schema = ", ".join(f"{f.name} {kind or f.dataType.simpleString()}" for f in ENTRY.fields)
+    reader = spark.read.format(format).options(**options)
+    if raw:
+        schema += f", {_RAW} string"
+        reader = reader.option("columnNameOfCorruptRecord", _RAW)
+    skip = str(skip_unreadable).lower()
+    return reader.schema(schema).option("ignoreMissingFiles", skip).option("ignoreCorruptFiles", skip)
+
+
+def _typed() -> dict[str, Column]:
+    return {f.name: F.col(f.name).try_cast(f.dataType) for f in ENTRY.fields}
+
+
 def read_inventory(
     spark: SparkSession,
     locations: str | list[str],
@@ -39,26 +59,51 @@ def read_inventory(
 ) -> DataFrame:
     """Inventory reports (Parquet, ORC, CSV, JSON) with the entry columns.
 
-    Malformed lines are skipped. Damaged and vanished files are an error, unless
-    ``skip_unreadable``; then count them with :func:`silent_files`, and give a
-    listing that lacks some to ``refresh`` as one that is not ``complete``.
+    Lines without a path or with a value of another type are left out; :func:`lost_lines`
+    has them. Damaged and vanished files are an error, unless ``skip_unreadable``; then
+    :func:`silent_files` has them. A listing that lacks some of either is not ``complete``
+    for ``refresh``; ``refresh_from_inventory`` sees to that.
     """
-    is_text = format in ("csv", "json")
-    schema = ", ".join(
-        f"{f.name} {'string' if is_text else f.dataType.simpleString()}" for f in ENTRY.fields
-    )
-    reader = spark.read.format(format).schema(schema).options(**options)
-    skip = str(skip_unreadable).lower()
-    reader = reader.option("ignoreMissingFiles", skip).option("ignoreCorruptFiles", skip)
-    rows = reader.load(locations)
-    if is_text:
+    rows = _fields(spark, format, skip_unreadable, options).load(locations)
+    if format in TEXT_FORMATS:
         # A line is judged by all its columns, also when a query asks for few of them.
-        typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in ENTRY.fields}
+        typed = _typed()
         fine = [F.col(c).isNull() | value.isNotNull() for c, value in typed.items()]
         rows = rows.filter(reduce(and_, fine)).withColumns(typed)
     return as_entries(rows)
 
 
+def lost_lines(
+    spark: SparkSession,
+    locations: str | list[str],
+    format: str = "csv",
+    skip_unreadable: bool = False,
+    **options: str,
+) -> DataFrame:
+    """What :func:`read_inventory` leaves out: ``file``, ``line``, ``faults``, in no order.
+
+    ``faults`` names the columns whose values have another type, and ``path`` where there is
+    none. ``line`` is the text where that is no JSON at all, else the values as JSON. In
+    Parquet and ORC only rows without a path can be lost. Wanted: the options of the reading.
+    """
+    raw = format == "json"
+    rows = _fields(spark, format, skip_unreadable, options, raw).load(locations)
+    bad = {c: F.col(c).isNotNull() & value.isNull() for c, value in _typed().items()}
+    bad["path"] = F.coalesce(F.col("path"), F.lit("")) == ""
+    faults = F.filter(F.array(*[F.when(is_bad, c) for c, is_bad in bad.items()]), lambda c: c.isNotNull())
+    line = F.to_json(F.struct(*ENTRY_FIELDS))
+    found = rows.select(
+        plain_file(F.col("_metadata.file_path")).alias("file"),
+        (F.coalesce(F.col(_RAW), line) if raw else line).alias("line"),
+        faults.alias("faults"),
+    )
+    return found.filter(F.size("faults") > 0)
+
+
+def plain_file(path: Column) -> Column:
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def silent_files(
     spark: SparkSession, locations: str | list[str], format: str = "parquet", **options: str
 ) -> DataFrame:
@@ -69,10 +114,9 @@ def silent_files(
     # A column is read as well, or a damaged file could count by its footer alone.
     rows = reader.load(locations).select("_metadata.file_path", "path")
     heard = rows.groupBy("file_path").agg(F.count("path").alias("n"))
-    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
     return (
-        listed.select(plain(F.col("path")).alias("file"), F.col("length").alias("size"))
-        .join(heard.select(plain(F.col("file_path")).alias("file")), "file", "left_anti")
+        listed.select(plain_file(F.col("path")).alias("file"), F.col("length").alias("size"))
+        .join(heard.select(plain_file(F.col("file_path")).alias("file")), "file", "left_anti")
     )
 
 
@@ -118,7 +162,7 @@ def scan_files(
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     listed = reader.load(locations).select(
-        without_slash(F.regexp_replace("path", r"^file:/+", "/")).alias("path"),
+        without_slash(plain_file(F.col("path"))).alias("path"),
         F.col("length").alias("size"),
         F.unix_timestamp("modificationTime").alias("modified"),
     )

@@ -10,8 +10,10 @@ from pathlode import (
     build_catalogue,
     export,
     load_catalogue,
+    lost_lines,
     read_inventory,
     refresh,
+    refresh_from_inventory,
     save_catalogue,
     scan_files,
     search,
@@ -137,11 +139,34 @@ def test_inventory_sources(spark, tmp_path):
     (tmp_path / "inv.csv").write_text("/x,true,1,2,3,4\nbroken,zz,zz,,,\n/y,false,5,6,7,8\n")
     read = read_inventory(spark, str(tmp_path / "inv.csv"), "csv")
     assert paths(read) == ["/x", "/y"]
+    lost = lost_lines(spark, str(tmp_path / "inv.csv")).collect()
+    assert [(r["file"], r["faults"]) for r in lost] == [(str(tmp_path / "inv.csv"), ["is_dir", "size"])]
+    assert '"path":"broken"' in lost[0]["line"]
     for name in ("parquet", "orc", "json"):
         got.write.format(name).save(str(tmp_path / name))
         assert paths(read_inventory(spark, str(tmp_path / name), name)) == ["/a", "/n"]
 
 
+def test_lost_lines_block_removals(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.json").write_text('{"path":"/a","size":1}\n{"path":"/b","size":2}\n{"path":"/c"}\n')
+    store = str(tmp_path / "store")
+    first = refresh_from_inventory(spark, store, str(tmp_path / "one"), "json")
+    assert first.complete and first.changes is None and first.stats.entries == 3
+    (tmp_path / "two").mkdir()
+    bad = ['{"path":"/b","size":"many"}', '{"path":"/c", ', '{"size":4}', '{"path":"","size":4}', "7"]
+    (tmp_path / "two" / "a.json").write_text("\n".join([*bad, '{"path":"/d","size":4}', ""]))
+    second = refresh_from_inventory(spark, store, str(tmp_path / "two"), "json")
+    assert (second.complete, second.lost_lines, second.silent_files) == (False, 5, 0)
+    assert paths(load_catalogue(spark, store)) == ["/a", "/b", "/c", "/d"]
+    kept = spark.read.parquet(f"{store}/lost_lines").collect()
+    assert {r["version"] for r in kept} == {second.stats.version}
+    assert sorted(",".join(r["faults"]) for r in kept) == ["path"] * 4 + ["size"]
+    assert '{"path":"/c", ' in {r["line"] for r in kept}
+    third = refresh_from_inventory(spark, store, str(tmp_path / "one"), "json", skip_unreadable=True)
+    assert third.complete and paths(load_catalogue(spark, store)) == ["/a", "/b", "/c"]
+
+
 def test_several_roots_give_each_path_once(entries):
     a = entries(("/r/x", 1, 5), "/r/y")
     b = entries(("/r/x", 2, 9), "/s/z")
