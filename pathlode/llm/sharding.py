@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlode.llm.common import stored
+from pathlode.session import fits_broadcast
 
 # Bits of a hash: 15 hexadecimal digits of a digest.
 BITS = 60
@@ -55,20 +56,22 @@ def directory(units: DataFrame, limit: int, group: tuple[str, ...] = ()) -> Data
         # A unit over the limit must be parted from all the others in its bucket.
         parts = worst["n"] if worst["top"] > limit else min(worst["n"], worst["b"] // limit + 1)
         end = min(start + min((parts - 1).bit_length() + SPARE_BITS, ROUND_BITS), BITS)
-        tried = (
-            units.groupBy(*group, prefix("bits", end).alias("fine"))
-            .agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r"), F.count("*").alias("n"))
-            .withColumn("depth", F.explode(F.sequence(F.lit(start), F.lit(end))))
-            .withColumn("p", prefix("fine", "depth", end))
+        fine = stored(
+            units.groupBy(*group, prefix("bits", end).alias("fine")).agg(
+                F.sum("bytes").alias("b"), F.sum("rows").alias("r"), F.count("*").alias("n")
+            ),
+            "fine-buckets",
         )
-        fits = (
-            tried.groupBy(*group, "depth", "p")
+        fits = stored(
+            _at_depths(fine, F.sequence(F.lit(start), F.lit(end)), end)
+            .groupBy(*group, "depth", "p")
             .agg(F.sum("b").alias("shard_bytes"), F.sum("r").alias("shard_rows"), F.sum("n").alias("n"))
             .filter((F.col("shard_bytes") <= limit) | (F.col("n") == 1))
+            .drop("n"),
+            "fitting-prefixes",
         )
         shortest = (
-            tried.select(*group, "fine", "depth", "p")
-            .join(fits, [*group, "depth", "p"])
+            _meetings(fine, fits, group, end)
             .groupBy(*group, "fine")
             .agg(F.min(F.struct("depth", "shard_bytes", "shard_rows")).alias("s"))
         )
@@ -85,12 +88,41 @@ def directory(units: DataFrame, limit: int, group: tuple[str, ...] = ()) -> Data
     return reduce(DataFrame.unionByName, settled) if settled else found_nothing(units)
 
 
+def _at_depths(fine: DataFrame, depths: Column, end: int) -> DataFrame:
+    """Each fine bucket once per depth, with its prefix ``p`` there."""
+    return fine.withColumn("depth", F.explode(depths)).withColumn("p", prefix("fine", "depth", end))
+
+
+def _meetings(fine: DataFrame, fits: DataFrame, group: list[str], end: int) -> DataFrame:
+    """Fine buckets with the fitting prefixes above them.
+
+    A prefix of few bits is shared by very many fine buckets, so prefixes are broadcast from the
+    shortest on, as long as they are measured as few; the fine buckets are not shuffled for them.
+    What is left is so deep that without groups a prefix has few fine buckets: more than
+    ``BROADCAST_ROWS`` prefixes fit no depth below 19, and a round has ``ROUND_BITS`` of them.
+    """
+    counts = fits.groupBy("depth").agg(F.count("*").alias("n")).collect()  # a row per depth
+    near, total = [], 0
+    for depth, n in sorted((r["depth"], r["n"]) for r in counts):
+        total += n
+        if not fits_broadcast(total, total * 8 * len(fits.columns)):
+            break
+        near.append(depth)
+    far = sorted({r["depth"] for r in counts} - set(near)) if counts else [end]
+    parts = []
+    for depths, hint in ((near, F.broadcast), (far, lambda df: df)):
+        if depths:
+            tried = _at_depths(fine.select(*group, "fine"), F.array(*map(F.lit, depths)), end)
+            parts.append(tried.join(hint(fits.filter(F.col("depth").isin(depths))), [*group, "depth", "p"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def found_nothing(units: DataFrame) -> DataFrame:
     return units.selectExpr("*", "0 AS depth", "0L AS shard_bytes", "0L AS shard_rows")
 
 
 def assign_shards(
-    docs: DataFrame, limit: int, key: str = "doc_id", size: str = "bytes"
+    docs: DataFrame, limit: int, key: str = "doc_id", size: str = "bytes", row: str | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``bytes``, ``shard``, ``depth``, ``shard_bytes``,
     ``shard_rows``.
@@ -98,7 +130,8 @@ def assign_shards(
     ``size`` names the column of a row's bytes (null: 0). A shard is named ``b`` and its
     bits; a key over the limit is spread over shards with a further ``r`` and bits of its
     rows' own hash. Only a single row can be over the limit; it has a shard of its own.
-    Null keys are one key. Rows are never cut or dropped; no rows give no rows.
+    Null keys are one key. Rows are never cut or dropped; no rows give no rows. ``row`` names
+    a column of distinct row numbers, which then comes along.
     """
     if limit < 1:
         raise ValueError("the limit must be at least one byte")
@@ -107,7 +140,8 @@ def assign_shards(
             F.col(key).alias("key"),
             F.coalesce(F.col(size), F.lit(0)).cast("long").alias("bytes"),
             key_bits(F.col(key)).alias("bits"),
-        ).withColumn("row", F.monotonically_increasing_id()),
+            (F.monotonically_increasing_id() if row is None else F.col(row).cast("long")).alias("row"),
+        ),
         "shard-rows",
     )
     keys = rows.groupBy("bits").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
@@ -121,6 +155,7 @@ def assign_shards(
     light = placed.filter("NOT heavy").withColumn("shard", name)
     heavy = placed.filter("heavy").select(
         "key",
+        "row",
         "bytes",
         F.col("bits").alias("owner"),
         name.alias("own"),
@@ -133,8 +168,9 @@ def assign_shards(
         "shard",
         F.concat("own", F.lit("r"), _digits(prefix("bits", "depth"), "depth")),
     ).withColumn("depth", F.col("own_depth") + F.col("depth"))
-    out = ["key", "bytes", "shard", "depth", "shard_bytes", "shard_rows"]
-    return light.select(*out).unionByName(spread.select(*out)).withColumnRenamed("key", key)
+    out = [F.col("key").alias(key), "bytes", "shard", "depth", "shard_bytes", "shard_rows"]
+    out += [] if row is None else [F.col("row").alias(row)]
+    return light.select(*out).unionByName(spread.select(*out))
 
 
 def _digits(number: Column, length: str) -> Column:
@@ -142,6 +178,28 @@ def _digits(number: Column, length: str) -> Column:
 
 
 def write_shards(docs: DataFrame, shards: DataFrame, folder: str, key: str = "doc_id") -> None:
-    """Write ``docs`` as one folder ``shard=...`` per shard; keys must be unique."""
-    placed = docs.join(shards.select(key, "shard"), key)
+    """Write ``docs`` as one folder ``shard=...`` per shard; a null or repeated key is an error.
+
+    :func:`shard_rows` names the shards of any rows.
+    """
+    named = shards.select(F.col(key).alias("_llm_key"), "shard")
+    seen = named.groupBy("_llm_key").count().filter("count > 1 OR _llm_key IS NULL")
+    if not seen.isEmpty():
+        raise ValueError(f"{key} is null or repeated: number the rows with shard_rows")
+    _write(docs.join(named, docs[key] == F.col("_llm_key")).drop("_llm_key"), folder, key)
+
+
+def shard_rows(docs: DataFrame, limit: int, key: str = "doc_id", size: str = "bytes") -> DataFrame:
+    """All rows of ``docs`` with ``shard``, whatever their keys; a ``shard`` of theirs goes.
+
+    Shards are those of :func:`assign_shards`, to whose rows these ones are numbered.
+    """
+    marked = stored(
+        docs.drop("shard").withColumn("_llm_row", F.monotonically_increasing_id()), "shard-docs"
+    )
+    named = assign_shards(marked, limit, key, size, row="_llm_row").select("_llm_row", "shard")
+    return marked.join(named, "_llm_row").drop("_llm_row")
+
+
+def _write(placed: DataFrame, folder: str, key: str) -> None:
     placed.repartition("shard").sortWithinPartitions("shard", key).write.partitionBy("shard").parquet(folder)

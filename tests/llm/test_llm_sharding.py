@@ -1,8 +1,11 @@
 """Shards against their SQL and their rules."""
 
 import hashlib
+from collections import Counter
 
+import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 
 from pathlode.llm import sharding
 from pathlode.llm.queries import ORACLE, QUERIES
@@ -82,3 +85,29 @@ def test_write(spark, tmp_path):
     assert back.count() == 300
     sizes = back.groupBy("shard").agg({"text": "count"}).count()
     assert sizes == shards.select("shard").distinct().count() == len(list((tmp_path / "out").glob("shard=*")))
+
+
+def test_rows_of_null_and_repeated_keys(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i % 40, f"t{i}", 9) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bytes long").withColumn("shard", F.lit("own"))
+    got = sharding.shard_rows(docs, 300).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t, _ in rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["bytes"]
+    assert max(sizes.values()) <= 300 and len(sizes) > 18
+    for some in (docs.filter("doc_id IS NULL").limit(1), docs.filter("doc_id = 7")):
+        with pytest.raises(ValueError, match="null or repeated"):
+            sharding.write_shards(some, sharding.assign_shards(some, 300), str(tmp_path / "out"))
+    assert sharding.shard_rows(docs.limit(0), 300).collect() == []
+
+
+@pytest.mark.parametrize("rows_at_most", [0, 3, 40])
+def test_prefixes_beyond_a_broadcast(spark, monkeypatch, rows_at_most):
+    """Prefixes that are too many to be broadcast are met by a shuffle, with the same shards."""
+    rows = [(i, (i * 37) % 200 + (5000 if i % 150 == 0 else 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, bytes long")
+    monkeypatch.setattr(sharding, "fits_broadcast", lambda n, size: n <= rows_at_most)
+    want = brute(rows, 1000)
+    got = sharding.assign_shards(docs, 1000).collect()
+    assert {r["doc_id"]: (r["shard"], r["depth"], r["shard_bytes"], r["shard_rows"]) for r in got} == want
