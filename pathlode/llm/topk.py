@@ -7,15 +7,19 @@ vectors are annuli around a pivot. A query's distance to the pivot bounds its sc
 vector of an annulus; annuli are expanded nearest first, and those whose bound is below the
 k-th score so far are not opened. Pivots come from a bounded sample; every vector is indexed.
 
-Queries are compared in blocks of bounded size: each block is broadcast once and meets every
-partition of the index.
+Annuli that follow each other make up lanes, and queries blocks, both in tasks. A block goes to
+those lanes whose bounds it cannot miss, where an equi-join on the lane lets it meet the annuli.
+Only the lanes' bounds pass the driver: a row per lane and pivot in it.
 """
 
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +28,8 @@ from pathlode.llm.common import stored
 SCALE, BEST = 1024, 10
 # Vectors the pivots are fitted on (and first scores come from), pivots, vectors of an annulus.
 SAMPLE, PIVOTS, ANNULUS = 4096, 64, 512
-# Bytes of one block of queries.
-BLOCK_BYTES = 16 * 1024 * 1024
+# Bytes of one block of queries, which is sent once for every annulus it meets; lanes per core.
+BLOCK_BYTES, LANES_PER_CORE = 512 * 1024, 8
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -43,10 +47,10 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
 
 
 def _matrix(rows, width: int) -> np.ndarray:
-    """Rows as a matrix; components that a shorter vector lacks count as 0."""
+    """Rows as a matrix; components that a shorter vector lacks are 0, those beyond are left out."""
     out = np.zeros((len(rows), width), dtype=np.int64)
     for to, row in zip(out, rows, strict=True):
-        to[: len(row)] = row
+        to[: len(row)] = row[:width]
     return out
 
 
@@ -89,6 +93,24 @@ class Index:
         self.annuli, self.pivots, self.longest, self.width = annuli, pivots, longest, width
         self.sample_ids = np.zeros(0, dtype=np.int64)
         self.sample = np.zeros((0, width), dtype=np.int64)
+        # A row per lane and pivot: lane, pivot, near, far.
+        self.lanes = pd.DataFrame()
+
+
+def _keyed(pivots: np.ndarray, longest: float, width: int):
+    """Vectors with their nearest pivot and the distance to it."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                far = _distances(_lifted(_matrix(batch["v"], width), longest), pivots)
+                nearest = far.argmin(axis=1)
+                yield batch.assign(pivot=nearest, far=far[np.arange(len(far)), nearest])
+
+    return rows
+
+
+_KEYED = "vec_id long, v array<long>, pivot int, far double"
 
 
 def build_index(vectors: DataFrame, annulus: int = ANNULUS) -> Index:
@@ -104,29 +126,26 @@ def build_index(vectors: DataFrame, annulus: int = ANNULUS) -> Index:
     drawn = _matrix([r["v"] for r in sample], width)
     pivots = fit_pivots(_lifted(drawn, longest)) if sample else np.zeros((0, width + 1))
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                far = _distances(_lifted(_matrix(batch["v"], width), longest), pivots)
-                nearest = far.argmin(axis=1)
-                yield batch.assign(pivot=nearest, far=far[np.arange(len(far)), nearest])
-
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = None
+        left, lane = None, TaskContext.get().partitionId()
         for batch in batches:
             left = batch if left is None else pd.concat([left, batch], ignore_index=True)
             *full, left = _cut(left, annulus)
-            yield from map(_annulus(width), full)
+            yield from (_annulus(width)(run).assign(lane=lane) for run in full)
         if left is not None and len(left):
-            yield _annulus(width)(left)
+            yield _annulus(width)(left).assign(lane=lane)
 
+    lanes = LANES_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
     annuli = (
-        vectors.mapInPandas(keyed, "vec_id long, v array<long>, pivot int, far double")
-        .repartitionByRange("pivot", "far", "vec_id")
+        vectors.mapInPandas(_keyed(pivots, longest, width), _KEYED)
+        .repartitionByRange(lanes, "pivot", "far", "vec_id")
         .sortWithinPartitions("pivot", "far", "vec_id")
-        .mapInPandas(packed, "pivot int, near double, far double, ids binary, v binary")
+        .mapInPandas(packed, "lane int, pivot int, near double, far double, ids binary, v binary")
     )
     index = Index(stored(annuli, "annuli"), pivots, longest, width)
+    bounds = index.annuli.groupBy("lane", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+    # Lanes follow the order of pivots, so there are fewer rows than lanes and pivots together.
+    index.lanes = bounds.toPandas()
     index.sample_ids = np.array([r["vec_id"] for r in sample], dtype=np.int64)
     index.sample = drawn
     return index
@@ -186,18 +205,25 @@ def _first_floor(index: Index, ids: np.ndarray, queries: np.ndarray, best: int)
     return floor
 
 
-def _searched(held: Broadcast, best: int):
+def _bounds(to_pivots: np.ndarray, lengths: np.ndarray, longest: float, rings: pd.DataFrame) -> np.ndarray:
+    """For each query and ring (``pivot``, ``near``, ``far``) what no score of theirs exceeds."""
+    # Rounding of the bound stays far below one unit of score plus this share.
+    slack = 1 + 1e-9 * (lengths + longest)
+    d = to_pivots[:, rings["pivot"]]
+    gap = np.maximum(d - rings["far"].to_numpy(), rings["near"].to_numpy() - d)
+    return ((lengths + longest)[:, None] - np.maximum(gap, 0) ** 2) / 2 + slack[:, None]
+
+
+def _searched(held: Broadcast | SimpleNamespace, best: int):
+    """Annuli to the best rows of the queries of ``held.value``."""
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, queries, to_pivots, lengths, floor, longest = held.value
         found, width = _Best(len(ids), best, floor), queries.shape[1]
-        # Rounding of the bound stays far below one unit of score plus this share.
-        slack = 1 + 1e-9 * (lengths + longest)
         for batch in batches:
             if not len(batch):
                 continue
-            d = to_pivots[:, batch["pivot"]]
-            gap = np.maximum(d - batch["far"].to_numpy(), batch["near"].to_numpy() - d)
-            bound = ((lengths + longest)[:, None] - np.maximum(gap, 0) ** 2) / 2 + slack[:, None]
+            bound = _bounds(to_pivots, lengths, longest, batch)
             for k in np.argsort(-bound.max(axis=0), kind="stable"):
                 live = np.nonzero(bound[:, k] >= found.floor)[0]
                 if not len(live):
@@ -215,6 +241,58 @@ def _searched(held: Broadcast, best: int):
     return rows
 
 
+def _from_pivots(q: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of queries, which have no further coordinate, to the pivots; their squared lengths."""
+    flat = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
+    return _distances(flat, pivots), (flat**2).sum(axis=1)
+
+
+def _blocks(held: Broadcast, width: int, best: int, rows_of_block: int):
+    """Queries to blocks with first floors and the lanes that they cannot leave out."""
+
+    def block(run: pd.DataFrame) -> pd.DataFrame:
+        index = held.value
+        ids, q = run["vec_id"].to_numpy(np.int64), _matrix(run["v"], width)
+        floor = _first_floor(index, ids, q, best)
+        bound = _bounds(*_from_pivots(q, index.pivots), index.longest, index.lanes)
+        lanes = index.lanes["lane"][(bound >= floor[:, None]).any(axis=0)].unique()
+        return pd.DataFrame(
+            {"lanes": [lanes], "q_ids": [ids.tobytes()], "q": [q.tobytes()], "floor": [floor.tobytes()]}
+        )
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in batches:
+            left = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            while len(left) > rows_of_block:
+                yield block(left[:rows_of_block])
+                left = left[rows_of_block:]
+        if left is not None and len(left):
+            yield block(left)
+
+    return rows
+
+
+def _met(held: Broadcast, width: int, best: int):
+    """Pairs of a block and an annulus to the block's best rows; pairs of a block follow each other."""
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+        for batch in batches:
+            yield from batch.groupby("block", sort=False)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = held.value
+        for number, same in groupby(pieces(batches), key=itemgetter(0)):
+            first = next(same)[1]
+            ids, floor = (np.frombuffer(first[c].iloc[0], dtype=np.int64) for c in ("q_ids", "floor"))
+            q = np.frombuffer(first["q"].iloc[0], dtype=np.int64).reshape(len(ids), width)
+            block = SimpleNamespace(value=(ids, q, *_from_pivots(q, index.pivots), floor, index.longest))
+            for found in _searched(block, best)(chain([first], (rest for _, rest in same))):
+                yield found.assign(block=number, query_id=ids[found["query"].to_numpy()])
+
+    return rows
+
+
 def search(index: Index, queries: DataFrame, best: int = BEST) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the best rows but those of the query's own id.
 
@@ -222,42 +300,37 @@ def search(index: Index, queries: DataFrame, best: int = BEST) -> DataFrame:
     that repeat count each, repeated queries once. Fewer candidates than ``best`` give fewer
     rows; an empty index or no queries give none.
     """
-    spark, found = queries.sparkSession, []
-    rows_of_block = max(BLOCK_BYTES // (8 * max(index.width, 1)), 1)
-    block = []
-    schema = "query_id long, rank int, vec_id long, score long"
-
-    def searched() -> None:
-        ids = np.array([r["vec_id"] for r in block], dtype=np.int64)
-        q = _matrix([r["v"] for r in block], index.width)
-        flat = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
-        held = spark.sparkContext.broadcast(
-            (
-                ids,
-                q,
-                _distances(flat, index.pivots),
-                (flat**2).sum(axis=1),
-                _first_floor(index, ids, q, best),
-                index.longest,
-            )
+    spark, width = queries.sparkSession, index.width
+    if not width:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    held = spark.sparkContext.broadcast(
+        SimpleNamespace(
+            pivots=index.pivots, longest=index.longest, lanes=index.lanes,
+            sample_ids=index.sample_ids, sample=index.sample,
         )
-        hits = index.annuli.mapInPandas(_searched(held, best), "query int, score long, vec_id long")
-        order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-        ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
-        owner = spark.createDataFrame([(n, int(i)) for n, i in enumerate(ids)], "query int, query_id long")
-        found.append(
-            stored(ranked.join(owner, "query").select("query_id", "rank", "vec_id", "score"), "top")
+    )
+    rows_of_block = max(BLOCK_BYTES // (8 * width), 1)
+    # Queries near each other share a block, so that it needs few lanes.
+    blocks = (
+        queries.select("vec_id", "v")
+        .distinct()
+        .mapInPandas(_keyed(index.pivots, index.longest, width), _KEYED)
+        .repartitionByRange("pivot", "far", "vec_id")
+        .sortWithinPartitions("pivot", "far", "vec_id")
+        .mapInPandas(
+            _blocks(held, width, best, rows_of_block),
+            "lanes array<int>, q_ids binary, q binary, floor binary",
         )
-
-    if index.width:
-        for row in queries.distinct().toLocalIterator():
-            block.append(row)
-            if len(block) == rows_of_block:
-                searched()
-                block.clear()
-        if block:
-            searched()
-    result = spark.createDataFrame([], schema)
-    for part in found:
-        result = result.unionByName(part)
-    return result
+        .withColumn("block", F.monotonically_increasing_id())
+    )
+    dealt = stored(blocks, "query-blocks").withColumn("lane", F.explode("lanes")).drop("lanes")
+    tasks = LANES_PER_CORE * spark.sparkContext.defaultParallelism
+    pairs = dealt.repartition(tasks, "lane").join(
+        index.annuli.repartition(tasks, "lane").hint("merge"), "lane"
+    )
+    hits = pairs.drop("lane").mapInPandas(
+        _met(held, width, best), "block long, query int, query_id long, score long, vec_id long"
+    )
+    order = Window.partitionBy("block", "query").orderBy(F.col("score").desc(), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    return stored(ranked.select("query_id", "rank", "vec_id", "score"), "top")

@@ -61,6 +61,34 @@ def test_bounds_skip_annuli(spark, monkeypatch):
     assert 0 < len(opened) < len(annuli) / 2
 
 
+def test_blocks_go_to_few_lanes(spark, monkeypatch):
+    """Clustered queries are sent to the lanes near them only, and the driver takes no query."""
+    rng = random.Random(6)
+    rows = [(i, [float(k == i % 8) * 4 + rng.gauss(0, 0.02) for k in range(8)]) for i in range(1600)]
+    vectors = topk.stored(topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "v")
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 8 * 4)
+    sent = []
+    real = topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, label: sent.append((label, real(df, label))) or sent[-1][1])
+    index = topk.build_index(vectors, annulus=16)
+    got = topk.search(index, vectors.filter("vec_id % 20 = 0"), 3)
+    whole = [(r["vec_id"], r["v"]) for r in vectors.collect()]
+    assert {tuple(r) for r in got.collect()} == brute(whole, [(i, v) for i, v in whole if i % 20 == 0], 3)
+    blocks = dict(sent)["query-blocks"].selectExpr("size(lanes) AS n", "length(q_ids) / 8 AS q").collect()
+    lanes = index.lanes["lane"].nunique()
+    assert len(blocks) >= 20 and max(b["q"] for b in blocks) <= 4
+    assert sum(b["n"] for b in blocks) < 0.5 * lanes * len(blocks)
+
+
+def test_queries_longer_than_the_index(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0]), (3, [1.0, 1.0, 9.0])], "vec_id long, embedding array<double>")
+    vectors = topk.stored(topk.usable(rows), "v")
+    index = topk.build_index(topk.stored(vectors.filter("vec_id < 3"), "v"))
+    got = sorted(map(tuple, topk.search(index, vectors.filter("vec_id = 3")).collect()))
+    k = 1024 * 1024
+    assert got == [(3, 1, 1, 3 * k), (3, 2, 2, 3 * k)]
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [inf, 0.0]), (None, [9.0, 9.0])]
