@@ -4,9 +4,10 @@ Fingerprints are computed on whole texts, one row at a time. The distinct ones a
 to the leaves of a vantage-point tree: a level has one random vantage point and a radius;
 fingerprints nearer than the radius go inside, the others outside, and those that the
 triangle bound cannot tell from their neighbours across the border go to both. Any two
-fingerprints within the link distance therefore meet in some leaf. A leaf is one bounded
-group; it goes on splitting in memory and gives the edges of a spanning forest, never all
-pairs. The number of levels follows from the number of distinct fingerprints.
+fingerprints within the link distance therefore meet in some leaf. A leaf goes on splitting
+in memory and gives the edges of a spanning forest, never all pairs. The number of levels
+follows from the number of distinct fingerprints; a leaf that is larger than a task should
+hold, as its fingerprints lie close together, is shared by tasks, block against block.
 """
 
 import random
@@ -21,12 +22,15 @@ from pyspark.sql.types import LongType
 
 from pathlode.llm.common import stored
 from pathlode.llm.components import components
+from pathlode.session import fits_broadcast, measure
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 LINK_DISTANCE = 2
 # Distinct fingerprints a leaf should hold, and below which memory is searched through.
 LEAF, SCANNED = 4096, 1024
+# Measured rows of a leaf beyond which several tasks share it.
+PART = 1 << 16
 # Shingles whose bits are counted at once, and cells of one block of distances.
 _BLOCK, _CELLS = 1 << 16, 1 << 20
 
@@ -121,6 +125,28 @@ def leaves(fingerprints: DataFrame, reach: int = LINK_DISTANCE, leaf: int = LEAF
     return fingerprints.select("fp", F.explode(F.aggregate(F.array(*sides), root, below)).alias("leaf"))
 
 
+def _in_parts(placed: DataFrame, most: int) -> DataFrame:
+    """Leaves with ``part``: those of more than ``most`` rows are compared block against block.
+
+    Vantage points cannot part a cloud of fingerprints that lie close together. Such a leaf is
+    dealt to blocks by hash, and each two blocks are one part of at most about ``most`` rows; so
+    any two rows of the leaf meet in some part. Other leaves are part 0.
+    """
+    big = stored(placed.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > most), "big-leaves")
+    rows, size = measure(big)
+    if not rows:
+        return placed.withColumn("part", F.lit(0).cast("long"))
+    blocks = F.ceil(F.col("n") * 2 / most)
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    pairs = F.transform(
+        F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: other != own),
+        lambda other: F.least(own, other) * blocks + F.greatest(own, other),
+    )
+    parts = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    known = placed.join(F.broadcast(big) if fits_broadcast(rows, size) else big, "leaf", "left")
+    return known.select("fp", "leaf", F.explode(parts).alias("part"))
+
+
 # --- Within a leaf -----------------------------------------------------------
 
 
@@ -178,9 +204,8 @@ def _leaf_edges(reach: int):
 
 def linked(fingerprints: DataFrame, reach: int = LINK_DISTANCE) -> DataFrame:
     """Distinct ``fp`` to (``fp``, ``root``) for all that link to others but the roots themselves."""
-    edges = leaves(fingerprints, reach).groupBy("leaf").applyInPandas(
-        _leaf_edges(reach), "child long, parent long"
-    )
+    parts = _in_parts(leaves(fingerprints, reach), PART)
+    edges = parts.groupBy("leaf", "part").applyInPandas(_leaf_edges(reach), "child long, parent long")
     return components(edges).select(F.col("child").alias("fp"), F.col("parent").alias("root"))
 
 

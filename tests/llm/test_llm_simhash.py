@@ -102,6 +102,30 @@ def test_components_across_leaves(spark, monkeypatch):
         assert {got.get(v, v) for v in members} == {min(members)}
 
 
+@pytest.mark.parametrize("most", [40, 100, 10_000])
+def test_a_cloud_is_shared_by_tasks(spark, monkeypatch, most):
+    """Thousands of slightly edited copies: no vantage point parts them, no task gets them all."""
+    rng = random.Random(8)
+    centre, values = rng.getrandbits(64), {rng.getrandbits(64) for _ in range(200)}
+    while len(values) < 900:
+        values.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))))
+    fps = spark.createDataFrame([(signed(v),) for v in sorted(values)], "fp long")
+    placed = simhash.leaves(fps, leaf=200)
+    parts = simhash._in_parts(placed, most)
+    sizes = [r["count"] for r in parts.groupBy("leaf", "part").count().collect()]
+    assert max(sizes) <= max(1.5 * most, most + 40)
+    if most < 900:
+        assert placed.groupBy("leaf").count().filter(f"count > {2 * most}").count() >= 1
+    monkeypatch.setattr(simhash, "PART", most)
+    got = {r["fp"]: r["root"] for r in simhash.linked(fps).collect()}
+    classes = {}
+    for v, r in brute_roots(values).items():
+        classes.setdefault(r, set()).add(signed(v))
+    assert max(map(len, classes.values())) > 300
+    for members in classes.values():
+        assert {got.get(v, v) for v in members} == {min(members)}
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i + 1, i) for i in range(200)] + [(500, 300), (300, 400), (400, 500), (7, 7)]
     edges = spark.createDataFrame(pairs + pairs[:5], "child long, parent long")
