@@ -2,9 +2,10 @@
 
 Three patterns give the base spans. Their values are labelled credentials: for each kind the
 prefix tree of a bounded sample becomes a probabilistic automaton, by merging states whose
-ways on do not differ more than chance allows. All other runs of credential characters, and
+ways on do not differ more than chance allows: first those at the same position, so that few
+credentials tell a format, then those of different positions. All other runs of credential characters, and
 their parts at ``=`` and ``/``, are then scored by every automaton: the mean log-likelihood of a
-run's characters and length. A run that is as likely as the credentials themselves is a further
+run's characters, end and length. A run that is as likely as the credentials themselves is a further
 span, of kind ``like_`` and that kind; of runs that overlap the likeliest is taken.
 
 Texts are read twice, to learn and to score, so that only spans are stored: most runs are words.
@@ -13,7 +14,7 @@ Texts are read twice, to learn and to score, so that only spans are stored: most
 import math
 import re
 from bisect import bisect
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -37,10 +38,13 @@ KINDS = {
 
 # Distinct credentials of a kind (about) and characters of one that an automaton is learnt from.
 SAMPLE, SAMPLE_CHARS = 1500, 200
-# Significance of the test that keeps two states apart, and weight of what was never seen.
-ALPHA, UNSEEN = 0.05, 0.01
+# Significance of the test that keeps two states apart, and weight of what was never seen. Weight of the
+# characters of all credentials in the likelihoods of one state.
+ALPHA, UNSEEN, BACKOFF = 0.05, 0.01, 4.0
 # Shortest run that is scored, and the share of credentials that may score below the threshold.
-CANDIDATE_CHARS, MISSED = 8, 0.01
+CANDIDATE_CHARS, MISSED = 8, 0.02
+# Credentials that must end in a state for it to have a threshold of its own.
+ENDS = 20
 
 _ASSIGN = re.compile(KINDS["assign"][0], re.I | re.A)
 _ACCESS = re.compile(KINDS["access"][0])
@@ -115,94 +119,126 @@ def _near(spans, at: int, end: int):
 
 @dataclass
 class Automaton:
-    """Transition and length log-likelihoods of one kind, and the least score to accept."""
+    """Transition and length log-likelihoods of one kind, and the least scores to accept.
+
+    ``moves`` has every character that any credential has, for every state; ``onward`` is where
+    all others lead, and ``rare`` what they cost; ``stops`` is for a run that ends in the state.
+    ``thresholds`` goes by the state in which a run ends: formats differ in their usual scores.
+    """
 
     moves: list[dict[str, tuple[int, float]]]
+    onward: list[int]
     rare: list[float]
+    stops: list[float]
     lengths: dict[int, float]
     odd_length: float
-    threshold: float = -math.inf
+    thresholds: list[float]
 
     @property
     def longest(self) -> int:
         """The longest credential learnt; a longer run fits no format."""
         return max(self.lengths)
 
-    def score(self, run: str, size: int | None = None) -> float:
-        """Mean log-likelihood of the characters and the length (``size``, if ``run`` is its start)."""
-        state, total = 0, self.lengths.get(size or len(run), self.odd_length)
-        for c in run:
-            move = self.moves[state].get(c)
-            if move is None:
-                total += self.rare[state]
-            else:
-                state = move[0]
-                total += move[1]
-        return total / (len(run) + 1)
+    def margin(self, run: str) -> float | None:
+        """The run's score above the threshold; None if it is below.
 
-    def may_fit(self, run: str) -> bool:
-        """False only if the score is below the threshold: no later character adds to it."""
+        The score is the mean log-likelihood of the characters, the end and the length.
+        """
         state, total = 0, self.lengths.get(len(run), self.odd_length)
-        least = self.threshold * (len(run) + 1) - 1e-6
+        least = min(self.thresholds) * (len(run) + 1) - 1e-6
         for c in run:
             move = self.moves[state].get(c)
             if move is None:
                 total += self.rare[state]
+                state = self.onward[state]
             else:
                 state = move[0]
                 total += move[1]
-            if total < least:
-                return False
-        return True
+            if total < least:  # no later character adds to it
+                return None
+        over = (total + self.stops[state]) / (len(run) + 1) - self.thresholds[state]
+        return over if over >= 0 else None
 
 
 class _Tree:
-    """The prefix tree with its counts; merging turns it into an automaton."""
+    """The prefix tree with its counts; merging turns it into an automaton.
+
+    A merged state stands for all that went into it: ``at`` gives the one that stands for a state.
+    """
 
     def __init__(self, runs: Sequence[str]):
         self.next: list[dict[str, int]] = [{}]
         self.passed: list[Counter] = [Counter()]
-        self.ended = [0]
+        self.ended, self.into = [0], [0]
+        # Pairs known to differ, until a merge changes counts.
+        self.differ: set[tuple[int, int]] = set()
         for run in runs:
             state = 0
-            for c in run[:SAMPLE_CHARS]:
+            for c in run:
                 self.passed[state][c] += 1
                 if c not in self.next[state]:
                     self.next[state][c] = len(self.next)
+                    self.into.append(len(self.next))
                     self.next.append({})
                     self.passed.append(Counter())
                     self.ended.append(0)
                 state = self.next[state][c]
             self.ended[state] += 1
 
+    def at(self, state: int) -> int:
+        while self.into[state] != state:
+            self.into[state] = state = self.into[self.into[state]]
+        return state
+
+    def to(self, state: int, symbol: str) -> int:
+        return self.at(self.next[state][symbol])
+
     def seen(self, state: int) -> int:
         return self.ended[state] + self.passed[state].total()
 
+    def _apart(self, a: int, b: int) -> bool | None:
+        """Whether two states differ by themselves; None if too few went there to tell."""
+        n, m = self.seen(a), self.seen(b)
+        bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (n**-0.5 + m**-0.5) if n and m else 1
+        if bound >= 1:  # and so are all states below the rarer one
+            return None
+        p, q = self.passed[a], self.passed[b]
+        return abs(self.ended[a] / n - self.ended[b] / m) > bound or any(
+            abs(p[c] / n - q[c] / m) > bound for c in p.keys() | q.keys()
+        )
+
     def alike(self, a: int, b: int) -> bool:
         """Whether no way on from the two states differs by more than Hoeffding's bound."""
+        first: dict[tuple[int, int], tuple[int, int] | None] = {(a, b): None}
         pairs = [(a, b)]
         while pairs:
-            a, b = pairs.pop()
-            n, m = self.seen(a), self.seen(b)
-            if not n or not m:
-                continue
-            bound = math.sqrt(0.5 * math.log(2 / ALPHA)) * (n**-0.5 + m**-0.5)
-            if bound >= 1:  # too few to differ, and so are all states below the rarer one
-                continue
-            if abs(self.ended[a] / n - self.ended[b] / m) > bound:
-                return False
-            p, q = self.passed[a], self.passed[b]
-            if any(abs(p[c] / n - q[c] / m) > bound for c in p.keys() | q.keys()):
+            pair = pairs.pop()
+            apart = pair in self.differ or self._apart(*pair)
+            if apart:
+                # What leads to a difference differs too.
+                while pair is not None:
+                    self.differ.add(pair)
+                    pair = first[pair]
                 return False
-            pairs += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys()]
+            if apart is None:
+                continue
+            x, y = pair
+            for c in self.next[x].keys() & self.next[y].keys():
+                below = (self.to(x, c), self.to(y, c))
+                if below[0] != below[1] and below not in first:
+                    first[below] = pair
+                    pairs.append(below)
         return True
 
-    def merge(self, parent: int, symbol: str, into: int) -> None:
-        """Lead the parent's symbol to ``into``, and add the subtree that it led to."""
-        pairs = [(into, self.next[parent][symbol])]
-        self.next[parent][symbol] = into
+    def merge(self, a: int, b: int) -> None:
+        """Let ``a`` stand for ``b`` too, and merge where both lead by the same symbol."""
+        self.differ.clear()
+        pairs = [(a, b)]
         while pairs:
-            a, b = pairs.pop()
+            a, b = map(self.at, pairs.pop())
+            if a == b:
+                continue
+            self.into[b] = a
             self.ended[a] += self.ended[b]
             self.passed[a].update(self.passed[b])
             for c, child in self.next[b].items():
@@ -211,53 +247,114 @@ class _Tree:
                 else:
                     self.next[a][c] = child
 
+    def merge_layers(self) -> None:
+        """Merge states at the same position, unless they differ: first those after the same state.
+
+        Few credentials pass any one state of the tree, too few to tell it from others. Together
+        those of a position tell what stands there, and formats with a start of their own stay apart.
+        """
+        layer = [0]
+        while layer:
+            after = [self._merged([self.to(k, c) for c in sorted(self.next[k])]) for k in layer]
+            layer = self._merged([state for states in after for state in states])
+
+    def _merged(self, states: list[int]) -> list[int]:
+        """What stays of states at the same position, the most seen ones first."""
+        kept: list[int] = []
+        for state in sorted(dict.fromkeys(map(self.at, states)), key=lambda k: (-self.seen(k), k)):
+            twin = next((k for k in kept if self.alike(k, state)), None)
+            if twin is None:
+                kept.append(state)
+            else:
+                self.merge(twin, state)
+        return kept
+
+    def merge_positions(self) -> list[int]:
+        """Merge states of different positions, unless they differ; the states that stay."""
+        kept, border = [0], [(0, c) for c in sorted(self.next[0])]
+        while border:
+            child = self.to(*border[0])
+            if child in kept:
+                border = border[1:]
+                continue
+            twin = next((k for k in kept if self.alike(k, child)), None)
+            if twin is None:
+                kept.append(child)
+            else:
+                self.merge(twin, child)
+                kept = list(dict.fromkeys(map(self.at, kept)))
+            # Merging may have given any kept state new ways on.
+            border = [(k, c) for k in kept for c in sorted(self.next[k]) if self.to(k, c) not in kept]
+        return kept
+
 
 def learn(runs: Sequence[str], sizes: Sequence[int] | None = None) -> Automaton:
-    """The automaton of distinct labelled runs (at least one); ``sizes`` if they are only their starts."""
-    sizes = list(map(len, runs)) if sizes is None else sizes
-    tree, kept, known = _Tree(sorted(runs)), [0], {0}
-    border = deque((0, c) for c in sorted(tree.next[0]))
-    while border:
-        parent, symbol = border.popleft()
-        child = tree.next[parent][symbol]
-        if child in known:
-            continue
-        twin = next((k for k in kept if tree.alike(k, child)), None)
-        if twin is None:
-            kept.append(child)
-            known.add(child)
-            border.extend((child, c) for c in sorted(tree.next[child]))
-        else:
-            tree.merge(parent, symbol, twin)
-            # Merging may have given any kept state new ways on.
-            border = deque(
-                (k, c) for k in kept for c in sorted(tree.next[k]) if tree.next[k][c] not in known
-            )
+    """The automaton of distinct labelled runs (at least one); ``sizes`` if they are only their starts.
+
+    A state's likelihoods are its counts and ``BACKOFF`` more that are dealt as the characters of all
+    runs are. Thresholds come from the runs' own scores, each without what it counts itself, so that they
+    hold for runs that were not learnt. A state in which fewer than ``ENDS`` runs end takes the
+    strictest one.
+    """
+    sizes = list(map(len, runs)) if sizes is None else list(sizes)
+    starts = [run[:SAMPLE_CHARS] for run in runs]
+    tree = _Tree(sorted(starts))
+    tree.merge_layers()
+    kept = tree.merge_positions()
     number = {state: n for n, state in enumerate(kept)}
-    moves, rare = [], []
+    every = Counter(c for run in starts for c in run)
+    mass = every.total() + UNSEEN * _ALPHABET
+    share = {c: (k + UNSEEN) / mass for c, k in every.items()}
+
+    def likelihood(state: int, c: str, less: int = 0) -> float:
+        passed = tree.passed[state]
+        odds = passed[c] - less + BACKOFF * share.get(c, UNSEEN / mass)
+        return math.log(odds / (passed.total() - less + BACKOFF))
+
+    def stop(state: int, less: int = 0) -> float:
+        odds = (tree.ended[state] - less + UNSEEN) / (tree.seen(state) - less + 2 * UNSEEN)
+        return math.log(odds)
+
+    moves, onward, rare = [], [], []
     for state in kept:
-        total = math.log(tree.seen(state) + UNSEEN * _ALPHABET)
+        ways, passed = tree.next[state], tree.passed[state]
+        usual = min(ways, key=lambda c: (-passed[c], c), default=None)
+        go = number[tree.to(state, usual)] if usual else number[state]
+        onward.append(go)
         moves.append(
-            {
-                c: (number[to], math.log(tree.passed[state][c] + UNSEEN) - total)
-                for c, to in tree.next[state].items()
-            }
+            {c: (number[tree.to(state, c)] if c in ways else go, likelihood(state, c)) for c in sorted(share)}
         )
-        rare.append(math.log(UNSEEN) - total)
+        rare.append(likelihood(state, ""))
+    held = Counter(sizes)
     total = math.log(len(runs) + 1)
-    lengths = {n: math.log(k) - total for n, k in Counter(sizes).items()}
-    automaton = Automaton(moves, rare, lengths, math.log(UNSEEN) - total)
-    scores = sorted(map(automaton.score, runs, sizes))
-    automaton.threshold = scores[int(MISSED * len(scores))]
-    return automaton
+    lengths = {n: math.log(k) - total for n, k in held.items()}
+
+    def without_itself(run: str, size: int) -> tuple[int, float]:
+        state, score = 0, math.log(max(held[size] - 1, UNSEEN) / len(runs))
+        for c in run:
+            score += likelihood(kept[state], c, 1)
+            state = moves[state][c][0]
+        return state, (score + stop(kept[state], 1)) / (len(run) + 1)
+
+    def threshold(scores: list[float]) -> float:
+        return sorted(scores)[int(MISSED * len(scores))]
+
+    ends: dict[int, list[float]] = {}
+    for state, score in map(without_itself, starts, sizes):
+        ends.setdefault(state, []).append(score)
+    own = {state: threshold(scores) for state, scores in ends.items() if len(scores) >= ENDS}
+    strictest = max([*own.values(), threshold(sum(ends.values(), []))])
+    thresholds = [own.get(n, strictest) for n in range(len(kept))]
+    stops = list(map(stop, kept))
+    return Automaton(moves, onward, rare, stops, lengths, math.log(UNSEEN) - total, thresholds)
 
 
 def recognise(automata: dict[str, Automaton], run: str) -> tuple[str, float] | None:
     """The kind that a run fits best and by how much, if it fits any."""
     fits = [
-        (score - a.threshold, kind)
+        (over, kind)
         for kind, a in automata.items()
-        if len(run) <= a.longest and a.may_fit(run) and (score := a.score(run)) >= a.threshold
+        if len(run) <= a.longest and (over := a.margin(run)) is not None
     ]
     return (max(fits)[1], max(fits)[0]) if fits else None
 

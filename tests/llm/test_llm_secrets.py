@@ -151,3 +151,61 @@ def test_lengths_are_learnt_whole():
     assert s.recognise({"hex": automaton}, "c" * 5001) is None
     found = s.candidates("x=" + "y" * 5000 + "/" + "z" * 900, [], automaton.longest)
     assert [(a, b) for a, b, _ in found] == [(2, 5002), (5003, 5903)]
+
+
+def formats(rng):
+    """Formats with a start, fixed dashes, and two in one."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def some(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    return {
+        "dashes": lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+        "start": lambda: "sk_live_" + some(letters, 24),
+        "both": lambda: rng.choice((lambda: "ghp_" + some(letters, 36), lambda: "xo-" + some("0123456789", 12)))(),
+    }
+
+
+@pytest.mark.parametrize(("name", "n"), [("dashes", 65), ("start", 65), ("both", 400)])
+def test_few_credentials_teach_their_format(name, n):
+    rng = random.Random(11)
+    make = formats(rng)[name]
+    automaton = {"assign": s.learn([make() for _ in range(n)])}
+    new = [make() for _ in range(200)]
+    assert sum(s.recognise(automaton, run) is not None for run in new) >= 180
+    # The same characters turned round, and one character more or less at the start.
+    assert not any(s.recognise(automaton, run[::-1]) for run in new)
+    assert not any(s.recognise(automaton, run[1:]) for run in new)
+    assert not any(s.recognise(automaton, "0" + run) for run in new)
+
+
+def test_a_start_and_positions_are_states_of_their_own():
+    rng = random.Random(12)
+    automaton = s.learn([formats(rng)["dashes"]() for _ in range(65)])
+    assert len(automaton.moves) == 37
+    for at in (8, 13, 18, 23):
+        assert max(automaton.moves[at], key=lambda c: automaton.moves[at][c][1]) == "-"
+
+
+def test_the_threshold_holds_for_credentials_that_were_not_learnt():
+    rng = random.Random(13)
+    for n in (65, 400, 1500):
+        automaton = {"hex": s.learn(hexes(rng, n, 40))}
+        assert sum(s.recognise(automaton, run) is not None for run in hexes(rng, 500, 40)) >= 460, n
+
+
+def test_learnt_on_one_half_holds_on_the_other(tables):
+    """Of the table's own credentials; nothing else in its texts is taken for one."""
+    values, runs = {}, set()
+    for _, text in tables[1]:
+        spans = s.base_spans(text or "")
+        for _, kind, _, value in spans:
+            values.setdefault(kind, set()).add(value)
+        runs |= {run for _, _, run in s.candidates(text or "", spans, 300)}
+    for found in values.values():
+        found = sorted(found)
+        automaton = {"hex": s.learn(found[::2])}
+        if len(found) >= 20:
+            assert sum(s.recognise(automaton, run) is not None for run in found[1::2]) >= 0.8 * len(found[1::2])
+            assert not [run for run in runs if s.recognise(automaton, run)]
