@@ -42,6 +42,12 @@ _PIECES = re.compile(
 # A space beside another blank belongs to a longer piece, so runs between spaces are not free.
 _DOUBLED = [f"{a}{b}" for a in _BLANKS for b in _BLANKS if " " in (a, b)]
 
+# A control character, so no safe text has it: before a sign that is cut off the word it stands behind.
+_CUT = "\x01"
+_SIGNS = [(f"{sign} ", f" {_CUT}{sign} ") for sign in ",."]
+# Such a sign belongs to a longer piece if no letter or number stands before it.
+_STUCK = re.compile(f"[^{_LETTERS}{_NUMBERS}] {_CUT}")
+
 
 def _by_pieces(config: dict) -> bool:
     cut = config.get("pre_tokenizer") or {}
@@ -87,21 +93,26 @@ class _Known(dict):
 class _Pieces(_Known):
     """Piece -> ids as little-endian unsigned 32-bit integers; asks the library when missing."""
 
-    def __init__(self, model, kept: int):
+    def __init__(self, tokenizer: Tokenizer, kept: int):
         super().__init__(kept)
-        self.tokenize, self.letters = model.tokenize, _byte_letters()
+        self.tokenize, self.letters = tokenizer.model.tokenize, _byte_letters()
+        self.bytes = {i: id_bytes([i]) for i in tokenizer.get_vocab().values()}
         self.space = self.letters[0x20]
 
     def ask(self, piece: str) -> bytes:
         spelt = piece.encode().decode("latin-1").translate(self.letters)
-        return id_bytes([t.id for t in self.tokenize(spelt)])
+        return self.spelt(spelt)
 
     def ask_word(self, word: str) -> bytes:
         """The ids of a space and a word."""
         if word.isascii():  # such letters are spelt as themselves
-            return id_bytes([t.id for t in self.tokenize(self.space + word)])
+            return self.spelt(self.space + word)
         return self.ask(f" {word}")
 
+    def spelt(self, piece: str) -> bytes:
+        of = self.bytes
+        return b"".join([of[t.id] for t in self.tokenize(piece)])
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.known(piece)
         if ids is None:
@@ -114,7 +125,7 @@ class _Runs(_Known):
     """Run between single spaces -> ids of the space and the run.
 
     Only words and numbers and the like are kept: a word and the sign behind it are looked up on
-    their own, and runs across line ends hardly ever come again.
+    their own, and runs across line ends hardly ever come again. A sign cut off its word is a run too.
     """
 
     def __init__(self, pieces: _Pieces, kept: int):
@@ -128,6 +139,9 @@ class _Runs(_Known):
                 ids = self.pieces.ask_word(run)
                 self.keep(run, ids)
             return ids
+        if run[:1] == _CUT:
+            self.keep(run, self.pieces[run[1:]])
+            return self[run]
         word, last = run[:-1], run[-1:]
         if word.isalpha() and last not in _BLANKS and not last.isalnum():
             return self[word] + self.pieces[last]
@@ -161,7 +175,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         self.added = [t["content"] for t in config.get("added_tokens") or ()]
-        self.runs = _Runs(_Pieces(self.tokenizer.model, kept), kept) if _by_pieces(config) else None
+        self.runs = _Runs(_Pieces(self.tokenizer, kept), kept) if _by_pieces(config) else None
 
     def encode(self, text: str) -> bytes:
         """Ids without begin, end or template tokens, four bytes each."""
@@ -169,7 +183,10 @@ class Encoder:
             return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if text[:1] == " " or text[-1:] == " " or any(d in text for d in _DOUBLED):
             return self.runs.pieces_of(text)
-        first, *rest = text.split(" ")
+        parted = text
+        for sign, cut in _SIGNS:
+            parted = parted.replace(sign, cut)
+        first, *rest = (text if _STUCK.search(parted) else parted).split(" ")
         return self.runs.pieces_of(first) + b"".join(map(self.runs.__getitem__, rest))
 
 

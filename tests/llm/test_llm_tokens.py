@@ -156,3 +156,12 @@ def test_file_query(spark, library):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
     got = sorted(map(tuple, QUERIES["op10_token_file"](spark, FOLDER).collect()))
     assert got == [w[:4] for w in expected([tuple(r) for r in rows], library)]
+
+
+def test_signs_behind_words_as_the_library_cuts_them():
+    rng = random.Random(17)
+    parts = ["word", "Ab", "7", "é", ",", ".", ", ", ". ", " ", "\n", "'s", "|", "!", ",.", "\x01", "x"]
+    tool, mine = Tokenizer.from_file(tokenizer_path()), encoding.Encoder(tokenizer_path())
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert mine.encode(text) == encoding.id_bytes(tool.encode(text, add_special_tokens=False).ids), text
