@@ -1,5 +1,6 @@
 """Language identification on held-out rows, and awkward ones."""
 
+import hashlib
 import re
 
 import zlib
@@ -110,6 +111,24 @@ def test_long_texts_in_no_known_language_go(spark, docs):
     assert kept >= clean and len(kept - clean) <= 10
 
 
+def test_every_labelled_held_out_row_sets_the_least_score(spark):
+    # More such rows than were once sampled; the odd one comes late in the order of digests.
+    held = [i for i in range(12_000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    odd = max(held, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rng, words = np.random.default_rng(5), {c: w.split() for c, w in WORDS.items()}
+    noise = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 300))
+    rows = []
+    for i in range(12_000):
+        lang = list(words)[i // 7 % 4]
+        rows.append((i, noise if i == odd else " ".join(rng.choice(words[lang], 50)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8).cache()
+    model = language.train(docs)
+    scores = {i: model.predict(text)[1] for i, text, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert min(scores, key=scores.get) == odd and scores[odd] < language.ABOVE_CHANCE / 4
+    assert language.least_score(docs, model) == pytest.approx(language.BELOW_CLEAN * scores[odd])
+    assert language.reject_undetermined(docs).filter(f"doc_id = {odd}").count() == 1
+
+
 def test_numerals_are_no_letters():
     for text in (None, "", "½²", "Ⅷ", "3 ½ ² Ⅷ _", "…"):
         assert not language.has_letter(text)
