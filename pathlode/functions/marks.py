@@ -1,8 +1,7 @@
 """Marking matches in result paths, and terminal colours for the marks."""
 
 import re
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,13 +11,24 @@ from pathlode.functions.paths import name_of
 ESC = "\x1b"
 
 
-def _cover(text: Column, needle: str) -> Column:
-    """One digit per character: 1 inside a hit of ``needle``, 0 elsewhere."""
+def _hits(text: Column, needle: str) -> Column:
+    """``start`` (from 1) and ``end`` (exclusive) of the hits of ``needle``, which do not overlap."""
     pieces = F.split(text, re.escape(needle))
-    return F.array_join(
-        F.transform(pieces, lambda piece: F.repeat(F.lit("0"), F.length(piece))),
-        "1" * len(needle),
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(before: Column, piece: Column) -> Column:
+        start = before["at"] + F.length(piece)
+        end = start + len(needle)
+        hit = F.struct(start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(before["hits"], F.array(hit)).alias("hits"))
+
+    found = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+        F.struct(F.lit(1).alias("at"), nothing.alias("hits")),
+        add,
+        lambda all_: all_["hits"],
     )
+    return F.when(text.contains(needle), found).otherwise(nothing)
 
 
 def _lower_in_place(text: Column) -> Column:
@@ -39,20 +49,45 @@ def mark_name(name: Column, needles: list[str]) -> Column:
     needles = list(dict.fromkeys(n.lower() for n in needles if n))
     if not needles:
         return name
-    lowered = _lower_in_place(name)
-    covers = [_cover(lowered, n) for n in needles]
 
-    def hit(i: Column) -> Column:
-        return reduce(or_, [F.substring(c, i, F.lit(1)) == "1" for c in covers])
+    def marked(both: Column) -> Column:
+        name, lowered = both["name"], both["lowered"]
+        hits = F.array_sort(F.concat(*[_hits(lowered, n) for n in needles]))
 
-    def char(i: Column) -> Column:
-        opens = F.when(hit(i) & ~((i > 1) & hit(i - 1)), "*").otherwise("")
-        closes = F.when(hit(i) & ~hit(i + 1), "*").otherwise("")
-        return F.concat(opens, F.substring(name, i, F.lit(1)), closes)
+        def part(start: Column, end: Column) -> Column:
+            return F.substring(name, start, end - start)
 
-    return F.when(name == "", name).otherwise(
-        F.array_join(F.transform(F.sequence(F.lit(1), F.length(name)), char), "")
-    )
+        def run(before: Column) -> Column:
+            return F.concat(before["done"], F.lit("*"), part(before["start"], before["end"]), F.lit("*"))
+
+        def add(before: Column, hit: Column) -> Column:
+            touches = hit["start"] <= before["end"]
+            done = F.concat(run(before), part(before["end"], hit["start"]))
+            return F.struct(
+                F.when(touches, before["done"]).otherwise(done).alias("done"),
+                F.when(touches, before["start"]).otherwise(hit["start"]).alias("start"),
+                F.when(touches, F.greatest(before["end"], hit["end"])).otherwise(hit["end"]).alias("end"),
+            )
+
+        def merged(hits: Column) -> Column:
+            first = F.get(hits, F.lit(0))
+            begin = F.struct(
+                part(F.lit(1), first["start"]).alias("done"),
+                first["start"].alias("start"),
+                first["end"].alias("end"),
+            )
+            rest = lambda last: F.concat(run(last), part(last["end"], F.length(name) + 1))
+            return F.aggregate(hits, begin, add, rest)
+
+        return F.when(F.size(hits) == 0, name).otherwise(_with(hits, merged))
+
+    both = F.struct(name.alias("name"), _lower_in_place(name).alias("lowered"))
+    return _with(both, marked)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: what a lambda names several times is not shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def mark_path(path: Column, needles: list[str]) -> Column:

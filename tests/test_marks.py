@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,3 +66,16 @@ def test_colours(spark):
         assert "\x1b" not in row["s"]
     back = rows.select(strip_ansi(F.lit("\x1b[32mfoo\x1b[0m.txt\x1b[3"))).first()[0]
     assert back == "foo.txt"
+
+
+def long_names(spark):
+    """Names of several thousand characters: work per character times length takes minutes on them."""
+    name = F.concat(F.repeat(F.lit("small ring_bolt "), 250), F.col("id").cast("string"))
+    return spark.range(200, numPartitions=1).select(name.alias("n"))
+
+
+def test_long_names_are_marked_in_linear_time(spark):
+    begun = time.monotonic()
+    rows = long_names(spark).select("n", mark_name(F.col("n"), ["Ring", "SMALL", "g_b"]).alias("m")).collect()
+    assert time.monotonic() - begun < 20
+    assert all(r["m"] == slow_mark(r["n"], ["ring", "small", "g_b"]) for r in rows[:3])
