@@ -16,12 +16,10 @@ from pathlode.functions.paths import (
     at_or_under,
     level_of,
     name_of,
-    parent_of,
     prefix_at,
-    with_parts,
     without_slash,
 )
-from pathlode.session import fits_broadcast, written
+from pathlode.session import fits_broadcast, measure, written
 
 # A hot ancestor (the root of most paths, say) is split into so many join keys: at least the
 # first number, and one per so many paths.
@@ -33,17 +31,27 @@ MAX_LEVELS = 24
 def derive_directories(entries: DataFrame) -> DataFrame:
     """Every directory above some entry, each once.
 
-    Files shrink to their distinct parents first, and these to their distinct
-    parents again before ancestors are listed, so the widening step runs over a
-    small part of the directories.
+    Files shrink to their distinct parents first, which are written, and these to their
+    distinct parents again before ancestors are listed, so the widening step runs over a
+    small part of the directories. Where these ancestors are few the parents are not
+    shuffled once more.
     """
     path = F.col("path")
-    below_top = with_parts(entries.select("path")).filter(F.col("parent") != "")
-    parents = below_top.select(F.col("parent").alias("path")).distinct()
-    tops = parents.select(parent_of(path, name_of(path)).alias("top")).distinct()
-    levels = F.explode(F.sequence(F.lit(1), level_of(F.col("top")))).alias("level")
-    above = tops.select("top", levels).select(prefix_at(F.col("top"), F.col("level")).alias("path"))
-    return parents.union(above.filter(path != "")).distinct()
+    parents = written(_parents(entries.select("path")).distinct(), "parents")
+    tops = _parents(parents).distinct()
+    levels = F.explode(F.sequence(F.lit(1), level_of(path))).alias("level")
+    above = tops.select("path", levels).select(prefix_at(path, F.col("level")).alias("path"))
+    above = written(above.filter(path != "").distinct(), "above")
+    if fits_broadcast(*measure(above, "path")):
+        return parents.join(F.broadcast(above), "path", "left_anti").union(above)
+    return parents.union(above).distinct()
+
+
+def _parents(paths: DataFrame) -> DataFrame:
+    """The parent of every path that has one other than the root."""
+    path = F.col("path")
+    below_top = paths.filter(F.call_function("locate", F.lit("/"), path, F.lit(2)) > 0)
+    return below_top.select(F.left(path, F.length(path) - F.length(name_of(path)) - 1).alias("path"))
 
 
 @dataclass(frozen=True)

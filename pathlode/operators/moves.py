@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pathlode.functions.paths import level_of, prefix_at, without_slash
-from pathlode.operators.hierarchy import SALTS, marks, with_mark
+from pathlode.operators.hierarchy import marks, with_mark
 from pathlode.schema import META_FIELDS, ORDERS
 from pathlode.session import fits_broadcast, measure, written
 
@@ -81,23 +81,32 @@ def _things(epochs: DataFrame) -> DataFrame:
 
 
 def _next_cuts(places: DataFrame, cuts: DataFrame, few: bool) -> DataFrame:
-    """``places`` with the earliest later move above them, and ``died`` where a delete is earlier."""
+    """``places`` with the earliest later move above them, and ``died`` where a delete is earlier.
+
+    A place meets no list of cuts: per directory places and cuts are sorted by their order, from
+    the last back, and each place sees the cut that came just before it in that sort.
+    """
     loc = F.col("loc")
     above = places.select("*", F.explode(F.sequence(F.lit(1), level_of(loc))).alias("level"))
     above = above.withColumn("mark", prefix_at(loc, F.col("level"))).drop("level")
-    if few:
-        met = above.join(F.broadcast(cuts), "mark", "left")
-    else:
-        # A directory above a third of all things is spread over so many keys.
-        salt = F.pmod(F.xxhash64("path", "ord"), F.lit(SALTS)).cast("int").alias("salt")
-        spread = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = above.select("*", salt).join(spread, ["mark", "salt"], "left")
-    later = F.col("at") > F.col("since")
-    move = F.when(later & F.col("target").isNotNull() & (F.col("mark") != loc), F.struct("at", "target", "mark"))
-    first = met.groupBy(*_PLACE).agg(
+    # Directories that nothing cuts, such as the root, gather no places; one row of each stays.
+    known = cuts.select("mark", F.lit(True).alias("cut")).distinct()
+    met = above.join(F.broadcast(known) if few else known, "mark", "left")
+    met = met.filter(F.col("cut") | (F.col("mark") == loc)).drop("cut").withColumn("at", F.col("since"))
+    there = F.struct(F.col("at"), F.min("target").alias("target"), F.col("mark"))
+    at_once = cuts.groupBy("mark", "at").agg(
+        F.when(F.min("target").isNotNull(), there).alias("move"),
+        F.when(F.count_if(F.col("target").isNull()) > 0, F.col("at")).alias("death"),
+    )
+    rows = met.unionByName(at_once, allowMissingColumns=True)
+    # A cut at the very order of a place comes after it here: only later ones count.
+    back = Window.partitionBy("mark").orderBy(F.desc("at"), F.col("since").isNull())
+    back = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in ("move", "death")})
+    first = seen.filter(F.col("since").isNotNull()).groupBy(*_PLACE).agg(
         *[F.any_value(c).alias(c) for c in ("loc", "since", "key")],
-        F.min(move).alias("move"),
-        F.min(F.when(later & F.col("target").isNull(), F.col("at"))).alias("died"),
+        F.min(F.when(F.col("mark") != loc, F.col("move"))).alias("move"),
+        F.min("death").alias("died"),
     )
     ended = F.col("died") < F.coalesce("move.at", F.col("died") + 1)
     return first.withColumn("died", F.coalesce(ended, F.lit(False)))
@@ -108,7 +117,7 @@ def _arrivals(places: DataFrame, cuts: DataFrame, stays: Column) -> DataFrame:
 
     The key lists the orders of a thing's arrivals, the newest first, and its own order last.
     """
-    few = fits_broadcast(*measure(cuts, "mark", "target"))
+    few = fits_broadcast(*measure(cuts.select("mark").distinct(), "mark"))
     landed = []
     while True:
         seen = Observation()

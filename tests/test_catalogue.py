@@ -190,6 +190,11 @@ def test_scan_files(spark, tmp_path):
     assert paths(scan_files(spark, str(tmp_path / "d"), "*.rs")) == [f"{tmp_path}/d/e/two.rs"]
 
 
+def test_directories_are_shuffled_once(entries):
+    found = derive_directories(entries("/a/b/c.txt", "/a/b/d/e.txt", "/top", "rel/x"))
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_directories(entries):
     data = entries("/a/b/c.txt", "/a/b/d/e.txt", "/top", "rel/x")
     assert paths(derive_directories(data)) == ["/a", "/a/b", "/a/b/d", "rel"]

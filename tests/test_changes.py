@@ -540,3 +540,22 @@ def test_changes_per_day_as_a_stream(spark, tmp_path):
     query.awaitTermination()
     closed = {str(r["day"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert closed == {"1970-01-01": 12, "1970-01-02": 12, "1970-01-03": 12}
+
+
+def test_places_meet_no_list_of_cuts(spark):
+    """A directory with very many things and cuts: their pairs would be 3 billion."""
+    n, cuts_n = 150_000, 20_000
+    places = spark.range(n, numPartitions=4).select(
+        F.concat(F.lit("/a/f"), "id").alias("path"), (F.col("id") * 2).alias("ord")
+    ).selectExpr("path", "ord", "path AS loc", "ord AS since", "array(ord) AS key")
+    moved = F.when(F.col("id") % 3 == 0, F.lit("/b"))
+    cuts = spark.range(cuts_n).select(F.lit("/a").alias("mark"), (F.col("id") * 14).alias("at"), moved.alias("target"))
+    begun = time.monotonic()
+    got = {r["ord"]: r for r in moves._next_cuts(places, cuts, True).select("ord", "move", "died").collect()}
+    assert time.monotonic() - begun < 60 and len(got) == n
+    moved_at, died_at = [14 * k for k in range(0, cuts_n, 3)], [14 * k for k in range(cuts_n) if k % 3]
+    for since in (0, 2, 14, 16, 42, 41_998, 279_956, 279_972, 279_986, 299_998):
+        move = next((at for at in moved_at if at > since), None)
+        death = next((at for at in died_at if at > since), None)
+        assert (got[since]["move"] and got[since]["move"]["at"]) == move
+        assert got[since]["died"] == (death is not None and (move is None or death < move))
