@@ -1,6 +1,7 @@
 import glob
 import random
 import threading
+import time
 
 import pytest
 from conftest import paths
@@ -22,6 +23,7 @@ from pathlode import (
     stream_changes,
 )
 from pathlode.operators import changes as ch
+from pathlode.operators import moves
 from pathlode.operators.monitor import change_log_tail, changes_per_day, status_row
 from pathlode.schema import CHANGE, ENTRY_FIELDS
 from pathlode.session import new_folder, removed_after, shared_folder
