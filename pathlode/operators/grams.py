@@ -198,6 +198,7 @@ def refresh_postings(postings: DataFrame, removed: DataFrame, added: DataFrame)
 
     Rows are keyed by path, so nothing has to be renumbered.
     """
+    added = written(added, "added")
     gone = written(removed.select("path").union(added.select("path")).distinct(), "gone")
     if fits_broadcast(*measure(gone, "path")):
         gone = F.broadcast(gone)  # the postings are then not shuffled

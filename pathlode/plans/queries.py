@@ -18,7 +18,7 @@ from pathlode.plans.search import desktop_rows, search
 from pathlode.plans.views_sql import with_views
 from pathlode.plans.build import build_catalogue, refresh, refresh_from_inventory
 from pathlode.schema import ENTRY_FIELDS, PART_FIELDS, STORED
-from pathlode.session import is_folder, new_folder
+from pathlode.session import is_folder, new_folder, written
 from pathlode.sources import catalogue, inventory, tables
 from pathlode.sources.export import export
 from pathlode.streaming import fold
@@ -772,9 +772,10 @@ def _lines_between(spark, folder, first=None, last=None):
         SELECT gram, path FROM ({_GRAMS_SQL.format('parts')})""",
 )
 def gram_postings_refresh(spark, folder):
-    before = _lines_between(spark, folder, last="1999-01-01")
-    after = _lines_between(spark, folder, first="1997-01-01")
-    diff = reconcile.reconcile_diff(before, after)
+    # Each is read several times.
+    before = written(_lines_between(spark, folder, last="1999-01-01"), "before")
+    after = written(_lines_between(spark, folder, first="1997-01-01"), "after")
+    diff = written(reconcile.reconcile_diff(before, after), "diff")
     added = after.join(diff.filter("status IN ('added', 'changed')"), "path", "left_semi")
     removed = diff.filter("status = 'removed'")
     return grams.refresh_postings(grams.name_grams(before), removed, added)

@@ -18,6 +18,7 @@ from pathlode.operators.grams import (
     seeded_matches,
 )
 from pathlode.operators.terms import Not, Substring
+from pathlode.plans.queries import QUERIES
 
 
 def saved(spark, data, folder, partitions=6):
@@ -111,3 +112,8 @@ def test_refresh(entries):
 def test_prefix_buckets(entries):
     data = entries("/a/Foo", "/a/fig", "/a/bar", "/a/b/")
     assert {r[0]: r[1] for r in prefix_buckets(data).collect()} == {"f": 2, "b": 2}
+
+
+def test_a_refresh_reads_the_lines_once(spark):
+    plan = QUERIES["gram_postings_refresh"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    assert "lineitem" not in plan.toString()
