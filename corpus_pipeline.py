@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 # An executor may keep twice as many workers as cores, and a heap that earlier stages filled; so
 # the encoder gets less memory than alone, which costs time and changes no result.
-KEPT_RUNS = 100_000
+KEPT_RUNS = 50_000
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

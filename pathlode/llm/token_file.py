@@ -172,9 +172,12 @@ def write_ids(
     width = _width(tokenizer, end_id)
     dictionary = train_dictionary(rows, tokenizer, end_id, "key", "text", kept)
     mark = hashlib.sha256(dictionary).hexdigest()
-    spark.createDataFrame(
-        [(mark, dictionary, width, tokenizer_version(tokenizer))],
-        "hash string, content binary, width int, tokenizer string",
+    # Literals: local rows would start one more set of Python workers, which stay.
+    spark.range(0, 1, 1, 1).select(
+        F.lit(mark).alias("hash"),
+        F.lit(dictionary).alias("content"),
+        F.lit(width).alias("width"),
+        F.lit(tokenizer_version(tokenizer)).alias("tokenizer"),
     ).write.parquet(f"{folder}/dictionary")
 
     carried = key_kind(kind)
@@ -187,6 +190,8 @@ def write_ids(
     # Rows alike in key and ids are dealt out by their number, or they would meet in one task.
     order = [F.col("key").asc_nulls_last(), F.col("crc"), F.col("n_tokens")]
     spread = F.xxhash64(F.monotonically_increasing_id())
+    # A row group a pack: writers keep whole row groups in memory, readers many rows of them.
+    groups = {"parquet.block.size": str(pack_bytes), "parquet.page.size.row.check.min": "1"}
     pack = StructType().add("part", "long").add("pack", "long").add("hash", "string")
     pack.add("keys", ArrayType(carried)).add("n_tokens", ArrayType(LongType()))
     pack.add("offsets", ArrayType(LongType())).add("payload", "binary")
@@ -197,7 +202,7 @@ def write_ids(
         .withColumn("key", F.col("key").cast(carried))
         .mapInPandas(_pack(mark, pack_bytes), pack)
         .withColumn("keys", F.col("keys").cast(ArrayType(kind)))
-        .write.option("compression", "none")
+        .write.options(**groups, compression="none")
         .parquet(f"{folder}/packs")
     )
 

@@ -1,9 +1,11 @@
 """Token counts and token files against the tokenizers library."""
 
+import glob
 import random
 import struct
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -146,6 +148,15 @@ def test_a_foreign_dictionary_is_an_error(spark):
         token_file.read_ids(spark, folder).collect()
 
 
+def test_a_pack_is_a_row_group(spark):
+    folder, rng = new_folder(spark, "file"), random.Random(9)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(200))) for i in range(300)]
+    token_file.write_ids(documents(spark, rows), folder, tokenizer_path(), pack_bytes=20_000)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{folder}/packs/*.parquet")]
+    assert max(f.num_rows for f in files) > 3
+    assert all(f.num_row_groups == f.num_rows for f in files)
+
+
 def test_empty_file(spark):
     folder = new_folder(spark, "file")
     token_file.write_ids(documents(spark, []), folder, tokenizer_path())
